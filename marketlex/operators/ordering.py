@@ -1,4 +1,5 @@
-"""Deterministic ordering helpers: global positions without a global window."""
+"""Deterministic ordering helpers: positions without a window over a whole
+table or a whole group."""
 
 from __future__ import annotations
 
@@ -7,13 +8,14 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number of hash buckets used when the order is a 64-bit hash: the top
-# 12 bits of a signed long keep the hash order (floor division by 2^52).
+# The top 12 bits of a signed 64-bit hash keep the hash order (floor
+# division by 2^52): 4096 buckets per group.
 HASH_BUCKET_SHIFT = 52
 
 
 def hash_order(seed: int, *cols) -> Column:
-    """Seeded pseudo-random order key: ``xxhash64(seed, cols...)``."""
+    """Seeded pseudo-random order key ``xxhash64(seed, cols...)``; the same
+    seed gives the same order whatever the partitioning."""
     return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
 
 
@@ -22,21 +24,32 @@ def hash_bucket(h: Column) -> Column:
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence, bucket: Column,
-                      name: str = "pos") -> DataFrame:
-    """1-based position of every row in ``order_cols`` order.
+                      name: str = "pos", partition_cols: Sequence[str] = ()) -> DataFrame:
+    """1-based position of every row in ``order_cols`` order (within
+    ``partition_cols`` groups when given).
 
     ``bucket`` must be monotone in that order.  Rows are numbered inside
-    their bucket (one window partition per bucket, spread over the cluster)
-    and shifted by the number of rows in all earlier buckets; the offsets
-    table has one row per bucket, so it is small by construction (hash
-    buckets: 4096; date buckets: one per day) and is broadcast.
+    their (group, bucket) -- many window partitions spread over the cluster,
+    so a group holding a third of all rows is still split 4096 ways under
+    hash buckets -- and shifted by the row count of all earlier buckets of
+    the group.  The offsets table has one row per (group, bucket); it is
+    small by construction and joined back by Spark's size-based choice.
     """
-    b = df.withColumn("_bkt", bucket)
-    counts = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select(
-        "_bkt",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy("_bkt").orderBy(*order_cols))
-    numbered = b.withColumn("_rn", rn).join(F.broadcast(offsets), "_bkt")
-    return numbered.withColumn(name, F.col("_off") + F.col("_rn")).drop("_bkt", "_rn", "_off")
+    pc = list(partition_cols)
+    b = df.withColumn("__bkt", bucket)
+    counts = b.groupBy(*pc, "__bkt").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.partitionBy(*pc).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*pc, "__bkt", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
+    rn = F.row_number().over(Window.partitionBy(*pc, "__bkt").orderBy(*order_cols))
+    numbered = b.withColumn("__rn", rn).join(offsets, [*pc, "__bkt"])
+    return numbered.withColumn(name, F.col("__off") + F.col("__rn")).drop("__bkt", "__rn", "__off")
+
+
+def hash_row_number(df: DataFrame, seed: int, id_cols: Sequence[str], name: str = "pos",
+                    partition_cols: Sequence[str] = ()) -> DataFrame:
+    """Position in seeded pseudo-random order (ties on the id columns)."""
+    h = hash_order(seed, *id_cols)
+    d = df.withColumn("_h", h)
+    out = global_row_number(d, [F.col("_h"), *[F.col(c) for c in id_cols]],
+                            hash_bucket(F.col("_h")), name, partition_cols)
+    return out.drop("_h")
