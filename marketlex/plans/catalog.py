@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_text", "q_results", "q_scoring", "q_sampling", "q_market", "q_stats"]
+MODULES = ["q_text", "q_results", "q_scoring", "q_sampling", "q_market", "q_stats", "q_io"]
 
 
 def _load():
