@@ -122,9 +122,10 @@ def text_length(t) -> Column:
 
 
 def whitespace_tokens(t) -> Column:
-    """Python ``str.split()``: tokens between runs of Unicode whitespace."""
-    s = strip_unicode(t)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{SPACE}+"))
+    """Python ``str.split()``: tokens between runs of Unicode whitespace.
+    One regex pass; the only empty pieces are at the ends (leading or
+    trailing whitespace, or an empty text) and are removed."""
+    return F.array_remove(F.split(_c(t), f"{SPACE}+", -1), "")
 
 
 def token_count(t) -> Column:
@@ -170,7 +171,7 @@ def replace_lexicon(t, pairs: Sequence[tuple[str, str]], prefix: str = " ") -> C
     """Apply ``text.replace(key, prefix + value)`` for every entry, in order.
 
     Expressed as a fold (``aggregate``) over an array-of-struct literal, so it
-    stays inside whole-stage codegen.  Entries whose key is absent from the
+    stays JVM-side (no Python worker, no per-row serialisation).  Entries whose key is absent from the
     row are filtered out first when that is provably exact for this lexicon.
     Lexicons longer than ``LEXICON_CHUNK`` entries are applied as successive
     folds over consecutive chunks (order is preserved).

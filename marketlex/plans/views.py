@@ -16,8 +16,24 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+# Tables whose rows carry long texts: row-local work on them is CPU-bound.
+TEXT_TABLES = ("documents", "events", "pages", "conversations", "benchmark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-bound row-local work (regex, folds) all cores: when a scan
+    yields fewer partitions than the cluster's parallelism (a few large
+    row groups), redistribute round-robin.  On a many-file table the scan
+    is already wide and this is a no-op."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 # ----------------------------------------------------------------- v_tweets
