@@ -161,12 +161,11 @@ def residual_diagnostics(df: DataFrame, targets: Sequence[str], sources: Sequenc
                        *[F.lag("x", i).over(w).alias(_xl(i)) for i in range(1, maxlag + 1)])
     fits, rows = _granger_from_lagged(lagged, g, maxlag)
     j = rows.join(fits.select(*g, "lag", "n", "icpt_r", "coef_r", "icpt_u", "coef_u"), [*g, "lag"])
-    fit_r = F.col("icpt_r") + sum((F.coalesce(F.try_element_at("coef_r", F.lit(i)) * F.col(_yl(i)), F.lit(0.0))
+    def term(coef, idx, col, i):
+        return F.when(F.col("lag") >= i, F.try_element_at(coef, idx) * F.col(col)).otherwise(F.lit(0.0))
+    fit_r = F.col("icpt_r") + sum((term("coef_r", F.lit(i), _yl(i), i) for i in range(1, maxlag + 1)), F.lit(0.0))
+    fit_u = F.col("icpt_u") + sum((term("coef_u", F.lit(i), _yl(i), i) + term("coef_u", F.col("lag") + i, _xl(i), i)
                                    for i in range(1, maxlag + 1)), F.lit(0.0))
-    fit_u = F.col("icpt_u") + sum((F.coalesce(F.try_element_at("coef_u", F.lit(i)) * F.col(_yl(i)), F.lit(0.0))
-                                   + F.coalesce(F.try_element_at("coef_u", F.col("lag") + i) * F.col(_xl(i)), F.lit(0.0))
-                                   for i in range(1, maxlag + 1)), F.lit(0.0))
-    # only the first `lag` (resp. 2 * lag) coefficients exist; try_element_at is null beyond them
     res = j.select(*g, "lag", "n", order_col,
                    F.array(F.struct(F.lit("restricted").alias("model"), (F.col("y") - fit_r).alias("e")),
                            F.struct(F.lit("unrestricted").alias("model"), (F.col("y") - fit_u).alias("e")))
@@ -295,7 +294,8 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
                       F.coalesce("n_valid", F.lit(0)).alias("n_valid"),
                       F.coalesce("count_exceeds", F.lit(0)).alias("count_exceeds"),
                       F.try_divide(F.col("count_exceeds").cast("double"), F.col("n_valid")).alias("p_value"),
-                      F.transform("_bs", lambda s: s["f_boot"]).alias("boot_f_stats"))
+                      F.coalesce(F.transform("_bs", lambda s: s["f_boot"]),
+                                 F.array().cast("array<double>")).alias("boot_f_stats"))
 
 
 # ------------------------------------------------- tree form, significance
