@@ -236,7 +236,7 @@ def residual_tests(res: DataFrame, group: Sequence[str], order_col: str, e: str,
 def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
                       keys: Sequence[str] = ("company",), order_col: str = "date",
                       maxlag: int = 5, B: int = 100, block_size: int = 5, seed: int = 0,
-                      checkpoint: bool = False) -> DataFrame:
+                      checkpoint: bool = True) -> DataFrame:
     """Block-bootstrap p-value of the Granger F statistic.
 
     Observed F as in G9 but lags are built on the full series and
@@ -247,7 +247,7 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
     computes F with the observed RSS_r and dof.  p = share of valid
     replicates with F_boot >= F.  Work is rows x B x maxlag, aggregated per
     (pair, lag, replicate) before anything leaves the JVM."""
-    from marketlex.session import checkpoint_dir
+    from marketlex.session import materialize
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources)
     lp = global_row_number(lp, [order_col], F.year(order_col), "_pos", g)
@@ -255,19 +255,18 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
     lagged = lp.select(*g, "_pos", "y", "x",
                        *[F.lag("y", i).over(w).alias(_yl(i)) for i in range(1, maxlag + 1)],
                        *[F.lag("x", i).over(w).alias(_xl(i)) for i in range(1, maxlag + 1)])
+    if checkpoint:  # the lagged series feed the observed fit and every replicate
+        lagged = materialize(lagged)
     fits, rows = _granger_from_lagged(lagged.drop("x"), g, maxlag)
     obs = fits.select(*g, "lag", "n", "rss_r", "f_stat", "df_den")
     # replicate source series: (g, rep, new_pos, x)
     spark = df.sparkSession
     reps = spark.range(B).select(F.col("id").cast("int").alias("rep"))
-    xs = lp.select(*g, "_pos", "x").crossJoin(F.broadcast(reps))  # B rows: bounded by the caller's B
+    xs = lagged.select(*g, "_pos", "x").crossJoin(F.broadcast(reps))  # B rows: bounded by the caller's B
     shuf = block_shuffle(xs, g, "_pos", block_size, seed, rep="rep")
     wb = Window.partitionBy(*g, "rep").orderBy("new_pos")
     bl = shuf.select(*g, "rep", F.col("new_pos").alias("_pos"),
                      *[F.lag("x", i).over(wb).alias(f"_bx{i}") for i in range(1, maxlag + 1)])
-    if checkpoint:
-        checkpoint_dir(spark)
-        bl = bl.checkpoint()
     used = rows.select(*g, "lag", "_pos", "y", *[_yl(i) for i in range(1, maxlag + 1)]) \
         .join(obs.select(*g, "lag"), [*g, "lag"], "left_semi")
     bj = used.join(bl, [*g, "_pos"])

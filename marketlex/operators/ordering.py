@@ -24,32 +24,42 @@ def hash_bucket(h: Column) -> Column:
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence, bucket: Column,
-                      name: str = "pos", partition_cols: Sequence[str] = ()) -> DataFrame:
+                      name: str = "pos", partition_cols: Sequence[str] = (),
+                      size_col: str | None = None) -> DataFrame:
     """1-based position of every row in ``order_cols`` order (within
-    ``partition_cols`` groups when given).
+    ``partition_cols`` groups when given); ``size_col`` optionally adds the
+    group's row count.
 
     ``bucket`` must be monotone in that order.  Rows are numbered inside
     their (group, bucket) -- many window partitions spread over the cluster,
     so a group holding a third of all rows is still split 4096 ways under
     hash buckets -- and shifted by the row count of all earlier buckets of
-    the group.  The offsets table has one row per (group, bucket); it is
-    small by construction and joined back by Spark's size-based choice.
+    the group.  Bucket sizes come from the same window pass (one shuffle of
+    the rows); the offsets table has one row per (group, bucket).  Its size
+    is only known at run time (groups x buckets), so the join strategy is
+    left to AQE, which broadcasts it after measuring it.
     """
     pc = list(partition_cols)
-    b = df.withColumn("__bkt", bucket)
-    counts = b.groupBy(*pc, "__bkt").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.partitionBy(*pc).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*pc, "__bkt", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    rn = F.row_number().over(Window.partitionBy(*pc, "__bkt").orderBy(*order_cols))
-    numbered = b.withColumn("__rn", rn).join(offsets, [*pc, "__bkt"])
-    return numbered.withColumn(name, F.col("__off") + F.col("__rn")).drop("__bkt", "__rn", "__off")
+    w = Window.partitionBy(*pc, "__bkt")
+    numbered = df.withColumn("__bkt", bucket).select(
+        "*", F.row_number().over(w.orderBy(*order_cols)).alias("__rn"),
+        F.count(F.lit(1)).over(w).alias("__cnt"))
+    sizes = numbered.select(*pc, "__bkt", "__cnt").distinct()
+    before = Window.partitionBy(*pc).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*pc, "__bkt", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
+                           F.sum("__cnt").over(Window.partitionBy(*pc)).alias("__size"))
+    out = numbered.join(offsets, [*pc, "__bkt"])
+    out = out.withColumn(name, F.col("__off") + F.col("__rn"))
+    if size_col:
+        out = out.withColumn(size_col, F.col("__size"))
+    return out.drop("__bkt", "__rn", "__cnt", "__off", "__size")
 
 
 def hash_row_number(df: DataFrame, seed: int, id_cols: Sequence[str], name: str = "pos",
-                    partition_cols: Sequence[str] = ()) -> DataFrame:
+                    partition_cols: Sequence[str] = (), size_col: str | None = None) -> DataFrame:
     """Position in seeded pseudo-random order (ties on the id columns)."""
     h = hash_order(seed, *id_cols)
-    d = df.withColumn("_h", h)
-    out = global_row_number(d, [F.col("_h"), *[F.col(c) for c in id_cols]],
-                            hash_bucket(F.col("_h")), name, partition_cols)
-    return out.drop("_h")
+    d = df.withColumn("__h", h)
+    out = global_row_number(d, [F.col("__h"), *[F.col(c) for c in id_cols]],
+                            hash_bucket(F.col("__h")), name, partition_cols, size_col)
+    return out.drop("__h")

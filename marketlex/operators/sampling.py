@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlex.operators.ordering import hash_order, hash_row_number
+from marketlex.session import materialize
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -26,10 +27,10 @@ def balance_classes(df: DataFrame, label: str = "label", id_col: str = "id",
     """target = int(mean class size).  Bigger classes: ``target`` rows
     without replacement; smaller classes: all rows plus
     ``min(target - n, n)`` draws with replacement (``copy`` > 0)."""
-    counts = class_counts(df, label)
-    target = counts.agg(F.floor(F.avg("_n")).cast("long").alias("_target"))
-    info = counts.crossJoin(target)  # one row per class
-    num = hash_row_number(df, seed, [id_col], "_rn", [label]).join(info, label)
+    # the numbered table feeds three branches (kept rows, draws, drawn rows)
+    num = materialize(hash_row_number(df, seed, [id_col], "_rn", [label], size_col="_n"))
+    target = num.select(label, "_n").distinct().agg(F.floor(F.avg("_n")).cast("long").alias("_target"))
+    num = num.crossJoin(F.broadcast(target))  # exactly one row
     keep = num.filter((F.col("_n") <= F.col("_target")) | (F.col("_rn") <= F.col("_target")))
     keep = keep.withColumn("copy", F.lit(0))
     # draw d (1..k) picks the row whose in-class position is pmod(hash, n) + 1
@@ -73,12 +74,13 @@ def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2
     """Train share allocated per class by largest remainder
     (``n_train = n - ceil(n * test_size)``), the rest is test; rows inside a
     class are taken in seeded hash order.  The class table is tiny."""
-    counts = class_counts(df, label)
+    num = hash_row_number(df, seed, [id_col], "_rn", [label], size_col="_n")
+    counts = num.select(label, "_n").distinct()  # one row per class
     tot = F.sum("_n").over(Window.partitionBy())
     n_train = tot - F.ceil(tot * F.lit(test_size))
     counts = counts.withColumn("_ntrain", n_train)
     alloc = _largest_remainder(counts, label, F.col("_ntrain")).select(label, "_alloc")
-    num = hash_row_number(df, seed, [id_col], "_rn", [label]).join(alloc, label)
+    num = num.join(alloc, label).drop("_n")  # one row per class
     return num.withColumn("split", F.when(F.col("_rn") <= F.col("_alloc"), "train").otherwise("test")) \
         .drop("_rn", "_alloc")
 
@@ -88,10 +90,11 @@ def stratified_kfold(df: DataFrame, k: int = 5, label: str = "label", id_col: st
     """``fold = (class_offset + position_in_class - 1) mod k`` where the
     class offset is the running count of earlier classes -- the per-class
     fold sizes of dealing the label-sorted rows round-robin."""
-    counts = class_counts(df, label)
+    num = hash_row_number(df, seed, [id_col], "_rn", [label], size_col="_n")
+    counts = num.select(label, "_n").distinct()  # one row per class
     off = counts.select(label, F.coalesce(F.sum("_n").over(
         Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    num = hash_row_number(df, seed, [id_col], "_rn", [label]).join(off, label)
+    num = num.join(off, label).drop("_n")  # one row per class
     return num.withColumn("fold", F.pmod(F.col("_off") + F.col("_rn") - 1, F.lit(k)).cast("int")) \
         .drop("_rn", "_off")
 

@@ -71,3 +71,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut lineage for a table that several branches of a plan consume:
+    an eager ``checkpoint()`` into the shared ``spark.checkpoint.dir``
+    (reliable storage: survives executor loss, unlike a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
