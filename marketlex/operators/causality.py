@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from marketlex.functions import stats_math as sm
 from marketlex.operators.ordering import global_row_number
 from marketlex.operators.sampling import block_shuffle
-from marketlex.operators.stats import long_pairs, moments, pvalues
+from marketlex.operators.stats import long_pairs, moments, pvalues, round_stats
 
 
 def _yl(i):
@@ -402,8 +402,8 @@ def best_subset(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
     feats = feats.select(*g, "r2", "normality_p", "df_resid", F.col("_f.names").alias("feature"),
                          F.col("_f.coef").alias("coefficient"), F.col("_f.t").alias("_t"))
     feats = pvalues(feats, {"p_value": ("t", "_t", "df_resid")})
-    res = feats.select(*keys, "target", "names", F.round("r2", 3).alias("r_squared"), "normality_p", "feature",
-                       F.round("coefficient", 10).alias("coefficient"), F.round("p_value", 5).alias("p_value"))
+    res = feats.select(*keys, "target", "names", round_stats("r2", 3).alias("r_squared"), "normality_p", "feature",
+                       round_stats("coefficient", 10).alias("coefficient"), round_stats("p_value", 5).alias("p_value"))
     all_t = df.sparkSession.createDataFrame([(t,) for t in targets], "target string")
     base = df.select(*keys).distinct().crossJoin(all_t) if keys else all_t
     return base.join(res, [*keys, "target"], "left").withColumnRenamed("target", "stock_variable") \

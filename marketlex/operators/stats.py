@@ -108,6 +108,12 @@ def levene_stats(df: DataFrame, group_cols: Sequence[str], a: str, b: str) -> Da
                     (big_n - 2).alias("levene_df2"))
 
 
+def round_stats(c, digits: int) -> Column:
+    """M6: numpy-style rounding (half to even) of a reported statistic;
+    ``+ 0.0`` turns a rounded -0.0 into 0.0."""
+    return F.bround(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
 def vif_single() -> Column:
     """G8 for one predictor with a constant: the auxiliary regression of
     the predictor on the constant has R^2 = 0, so VIF = 1."""
@@ -183,8 +189,7 @@ def ols_screen(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
     allst = allst.withColumn("_one", F.lit(1.0))
     allst = pvalues(allst, {"_p": ("t", "_t", "_dfr"), "_pn": ("k2", "_skew", "_kurt", "_nn"),
                             "_pl": ("f", "levene_w", "_one", "levene_df2")})
-    def rnd(c, d):
-        return F.round(c, d) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
+    rnd = round_stats
     return allst.select(
         *keys, F.col("target").alias("stock_variable"), F.col("source").alias("tweet_variable"),
         rnd("r2", 3).alias("r_squared"), rnd("adj_r2", 3).alias("adj_r_squared"),

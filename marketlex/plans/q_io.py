@@ -181,3 +181,56 @@ def g16_cross_validate(spark, sf_dir):
 
 
 QUERIES["g16_cross_validate"] = g16_cross_validate
+
+
+# ------------------------------------------------------------- S1 / S3 / P4
+def s1_read_labelled_text(spark, sf_dir):
+    """Labelled texts exported the way the reference receives them (index
+    column, labels -1/0/1 as text, multi-line quoted texts), read back by S1."""
+    lab = v_labelled(spark, sf_dir)
+    d = _scratch(spark, "labelled-csv")
+    (lab.select(F.col("id").alias("Unnamed: 0"), "text", (F.col("label") - 1).cast("double").alias("labels"))
+     .repartition(2).write.option("header", True).option("escape", '"').csv(d))
+    return files.read_labelled_text(spark, d)
+
+
+QUERIES["s1_read_labelled_text"] = s1_read_labelled_text
+ORACLES["s1_read_labelled_text"] = f"WITH {V_LABELLED_SQL} SELECT text, label FROM v_labelled"
+
+
+def s3_read_ohlcv(spark, sf_dir):
+    """Daily bars written as one CSV per company (source column names), read
+    back in one scan with the file stem as ``company``."""
+    from marketlex.plans.views import v_ohlc
+    o = v_ohlc(spark, sf_dir)
+    root = _scratch(spark, "ohlcv")
+    names = [r[0] for r in o.select("company").distinct().collect()]  # a handful of companies
+    for c in names:
+        part = f"{root}/_{c}"
+        (o.filter(F.col("company") == c).select(
+            F.date_format("date", "yyyy-MM-dd").alias("Data"), F.col("open").alias("Otwarcie"),
+            F.col("high").alias("Najwyzszy"), F.col("low").alias("Najnizszy"),
+            F.col("close").alias("Zamkniecie"), F.col("volume").alias("Wolumen"))
+         .coalesce(1).write.option("header", True).csv(part))
+        jvm = spark._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+        src = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(part))
+               if s.getPath().getName().endswith(".csv")][0]
+        fs.rename(src, jvm.org.apache.hadoop.fs.Path(f"{root}/{c}.csv"))
+    return files.read_ohlcv(spark, root).select(
+        "company", "date", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+QUERIES["s3_read_ohlcv"] = s3_read_ohlcv
+ORACLES["s3_read_ohlcv"] = ("WITH " + __import__("marketlex.plans.views", fromlist=["V_OHLC_SQL"]).V_OHLC_SQL
+                            + " SELECT company, date, round(open, 6) AS open, round(high, 6) AS high, "
+                            "round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM v_ohlc")
+
+
+def p4_dedup_rows(spark, sf_dir):
+    from marketlex.operators.cleaning import dedup_rows
+    return dedup_rows(v_tweets(spark, sf_dir).select("company", "date"))
+
+
+QUERIES["p4_dedup_rows"] = p4_dedup_rows
+ORACLES["p4_dedup_rows"] = f"WITH {V_TWEETS_SQL} SELECT DISTINCT company, date FROM v_tweets"

@@ -78,9 +78,9 @@ e AS (SELECT k.company, k.target, k.source, k.date, k.y - f.a - f.b * k.x AS e F
 dw AS (SELECT company, target, source, sum(d * d) / sum(e * e) AS dw FROM
        (SELECT *, e - lag(e) OVER (PARTITION BY company, target, source ORDER BY date) AS d FROM e) GROUP BY ALL)
 SELECT f.company, f.target AS stock_variable, f.source AS tweet_variable,
-       round(1 - ssr / (n * vy), 3) + 0.0 AS r_squared,
-       round(1 - (n - 1.0) / (n - 2) * (ssr / (n * vy)), 3) + 0.0 AS adj_r_squared,
-       round(b, 3) + 0.0 AS coefficient, round(dw.dw, 3) + 0.0 AS durbin_watson, CAST(1.0 AS DOUBLE) AS vif,
+       round_even(1 - ssr / (n * vy), 3) + 0.0 AS r_squared,
+       round_even(1 - (n - 1.0) / (n - 2) * (ssr / (n * vy)), 3) + 0.0 AS adj_r_squared,
+       round_even(b, 3) + 0.0 AS coefficient, round_even(dw.dw, 3) + 0.0 AS durbin_watson, CAST(1.0 AS DOUBLE) AS vif,
        n AS sample_size,
        zs.nvalid - n AS outliers_removed
 FROM f JOIN dw USING (company, target, source) JOIN zs USING (company, target, source)"""
