@@ -123,10 +123,14 @@ def zscore_filter(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str]
 
 
 def winsorize_bounds(train: DataFrame, cols: Sequence[str], lower: float = 5,
-                     upper: float = 95) -> DataFrame:
-    """W9 bounds: one row ``{c}_lo, {c}_hi`` = percentiles of the train part."""
-    return train.agg(*[F.percentile(c, lower / 100.0).alias(f"{c}_lo") for c in cols],
-                     *[F.percentile(c, upper / 100.0).alias(f"{c}_hi") for c in cols])
+                     upper: float = 95, exact: bool = True) -> DataFrame:
+    """W9 bounds: one row ``{c}_lo, {c}_hi`` = linear-interpolated percentiles
+    of the train part (``exact=False``: bounded-memory approximation for
+    very large training sets)."""
+    def pct(c, q):
+        return F.percentile(c, q) if exact else F.percentile_approx(c, q, 100000)
+    return train.agg(*[pct(c, lower / 100.0).alias(f"{c}_lo") for c in cols],
+                     *[pct(c, upper / 100.0).alias(f"{c}_hi") for c in cols])
 
 
 def clip(x: Column, lo: Column, hi: Column) -> Column:
@@ -141,10 +145,10 @@ def apply_winsorize(df: DataFrame, bounds: DataFrame, cols: Sequence[str]) -> Da
 
 
 def winsorize(train: DataFrame, parts: Sequence[DataFrame], cols: Sequence[str],
-              lower: float = 5, upper: float = 95):
+              lower: float = 5, upper: float = 95, exact: bool = True):
     """Clip train and every other part to the train percentiles; returns
     ``(clipped_train, [clipped parts], bounds)``."""
-    b = winsorize_bounds(train, cols, lower, upper)
+    b = winsorize_bounds(train, cols, lower, upper, exact)
     return apply_winsorize(train, b, cols), [apply_winsorize(p, b, cols) for p in parts], b
 
 

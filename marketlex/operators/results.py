@@ -52,10 +52,12 @@ def correlation_block(df: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> Da
                        "corr")
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers (most extreme values inside the
     fences) per group: one percentile aggregate, one join back, one min/max."""
-    q = df.groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
+    qs = [0.25, 0.5, 0.75]
+    agg = F.percentile(value, qs) if exact else F.percentile_approx(value, qs, 100000)
+    q = df.groupBy(*keys).agg(agg.alias("_q"))
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     j = df.select(*keys, value).join(q, list(keys))
