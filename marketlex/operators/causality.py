@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from marketlex.functions import stats_math as sm
 from marketlex.operators.ordering import global_row_number
 from marketlex.operators.sampling import block_shuffle
-from marketlex.operators.stats import long_pairs, moments, pvalues, round_stats
+from marketlex.operators.stats import long_pairs, moments, pvalues, round_stats, shifted_moments
 
 
 def _yl(i):
@@ -90,13 +90,20 @@ def _solve_granger(st: DataFrame, g: Sequence[str], maxlag: int) -> DataFrame:
     return st.mapInPandas(solve, out)
 
 
+def _shifts(maxlag: int) -> dict:
+    """Every y column shifts by the series' y minimum, every x lag by its x minimum."""
+    return {"y": "_sy", **{_yl(i): "_sy" for i in range(1, maxlag + 1)},
+            **{_xl(i): "_sx" for i in range(1, maxlag + 1)}}
+
+
 def _granger_from_lagged(lagged: DataFrame, g: Sequence[str], maxlag: int) -> tuple[DataFrame, DataFrame]:
-    """(fits, complete rows per lag) from rows carrying y, _yl*, _xl*."""
+    """(fits, complete rows per lag) from rows carrying y, _yl*, _xl* and the
+    per-series shifts _sy, _sx."""
     ex = lagged.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(maxlag))))
     rows = ex.filter(_complete_for_lag(maxlag))
-    design = rows.select(*g, "lag", *_design_cols(maxlag))
+    design = rows.select(*g, "lag", "_sy", "_sx", *_design_cols(maxlag))
     names = ["y"] + [_yl(i) for i in range(1, maxlag + 1)] + [_xl(i) for i in range(1, maxlag + 1)]
-    st = moments(design, [*g, "lag"], names)
+    st = shifted_moments(design, [*g, "lag"], names, _shifts(maxlag))
     st = st.filter((F.col("n") >= 2 * F.col("lag") + 5) & (F.col("n") - (2 * F.col("lag") + 1) > 0))
     return _solve_granger(st, g, maxlag), rows
 
@@ -110,14 +117,23 @@ def granger_rowlag(df: DataFrame, targets: Sequence[str], sources: Sequence[str]
     compare y ~ y lags against y ~ y lags + x lags with an F test."""
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"])
-    w = Window.partitionBy(*g).orderBy(order_col)
-    lagged = lp.select(*g, order_col, "y",
-                       *[F.lag("y", i).over(w).alias(_yl(i)) for i in range(1, maxlag + 1)],
-                       *[F.lag("x", i).over(w).alias(_xl(i)) for i in range(1, maxlag + 1)])
+    lagged = _lag_series(lp, g, order_col, maxlag)
     fits, _ = _granger_from_lagged(lagged, g, maxlag)
     return fits if with_fits else fits.drop("icpt_r", "coef_r", "icpt_u", "coef_u")
 
 
+def _lag_series(lp: DataFrame, g: Sequence[str], order_col: str, maxlag: int, keep=()) -> DataFrame:
+    """Row lags of y and x per series plus the series minima used as
+    shifts -- all from one window partitioning (one shuffle)."""
+    w = Window.partitionBy(*g).orderBy(order_col)
+    wg = Window.partitionBy(*g)
+    return lp.select(*g, order_col, *keep, "y",
+                     *[F.lag("y", i).over(w).alias(_yl(i)) for i in range(1, maxlag + 1)],
+                     *[F.lag("x", i).over(w).alias(_xl(i)) for i in range(1, maxlag + 1)],
+                     F.coalesce(F.min("y").over(wg), F.lit(0.0)).alias("_sy"),
+                     F.coalesce(F.min("x").over(wg), F.lit(0.0)).alias("_sx"))
+
+
 def granger_calendarlag(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
                         keys: Sequence[str] = ("company",), order_col: str = "date",
                         maxlag: int = 5) -> DataFrame:
@@ -134,15 +150,21 @@ def granger_calendarlag(df: DataFrame, targets: Sequence[str], sources: Sequence
                      *[F.lag(t, i).over(w).cast("double").alias(f"_t{j}l{i}")
                        for j, t in enumerate(targets) for i in range(1, maxlag + 1)],
                      *[F.col(f"{s}_lag_{i}").cast("double").alias(f"_s{j}l{i}")
-                       for j, s in enumerate(srcs) for i in range(1, maxlag + 1)])
+                       for j, s in enumerate(srcs) for i in range(1, maxlag + 1)],
+                     *[F.coalesce(F.min(t).over(Window.partitionBy(*keys)).cast("double"), F.lit(0.0)).alias(f"_t{j}m")
+                       for j, t in enumerate(targets)],
+                     *[F.coalesce(F.min(f"{s}_lag_1").over(Window.partitionBy(*keys)).cast("double"),
+                                  F.lit(0.0)).alias(f"_s{j}m") for j, s in enumerate(srcs)])
     tg = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_t{j}").alias("y"),
-                            *[F.col(f"_t{j}l{i}").alias(_yl(i)) for i in range(1, maxlag + 1)])
+                            *[F.col(f"_t{j}l{i}").alias(_yl(i)) for i in range(1, maxlag + 1)],
+                            F.col(f"_t{j}m").alias("_sy"))
                    for j, t in enumerate(targets)])
     sc = F.array(*[F.struct(F.lit(s).alias("source"),
-                            *[F.col(f"_s{j}l{i}").alias(_xl(i)) for i in range(1, maxlag + 1)])
+                            *[F.col(f"_s{j}l{i}").alias(_xl(i)) for i in range(1, maxlag + 1)],
+                            F.col(f"_s{j}m").alias("_sx"))
                    for j, s in enumerate(srcs)])
     d = base.select(*keys, order_col, F.inline(tg), sc.alias("_sc")).select(
-        *keys, order_col, "target", "y", *[_yl(i) for i in range(1, maxlag + 1)], F.inline("_sc"))
+        *keys, order_col, "target", "y", *[_yl(i) for i in range(1, maxlag + 1)], "_sy", F.inline("_sc"))
     fits, _ = _granger_from_lagged(d, [*keys, "target", "source"], maxlag)
     return fits.drop("icpt_r", "coef_r", "icpt_u", "coef_u")
 
@@ -155,10 +177,7 @@ def residual_diagnostics(df: DataFrame, targets: Sequence[str], sources: Sequenc
     lags on the residuals of both Granger models of G9; flags p < alpha."""
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"])
-    w = Window.partitionBy(*g).orderBy(order_col)
-    lagged = lp.select(*g, order_col, "y",
-                       *[F.lag("y", i).over(w).alias(_yl(i)) for i in range(1, maxlag + 1)],
-                       *[F.lag("x", i).over(w).alias(_xl(i)) for i in range(1, maxlag + 1)])
+    lagged = _lag_series(lp, g, order_col, maxlag)
     fits, rows = _granger_from_lagged(lagged, g, maxlag)
     j = rows.join(fits.select(*g, "lag", "n", "icpt_r", "coef_r", "icpt_u", "coef_u"), [*g, "lag"])
     def term(coef, idx, col, i):
@@ -251,10 +270,7 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources)
     lp = global_row_number(lp, [order_col], F.year(order_col), "_pos", g)
-    w = Window.partitionBy(*g).orderBy("_pos")
-    lagged = lp.select(*g, "_pos", "y", "x",
-                       *[F.lag("y", i).over(w).alias(_yl(i)) for i in range(1, maxlag + 1)],
-                       *[F.lag("x", i).over(w).alias(_xl(i)) for i in range(1, maxlag + 1)])
+    lagged = _lag_series(lp, g, "_pos", maxlag, keep=["x"])
     if checkpoint:  # the lagged series feed the observed fit and every replicate
         lagged = materialize(lagged)
     fits, rows = _granger_from_lagged(lagged.drop("x"), g, maxlag)
@@ -262,12 +278,12 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
     # replicate source series: (g, rep, new_pos, x)
     spark = df.sparkSession
     reps = spark.range(B).select(F.col("id").cast("int").alias("rep"))
-    xs = lagged.select(*g, "_pos", "x").crossJoin(F.broadcast(reps))  # B rows: bounded by the caller's B
+    xs = lagged.select(*g, "_pos", "x", "_sx").crossJoin(F.broadcast(reps))  # B rows: bounded by the caller's B
     shuf = block_shuffle(xs, g, "_pos", block_size, seed, rep="rep")
     wb = Window.partitionBy(*g, "rep").orderBy("new_pos")
-    bl = shuf.select(*g, "rep", F.col("new_pos").alias("_pos"),
+    bl = shuf.select(*g, "rep", F.col("new_pos").alias("_pos"), "_sx",
                      *[F.lag("x", i).over(wb).alias(f"_bx{i}") for i in range(1, maxlag + 1)])
-    used = rows.select(*g, "lag", "_pos", "y", *[_yl(i) for i in range(1, maxlag + 1)]) \
+    used = rows.select(*g, "lag", "_pos", "y", "_sy", *[_yl(i) for i in range(1, maxlag + 1)]) \
         .join(obs.select(*g, "lag"), [*g, "lag"], "left_semi")
     bj = used.join(bl, [*g, "_pos"])
     miss = sum((F.when((F.col("lag") >= i) & F.col(f"_bx{i}").isNull(), 1).otherwise(0)
@@ -275,11 +291,11 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
     bj = bj.withColumn("_miss", miss)
     valid = bj.groupBy(*g, "lag", "rep").agg(F.sum("_miss").alias("_nmiss")).filter(F.col("_nmiss") == 0)
     design = bj.join(valid.select(*g, "lag", "rep"), [*g, "lag", "rep"], "left_semi").select(
-        *g, "lag", "rep", "y",
+        *g, "lag", "rep", "y", "_sy", "_sx",
         *[F.when(F.col("lag") >= i, F.col(_yl(i))).alias(_yl(i)) for i in range(1, maxlag + 1)],
         *[F.when(F.col("lag") >= i, F.col(f"_bx{i}")).alias(_xl(i)) for i in range(1, maxlag + 1)])
     names = ["y"] + [_yl(i) for i in range(1, maxlag + 1)] + [_xl(i) for i in range(1, maxlag + 1)]
-    st = moments(design, [*g, "lag", "rep"], names)
+    st = shifted_moments(design, [*g, "lag", "rep"], names, _shifts(maxlag))
     boot = _solve_granger(st, [*g, "rep"], maxlag).select(*g, "rep", "lag", F.col("rss_u").alias("rss_u_boot"))
     b = boot.join(obs, [*g, "lag"])
     fb = ((F.col("rss_r") - F.col("rss_u_boot")) / F.col("lag")) / (F.col("rss_u_boot") / F.col("df_den"))
