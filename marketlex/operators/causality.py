@@ -175,9 +175,10 @@ def residual_diagnostics(df: DataFrame, targets: Sequence[str], sources: Sequenc
                          maxlag: int = 5, alpha: float = 0.05) -> DataFrame:
     """Ljung-Box at min(10, n-1) lags and ARCH-LM at min(10, n // 5)
     lags on the residuals of both Granger models of G9; flags p < alpha."""
+    from marketlex.session import materialize
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"])
-    lagged = _lag_series(lp, g, order_col, maxlag)
+    lagged = materialize(_lag_series(lp, g, order_col, maxlag))  # feeds the fits and the residuals
     fits, rows = _granger_from_lagged(lagged, g, maxlag)
     j = rows.join(fits.select(*g, "lag", "n", "icpt_r", "coef_r", "icpt_u", "coef_u"), [*g, "lag"])
     def term(coef, idx, col, i):

@@ -118,7 +118,12 @@ def levene_stats(df: DataFrame, group_cols: Sequence[str], a: str, b: str) -> Da
     """G6 inputs: median-centred Levene statistic between samples ``a`` and
     ``b`` (paired rows of one table, as in the reference).  W ~ F(1, N-2)."""
     med = df.groupBy(*group_cols).agg(F.median(a).alias("_ma"), F.median(b).alias("_mb"))
-    z = df.join(med, list(group_cols)).select(
+    return _levene_from_medians(df.join(med, list(group_cols)), group_cols, a, b)
+
+
+def _levene_from_medians(df: DataFrame, group_cols: Sequence[str], a: str, b: str) -> DataFrame:
+    """Levene W from rows that already carry the group medians ``_ma``, ``_mb``."""
+    z = df.select(
         *group_cols, F.abs(F.col(a) - F.col("_ma")).alias("_za"), F.abs(F.col(b) - F.col("_mb")).alias("_zb"))
     s = z.groupBy(*group_cols).agg(
         F.count("_za").alias("_na"), F.count("_zb").alias("_nb"),
@@ -188,11 +193,15 @@ def ols_screen(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
     then report R^2, adjusted R^2, slope and its p-value, residual
     normality (K^2) p, Levene p (predictor vs residuals), Durbin-Watson,
     VIF, sample size and outliers removed -- rounded like the reference."""
+    from marketlex.session import materialize
     g = [*keys, "target", "source"]
-    lp = long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"])
-    valid = lp.groupBy(*g).agg(F.count(F.lit(1)).alias("_nvalid"))
-    kept = zscore_filter(lp, ["x"], g, z)
-    st = kept.groupBy(*g).agg(
+    # the complete pairs feed five branches (filter, fit, residual moments, DW, Levene)
+    lp = materialize(long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"]))
+    zs = lp.groupBy(*g).agg(F.count(F.lit(1)).alias("_nvalid"), F.avg("x").alias("_zm"),
+                            F.stddev_pop("x").alias("_zs"))
+    zx = F.abs(F.try_divide(F.col("x") - F.col("_zm"), F.col("_zs")))
+    kept = lp.join(zs, g).filter(F.coalesce(zx < z, F.lit(False))).select(*lp.columns, "_nvalid")
+    st = kept.groupBy(*g, "_nvalid").agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("_mx"), F.avg("y").alias("_my"),
         F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"), F.covar_pop("x", "y").alias("_cxy"))
     beta = F.try_divide(F.col("_cxy"), F.col("_vx"))
@@ -204,12 +213,16 @@ def ols_screen(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
           .withColumn("_se", F.sqrt(F.try_divide(F.col("_ssr") / (F.col("n") - 2), F.col("n") * F.col("_vx"))))
           .withColumn("_t", F.try_divide(F.col("coef"), F.col("_se")))
           .withColumn("_dfr", (F.col("n") - 2).cast("double")))
-    res = kept.join(st.select(*g, "coef", "intercept"), g).withColumn(
-        "_e", F.col("y") - F.col("intercept") - F.col("coef") * F.col("x"))
-    nm = normality_moments(res, g, "_e")
-    dw = durbin_watson(res, g, order_col, "_e")
-    lv = levene_stats(res, g, "x", "_e")
-    allst = st.join(valid, g).join(nm, g).join(dw, g).join(lv, g)
+    # residuals, then one window (DW) and one aggregate for K^2 moments, DW and the medians
+    res = kept.join(st.select(*g, "coef", "intercept"), g).select(
+        *g, order_col, "x", (F.col("y") - F.col("intercept") - F.col("coef") * F.col("x")).alias("_e"))
+    res = res.withColumn("_de", F.col("_e") - F.lag("_e", 1).over(Window.partitionBy(*g).orderBy(order_col)))
+    rs = res.groupBy(*g).agg(
+        F.count("_e").alias("_nn"), F.skewness("_e").alias("_skew"), F.kurtosis("_e").alias("_kurt"),
+        (F.sum(F.col("_de") * F.col("_de")) / F.sum(F.col("_e") * F.col("_e"))).alias("durbin_watson"),
+        F.median("x").alias("_ma"), F.median("_e").alias("_mb"))
+    lv = _levene_from_medians(res.join(rs.select(*g, "_ma", "_mb"), g), g, "x", "_e")
+    allst = st.join(rs, g).join(lv, g)
     allst = allst.withColumn("_one", F.lit(1.0))
     allst = pvalues(allst, {"_p": ("t", "_t", "_dfr"), "_pn": ("k2", "_skew", "_kurt", "_nn"),
                             "_pl": ("f", "levene_w", "_one", "levene_df2")})
