@@ -141,10 +141,15 @@ def remove_stopwords(t, words: Iterable[str]) -> Column:
     :func:`marketlex.operators.textops.remove_stopwords_table`.
     Null input passes through as null.
     """
+    return F.array_join(kept_tokens(t, words), " ")
+
+
+def kept_tokens(t, words: Iterable[str]) -> Column:
+    """The tokens :func:`remove_stopwords` keeps, as an array (its size is the
+    token count of the result, without splitting the joined text again)."""
     ws = sorted(set(words))
     toks = whitespace_tokens(t)
-    kept = F.filter(toks, lambda w: ~F.lower(w).isin(ws)) if ws else toks
-    return F.array_join(kept, " ")
+    return F.filter(toks, lambda w: ~F.lower(w).isin(ws)) if ws else toks
 
 
 # ------------------------------------------------------------- lexicon fold

@@ -89,14 +89,17 @@ def text_profile(spark, sf_dir):
     """Minimum slice: basic cleaning -> whitespace -> stop words -> keep first
     copy of each text -> token-length profile (count, p95, max) per language."""
     d = table(spark, sf_dir, "documents")
-    cleaned = d.select("doc_id", "lang", tx.remove_stopwords(
-        tx.normalize_whitespace(tx.clean_text_basic("text")), TEST_STOPWORDS).alias("text"))
+    kept = tx.kept_tokens(tx.normalize_whitespace(tx.clean_text_basic("text")), TEST_STOPWORDS)
+    cleaned = d.select("doc_id", "lang", kept.alias("_k")).select(
+        "doc_id", "lang", F.array_join("_k", " ").alias("text"), F.size("_k").alias("n_tokens"))
     first = cleaning.dedup_by_key(cleaned, "text", "doc_id")
     return tx_profile(first)
 
 
 def tx_profile(df):
-    n = tx.token_count("text")
+    """Count, p95 / max token count and mean length per language; the token
+    count is taken from ``n_tokens`` when the caller already has it."""
+    n = F.col("n_tokens") if "n_tokens" in df.columns else tx.token_count("text")
     return (df.groupBy("lang")
             .agg(F.count(F.lit(1)).alias("n_docs"),
                  F.percentile(n, 0.95).alias("p95_tokens"),
