@@ -1,5 +1,7 @@
 """Stateless Columns give the same rows on a stream as in batch."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketlex.functions import text as tx
@@ -15,7 +17,7 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = table(spark, SF, "documents").schema
     steps = [tx.replace_emoji, tx.clean_text_basic, tx.sentence_case, tx.normalize_whitespace]
     st = text_stream.read_stream(spark, SF, schema, glob="documents.parquet")
-    out = text_stream.run_to_table(text_stream.clean_stream(st, steps, "doc_id"), str(tmp_path / "out"), "t1")
+    out = text_stream.run_to_table(text_stream.clean_stream(st, steps, "doc_id"), str(tmp_path / "out"), uuid.uuid4().hex)
     got = spark.read.parquet(out)
     batch = table(spark, SF, "documents").select(F.col("doc_id").alias("id"),
                                                  tx.normalize_whitespace(tx.sentence_case(tx.clean_text_basic(
@@ -29,7 +31,7 @@ def test_eval_log_per_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     sc.repartition(3).write.parquet(src)
     st = text_stream.read_stream(spark, src, spark.read.parquet(src).schema, max_files=1)
-    log = spark.read.parquet(text_stream.eval_log_stream(st, str(tmp_path / "log"), "t2"))
+    log = spark.read.parquet(text_stream.eval_log_stream(st, str(tmp_path / "log"), uuid.uuid4().hex))
     n_files = len([p for p in (tmp_path / "src").iterdir() if p.name.endswith(".parquet")])
     assert log.count() == n_files
     assert log.select("batch_id").distinct().count() == n_files
