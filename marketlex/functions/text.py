@@ -170,16 +170,36 @@ def _prefilter_exact(pairs: tuple) -> bool:
 
 
 LEXICON_CHUNK = 2000
+# From this many one-code-point keys on, one regex pass finds which of them
+# occur instead of one substring scan per key.
+SINGLE_KEY_SCAN = 8
+
+
+def _code_point_class(chars, gap: int = 64) -> str:
+    """A regex class covering ``chars`` with few ranges (code points closer
+    than ``gap`` are merged).  It may also match other characters; callers
+    test membership exactly afterwards."""
+    cps = sorted(ord(c) for c in chars)
+    ranges = [[cps[0], cps[0]]]
+    for cp in cps[1:]:
+        if cp - ranges[-1][1] <= gap:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 def replace_lexicon(t, pairs: Sequence[tuple[str, str]], prefix: str = " ") -> Column:
     """Apply ``text.replace(key, prefix + value)`` for every entry, in order.
 
     Expressed as a fold (``aggregate``) over an array-of-struct literal, so it
-    stays JVM-side (no Python worker, no per-row serialisation).  Entries whose key is absent from the
-    row are filtered out first when that is provably exact for this lexicon.
-    Lexicons longer than ``LEXICON_CHUNK`` entries are applied as successive
-    folds over consecutive chunks (order is preserved).
+    stays JVM-side (no Python worker, no per-row serialisation).  Entries
+    whose key is absent from the row are filtered out first when that is
+    provably exact for this lexicon; one-code-point keys (most emoji) are
+    tested against the set of such characters found by a single regex pass,
+    longer keys by a substring test.  Lexicons longer than
+    ``LEXICON_CHUNK`` entries are applied as successive folds over
+    consecutive chunks (order is preserved).
     """
     pairs = tuple((str(k), str(v)) for k, v in pairs)
     col = _c(t)
@@ -188,12 +208,29 @@ def replace_lexicon(t, pairs: Sequence[tuple[str, str]], prefix: str = " ") -> C
     exact = _prefilter_exact(pairs) if len(pairs) <= 4 * LEXICON_CHUNK else False
     for start in range(0, len(pairs), LEXICON_CHUNK):
         chunk = pairs[start:start + LEXICON_CHUNK]
-        lex = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(prefix + v).alias("v"))
+        singles = sorted({k for k, _ in chunk if len(k) == 1})
+        scan = exact and len(singles) >= SINGLE_KEY_SCAN
+        lex = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(prefix + v).alias("v"),
+                                 F.lit(scan and len(k) == 1).alias("one"))
                         for k, v in chunk])
-        src = col
-        if exact:
-            lex = F.filter(lex, lambda kv: F.instr(src, kv["k"]) > 0)
-        col = F.aggregate(lex, src, lambda acc, kv: F.replace(acc, kv["k"], kv["v"]))
+
+        def fold(s, found, lex=lex):
+            if exact:
+                keep = (lambda kv: F.when(kv["one"], F.array_contains(found, kv["k"]))
+                        .otherwise(s.contains(kv["k"]))) if found is not None else \
+                       (lambda kv: s.contains(kv["k"]))
+                lex = F.filter(lex, keep)
+            return F.aggregate(lex, s, lambda acc, kv: F.replace(acc, kv["k"], kv["v"]))
+
+        # Bind the row's text (and the set of one-code-point keys present,
+        # from one regex pass) to lambda variables: expressions captured by
+        # the per-entry lambdas would otherwise be re-evaluated per entry.
+        if scan:
+            found = F.array_distinct(F.regexp_extract_all(col, F.lit(_code_point_class(singles)), 0))
+            bound = F.array(F.struct(col.alias("s"), found.alias("f")))
+            col = F.element_at(F.transform(bound, lambda b: fold(b["s"], b["f"])), 1)
+        else:
+            col = F.element_at(F.transform(F.array(col), lambda s: fold(s, None)), 1)
     return col
 
 

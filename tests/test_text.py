@@ -105,3 +105,20 @@ def test_lexicon_prefilter_falls_back_when_unsafe(spark):
 def test_sentence_case_example(spark):
     df = spark.createDataFrame([("ala MA. kota! ŻUK? źle\n\nósmy",)], "text string")
     assert df.select(tx.sentence_case("text")).first()[0] == "Ala ma. Kota! Żuk? Źle\n\nósmy"
+
+
+def test_large_lexicon_scan_path_matches_python(spark):
+    # one-code-point keys from a rule (enough to take the single-regex-pass
+    # path) followed by the multi-character emoticons
+    pairs = [(chr(0x1F300 + i), f"e{i}") for i in range(0, 600, 2)] + [("©", "c"), ("ℹ", "info")] + list(EMOTICONS)
+    texts = ["🌀🌁🌂 :) ©2024 ℹ x", "", "plain text", "🌀🌀 >:( XD &lt;", "\U0001F3FF edge \U0001F300", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(tx.replace_lexicon("text", pairs)).collect()]
+
+    def seq(t):
+        if t is None:
+            return None
+        for k, v in pairs:
+            t = t.replace(k, " " + v)
+        return t
+    assert got == [seq(t) for t in texts]
