@@ -284,19 +284,20 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
     wb = Window.partitionBy(*g, "rep").orderBy("new_pos")
     bl = shuf.select(*g, "rep", F.col("new_pos").alias("_pos"), "_sx",
                      *[F.lag("x", i).over(wb).alias(f"_bx{i}") for i in range(1, maxlag + 1)])
-    used = rows.select(*g, "lag", "_pos", "y", "_sy", *[_yl(i) for i in range(1, maxlag + 1)]) \
-        .join(obs.select(*g, "lag"), [*g, "lag"], "left_semi")
+    used = rows.select(*g, "lag", "_pos", "y", "_sy", *[_yl(i) for i in range(1, maxlag + 1)])
     bj = used.join(bl, [*g, "_pos"])
     miss = sum((F.when((F.col("lag") >= i) & F.col(f"_bx{i}").isNull(), 1).otherwise(0)
                 for i in range(1, maxlag + 1)), F.lit(0))
-    bj = bj.withColumn("_miss", miss)
-    valid = bj.groupBy(*g, "lag", "rep").agg(F.sum("_miss").alias("_nmiss")).filter(F.col("_nmiss") == 0)
-    design = bj.join(valid.select(*g, "lag", "rep"), [*g, "lag", "rep"], "left_semi").select(
-        *g, "lag", "rep", "y", "_sy", "_sx",
+    design = bj.select(
+        *g, "lag", "rep", "y", "_sy", "_sx", miss.alias("_miss"),
         *[F.when(F.col("lag") >= i, F.col(_yl(i))).alias(_yl(i)) for i in range(1, maxlag + 1)],
         *[F.when(F.col("lag") >= i, F.col(f"_bx{i}")).alias(_xl(i)) for i in range(1, maxlag + 1)])
     names = ["y"] + [_yl(i) for i in range(1, maxlag + 1)] + [_xl(i) for i in range(1, maxlag + 1)]
-    st = shifted_moments(design, [*g, "lag", "rep"], names, _shifts(maxlag))
+    # a replicate with any missing lag on the fitted rows is skipped: count the
+    # gaps in the same pass as the moments and drop those groups afterwards
+    st = shifted_moments(design, [*g, "lag", "rep"], names, _shifts(maxlag),
+                         extra=[F.sum("_miss").alias("_nmiss")])
+    st = st.filter(F.col("_nmiss") == 0).drop("_nmiss")
     boot = _solve_granger(st, [*g, "rep"], maxlag).select(*g, "rep", "lag", F.col("rss_u").alias("rss_u_boot"))
     b = boot.join(obs, [*g, "lag"])
     fb = ((F.col("rss_r") - F.col("rss_u_boot")) / F.col("lag")) / (F.col("rss_u_boot") / F.col("df_den"))

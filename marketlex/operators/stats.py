@@ -35,7 +35,7 @@ def moments(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str]) -> Da
 
 
 def shifted_moments(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str],
-                    shifts: dict) -> DataFrame:
+                    shifts: dict, extra: Sequence[Column] = ()) -> DataFrame:
     """Same output as :func:`moments`, from plain sums of *shifted* values.
 
     ``shifts`` maps each column to a column holding a per-group constant
@@ -43,19 +43,22 @@ def shifted_moments(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str
     Shifting keeps the one-pass raw-sum formula numerically safe (the
     cancellation is relative to the distance between mean and shift, not
     to the mean itself) while every buffer is a plain ``sum``: cheap,
-    combined map-side, and small enough for whole-stage codegen."""
+    combined map-side, and small enough for whole-stage codegen.  ``extra``
+    aggregates (aliased) ride along in the same pass."""
     k = len(cols)
     sc = sorted(set(shifts.values()))
     z = {c: F.col(c) - F.col(shifts[c]) for c in cols}
     agg = df.groupBy(*group_cols, *sc).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(z[c]).alias(f"__s{i}") for i, c in enumerate(cols)],
-        *[F.sum(z[cols[i]] * z[cols[j]]).alias(f"__q{i}_{j}") for i in range(k) for j in range(i, k)])
+        *[F.sum(z[cols[i]] * z[cols[j]]).alias(f"__q{i}_{j}") for i in range(k) for j in range(i, k)],
+        *extra)
     n = F.col("n").cast("double")
     mu = [F.col(f"__s{i}") / n + F.col(shifts[c]) for i, c in enumerate(cols)]
     cov = [(F.col(f"__q{i}_{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / n) / n
            for i in range(k) for j in range(i, k)]
-    return agg.select(*group_cols, "n", F.array(*mu).alias("mu"), F.array(*cov).alias("cov"))
+    names = [agg.schema.fieldNames()[-len(extra) + i] for i in range(len(extra))] if extra else []
+    return agg.select(*group_cols, "n", F.array(*mu).alias("mu"), F.array(*cov).alias("cov"), *names)
 
 
 def _schema_fields(df: DataFrame, names: Sequence[str]):
