@@ -122,7 +122,7 @@ SELECT lang, round(sum(0.9 * nll + (0.1 / 3) * sm) / sum(wy), 6) AS loss FROM r
 
 
 def a13_misclassified(spark, sf_dir):
-    m = S.misclassified(v_scored(spark, sf_dir))
+    m = S.misclassified(v_scored(spark, sf_dir)).withColumn("text_length", F.col("text_length").cast("long"))
     return m.select(*[F.round(c, 6).alias(c) if c.startswith(("prob", "conf")) else F.col(c) for c in m.columns])
 
 

@@ -185,7 +185,8 @@ LAG_SOURCES = ("n_urgent", "n_low", "avg_price")
 def g15_select_lags(spark, sf_dir):
     p = market.row_lags(v_panel(spark, sf_dir), LAG_SOURCES, 5)
     s = C.select_lags(p, "ret", LAG_SOURCES, max_lags=5, bins=10, keep=2, keys=["company"])
-    return s.select("company", "lag", F.round("mean_mi", 6).alias("mean_mi"), "rank", "selected")
+    return s.select("company", "lag", F.round("mean_mi", 6).alias("mean_mi"), F.col("rank").cast("long").alias("rank"),
+                    "selected")
 
 
 _LAGGED_SQL = ", ".join(f"lag({s}, {l}) OVER (PARTITION BY company ORDER BY date) AS {s}_lag_{l}"
