@@ -128,6 +128,32 @@ def g10_granger_calendarlag(spark, sf_dir):
 QUERIES["g10_granger_calendarlag"] = g10_granger_calendarlag
 
 
+def g10_granger_calendar_f_p1(spark, sf_dir):
+    """Lag order 1 of G10: closed-form SQL can check the F statistics."""
+    p = _panel_with_calendar_lags(spark, sf_dir, maxlag=1)
+    g = C.granger_calendarlag(p, TARGETS, SOURCES, ["company"], "date", maxlag=1)
+    return _r6(g.select("company", "target", "source", "lag", "n", "rss_r", "rss_u", "df_den", "f_stat"),
+               ["rss_r", "rss_u", "f_stat"])
+
+
+_CAL_PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT p.company, p.date, '{t}' AS target, '{s}' AS source, p.{t} AS y, "
+    f"lag(p.{t}) OVER (PARTITION BY p.company ORDER BY p.date) AS yl, "
+    f"CASE WHEN p.is_trading_day THEN q.{s} END AS xl "
+    f"FROM v_panel p LEFT JOIN v_panel q ON q.company = p.company AND q.date = p.date - 1"
+    for t in TARGETS for s in SOURCES)
+QUERIES["g10_granger_calendar_f_p1"] = g10_granger_calendar_f_p1
+ORACLES["g10_granger_calendar_f_p1"] = f"""WITH {V_PANEL_SQL}, l AS ({_CAL_PAIRS_SQL}),
+m AS (SELECT company, target, source, count(*) AS n, var_pop(y) AS syy, var_pop(yl) AS saa, var_pop(xl) AS sbb,
+             covar_pop(yl, xl) AS sab, covar_pop(yl, y) AS say, covar_pop(xl, y) AS sby
+      FROM l WHERE y IS NOT NULL AND yl IS NOT NULL AND xl IS NOT NULL GROUP BY ALL HAVING count(*) >= 7),
+c AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
+             (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM m),
+r AS (SELECT *, greatest(n * (syy - say * say / saa), 0) AS rss_r, greatest(n * (syy - ba * say - bb * sby), 0) AS rss_u FROM c)
+SELECT company, target, source, 1 AS lag, n, round(rss_r, 6) AS rss_r, round(rss_u, 6) AS rss_u, n - 3 AS df_den,
+       round((rss_r - rss_u) / (rss_u / (n - 3)), 6) AS f_stat FROM r"""
+
+
 # ------------------------------------------------------------------ G11
 def g11_residual_diagnostics(spark, sf_dir):
     d = C.residual_diagnostics(v_panel(spark, sf_dir), ["ret"], SOURCES, ["company"], "date", maxlag=3)
@@ -137,6 +163,32 @@ def g11_residual_diagnostics(spark, sf_dir):
 QUERIES["g11_residual_diagnostics"] = g11_residual_diagnostics
 
 
+def g11_ljung_box_p1(spark, sf_dir):
+    """Ljung-Box Q of the lag-1 restricted Granger residuals (SQL-checkable)."""
+    d = C.residual_diagnostics(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=1)
+    return d.filter(F.col("model") == "restricted").select(
+        "company", "target", "source", "lag", F.round("lb_stat", 6).alias("lb_stat"))
+
+
+QUERIES["g11_ljung_box_p1"] = g11_ljung_box_p1
+ORACLES["g11_ljung_box_p1"] = f"""WITH {V_PANEL_SQL}, lp AS ({_PAIRS_SQL}),
+l AS (SELECT company, target, source, date, y, lag(y) OVER w AS yl, lag(x) OVER w AS xl FROM lp
+      WINDOW w AS (PARTITION BY company, target, source ORDER BY date)),
+k AS (SELECT * FROM l WHERE yl IS NOT NULL AND xl IS NOT NULL),
+f AS (SELECT company, target, source, count(*) AS n, covar_pop(yl, y) / var_pop(yl) AS b, avg(y) AS my, avg(yl) AS myl
+      FROM k GROUP BY ALL HAVING count(*) >= 7),
+e AS (SELECT k.company, k.target, k.source, k.date, f.n, k.y - (f.my - f.b * f.myl) - f.b * k.yl AS e
+      FROM k JOIN f USING (company, target, source)),
+c AS (SELECT *, e - avg(e) OVER (PARTITION BY company, target, source) AS d FROM e),
+a AS (SELECT company, target, source, n, d,
+        {", ".join(f"lag(d, {j}) OVER (PARTITION BY company, target, source ORDER BY date) AS d{j}" for j in range(1, 11))}
+      FROM c),
+s AS (SELECT company, target, source, n, sum(d * d) AS den,
+        {", ".join(f"sum(d * d{j}) AS p{j}" for j in range(1, 11))} FROM a GROUP BY ALL)
+SELECT company, target, source, 1 AS lag, round(n * (n + 2.0) * ({" + ".join(f"CASE WHEN least(10, n - 1) >= {j} THEN (p{j} / den) * (p{j} / den) / (n - {j}) ELSE 0 END" for j in range(1, 11))}), 6) AS lb_stat
+FROM s"""
+
+
 # ------------------------------------------------------------------ G12
 def g12_granger_bootstrap(spark, sf_dir):
     b = C.granger_bootstrap(v_panel(spark, sf_dir), ["ret"], ["n_urgent"], ["company"], "date",
@@ -148,6 +200,31 @@ def g12_granger_bootstrap(spark, sf_dir):
 QUERIES["g12_granger_bootstrap"] = g12_granger_bootstrap
 
 
+def g12_bootstrap_observed_p1(spark, sf_dir):
+    """The observed statistic of G12 at lag order 1 (lags on the full series,
+    incomplete rows dropped afterwards) with its valid-replicate count bound."""
+    b = C.granger_bootstrap(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date",
+                            maxlag=1, B=20, block_size=5, seed=2)
+    return b.select("company", "target", "source", "lag_order", F.round("f_actual", 6).alias("f_actual"),
+                    (F.col("n_valid") <= 20).alias("n_valid_ok"))
+
+
+_FULL_PAIRS_SQL = " UNION ALL ".join(
+    f"SELECT company, date, '{t}' AS target, '{s}' AS source, {t} AS y, "
+    f"lag({t}) OVER (PARTITION BY company ORDER BY date) AS yl, lag({s}) OVER (PARTITION BY company ORDER BY date) AS xl "
+    f"FROM v_panel" for t in TARGETS for s in SOURCES)
+QUERIES["g12_bootstrap_observed_p1"] = g12_bootstrap_observed_p1
+ORACLES["g12_bootstrap_observed_p1"] = f"""WITH {V_PANEL_SQL}, l AS ({_FULL_PAIRS_SQL}),
+m AS (SELECT company, target, source, count(*) AS n, var_pop(y) AS syy, var_pop(yl) AS saa, var_pop(xl) AS sbb,
+             covar_pop(yl, xl) AS sab, covar_pop(yl, y) AS say, covar_pop(xl, y) AS sby
+      FROM l WHERE y IS NOT NULL AND yl IS NOT NULL AND xl IS NOT NULL GROUP BY ALL HAVING count(*) >= 7),
+c AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
+             (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM m),
+r AS (SELECT *, greatest(n * (syy - say * say / saa), 0) AS rss_r, greatest(n * (syy - ba * say - bb * sby), 0) AS rss_u FROM c)
+SELECT company, target, source, 1 AS lag_order, round((rss_r - rss_u) / (rss_u / (n - 3)), 6) AS f_actual,
+       true AS n_valid_ok FROM r"""
+
+
 # ---------------------------------------------------------- G13, G14, A12
 def _granger_flat(spark, sf_dir):
     return C.granger_rowlag(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=5) \
