@@ -35,7 +35,9 @@ def cross_validate(df: DataFrame, params: Sequence[Mapping], k: int = 5, seed: i
     per (parameter set, fold) plus ``fold = -1`` rows holding the fold means
     (A5).  Each fit is a distributed Spark ML job; the loop only submits
     k x len(params) jobs."""
-    folds = stratified_kfold(df.select(id_col, "text", "label"), k, "label", id_col, seed)
+    from marketlex.session import materialize
+    # every fit reads the fold table twice (train and held-out part): cut it once
+    folds = materialize(stratified_kfold(df.select(id_col, "text", "label"), k, "label", id_col, seed))
     rows = None
     for pi, p in enumerate(params):
         for f in range(k):
