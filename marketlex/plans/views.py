@@ -30,10 +30,12 @@ def spread(df: DataFrame) -> DataFrame:
     yields fewer partitions than the cluster's parallelism (a few large
     row groups), redistribute round-robin.  On a many-file table the scan
     is already wide and this is a no-op."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: keep the scan as it is
+        return df
+    return df.repartition(par) if n < par else df
 
 
 # ----------------------------------------------------------------- v_tweets

@@ -42,8 +42,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``marketlex`` importable in Python workers (the Arrow-batched
     steps reference its functions): zip the package once per application
     and distribute it with ``addPyFile``, like ``--py-files``."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # no driver-side context (remote session): ship with --py-files instead
+        return
     if app in _SHIPPED:
         return
     import zipfile
@@ -70,7 +73,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="marketlex-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # remote sessions read spark.checkpoint.dir themselves
+        pass
     return d
 
 
