@@ -122,3 +122,18 @@ def test_large_lexicon_scan_path_matches_python(spark):
             t = t.replace(k, " " + v)
         return t
     assert got == [seq(t) for t in texts]
+
+
+def test_lexicon_longer_than_one_chunk(spark):
+    # 2,500 one-code-point keys (from a rule) + emoticons: two successive folds
+    pairs = [(chr(0x4E00 + i), f"c{i}") for i in range(2500)] + list(EMOTICONS)
+    assert len(pairs) > tx.LEXICON_CHUNK
+    texts = ["一 丁 :) 伀 end", "嗃嗄 XD", "none here"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(tx.replace_lexicon("text", pairs)).collect()]
+
+    def seq(t):
+        for k, v in pairs:
+            t = t.replace(k, " " + v)
+        return t
+    assert got == [seq(t) for t in texts]
