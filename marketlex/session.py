@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,14 +13,10 @@ def get_session(master: str | None = None, app: str = "marketlex",
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
 
-    On a cluster the master and partition counts come from spark-submit;
-    these defaults only matter for local runs and tests.
+    Sizes (driver memory, shuffle partitions) are set for a given local
+    master only; on a cluster they come from spark-submit.
     """
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+    b = (SparkSession.builder.appName(app)
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -27,8 +24,14 @@ def get_session(master: str | None = None, app: str = "marketlex",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
+    if master and master.startswith("local"):
+        b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.environ.get("BENCH_CPUS", "8")))
+             .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master:
+        b = b.master(master)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
@@ -64,25 +67,34 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local runs,
-    tests) do we create a private folder and register it.
+    Where it is unset, the folder registered with ``setCheckpointDir`` is
+    used; a local master gets a private one (all tasks run on this machine).
+    On a cluster a machine-local folder would lose files, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="marketlex-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # remote sessions read spark.checkpoint.dir themselves
-        pass
-    return d
+    if d:
+        try:
+            if spark.sparkContext.getCheckpointDir() is None:
+                spark.sparkContext.setCheckpointDir(d)
+        except (AttributeError, RuntimeError):  # remote sessions read the setting themselves
+            pass
+        return d
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketlex-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df):
-    """Cut lineage for a table that several branches of a plan consume:
-    an eager ``checkpoint()`` into the shared ``spark.checkpoint.dir``
-    (reliable storage: survives executor loss, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage for a table that several branches of a plan consume: write
+    it as Parquet below the shared ``spark.checkpoint.dir`` and read it back
+    (reliable storage that survives executor loss; column pruning and filter
+    push-down still reach the scan)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
