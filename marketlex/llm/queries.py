@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlex.llm.base import table
+from marketlex.llm.base import hash_bucket, table
 
 # Vocabulary files of public tokenizers; operators take any path.
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
 
 
+LANG_FOLDS, LANG_HELD_OUT = 3, 1
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.string_kernel import fit_language_model, predict_language
+    docs = table(spark, sf_dir, "documents")
+    held = hash_bucket(F.col("doc_id"), LANG_FOLDS) == LANG_HELD_OUT
+    model = fit_language_model(docs.where(~held))
+    out = predict_language(docs, model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.piece_viterbi import encode_decode
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), keep_ids=False)
@@ -36,7 +48,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op5_sentencepiece, op7_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
