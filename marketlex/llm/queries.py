@@ -47,8 +47,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), budget=1024)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.bayes_join import similarity_classes
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op7_token_counts)}
+    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op7_token_counts, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
