@@ -47,6 +47,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), budget=1024)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.qgram_decontam import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.line_suffixes import dedup_lines
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "removed")
@@ -58,7 +63,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op7_token_counts, op9_line_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
