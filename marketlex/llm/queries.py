@@ -42,6 +42,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), keep_ids=False)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.secret_tests import find_secrets
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.prefix_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), budget=1024)
@@ -63,7 +68,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
