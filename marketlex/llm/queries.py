@@ -25,6 +25,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.hilbert_search import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 LANG_FOLDS, LANG_HELD_OUT = 3, 1
 
 
@@ -68,7 +73,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_files, op2_nearest, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
