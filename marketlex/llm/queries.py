@@ -30,6 +30,15 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
 
 
+LM_FOLDS, LM_HELD_OUT = 7, 2
+
+
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.ngram_trie import score_documents
+    held = F.coalesce(hash_bucket(F.col("doc_id"), LM_FOLDS) == LM_HELD_OUT, F.lit(False))
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text"))
+
+
 LANG_FOLDS, LANG_HELD_OUT = 3, 1
 
 
@@ -73,7 +82,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_nearest, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_files, op2_nearest, op3_lm_scores, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
