@@ -184,8 +184,8 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int, hashes: int, seed: int) -> DataFrame:
-    """(doc_id, cid, n_grams, sig) of each row; cid and sig are null for a
-    text without n-grams."""
+    """(doc_id, th, cid, n_grams, sig) of each row; cid and sig are null for
+    a text without n-grams; ``th`` hashes the text."""
 
     def run(batches):
         s, m = shingler(words), MinHash(hashes, seed)
@@ -197,10 +197,10 @@ def signatures(docs: DataFrame, words: int, hashes: int, seed: int) -> DataFrame
                 n.append(len(g))
                 cid.append(class_of(g) if len(g) else None)
                 sig.append(m.signature(g).tobytes() if len(g) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "cid": pa.array(cid, pa.int64()),
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "th": b.column("th"), "cid": pa.array(cid, pa.int64()),
                                               "n_grams": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cid long, n_grams long, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, cid long, n_grams long, sig binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: tuple[int
                        hashes: int = HASHES, tolerance: float = TOLERANCE, seed: int = 11,
                        task_grams: int = TASK_GRAMS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: (doc_id, class_id, copy_id,
-    n_copies, n_links).
+    n_copies, n_links, th, class_key).
 
     ``copy_id`` is the smallest doc_id of the texts with the same n-gram set,
     ``n_copies`` their number; ``n_links`` the number of other rows whose
@@ -293,7 +293,8 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: tuple[int
     smallest doc_id of the connected component of links.  Texts without words
     (null, empty, blank) take no part: class and copy are the row's own id,
     ``n_copies`` 1 and ``n_links`` 0.  Rows that repeat are copies of each
-    other."""
+    other.  ``th`` hashes the text, and ``class_key`` tells classes apart even
+    where ids repeat (null for a text without words)."""
     rows = stored(signatures(docs, words, hashes, seed), "jaccard-signatures")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"),
                                       F.first("n_grams").alias("n_grams"), F.first("sig").alias("sig"))
@@ -328,8 +329,23 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: tuple[int
     first = same.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     per_class = (info.where("copies > 1").select("cid").union(links.select("cid")).distinct()
                  .join(info.select("cid", F.col("copy_id").alias("first_id"), "copies"), "cid")
-                 .join(links, "cid", "left").join(same.select("cid", "root").join(first, "root").select("cid", "class_id"), "cid", "left"))
-    return rows.select("doc_id", "cid").join(per_class, "cid", "left").select(
+                 .join(links, "cid", "left").join(same.select("cid", "root").join(first, "root").select("cid", "root", "class_id"), "cid", "left"))
+    return rows.select("doc_id", "th", "cid").join(per_class, "cid", "left").select(
         "doc_id", F.coalesce("class_id", "first_id", "doc_id").alias("class_id"), F.coalesce("first_id", "doc_id").alias("copy_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
+        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
+        "th", F.coalesce("root", "cid").alias("class_key"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each similarity class: the one with the
+    smallest doc_id (repeated ids: the smallest text hash).  Texts without
+    words stay; rows that repeat doc_id and text stay once."""
+    found = stored(similarity_classes(docs.select("doc_id", "text"), **options), "jaccard-digest")
+    worded = found.where("class_key is not null")
+    first = worded.groupBy("class_key").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*")
+    keep = first.union(found.where("class_key is null").select("doc_id", "th").distinct())
+    keep = keep.withColumnsRenamed({"doc_id": "kept_doc", "th": "kept_th"})
+    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.xxhash64("text") == F.col("kept_th")), "left_semi")
+    again = found.groupBy("doc_id", "th").count().where("count > 1")
+    return out.dropDuplicates(["doc_id", "text"]) if again.head(1) else out

@@ -169,3 +169,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cols = [F.when(F.col("__run_spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda e: e["x"]), "\n")).alias("text")
             if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     return out.select(*cols, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), removed.alias("n_removed"), F.coalesce("__run_spans", none).alias("removed"))
+
+
+def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated line runs deleted; a document of which nothing
+    but blank lines is left goes, ``n_chars`` follows the text."""
+    out = dedup_lines(docs, min_words).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return out.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+                        for c in docs.columns])

@@ -45,7 +45,7 @@ LANG_FOLDS, LANG_HELD_OUT = 3, 1
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.string_kernel import fit_language_model, predict_language
     docs = table(spark, sf_dir, "documents")
-    held = hash_bucket(F.col("doc_id"), LANG_FOLDS) == LANG_HELD_OUT
+    held = F.coalesce(hash_bucket(F.col("doc_id"), LANG_FOLDS) == LANG_HELD_OUT, F.lit(False))
     model = fit_language_model(docs.where(~held))
     out = predict_language(docs, model)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
@@ -78,7 +78,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.bayes_join import similarity_classes
-    return similarity_classes(table(spark, sf_dir, "documents"))
+    return similarity_classes(table(spark, sf_dir, "documents")).drop("th", "class_key")
 
 
 def queries() -> dict:

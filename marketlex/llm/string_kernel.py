@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 HASH_BITS = 18
@@ -124,20 +125,23 @@ def fit_language_model(train: DataFrame, max_n: int = 3, landmarks_per_label: in
     return model
 
 
-def predict_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text of ``docs(doc_id,
-    text)``; only the text is read.  A text that is null or has no letter is
-    ``und`` with score 0, as is everything if there is no model; the score is
-    the regression value of the predicted language mapped from [-1, 1] to
-    [0, 1] and clipped."""
+def with_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+    """``docs`` with (lang_pred, score) of every whole ``text``; nothing but
+    the text is read, other columns pass through (columns of these two names
+    are replaced).
+
+    A text that is null or has no letter is ``und`` with score 0, as is
+    everything if there is no model; the score is the regression value of the
+    predicted language mapped from [-1, 1] to [0, 1] and clipped."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
 
     def run(batches):
         m = shipped.value
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text")
             for at in range(0, b.num_rows, BATCH):
-                part = texts.slice(at, BATCH).to_pylist()
+                rows = b.slice(at, BATCH)
+                part = rows.column("text").to_pylist()
                 lang, score = [UNDETERMINED] * len(part), np.zeros(len(part))
                 ask = [k for k, t in enumerate(part) if t and m is not None and LETTER.search(t)]
                 if ask:
@@ -145,6 +149,19 @@ def predict_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
                     best = s.argmax(axis=1)
                     for k, j, v in zip(ask, best, s[np.arange(len(ask)), best]):
                         lang[k], score[k] = m.labels[j], min(1.0, max(0.0, (float(v) + 1) / 2))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(at, BATCH), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                                 names=[*rows.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def predict_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+    """(doc_id, lang_pred, score) of ``docs(doc_id, text)``."""
+    return with_language(docs.select("doc_id", "text"), model).drop("text")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+def drop_undetermined(docs: DataFrame, model: KernelModel | None, min_score: float = 0.2) -> DataFrame:
+    """``docs`` without the texts whose language cannot be told: ``und`` or a
+    score under ``min_score`` (no language's regression value above -0.6)."""
+    told = with_language(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+    return told.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
