@@ -16,8 +16,11 @@ read alone.  All integers are little-endian.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +131,10 @@ class WordEncoder:
     a text the ids of its white-space-separated words, one after another; a
     word seen lately is not encoded again.  Texts are split on ASCII white
     space only, which every such tokenizer treats as a boundary; plain ASCII
-    text is lower-cased first where the tokenizer lower-cases anyway.
+    text is lower-cased first where the tokenizer lower-cases anyway.  A new
+    word of Latin letters that normalisation leaves alone is one pre-token
+    and goes straight to the library's BPE model; one closing comma or full
+    stop is a pre-token of its own.
     """
 
     def __init__(self, tokenizer_json: bytes, memo: int = MEMO_WORDS):
@@ -140,14 +146,34 @@ class WordEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.by_word = drops_white_space(spec)
-        self.memo = Memo(lambda w: np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), memo)
+        self.letters_alone = self.by_word and self.lower and splits_letters(spec)
+        self.stand_in = byte_letters()
+        self.memo = Memo(self.new_word, memo)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def new_word(self, w: bytes) -> bytes:
+        text = w.decode()
+        if not self.letters_alone:
+            return self.whole(text)
+        if text[-1] in ",." and LATIN.fullmatch(text[:-1]):
+            return self.memo[w[:-1]] + self.memo[w[-1:]]
+        if not LATIN.fullmatch(text):
+            return self.whole(text)
+        low = text.lower()
+        if not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+            return self.whole(text)
+        if low != text:
+            return self.memo[low.encode()]
+        return array("I", [t.id for t in self.tok.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
 
     def ids_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian uint32 bytes; null is the empty text."""
         if not text:
             return b""
         if not self.by_word:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
         raw = text.encode()
         if self.lower and raw.isascii() and not any(s in text for s in self.special):
             low = raw.lower()
@@ -156,6 +182,25 @@ class WordEncoder:
         return b"".join(map(self.memo.__getitem__, raw.split()))
 
 
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte value -> printable stand-in of byte-level vocabularies: printable
+    Latin-1 bytes stand for themselves, the others for U+0100 onwards."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def splits_letters(spec: dict) -> bool:
+    """True if a run of letters is one pre-token that goes byte by byte to a
+    BPE model."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (len(steps) == 2 and steps[0].get("type") == "Split" and "[\\p{L}]+|" in steps[0]["pattern"].get("Regex", "")
+            and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+            and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"))
+
+
 def drops_white_space(spec: dict) -> bool:
     """True if white space is a boundary that leaves no token: some Split
     step removes all but the matches of a pattern without white space, or the
