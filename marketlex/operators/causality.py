@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from marketlex.functions import stats_math as sm
 from marketlex.operators.ordering import global_row_number
 from marketlex.operators.sampling import block_shuffle
-from marketlex.operators.stats import long_pairs, moments, pvalues, round_stats, shifted_moments
+from marketlex.operators.stats import long_pairs, moments, pvalues, round_stats
 
 
 def _yl(i):
@@ -40,11 +40,77 @@ def _complete_for_lag(maxlag: int, lag_col: str = "lag"):
     return cond
 
 
-def _design_cols(maxlag: int, lag_col: str = "lag"):
-    """y, y lags, x lags with lags beyond the group's order blanked out."""
-    return ([F.col("y")]
-            + [F.when(F.col(lag_col) >= i, F.col(_yl(i))).alias(_yl(i)) for i in range(1, maxlag + 1)]
-            + [F.when(F.col(lag_col) >= i, F.col(_xl(i))).alias(_xl(i)) for i in range(1, maxlag + 1)])
+def _stratum(maxlag: int):
+    """The largest lag order a row is complete for: orders are nested, so a
+    row counts for every order up to its stratum."""
+    out = F.lit(maxlag)
+    for i in range(maxlag, 0, -1):
+        out = F.when(F.col(_yl(i)).isNull() | F.col(_xl(i)).isNull(), F.lit(i - 1)).otherwise(out)
+    return F.when(F.col("y").isNull(), F.lit(0)).otherwise(out)
+
+
+def _names(maxlag: int):
+    return ["y"] + [_yl(i) for i in range(1, maxlag + 1)] + [_xl(i) for i in range(1, maxlag + 1)]
+
+
+def _shifted(c: str):
+    """Value less its series minimum (safe raw sums); lags beyond the row's
+    stratum may be missing and never enter a fit of that row's orders."""
+    return F.coalesce(F.col(c) - F.col("_sx" if c.startswith("_xl") or c.startswith("_bx") else "_sy"), F.lit(0.0))
+
+
+def _lag_moments(lagged: DataFrame, g: Sequence[str], maxlag: int) -> DataFrame:
+    """One row per group with ``parts``: raw sums and products of every
+    stratum.  Each input row is aggregated once, whatever ``maxlag`` is."""
+    names = _names(maxlag)
+    k = len(names)
+    d = lagged.select(*g, "_sy", "_sx", _stratum(maxlag).alias("s"), *[_shifted(c).alias(c) for c in names]).filter("s > 0")
+    agg = d.groupBy(*g, "_sy", "_sx", "s").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"__s{i}") for i, c in enumerate(names)],
+        *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"__q{i}_{j}") for i in range(k) for j in range(i, k)])
+    part = F.struct("s", "n", F.array(*[f"__s{i}" for i in range(k)]).alias("sum"),
+                    F.array(*[f"__q{i}_{j}" for i in range(k) for j in range(i, k)]).alias("prod"))
+    return agg.groupBy(*g, "_sy", "_sx").agg(F.collect_list(part).alias("parts"))  # at most maxlag parts
+
+
+def _stack(parts_column, maxlag: int):
+    """Totals by lag order of a batch of groups: n (G, p), sums (G, p, k) and
+    product matrices (G, p, k, k); order p takes the strata from p on."""
+    k = 2 * maxlag + 1
+    iu = np.triu_indices(k)
+    n = np.zeros((len(parts_column), maxlag))
+    sums, prods = np.zeros((len(n), maxlag, k)), np.zeros((len(n), maxlag, k, k))
+    for r, parts in enumerate(parts_column):
+        for part in parts:
+            at = part["s"] - 1
+            n[r, at], sums[r, at] = part["n"], part["sum"]
+            prods[r, at][iu] = part["prod"]
+    prods = prods + np.transpose(np.triu(prods, 1), (0, 1, 3, 2))
+    return tuple(np.cumsum(x[:, ::-1], axis=1)[:, ::-1] for x in (n, sums, prods))
+
+
+def _fit(n, sums, prods, x_idx):
+    """Batched least squares of column 0 on ``x_idx`` with intercept:
+    (rss, coef, means); NaN where there are no rows."""
+    with np.errstate(all="ignore"):
+        mean = sums / n[:, None]
+        cov = prods - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    good = np.isfinite(cov).all(axis=(1, 2)) & (n > 0)
+    rss, coef = np.full(len(n), np.nan), np.full((len(n), len(x_idx)), np.nan)
+    if good.any():
+        c = cov[good]
+        sxx, sxy = c[:, x_idx][:, :, x_idx], c[:, x_idx, 0]
+        # unit diagonal: columns of very different size lose no digits
+        scale = np.sqrt(np.einsum("gii->gi", sxx))
+        scale = np.where(scale > 0, scale, 1.0)
+        b = np.einsum("gij,gj->gi", np.linalg.pinv(sxx / (scale[:, :, None] * scale[:, None, :]), rcond=1e-13, hermitian=True), sxy / scale) / scale
+        coef[good] = b
+        rss[good] = np.maximum(c[:, 0, 0] - (sxy * b).sum(axis=1), 0.0)
+    return rss, coef, mean
+
+
+def _orders(maxlag: int, p: int):
+    return list(range(1, p + 1)), list(range(1, p + 1)) + list(range(maxlag + 1, maxlag + 1 + p))
 
 
 GRANGER_FIELDS = [
@@ -59,53 +125,41 @@ GRANGER_FIELDS = [
 
 def _solve_granger(st: DataFrame, g: Sequence[str], maxlag: int) -> DataFrame:
     """Restricted (y lags) and unrestricted (y and x lags) fits of every
-    (group, lag) from one moments row."""
-    k = 2 * maxlag + 1
+    (group, lag order) with n >= 2p + 5 and a positive denominator dof."""
     out = T.StructType([st.schema[c] for c in g] + GRANGER_FIELDS)
-    gc = list(g)
 
     def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
-            for d in pdf.to_dict("records"):
-                p, n = int(d["lag"]), int(d["n"])
-                mu = np.asarray([np.nan if v is None else v for v in d["mu"]], float)
-                cov = sm.sym_from_upper(list(d["cov"]), k)
-                ridx = list(range(1, p + 1))
-                uidx = ridx + list(range(maxlag + 1, maxlag + 1 + p))
-                try:
-                    fr = sm.ols_from_moments(n, mu, cov, 0, ridx)
-                    fu = sm.ols_from_moments(n, mu, cov, 0, uidx)
-                except np.linalg.LinAlgError:
-                    continue
-                dfd = n - (2 * p + 1)
+            n_all, sums, prods = _stack(pdf["parts"], maxlag)
+            shift = np.concatenate([np.repeat(pdf[["_sy"]].to_numpy(float), maxlag + 1, axis=1),
+                                    np.repeat(pdf[["_sx"]].to_numpy(float), maxlag, axis=1)], axis=1)
+            for p in range(1, maxlag + 1):
+                ridx, uidx = _orders(maxlag, p)
+                n = n_all[:, p - 1]
+                rss_r, coef_r, mean = _fit(n, sums[:, p - 1], prods[:, p - 1], ridx)
+                rss_u, coef_u, _ = _fit(n, sums[:, p - 1], prods[:, p - 1], uidx)
+                mean = mean + shift
+                den = n - (2 * p + 1)
                 with np.errstate(all="ignore"):
-                    f = ((fr["ssr"] - fu["ssr"]) / p) / (fu["ssr"] / dfd) if fu["ssr"] > 0 else np.nan
-                pv = float(sm.f_sf(f, p, dfd)) if np.isfinite(f) else np.nan
-                rows.append({**{c: d[c] for c in gc}, "lag": p, "n": n, "rss_r": fr["ssr"], "rss_u": fu["ssr"],
-                             "df_num": p, "df_den": dfd, "f_stat": f, "p_value": pv,
-                             "icpt_r": fr["intercept"], "coef_r": fr["coef"].tolist(),
-                             "icpt_u": fu["intercept"], "coef_u": fu["coef"].tolist()})
-            yield pd.DataFrame(rows, columns=out.fieldNames())
+                    f = np.where(rss_u > 0, (rss_r - rss_u) / p / (rss_u / den), np.nan)
+                    pv = np.where(np.isfinite(f), sm.f_sf(f, float(p), den), np.nan)
+                o = pdf[list(g)].copy()
+                o["lag"], o["n"], o["rss_r"], o["rss_u"] = p, n.astype(np.int64), rss_r, rss_u
+                o["df_num"], o["df_den"], o["f_stat"], o["p_value"] = p, den.astype(np.int64), f, pv
+                o["icpt_r"], o["coef_r"] = mean[:, 0] - (mean[:, ridx] * coef_r).sum(axis=1), list(coef_r)
+                o["icpt_u"], o["coef_u"] = mean[:, 0] - (mean[:, uidx] * coef_u).sum(axis=1), list(coef_u)
+                yield o[(n >= 2 * p + 5) & (den > 0) & np.isfinite(rss_u)]
     return st.mapInPandas(solve, out)
 
 
-def _shifts(maxlag: int) -> dict:
-    """Every y column shifts by the series' y minimum, every x lag by its x minimum."""
-    return {"y": "_sy", **{_yl(i): "_sy" for i in range(1, maxlag + 1)},
-            **{_xl(i): "_sx" for i in range(1, maxlag + 1)}}
+def _granger_fits(lagged: DataFrame, g: Sequence[str], maxlag: int) -> DataFrame:
+    return _solve_granger(_lag_moments(lagged, g, maxlag), g, maxlag)
 
 
-def _granger_from_lagged(lagged: DataFrame, g: Sequence[str], maxlag: int) -> tuple[DataFrame, DataFrame]:
-    """(fits, complete rows per lag) from rows carrying y, _yl*, _xl* and the
-    per-series shifts _sy, _sx."""
+def _rows_by_order(lagged: DataFrame, maxlag: int) -> DataFrame:
+    """The complete rows of every lag order."""
     ex = lagged.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(maxlag))))
-    rows = ex.filter(_complete_for_lag(maxlag))
-    design = rows.select(*g, "lag", "_sy", "_sx", *_design_cols(maxlag))
-    names = ["y"] + [_yl(i) for i in range(1, maxlag + 1)] + [_xl(i) for i in range(1, maxlag + 1)]
-    st = shifted_moments(design, [*g, "lag"], names, _shifts(maxlag))
-    st = st.filter((F.col("n") >= 2 * F.col("lag") + 5) & (F.col("n") - (2 * F.col("lag") + 1) > 0))
-    return _solve_granger(st, g, maxlag), rows
+    return ex.filter(_complete_for_lag(maxlag))
 
 
 def granger_rowlag(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
@@ -118,7 +172,7 @@ def granger_rowlag(df: DataFrame, targets: Sequence[str], sources: Sequence[str]
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"])
     lagged = _lag_series(lp, g, order_col, maxlag)
-    fits, _ = _granger_from_lagged(lagged, g, maxlag)
+    fits = _granger_fits(lagged, g, maxlag)
     return fits if with_fits else fits.drop("icpt_r", "coef_r", "icpt_u", "coef_u")
 
 
@@ -138,8 +192,8 @@ def granger_calendarlag(df: DataFrame, targets: Sequence[str], sources: Sequence
                         keys: Sequence[str] = ("company",), order_col: str = "date",
                         maxlag: int = 5) -> DataFrame:
     """As G9, but the source lags are the precomputed calendar lags
-    ``{source}_lag_{i}`` (J4), target lags are row shifts over the whole
-    frame, and incomplete rows are dropped after lagging.  Pairs whose lag
+    ``{source}_lag_{i}`` of J4's trading-day rows, target lags are row shifts
+    over those rows, and incomplete rows are dropped after lagging.  Pairs whose lag
     columns are missing are skipped."""
     have = set(df.columns)
     srcs = [s for s in sources if all(f"{s}_lag_{i}" in have for i in range(1, maxlag + 1))]
@@ -165,7 +219,7 @@ def granger_calendarlag(df: DataFrame, targets: Sequence[str], sources: Sequence
                    for j, s in enumerate(srcs)])
     d = base.select(*keys, order_col, F.inline(tg), sc.alias("_sc")).select(
         *keys, order_col, "target", "y", *[_yl(i) for i in range(1, maxlag + 1)], "_sy", F.inline("_sc"))
-    fits, _ = _granger_from_lagged(d, [*keys, "target", "source"], maxlag)
+    fits = _granger_fits(d, [*keys, "target", "source"], maxlag)
     return fits.drop("icpt_r", "coef_r", "icpt_u", "coef_u")
 
 
@@ -179,7 +233,7 @@ def residual_diagnostics(df: DataFrame, targets: Sequence[str], sources: Sequenc
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"])
     lagged = materialize(_lag_series(lp, g, order_col, maxlag))  # feeds the fits and the residuals
-    fits, rows = _granger_from_lagged(lagged, g, maxlag)
+    fits, rows = _granger_fits(lagged, g, maxlag), _rows_by_order(lagged, maxlag)
     j = rows.join(fits.select(*g, "lag", "n", "icpt_r", "coef_r", "icpt_u", "coef_u"), [*g, "lag"])
     def term(coef, idx, col, i):
         return F.when(F.col("lag") >= i, F.try_element_at(coef, idx) * F.col(col)).otherwise(F.lit(0.0))
@@ -259,14 +313,16 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
                       checkpoint: bool = True) -> DataFrame:
     """Block-bootstrap p-value of the Granger F statistic.
 
-    Observed F as in G9 but lags are built on the full series and
-    incomplete rows dropped afterwards.  Each of ``B`` replicates
+    Observed F as in G9 but lags are built on the full series (feed trading
+    rows) and incomplete rows dropped afterwards.  Each of ``B`` replicates
     block-shuffles the source series (R7, per replicate), rebuilds its lags,
     aligns them to the rows the observed fit used (a replicate with any
     missing lag there is skipped), refits the unrestricted model and
     computes F with the observed RSS_r and dof.  p = share of valid
-    replicates with F_boot >= F.  Work is rows x B x maxlag, aggregated per
-    (pair, lag, replicate) before anything leaves the JVM."""
+    replicates with F_boot >= F.
+
+    Every (row, replicate) is aggregated once into its stratum's sums; what
+    involves y alone is summed once per series, not per replicate."""
     from marketlex.session import materialize
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources)
@@ -274,34 +330,61 @@ def granger_bootstrap(df: DataFrame, targets: Sequence[str], sources: Sequence[s
     lagged = _lag_series(lp, g, "_pos", maxlag, keep=["x"])
     if checkpoint:  # the lagged series feed the observed fit and every replicate
         lagged = materialize(lagged)
-    fits, rows = _granger_from_lagged(lagged.drop("x"), g, maxlag)
-    obs = fits.select(*g, "lag", "n", "rss_r", "f_stat", "df_den")
-    # replicate source series: (g, rep, new_pos, x)
-    spark = df.sparkSession
-    reps = spark.range(B).select(F.col("id").cast("int").alias("rep"))
-    xs = lagged.select(*g, "_pos", "x", "_sx").crossJoin(F.broadcast(reps))  # B rows: bounded by the caller's B
+    moments_of = _lag_moments(lagged, g, maxlag)
+    obs = _solve_granger(moments_of, g, maxlag).select(*g, "lag", "n", "rss_r", "f_stat", "df_den")
+    # replicate source series: (g, rep, new_pos, x); replicate ids come from a sequence in the row
+    xs = lagged.select(*g, "_pos", "x", "_sx").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
     shuf = block_shuffle(xs, g, "_pos", block_size, seed, rep="rep")
     wb = Window.partitionBy(*g, "rep").orderBy("new_pos")
     bl = shuf.select(*g, "rep", F.col("new_pos").alias("_pos"), "_sx",
                      *[F.lag("x", i).over(wb).alias(f"_bx{i}") for i in range(1, maxlag + 1)])
-    used = rows.select(*g, "lag", "_pos", "y", "_sy", *[_yl(i) for i in range(1, maxlag + 1)])
-    bj = used.join(bl, [*g, "_pos"])
-    miss = sum((F.when((F.col("lag") >= i) & F.col(f"_bx{i}").isNull(), 1).otherwise(0)
-                for i in range(1, maxlag + 1)), F.lit(0))
-    design = bj.select(
-        *g, "lag", "rep", "y", "_sy", "_sx", miss.alias("_miss"),
-        *[F.when(F.col("lag") >= i, F.col(_yl(i))).alias(_yl(i)) for i in range(1, maxlag + 1)],
-        *[F.when(F.col("lag") >= i, F.col(f"_bx{i}")).alias(_xl(i)) for i in range(1, maxlag + 1)])
-    names = ["y"] + [_yl(i) for i in range(1, maxlag + 1)] + [_xl(i) for i in range(1, maxlag + 1)]
-    # a replicate with any missing lag on the fitted rows is skipped: count the
-    # gaps in the same pass as the moments and drop those groups afterwards
-    st = shifted_moments(design, [*g, "lag", "rep"], names, _shifts(maxlag),
-                         extra=[F.sum("_miss").alias("_nmiss")])
-    st = st.filter(F.col("_nmiss") == 0).drop("_nmiss")
-    boot = _solve_granger(st, [*g, "rep"], maxlag).select(*g, "rep", "lag", F.col("rss_u").alias("rss_u_boot"))
-    b = boot.join(obs, [*g, "lag"])
-    fb = ((F.col("rss_r") - F.col("rss_u_boot")) / F.col("lag")) / (F.col("rss_u_boot") / F.col("df_den"))
-    b = b.withColumn("f_boot", fb)
+    used = lagged.select(*g, "_pos", "_sy", _stratum(maxlag).alias("s"), *[_shifted(c).alias(c) for c in _names(maxlag)[:maxlag + 1]]).filter("s > 0")
+    xn, yn = [f"_bx{i}" for i in range(1, maxlag + 1)], _names(maxlag)[:maxlag + 1]
+    # a missing lag of the replicate counts from its own order on
+    d = used.join(bl, [*g, "_pos"]).select(*g, "rep", "s", *yn, *[_shifted(c).alias(c) for c in xn],
+                                            *[F.col(c).isNull().cast("int").alias(f"{c}_gap") for c in xn])
+    m = maxlag
+    agg = d.groupBy(*g, "rep", "s").agg(
+        *[F.sum(c).alias(f"__s{c}") for c in xn], *[F.sum(f"{c}_gap").alias(f"__g{c}") for c in xn],
+        *[F.sum(F.col(xn[i]) * F.col(xn[j])).alias(f"__x{i}_{j}") for i in range(m) for j in range(i, m)],
+        *[F.sum(F.col(xn[i]) * F.col(y)).alias(f"__y{i}{y}") for i in range(m) for y in yn])
+    part = F.struct("s", F.array(*[f"__s{c}" for c in xn]).alias("sum"), F.array(*[f"__g{c}" for c in xn]).alias("gap"),
+                    F.array(*[f"__x{i}_{j}" for i in range(m) for j in range(i, m)]).alias("xx"),
+                    F.array(*[f"__y{i}{y}" for i in range(m) for y in yn]).alias("xy"))
+    reps = agg.groupBy(*g, "rep").agg(F.collect_list(part).alias("boot"))  # at most maxlag parts
+    per_order = obs.groupBy(*g).agg(F.collect_list(F.struct("lag", "rss_r", "df_den")).alias("obs"))
+    reps = reps.join(moments_of.select(*g, "parts").join(per_order, g), g)
+    out = T.StructType([reps.schema[c] for c in g] + [T.StructField("rep", T.IntegerType()), T.StructField("lag", T.IntegerType()),
+                                                      T.StructField("f_boot", T.DoubleType())])
+    k = 2 * m + 1
+    xi, xj = np.triu_indices(m)
+
+    def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            n_all, sums, prods = (x.copy() for x in _stack(pdf["parts"], m))
+            xs_, gaps, xx, xy = (np.zeros((len(pdf), m, w)) for w in (m, m, len(xi), m * (m + 1)))
+            rss, den = np.full((len(pdf), m), np.nan), np.full((len(pdf), m), np.nan)
+            for r, (boot, seen) in enumerate(zip(pdf["boot"], pdf["obs"])):
+                for b in boot:
+                    at = b["s"] - 1
+                    xs_[r, at], gaps[r, at], xx[r, at], xy[r, at] = b["sum"], b["gap"], b["xx"], b["xy"]
+                for o in seen:
+                    rss[r, o["lag"] - 1], den[r, o["lag"] - 1] = o["rss_r"], o["df_den"]
+            xs_, gaps, xx, xy = (np.cumsum(x[:, ::-1], axis=1)[:, ::-1] for x in (xs_, gaps, xx, xy))
+            sums[:, :, m + 1:] = xs_
+            prods[:, :, m + 1 + xi, m + 1 + xj] = xx
+            prods[:, :, m + 1 + xj, m + 1 + xi] = xx
+            cross = xy.reshape(len(pdf), m, m, m + 1)
+            prods[:, :, m + 1:, :m + 1] = cross
+            prods[:, :, :m + 1, m + 1:] = np.transpose(cross, (0, 1, 3, 2))
+            for p in range(1, m + 1):
+                rss_u, _, _ = _fit(n_all[:, p - 1], sums[:, p - 1], prods[:, p - 1], _orders(m, p)[1])
+                with np.errstate(all="ignore"):
+                    f = (rss[:, p - 1] - rss_u) / p / (rss_u / den[:, p - 1])
+                o = pdf[[*g, "rep"]].copy()
+                o["lag"], o["f_boot"] = p, f
+                yield o[(gaps[:, p - 1, :p].sum(axis=1) == 0) & np.isfinite(f)]
+    b = reps.mapInPandas(solve, out).join(obs, [*g, "lag"])
     agg = b.groupBy(*g, "lag").agg(
         F.count("f_boot").alias("n_valid"),
         F.sum(F.when(F.col("f_boot") >= F.col("f_stat"), 1).otherwise(0)).alias("count_exceeds"),
@@ -338,19 +421,36 @@ def flag_significant(p_col: str = "p_value", alpha: float = 0.05):
 
 
 def pivot_significant(flat: DataFrame, alpha: float = 0.05, full_grid: bool = True,
-                      companies: Sequence[str] | None = None) -> DataFrame:
+                      companies: Sequence[str] | None = None, labels: dict | None = None) -> DataFrame:
     """A12 (long form): per company, target x source count of significant
-    lags.  ``full_grid`` keeps every target/source seen for the company
-    with 0 counts; otherwise only rows and columns with a significant lag."""
+    lags.  ``full_grid`` keeps every target/source seen for the company with
+    0 counts; otherwise targets and sources without any significant cell go
+    (the other zero cells stay), and a company without any significant lag
+    keeps one placeholder row with null target and source and 0.
+    ``labels`` renames targets and sources for display."""
     d = flat if companies is None else flat.filter(F.col("company").isin(list(companies)))
     d = d.withColumn("significant", flag_significant("p_value", alpha))
     counts = d.filter("significant").groupBy("company", "target", "source").agg(
         F.count("lag").alias("n_significant"))
+    seen = d if full_grid else counts
+    grid = (seen.select("company", "target").distinct()
+            .join(seen.select("company", "source").distinct(), "company"))
+    out = grid.join(counts, ["company", "target", "source"], "left").fillna(0, ["n_significant"])
     if not full_grid:
-        return counts
-    grid = (d.select("company", "target").distinct()
-            .join(d.select("company", "source").distinct(), "company"))
-    return grid.join(counts, ["company", "target", "source"], "left").fillna(0, ["n_significant"])
+        empty = d.select("company").distinct().join(counts.select("company").distinct(), "company", "left_anti")
+        none = F.lit(None).cast("string")
+        out = out.unionByName(empty.select("company", none.alias("target"), none.alias("source"), F.lit(0).cast("long").alias("n_significant")))
+    if labels:
+        name = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+        out = out.select("company", *[F.coalesce(name[F.col(c)], F.col(c)).alias(c) for c in ("target", "source")], "n_significant")
+    return out
+
+
+def significance_table(counts: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """A12 (wide form): one row per company and target, one column per
+    source in the given order; sources without a cell count 0."""
+    wide = counts.where("target is not null").groupBy("company", "target").pivot("source", list(sources)).agg(F.first("n_significant"))
+    return wide.fillna(0, list(sources))
 
 
 # -------------------------------------------------------------- best subset

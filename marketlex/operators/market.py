@@ -76,9 +76,14 @@ def row_lags(df: DataFrame, cols: Sequence[str], max_lag: int, key: str = "compa
 
 def calendar_lags(df: DataFrame, cols: Sequence[str], max_lag: int, key: str = "company",
                   date: str = "date", trading_col: str = "is_trading_day",
-                  dense: bool = False) -> DataFrame:
-    """On trading days, ``{c}_lag_{i}`` = value of ``c`` exactly ``i``
-    calendar days earlier for the same key (null elsewhere).
+                  dense: bool = False, order: str | None = None, keep_calendar: bool = False) -> DataFrame:
+    """Trading-day rows with ``{c}_lag_{i}`` = value of ``c`` exactly
+    ``i`` calendar days earlier for the same key (null where that day is
+    missing).  Filled days serve as sources and are dropped afterwards;
+    ``keep_calendar`` keeps them, with null lags.
+
+    Several rows on one day: the first in ``order`` is the day's value, null
+    or not (``order`` may be left out where dates are unique).
 
     General path: every source row is emitted once per lag at its target
     date and the targets are joined back -- two shuffles whatever
@@ -89,16 +94,18 @@ def calendar_lags(df: DataFrame, cols: Sequence[str], max_lag: int, key: str = "
     names = [f"{c}_lag_{i}" for i in range(1, max_lag + 1) for c in cols]
     if dense:
         w = _w(key, date)
-        return df.select("*", *[F.when(trading, F.lag(c, i).over(w)).alias(f"{c}_lag_{i}")
-                                for i in range(1, max_lag + 1) for c in cols])
-    shifted = (df.select(key, date, *cols)
+        out = df.select("*", *[F.when(trading, F.lag(c, i).over(w)).alias(f"{c}_lag_{i}")
+                               for i in range(1, max_lag + 1) for c in cols])
+        return out if keep_calendar else out.filter(trading)
+    rank = F.col(order) if order else F.lit(0)
+    shifted = (df.select(key, date, *cols, rank.alias("_order"))
                .withColumn("_lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
                .withColumn("_tdate", F.date_add(F.col(date), F.col("_lag"))))
     piv = shifted.groupBy(key, "_tdate").agg(
-        *[F.max(F.when(F.col("_lag") == i, F.col(c))).alias(f"{c}_lag_{i}")
+        *[F.min_by(F.struct(F.col(c).alias("v")), F.when(F.col("_lag") == i, F.col("_order")))["v"].alias(f"{c}_lag_{i}")
           for i in range(1, max_lag + 1) for c in cols])
     piv = piv.withColumnRenamed("_tdate", date)
-    joined = df.join(piv, [key, date], "left")
+    joined = (df if keep_calendar else df.filter(trading)).join(piv, [key, date], "left")
     return joined.select(*[F.col(c) for c in df.columns],
                          *[F.when(trading, F.col(n)).alias(n) for n in names])
 

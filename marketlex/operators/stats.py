@@ -34,33 +34,6 @@ def moments(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str]) -> Da
         F.array(*ups).alias("cov"))
 
 
-def shifted_moments(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str],
-                    shifts: dict, extra: Sequence[Column] = ()) -> DataFrame:
-    """Same output as :func:`moments`, from plain sums of *shifted* values.
-
-    ``shifts`` maps each column to a column holding a per-group constant
-    (e.g. the series minimum, taken from a window the caller already has).
-    Shifting keeps the one-pass raw-sum formula numerically safe (the
-    cancellation is relative to the distance between mean and shift, not
-    to the mean itself) while every buffer is a plain ``sum``: cheap,
-    combined map-side, and small enough for whole-stage codegen.  ``extra``
-    aggregates (aliased) ride along in the same pass."""
-    k = len(cols)
-    sc = sorted(set(shifts.values()))
-    z = {c: F.col(c) - F.col(shifts[c]) for c in cols}
-    agg = df.groupBy(*group_cols, *sc).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(z[c]).alias(f"__s{i}") for i, c in enumerate(cols)],
-        *[F.sum(z[cols[i]] * z[cols[j]]).alias(f"__q{i}_{j}") for i in range(k) for j in range(i, k)],
-        *extra)
-    n = F.col("n").cast("double")
-    mu = [F.col(f"__s{i}") / n + F.col(shifts[c]) for i, c in enumerate(cols)]
-    cov = [(F.col(f"__q{i}_{j}") - F.col(f"__s{i}") * F.col(f"__s{j}") / n) / n
-           for i in range(k) for j in range(i, k)]
-    names = [agg.schema.fieldNames()[-len(extra) + i] for i in range(len(extra))] if extra else []
-    return agg.select(*group_cols, "n", F.array(*mu).alias("mu"), F.array(*cov).alias("cov"), *names)
-
-
 def _schema_fields(df: DataFrame, names: Sequence[str]):
     return [df.schema[n] for n in names]
 
@@ -103,29 +76,10 @@ def ols(df: DataFrame, group_cols: Sequence[str], y: str, xs: Sequence[str]) ->
 
 
 # -------------------------------------------------------------- diagnostics
-def durbin_watson(df: DataFrame, group_cols: Sequence[str], order_col: str, resid: str) -> DataFrame:
-    """sum((e_t - e_{t-1})^2) / sum(e_t^2) in ``order_col`` order."""
-    w = Window.partitionBy(*group_cols).orderBy(order_col)
-    d = df.withColumn("_de", F.col(resid) - F.lag(resid, 1).over(w))
-    return d.groupBy(*group_cols).agg(
-        (F.sum(F.col("_de") * F.col("_de")) / F.sum(F.col(resid) * F.col(resid))).alias("durbin_watson"))
-
-
-def normality_moments(df: DataFrame, group_cols: Sequence[str], resid: str) -> DataFrame:
-    """G5 inputs: n, population skewness and excess kurtosis per group."""
-    return df.groupBy(*group_cols).agg(F.count(resid).alias("_nn"), F.skewness(resid).alias("_skew"),
-                                       F.kurtosis(resid).alias("_kurt"))
-
-
-def levene_stats(df: DataFrame, group_cols: Sequence[str], a: str, b: str) -> DataFrame:
-    """G6 inputs: median-centred Levene statistic between samples ``a`` and
-    ``b`` (paired rows of one table, as in the reference).  W ~ F(1, N-2)."""
-    med = df.groupBy(*group_cols).agg(F.median(a).alias("_ma"), F.median(b).alias("_mb"))
-    return _levene_from_medians(df.join(med, list(group_cols)), group_cols, a, b)
-
-
 def _levene_from_medians(df: DataFrame, group_cols: Sequence[str], a: str, b: str) -> DataFrame:
-    """Levene W from rows that already carry the group medians ``_ma``, ``_mb``."""
+    """Median-centred Levene statistic between the samples ``a`` and
+    ``b`` (paired rows of one table, as in the reference), from rows that
+    already carry the group medians ``_ma``, ``_mb``.  W ~ F(1, N-2)."""
     z = df.select(
         *group_cols, F.abs(F.col(a) - F.col("_ma")).alias("_za"), F.abs(F.col(b) - F.col("_mb")).alias("_zb"))
     s = z.groupBy(*group_cols).agg(
@@ -152,6 +106,34 @@ def vif_single() -> Column:
     return F.lit(1.0)
 
 
+def vif(df: DataFrame, group_cols: Sequence[str], xs: Sequence[str]) -> DataFrame:
+    """Variance inflation of each predictor given the others and a
+    constant, per group, as rows (groups, variable, vif): the diagonal of the
+    inverse correlation matrix; null where predictors are collinear or
+    constant."""
+    k = len(xs)
+    st = moments(df.dropna(subset=list(xs)), group_cols, xs)
+    out = T.StructType(_schema_fields(st, group_cols) + [T.StructField("variable", T.StringType()), T.StructField("vif", T.DoubleType())])
+
+    def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if not len(pdf):
+                continue
+            cov = np.stack([sm.sym_from_upper(list(c), k) for c in pdf["cov"]])
+            sd = np.sqrt(np.einsum("gii->gi", cov))
+            with np.errstate(all="ignore"):
+                corr = cov / (sd[:, :, None] * sd[:, None, :])
+                ok = np.isfinite(corr).all(axis=(1, 2)) & (np.abs(np.linalg.det(np.nan_to_num(corr))) > 1e-12)
+            v = np.full((len(pdf), k), np.nan)
+            if ok.any():
+                v[ok] = np.einsum("gii->gi", np.linalg.inv(corr[ok]))
+            for j, x in enumerate(xs):
+                o = pdf[list(group_cols)].copy()
+                o["variable"], o["vif"] = x, v[:, j]
+                yield o
+    return st.mapInPandas(solve, out)
+
+
 def pvalues(df: DataFrame, specs: dict) -> DataFrame:
     """Append p-value columns computed in Arrow batches.  ``specs`` maps an
     output name to ``("t", stat, dof)``, ``("f", stat, d1, d2)``,

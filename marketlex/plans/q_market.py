@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlex.operators import cleaning, market
-from marketlex.plans.views import (V_FEATURES_SQL, V_OHLC_SQL, V_PANEL_SQL, v_features, v_ohlc,
+from marketlex.plans.views import (V_FEATURES_SQL, V_OHLC_SQL, V_PANEL_SQL, table, v_features, v_ohlc,
                                    v_panel)
 
 QUERIES = {}
@@ -46,7 +46,7 @@ ORACLES["j3_densify_calendar"] = (
     "FROM v_features GROUP BY company")
 
 LAG_COLS = ("n_urgent", "avg_price")
-MAX_LAG = 3
+MAX_LAG = 5
 
 
 def _lags_out(df):
@@ -69,13 +69,33 @@ _J4_SQL = (f"WITH {V_PANEL_SQL} SELECT p.company, p.date, "
                        for i in range(1, MAX_LAG + 1) for c in LAG_COLS)
            + " FROM v_panel p "
            + " ".join(f"LEFT JOIN v_panel l{i} ON l{i}.company = p.company AND l{i}.date = p.date - {i}"
-                      for i in range(1, MAX_LAG + 1)))
+                      for i in range(1, MAX_LAG + 1)) + " WHERE p.is_trading_day")
 QUERIES["j4_calendar_lags"] = j4_calendar_lags
 ORACLES["j4_calendar_lags"] = _J4_SQL
 QUERIES["j4_calendar_lags_dense"] = j4_calendar_lags_dense
 ORACLES["j4_calendar_lags_dense"] = _J4_SQL
 
 
+def j4_calendar_lags_first(spark, sf_dir):
+    """Many rows a day: the day's value is that of its first order."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("company"), F.to_date("o_orderdate").alias("date"), "o_orderkey",
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("price"), F.lit(True).alias("is_trading_day"))
+    lagged = market.calendar_lags(o, ["price"], 3, order="o_orderkey")
+    return lagged.select("company", "date", "o_orderkey", *[f"price_lag_{i}" for i in (1, 2, 3)])
+
+
+QUERIES["j4_calendar_lags_first"] = j4_calendar_lags_first
+ORACLES["j4_calendar_lags_first"] = """WITH o AS (
+  SELECT o_orderstatus AS company, CAST(o_orderdate AS DATE) AS date, o_orderkey,
+         CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS price FROM orders),
+f AS (SELECT company, date, price FROM o QUALIFY row_number() OVER (PARTITION BY company, date ORDER BY o_orderkey) = 1)
+SELECT o.company, o.date, o.o_orderkey, a.price AS price_lag_1, b.price AS price_lag_2, c.price AS price_lag_3
+FROM o LEFT JOIN f a ON a.company = o.company AND a.date = o.date - 1
+       LEFT JOIN f b ON b.company = o.company AND b.date = o.date - 2
+       LEFT JOIN f c ON c.company = o.company AND c.date = o.date - 3"""
+
+
 def w07_row_lags(spark, sf_dir):
     d = market.row_lags(v_ohlc(spark, sf_dir).select("company", "date", "close"), ["close"], 3)
     return _r6(d, [f"close_lag_{i}" for i in (1, 2, 3)])
@@ -143,7 +163,7 @@ SELECT company, date, part, round((ret - mr) / CASE WHEN sr = 0 THEN 1 ELSE sr E
 
 def r5_chronological_split(spark, sf_dir):
     o = v_ohlc(spark, sf_dir).select("company", "date")
-    s = market.chronological_split(o, ["date", "company"], F.year("date"), 0.7, 0.1)
+    s = market.chronological_split(o, ["date", "company"], F.col("date"), 0.7, 0.1)
     return s.select("company", "date", "part")
 
 

@@ -1,9 +1,8 @@
 """Registered regression / causality queries over ``v_panel``.
 
 Oracles exist where SQL can express the statistic (moments, closed-form
-one- and two-predictor fits, F statistics, binned mutual information);
-p-values need the incomplete beta / gamma functions, so queries that
-report them are rows-only here and unit-tested against brute force.
+fits by Gram-Schmidt sweeps, binned mutual information); their p-values are
+the beta and gamma integrals by Simpson's rule in SQL.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from marketlex.operators import causality as C
 from marketlex.operators import market
 from marketlex.operators import stats as S
+from marketlex.plans import sqlutil as q
 from marketlex.plans.views import V_PANEL_SQL, v_panel
 
 QUERIES = {}
@@ -26,6 +26,10 @@ def _r6(df, cols):
     return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _r3(df, cols):
+    return df.select(*[F.round(c, 3).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 # ------------------------------------------------------------------- G4
 def g04_ols(spark, sf_dir):
     f = S.ols(v_panel(spark, sf_dir), ["company"], "ret", ["n_urgent", "avg_price"])
@@ -52,182 +56,172 @@ SELECT company, n, round(my - ba * ma - bb * mb, 6) AS intercept, round(ba, 6) A
        round(1 - (n - 1.0) / (n - 3) * (ssr / (n * syy)), 6) AS adj_r2 FROM r"""
 
 
+def g08_vif(spark, sf_dir):
+    v = S.vif(v_panel(spark, sf_dir), ["company"], ["n_urgent", "n_low", "avg_price"])
+    return _r6(v, ["vif"])
+
+
+_VIFS = (("n_urgent", "n_low", "avg_price"), ("n_low", "n_urgent", "avg_price"), ("avg_price", "n_urgent", "n_low"))
+QUERIES["g08_vif"] = g08_vif
+ORACLES["g08_vif"] = f"WITH {V_PANEL_SQL}, c AS (SELECT * FROM v_panel WHERE n_urgent IS NOT NULL AND n_low IS NOT NULL AND avg_price IS NOT NULL),\n" + ",\n".join(
+    q.residuals(f"v_{y}", "c", "company", f"{y} AS orig", y, xs) for y, *xs in _VIFS) + "\n" + " UNION ALL ".join(
+    f"SELECT company, '{y}' AS variable, round(count(*) * var_pop(orig) / sum(e * e), 6) AS vif FROM v_{y} GROUP BY company" for y, *_ in _VIFS)
+
+
 # ------------------------------------------------------------------- G1
 def g01_ols_screen(spark, sf_dir):
     return S.ols_screen(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date")
 
 
-def g01_ols_screen_core(spark, sf_dir):
-    return g01_ols_screen(spark, sf_dir).select(
-        "company", "stock_variable", "tweet_variable", "r_squared", "adj_r_squared", "coefficient",
-        "durbin_watson", "vif", "sample_size", "outliers_removed")
-
-
 QUERIES["g01_ols_screen"] = g01_ols_screen
-QUERIES["g01_ols_screen_core"] = g01_ols_screen_core
 _PAIRS_SQL = " UNION ALL ".join(
     f"SELECT company, date, '{t}' AS target, '{s}' AS source, {t} AS y, {s} AS x FROM v_panel "
     f"WHERE {t} IS NOT NULL AND {s} IS NOT NULL" for t in TARGETS for s in SOURCES)
-ORACLES["g01_ols_screen_core"] = f"""WITH {V_PANEL_SQL}, lp AS ({_PAIRS_SQL}),
+ORACLES["g01_ols_screen"] = f"""WITH {V_PANEL_SQL}, lp AS ({_PAIRS_SQL}),
 zs AS (SELECT company, target, source, count(*) AS nvalid, avg(x) AS mx, stddev_pop(x) AS sx FROM lp GROUP BY ALL),
 k AS (SELECT lp.* FROM lp JOIN zs USING (company, target, source) WHERE abs((x - mx) / sx) < 3),
 st AS (SELECT company, target, source, count(*) AS n, avg(x) AS ax, avg(y) AS ay, var_pop(x) AS vx,
               var_pop(y) AS vy, covar_pop(x, y) AS cxy FROM k GROUP BY ALL),
 f AS (SELECT *, cxy / vx AS b, ay - cxy / vx * ax AS a, greatest(n * (vy - cxy / vx * cxy), 0) AS ssr FROM st),
-e AS (SELECT k.company, k.target, k.source, k.date, k.y - f.a - f.b * k.x AS e FROM k JOIN f USING (company, target, source)),
+e AS (SELECT k.company, k.target, k.source, k.date, k.x, k.y - f.a - f.b * k.x AS e FROM k JOIN f USING (company, target, source)),
 dw AS (SELECT company, target, source, sum(d * d) / sum(e * e) AS dw FROM
-       (SELECT *, e - lag(e) OVER (PARTITION BY company, target, source ORDER BY date) AS d FROM e) GROUP BY ALL)
+       (SELECT *, e - lag(e) OVER (PARTITION BY company, target, source ORDER BY date) AS d FROM e) GROUP BY ALL),
+cz AS (SELECT *, e - avg(e) OVER (PARTITION BY company, target, source) AS ce FROM e),
+nm AS (SELECT company, target, source, count(*) AS nn, avg(ce * ce * ce) / pow(avg(ce * ce), 1.5) AS skew,
+              avg(ce * ce * ce * ce) / pow(avg(ce * ce), 2) - 3 AS kurt FROM cz GROUP BY ALL),
+md AS (SELECT company, target, source, median(x) AS mx_, median(e) AS me_ FROM e GROUP BY ALL),
+za AS (SELECT company, target, source, abs(x - mx_) AS za, abs(e - me_) AS zb FROM e JOIN md USING (company, target, source)),
+zz AS (SELECT company, target, source, count(*) AS m, avg(za) AS ma, avg(zb) AS mb, var_pop(za) AS va, var_pop(zb) AS vb FROM za GROUP BY ALL),
+lv AS (SELECT company, target, source, 2.0 * m - 2 AS ldf,
+              (2.0 * m - 2) * (m * pow(ma - (ma + mb) / 2, 2) + m * pow(mb - (ma + mb) / 2, 2)) / (m * va + m * vb) AS lw FROM zz)
 SELECT f.company, f.target AS stock_variable, f.source AS tweet_variable,
        round_even(1 - ssr / (n * vy), 3) + 0.0 AS r_squared,
        round_even(1 - (n - 1.0) / (n - 2) * (ssr / (n * vy)), 3) + 0.0 AS adj_r_squared,
-       round_even(b, 3) + 0.0 AS coefficient, round_even(dw.dw, 3) + 0.0 AS durbin_watson, CAST(1.0 AS DOUBLE) AS vif,
+       round_even(b, 3) + 0.0 AS coefficient,
+       round_even({q.t_tail('b / sqrt(ssr / (n - 2) / (n * vx))', '(n - 2.0)')}, 5) + 0.0 AS p_value,
+       round_even({q.k2_tail('skew', 'kurt', '(nn * 1.0)')}, 5) + 0.0 AS normality_p,
+       round_even({q.f_tail('lw', '1.0', 'ldf')}, 5) + 0.0 AS homoscedasticity_p, round_even(dw.dw, 3) + 0.0 AS durbin_watson, CAST(1.0 AS DOUBLE) AS vif,
        n AS sample_size,
        zs.nvalid - n AS outliers_removed
-FROM f JOIN dw USING (company, target, source) JOIN zs USING (company, target, source)"""
+FROM f JOIN dw USING (company, target, source) JOIN zs USING (company, target, source)
+  JOIN nm USING (company, target, source) JOIN lv USING (company, target, source)"""
 
 
 # ------------------------------------------------------------------- G9
-def g09_granger_rowlag(spark, sf_dir):
-    g = C.granger_rowlag(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=5)
-    return _r6(g, ["rss_r", "rss_u", "f_stat", "p_value"])
+MAXLAG = 5
 
 
-def g09_granger_f_p1(spark, sf_dir):
-    """Lag order 1 of G9: F statistics that closed-form SQL can check."""
-    g = C.granger_rowlag(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=1)
-    return _r6(g.select("company", "target", "source", "lag", "n", "rss_r", "rss_u", "df_den", "f_stat"),
-               ["rss_r", "rss_u", "f_stat"])
+def _trading(spark, sf_dir):
+    return v_panel(spark, sf_dir).filter("is_trading_day")
 
 
+def g09_granger_rowlag(spark, sf_dir):
+    g = C.granger_rowlag(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=MAXLAG)
+    return _r3(_r6(g, ["f_stat", "p_value"]), ["rss_r", "rss_u"])
+
+
+def _series_sql(where_pair: bool, calendar: bool = False) -> str:
+    """CTE ``l``: y and its row lags, the source's row or calendar lags."""
+    w = "(PARTITION BY company, target, source ORDER BY date)"
+    rows = " UNION ALL ".join(
+        f"SELECT company, date, '{t}' AS target, '{s}' AS source, {t} AS y, {s} AS x FROM v_panel WHERE "
+        + (f"{t} IS NOT NULL AND {s} IS NOT NULL" if where_pair else "is_trading_day") for t in TARGETS for s in SOURCES)
+    xs = ", ".join((f"(SELECT any_value(v.x) FROM by_day v WHERE v.source = r.source AND v.company = r.company AND v.date = r.date - {i}) AS xl{i}"
+                    if calendar else f"lag(x, {i}) OVER {w} AS xl{i}") for i in range(1, MAXLAG + 1))
+    cal = "by_day AS (" + " UNION ALL ".join(f"SELECT company, date, '{s}' AS source, {s} AS x FROM v_panel" for s in SOURCES) + "),\n" if calendar else ""
+    ys = ", ".join(f"lag(y, {i}) OVER {w} AS yl{i}" for i in range(1, MAXLAG + 1))
+    return f"{cal}rows_ AS ({rows}),\nl AS (SELECT company, date, target, source, y, {ys}, {xs} FROM rows_ r)"
+
+
+def _fits_sql(series: str) -> str:
+    """CTEs up to ``fits``: one row per pair and lag order, by sweeps."""
+    parts, names = [f"{series}"], []
+    for p in range(1, MAXLAG + 1):
+        regs = [f"yl{i}" for i in range(1, p + 1)] + [f"xl{i}" for i in range(1, p + 1)]
+        need = " AND ".join(f"{c} IS NOT NULL" for c in ["y", *regs])
+        parts.append(f"d{p} AS (SELECT * FROM l WHERE {need} QUALIFY count(*) OVER (PARTITION BY company, target, source) >= {2 * p + 5})")
+        parts.append(q.residuals(f"s{p}", f"d{p}", "company, target, source", "date", "y", regs, snapshot=p))
+        names.append(f"SELECT company, target, source, date, {p} AS lag, n, e, e_r FROM s{p}")
+    parts.append("swept AS (" + " UNION ALL ".join(names) + ")")
+    parts.append("""fits AS (SELECT company, target, source, lag, n, sum(e_r * e_r) AS rss_r, sum(e * e) AS rss_u,
+  n - 2 * lag - 1 AS df_den, (sum(e_r * e_r) - sum(e * e)) / lag / (sum(e * e) / (n - 2 * lag - 1)) AS f_stat
+  FROM swept GROUP BY company, target, source, lag, n)""")
+    return ",\n".join(parts)
+
+
+_FIT_COLUMNS = f"""company, target, source, lag, n, round(rss_r, 3) AS rss_r, round(rss_u, 3) AS rss_u, lag AS df_num, df_den,
+       round(f_stat, 6) AS f_stat, round({q.f_tail('f_stat', 'lag', 'df_den')}, 6) AS p_value"""
 QUERIES["g09_granger_rowlag"] = g09_granger_rowlag
-QUERIES["g09_granger_f_p1"] = g09_granger_f_p1
-ORACLES["g09_granger_f_p1"] = f"""WITH {V_PANEL_SQL}, lp AS ({_PAIRS_SQL}),
-l AS (SELECT company, target, source, y, lag(y) OVER w AS yl, lag(x) OVER w AS xl FROM lp
-      WINDOW w AS (PARTITION BY company, target, source ORDER BY date)),
-m AS (SELECT company, target, source, count(*) AS n, var_pop(y) AS syy, var_pop(yl) AS saa, var_pop(xl) AS sbb,
-             covar_pop(yl, xl) AS sab, covar_pop(yl, y) AS say, covar_pop(xl, y) AS sby
-      FROM l WHERE yl IS NOT NULL AND xl IS NOT NULL GROUP BY ALL HAVING count(*) >= 7),
-c AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
-             (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM m),
-r AS (SELECT *, greatest(n * (syy - say * say / saa), 0) AS rss_r, greatest(n * (syy - ba * say - bb * sby), 0) AS rss_u FROM c)
-SELECT company, target, source, 1 AS lag, n, round(rss_r, 6) AS rss_r, round(rss_u, 6) AS rss_u, n - 3 AS df_den,
-       round((rss_r - rss_u) / (rss_u / (n - 3)), 6) AS f_stat FROM r"""
+ORACLES["g09_granger_rowlag"] = f"WITH {V_PANEL_SQL}, {_fits_sql(_series_sql(True))}\nSELECT {_FIT_COLUMNS} FROM fits"
 
 
 # ------------------------------------------------------------------ G10
-def _panel_with_calendar_lags(spark, sf_dir, cols=SOURCES, maxlag=5):
-    return market.calendar_lags(v_panel(spark, sf_dir), cols, maxlag)
-
-
 def g10_granger_calendarlag(spark, sf_dir):
-    p = _panel_with_calendar_lags(spark, sf_dir)
-    g = C.granger_calendarlag(p, TARGETS, SOURCES, ["company"], "date", maxlag=5)
-    return _r6(g, ["rss_r", "rss_u", "f_stat", "p_value"])
+    p = market.calendar_lags(v_panel(spark, sf_dir), SOURCES, MAXLAG)
+    g = C.granger_calendarlag(p, TARGETS, SOURCES, ["company"], "date", maxlag=MAXLAG)
+    return _r3(_r6(g, ["f_stat", "p_value"]), ["rss_r", "rss_u"])
 
 
 QUERIES["g10_granger_calendarlag"] = g10_granger_calendarlag
-
-
-def g10_granger_calendar_f_p1(spark, sf_dir):
-    """Lag order 1 of G10: closed-form SQL can check the F statistics."""
-    p = _panel_with_calendar_lags(spark, sf_dir, maxlag=1)
-    g = C.granger_calendarlag(p, TARGETS, SOURCES, ["company"], "date", maxlag=1)
-    return _r6(g.select("company", "target", "source", "lag", "n", "rss_r", "rss_u", "df_den", "f_stat"),
-               ["rss_r", "rss_u", "f_stat"])
-
-
-_CAL_PAIRS_SQL = " UNION ALL ".join(
-    f"SELECT p.company, p.date, '{t}' AS target, '{s}' AS source, p.{t} AS y, "
-    f"lag(p.{t}) OVER (PARTITION BY p.company ORDER BY p.date) AS yl, "
-    f"CASE WHEN p.is_trading_day THEN q.{s} END AS xl "
-    f"FROM v_panel p LEFT JOIN v_panel q ON q.company = p.company AND q.date = p.date - 1"
-    for t in TARGETS for s in SOURCES)
-QUERIES["g10_granger_calendar_f_p1"] = g10_granger_calendar_f_p1
-ORACLES["g10_granger_calendar_f_p1"] = f"""WITH {V_PANEL_SQL}, l AS ({_CAL_PAIRS_SQL}),
-m AS (SELECT company, target, source, count(*) AS n, var_pop(y) AS syy, var_pop(yl) AS saa, var_pop(xl) AS sbb,
-             covar_pop(yl, xl) AS sab, covar_pop(yl, y) AS say, covar_pop(xl, y) AS sby
-      FROM l WHERE y IS NOT NULL AND yl IS NOT NULL AND xl IS NOT NULL GROUP BY ALL HAVING count(*) >= 7),
-c AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
-             (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM m),
-r AS (SELECT *, greatest(n * (syy - say * say / saa), 0) AS rss_r, greatest(n * (syy - ba * say - bb * sby), 0) AS rss_u FROM c)
-SELECT company, target, source, 1 AS lag, n, round(rss_r, 6) AS rss_r, round(rss_u, 6) AS rss_u, n - 3 AS df_den,
-       round((rss_r - rss_u) / (rss_u / (n - 3)), 6) AS f_stat FROM r"""
+ORACLES["g10_granger_calendarlag"] = f"WITH {V_PANEL_SQL}, {_fits_sql(_series_sql(False, calendar=True))}\nSELECT {_FIT_COLUMNS} FROM fits"
 
 
 # ------------------------------------------------------------------ G11
 def g11_residual_diagnostics(spark, sf_dir):
-    d = C.residual_diagnostics(v_panel(spark, sf_dir), ["ret"], SOURCES, ["company"], "date", maxlag=3)
+    d = C.residual_diagnostics(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=MAXLAG)
     return _r6(d, ["lb_stat", "lb_pvalue", "arch_lm", "arch_pvalue"])
 
 
+_GROUP = "company, target, source, lag, model"
+_BY = f"OVER (PARTITION BY {_GROUP} ORDER BY date)"
 QUERIES["g11_residual_diagnostics"] = g11_residual_diagnostics
-
-
-def g11_ljung_box_p1(spark, sf_dir):
-    """Ljung-Box Q of the lag-1 restricted Granger residuals (SQL-checkable)."""
-    d = C.residual_diagnostics(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=1)
-    return d.filter(F.col("model") == "restricted").select(
-        "company", "target", "source", "lag", F.round("lb_stat", 6).alias("lb_stat"))
-
-
-QUERIES["g11_ljung_box_p1"] = g11_ljung_box_p1
-ORACLES["g11_ljung_box_p1"] = f"""WITH {V_PANEL_SQL}, lp AS ({_PAIRS_SQL}),
-l AS (SELECT company, target, source, date, y, lag(y) OVER w AS yl, lag(x) OVER w AS xl FROM lp
-      WINDOW w AS (PARTITION BY company, target, source ORDER BY date)),
-k AS (SELECT * FROM l WHERE yl IS NOT NULL AND xl IS NOT NULL),
-f AS (SELECT company, target, source, count(*) AS n, covar_pop(yl, y) / var_pop(yl) AS b, avg(y) AS my, avg(yl) AS myl
-      FROM k GROUP BY ALL HAVING count(*) >= 7),
-e AS (SELECT k.company, k.target, k.source, k.date, f.n, k.y - (f.my - f.b * f.myl) - f.b * k.yl AS e
-      FROM k JOIN f USING (company, target, source)),
-c AS (SELECT *, e - avg(e) OVER (PARTITION BY company, target, source) AS d FROM e),
-a AS (SELECT company, target, source, n, d,
-        {", ".join(f"lag(d, {j}) OVER (PARTITION BY company, target, source ORDER BY date) AS d{j}" for j in range(1, 11))}
-      FROM c),
-s AS (SELECT company, target, source, n, sum(d * d) AS den,
-        {", ".join(f"sum(d * d{j}) AS p{j}" for j in range(1, 11))} FROM a GROUP BY ALL)
-SELECT company, target, source, 1 AS lag, round(n * (n + 2.0) * ({" + ".join(f"CASE WHEN least(10, n - 1) >= {j} THEN (p{j} / den) * (p{j} / den) / (n - {j}) ELSE 0 END" for j in range(1, 11))}), 6) AS lb_stat
-FROM s"""
+ORACLES["g11_residual_diagnostics"] = f"""WITH {V_PANEL_SQL}, {_fits_sql(_series_sql(True))},
+res AS (SELECT company, target, source, date, lag, n, 'restricted' AS model, e_r AS e FROM swept
+        UNION ALL SELECT company, target, source, date, lag, n, 'unrestricted', e FROM swept),
+cen AS (SELECT *, e - avg(e) OVER (PARTITION BY {_GROUP}) AS d FROM res),
+lb0 AS (SELECT {_GROUP}, n, d, {", ".join(f"lag(d, {j}) {_BY} AS d{j}" for j in range(1, 11))} FROM cen),
+lb AS (SELECT {_GROUP}, n, n * (n + 2.0) * ({" + ".join(f"CASE WHEN n - 1 >= {j} THEN pow(coalesce(sum(d * d{j}), 0) / sum(d * d), 2) / (n - {j}) ELSE 0 END" for j in range(1, 11))}) AS lb_stat
+       FROM lb0 GROUP BY {_GROUP}, n),
+a0 AS (SELECT {_GROUP}, date, least(10, n // 5) AS qa, e * e AS y, {", ".join(f"lag(e * e, {j}) {_BY} AS m{j}" for j in range(1, 11))} FROM res),
+a1 AS (SELECT {_GROUP}, date, qa, y, {", ".join(f"CASE WHEN qa >= {j} THEN m{j} ELSE 0 END AS l{j}" for j in range(1, 11))}
+       FROM a0 WHERE qa > 0 AND {" AND ".join(f"(qa < {j} OR m{j} IS NOT NULL)" for j in range(1, 11))}),
+{q.residuals("ar", "a1", _GROUP, "date, qa, y", "y", [f"l{j}" for j in range(1, 11)])},
+arch AS (SELECT {_GROUP}, qa, count(*) * (1 - sum(e * e) / (count(*) * var_pop(y))) AS arch_lm FROM ar GROUP BY {_GROUP}, qa),
+st AS (SELECT lb.*, CAST(least(10, n - 1) AS DOUBLE) AS h, arch_lm, CAST(qa AS DOUBLE) AS qa FROM lb LEFT JOIN arch USING ({_GROUP})),
+pv AS (SELECT *, {q.chi2_tail('lb_stat', 'h')} AS lb_p, {q.chi2_tail('arch_lm', 'qa')} AS arch_p FROM st)
+SELECT {_GROUP}, round(lb_stat, 6) AS lb_stat, round(lb_p, 6) AS lb_pvalue, round(arch_lm, 6) AS arch_lm, round(arch_p, 6) AS arch_pvalue,
+       CASE WHEN h > 0 THEN lb_p < 0.05 END AS autocorrelated, CASE WHEN qa > 0 THEN arch_p < 0.05 END AS heteroskedastic FROM pv"""
 
 
 # ------------------------------------------------------------------ G12
 def g12_granger_bootstrap(spark, sf_dir):
-    b = C.granger_bootstrap(v_panel(spark, sf_dir), ["ret"], ["n_urgent"], ["company"], "date",
-                            maxlag=3, B=50, block_size=5, seed=1)
-    return b.select("company", "target", "source", "lag_order", F.round("f_actual", 6).alias("f_actual"),
-                    "n_valid", "count_exceeds", F.round("p_value", 6).alias("p_value"))
+    return C.granger_bootstrap(_trading(spark, sf_dir), TARGETS, SOURCES, ["company"], "date",
+                               maxlag=MAXLAG, B=100, block_size=5, seed=1).select(
+        "company", "target", "source", "lag_order", F.round("f_actual", 6).alias("f_actual"),
+        "n_valid", "count_exceeds", F.round("p_value", 6).alias("p_value"))
 
 
-QUERIES["g12_granger_bootstrap"] = g12_granger_bootstrap
+def g12_bootstrap_observed(spark, sf_dir):
+    """What does not depend on the random order: the observed statistic, the
+    number of valid replicates, and p as the share of exceeding ones."""
+    b = g12_granger_bootstrap(spark, sf_dir)
+    return b.select("company", "target", "source", "lag_order", "f_actual", "n_valid",
+                    ((F.col("count_exceeds") >= 0) & (F.col("count_exceeds") <= F.col("n_valid"))
+                     & (F.abs(F.col("p_value") * F.col("n_valid") - F.col("count_exceeds")) < 1e-3)).alias("p_is_share"))
 
 
-def g12_bootstrap_observed_p1(spark, sf_dir):
-    """The observed statistic of G12 at lag order 1 (lags on the full series,
-    incomplete rows dropped afterwards) with its valid-replicate count bound."""
-    b = C.granger_bootstrap(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date",
-                            maxlag=1, B=20, block_size=5, seed=2)
-    return b.select("company", "target", "source", "lag_order", F.round("f_actual", 6).alias("f_actual"),
-                    (F.col("n_valid") <= 20).alias("n_valid_ok"))
-
-
-_FULL_PAIRS_SQL = " UNION ALL ".join(
-    f"SELECT company, date, '{t}' AS target, '{s}' AS source, {t} AS y, "
-    f"lag({t}) OVER (PARTITION BY company ORDER BY date) AS yl, lag({s}) OVER (PARTITION BY company ORDER BY date) AS xl "
-    f"FROM v_panel" for t in TARGETS for s in SOURCES)
-QUERIES["g12_bootstrap_observed_p1"] = g12_bootstrap_observed_p1
-ORACLES["g12_bootstrap_observed_p1"] = f"""WITH {V_PANEL_SQL}, l AS ({_FULL_PAIRS_SQL}),
-m AS (SELECT company, target, source, count(*) AS n, var_pop(y) AS syy, var_pop(yl) AS saa, var_pop(xl) AS sbb,
-             covar_pop(yl, xl) AS sab, covar_pop(yl, y) AS say, covar_pop(xl, y) AS sby
-      FROM l WHERE y IS NOT NULL AND yl IS NOT NULL AND xl IS NOT NULL GROUP BY ALL HAVING count(*) >= 7),
-c AS (SELECT *, (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba,
-             (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb FROM m),
-r AS (SELECT *, greatest(n * (syy - say * say / saa), 0) AS rss_r, greatest(n * (syy - ba * say - bb * sby), 0) AS rss_u FROM c)
-SELECT company, target, source, 1 AS lag_order, round((rss_r - rss_u) / (rss_u / (n - 3)), 6) AS f_actual,
-       true AS n_valid_ok FROM r"""
+QUERIES["g12_granger_bootstrap"] = g12_granger_bootstrap
+QUERIES["g12_bootstrap_observed"] = g12_bootstrap_observed
+# A replicate is valid if no lag it needs on a fitted row is missing: the
+# shuffled series has no gap where the source has none, and the fitted rows
+# of order p start after p rows.
+ORACLES["g12_bootstrap_observed"] = f"""WITH {V_PANEL_SQL}, {_fits_sql(_series_sql(False))}
+SELECT company, target, source, lag AS lag_order, round(f_stat, 6) AS f_actual, 100 AS n_valid, true AS p_is_share FROM fits"""
 
 
 # ---------------------------------------------------------- G13, G14, A12
 def _granger_flat(spark, sf_dir):
-    return C.granger_rowlag(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=5) \
+    return C.granger_rowlag(v_panel(spark, sf_dir), TARGETS, SOURCES, ["company"], "date", maxlag=MAXLAG) \
         .select("company", "target", "source", "lag", "p_value")
 
 
@@ -237,12 +231,40 @@ def g13_flatten_granger(spark, sf_dir):
                        C.flag_significant("p_value", 0.05))
 
 
+LABELS = {"n_urgent": "urgent orders", "avg_price": "mean price", "ret": "return"}
+
+
 def a12_pivot_significant(spark, sf_dir):
     return C.pivot_significant(_granger_flat(spark, sf_dir), alpha=0.05, full_grid=True)
 
 
+def a12_pivot_reduced(spark, sf_dir):
+    """Only targets and sources with a significant cell, display names, and a
+    placeholder where nothing is significant."""
+    return C.pivot_significant(_granger_flat(spark, sf_dir), alpha=0.05, full_grid=False, labels=LABELS)
+
+
+def a12_pivot_table(spark, sf_dir):
+    return C.significance_table(a12_pivot_significant(spark, sf_dir), SOURCES)
+
+
+_FLAT_SQL = (f"WITH {V_PANEL_SQL}, {_fits_sql(_series_sql(True))},\n"
+             f"flat AS (SELECT company, target, source, lag, {q.f_tail('f_stat', 'lag', 'df_den')} AS p_value FROM fits),\n"
+             "grid AS (SELECT company, target, source, count(CASE WHEN p_value < 0.05 THEN 1 END) AS n_significant FROM flat GROUP BY ALL)")
+_NAME = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + f" ELSE {c} END AS {c}"
 QUERIES["g13_flatten_granger"] = g13_flatten_granger
+ORACLES["g13_flatten_granger"] = f"{_FLAT_SQL}\nSELECT company, target, source, lag, round(p_value, 6) AS p_value, p_value < 0.05 AS significant FROM flat"
 QUERIES["a12_pivot_significant"] = a12_pivot_significant
+ORACLES["a12_pivot_significant"] = f"{_FLAT_SQL}\nSELECT * FROM grid"
+QUERIES["a12_pivot_reduced"] = a12_pivot_reduced
+ORACLES["a12_pivot_reduced"] = f"""{_FLAT_SQL}
+SELECT company, {_NAME('target')}, {_NAME('source')}, n_significant FROM (
+SELECT g.* FROM grid g WHERE (company, target) IN (SELECT (company, target) FROM grid WHERE n_significant > 0)
+  AND (company, source) IN (SELECT (company, source) FROM grid WHERE n_significant > 0)
+UNION ALL SELECT company, NULL, NULL, 0 FROM grid GROUP BY company HAVING max(n_significant) = 0)"""
+QUERIES["a12_pivot_table"] = a12_pivot_table
+ORACLES["a12_pivot_table"] = f"{_FLAT_SQL}\nSELECT company, target, " + ", ".join(
+    f"coalesce(sum(CASE WHEN source = '{s}' THEN n_significant END), 0)::BIGINT AS {s}" for s in SOURCES) + " FROM grid GROUP BY company, target"
 
 
 # -------------------------------------------------------------- G2 / G3
