@@ -43,6 +43,9 @@ EMOTICONS = (
 )
 # ---------------------------------------------------------------------------
 
+# Entries that may be brought to the driver (a parameter of the two loaders
+# below): each is part of every task's plan.  Longer word lists use the join
+# form, ``textops.remove_stopwords_table``.
 MAX_INLINE_LEXICON = 100_000
 
 PAIR_SCHEMA = T.StructType([
@@ -53,11 +56,10 @@ PAIR_SCHEMA = T.StructType([
 
 
 def load_pairs(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Read an ordered ``key<sep>replacement`` file as ``(ord, key, replacement)``."""
-    raw = (spark.read.option("sep", sep).option("quote", "\u0000")
-           .schema("key string, replacement string").csv(path))
-    return raw.withColumn("ord", F.monotonically_increasing_id()) \
-        .select("ord", "key", "replacement")
+    """Read ``ord<sep>key<sep>replacement`` files as a lexicon table.  The
+    order of application is the contract, so it is a column: lines of several
+    files or splits have no order of their own."""
+    return spark.read.option("sep", sep).option("quote", "\u0000").schema(PAIR_SCHEMA).csv(path)
 
 
 def load_words(spark: SparkSession, path: str) -> DataFrame:

@@ -154,18 +154,29 @@ def kept_tokens(t, words: Iterable[str]) -> Column:
 
 # ------------------------------------------------------------- lexicon fold
 @lru_cache(maxsize=32)
-def _prefilter_exact(pairs: tuple) -> bool:
+def _prefilter_exact(pairs: tuple, prefix: str = " ") -> bool:
     """True when skipping keys absent from the *input* text cannot change the
-    result: no replacement text can create a later key, inside itself or
-    across its edges."""
+    result: no inserted text can take part in a later key in any alignment --
+    holding it, overlapping either end of it, or lying inside it (text on
+    both sides; an empty insertion lies inside every longer key)."""
+    whole, head, tail, inside = {}, {}, {}, {}   # fragment -> last entry whose key has it there
+    for i, (k, _) in enumerate(pairs):
+        whole[k] = i
+        for n in range(1, len(k)):
+            head[k[:n]] = tail[k[n:]] = i
+        for x in range(1, len(k)):
+            for y in range(x, len(k)):
+                inside[k[x:y]] = i
+    longest = max((len(k) for k, _ in pairs), default=0)
     for i, (_, v) in enumerate(pairs):
-        rep = " " + v
-        for k, _ in pairs[i + 1:]:
-            if k in rep:
+        new = prefix + v
+        if inside.get(new, -1) > i:
+            return False
+        for n in range(1, min(longest, len(new)) + 1):
+            if head.get(new[-n:], -1) > i or tail.get(new[:n], -1) > i:
+                return False
+            if any(whole.get(new[x:x + n], -1) > i for x in range(len(new) - n + 1)):
                 return False
-            for n in range(1, len(k)):
-                if rep.endswith(k[:n]) or rep.startswith(k[n:]):
-                    return False
     return True
 
 
@@ -205,7 +216,7 @@ def replace_lexicon(t, pairs: Sequence[tuple[str, str]], prefix: str = " ") -> C
     col = _c(t)
     if not pairs:
         return col
-    exact = _prefilter_exact(pairs) if len(pairs) <= 4 * LEXICON_CHUNK else False
+    exact = _prefilter_exact(pairs, prefix)
     for start in range(0, len(pairs), LEXICON_CHUNK):
         chunk = pairs[start:start + LEXICON_CHUNK]
         singles = sorted({k for k, _ in chunk if len(k) == 1})

@@ -19,15 +19,20 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.dropna(subset=list(cols) if cols else None)
 
 
-def dedup_by_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
+def dedup_by_key(df: DataFrame, key: str, order_col: str, unique_order: bool = True) -> DataFrame:
     """Keep the first row (smallest ``order_col``) of every ``key`` value.
 
-    A grouped ``min_by`` combines map-side, so a key repeated a million
-    times is reduced before the shuffle instead of sorted in one task.
+    Keys are grouped by two 64-bit hashes, the hash aggregate of (hashes,
+    smallest order value) combines map-side, and the winners are joined
+    back: long keys (texts) are hashed, never sorted or shuffled twice.
+    ``unique_order=False`` also drops rows that share the key and the
+    smallest order value (one more shuffle).
     """
-    others = [c for c in df.columns if c != key]
-    agg = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_r"))
-    return agg.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    digest = [F.xxhash64(F.lit(7), key).alias("_h1"), F.xxhash64(F.lit(13), key).alias("_h2")]
+    first = df.select(*digest, F.col(order_col).alias("_o")).groupBy("_h1", "_h2").agg(F.min("_o").alias("_o"))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    j = df.select(*cols, *digest).join(first, ["_h1", "_h2"]).where(F.col(order_col).eqNullSafe(F.col("_o")))
+    return (j if unique_order else j.dropDuplicates(["_h1", "_h2"])).select(*cols)
 
 
 def dedup_rows(df: DataFrame) -> DataFrame:
@@ -64,9 +69,11 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """P10: one row per column: type and non-null count, from one scan."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    stack = counts.unpivot([], df.columns, "column", "non_null")
+    """P10: one row per column: type, non-null count and number of distinct
+    values (approximate to 5 %, bounded memory), from one scan."""
+    counts = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.col(f"`{c}`")).alias("non_null"),
+                                       F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias("distinct_values")) for c in df.columns]).alias("_c"))
+    stack = counts.select(F.inline("_c"))
     types = df.sparkSession.createDataFrame(
         [(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, dtype string")
     return stack.join(F.broadcast(types), "column")  # one row per column

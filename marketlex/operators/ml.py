@@ -15,17 +15,23 @@ from marketlex.functions.text import SPACE
 from marketlex.operators.results import mean_over_folds
 from marketlex.operators.sampling import stratified_kfold
 from marketlex.operators.scoring import class_weights, classification_metrics
+from marketlex.session import materialize
 
 METRIC_COLS = ("accuracy", "macro_f1", "weighted_f1", "f1_0", "f1_1", "f1_2")
 
 
-def _pipeline(num_features: int, reg: float, max_iter: int) -> Pipeline:
+def _features(df: DataFrame, num_features: int) -> DataFrame:
+    """Hashed term counts: the part of the pipeline that learns nothing."""
     tok = RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=SPACE + "+", toLowercase=True)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
+    return tf.transform(tok.transform(df)).drop("_tokens", "text")
+
+
+def _fit(train: DataFrame, reg: float, max_iter: int):
     idf = IDF(inputCol="_tf", outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight",
                             regParam=reg, maxIter=max_iter, family="multinomial")
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return Pipeline(stages=[idf, lr]).fit(train)
 
 
 def cross_validate(df: DataFrame, params: Sequence[Mapping], k: int = 5, seed: int = 12,
@@ -33,23 +39,28 @@ def cross_validate(df: DataFrame, params: Sequence[Mapping], k: int = 5, seed: i
     """For every parameter set and fold: class weights from the training
     folds (M4), fit, predict the held-out fold, score (A2); returns one row
     per (parameter set, fold) plus ``fold = -1`` rows holding the fold means
-    (A5).  Each fit is a distributed Spark ML job; the loop only submits
-    k x len(params) jobs."""
-    from marketlex.session import materialize
-    # every fit reads the fold table twice (train and held-out part): cut it once
-    folds = materialize(stratified_kfold(df.select(id_col, "text", "label"), k, "label", id_col, seed))
-    rows = None
+    (A5).
+
+    Texts are tokenised and hashed once per feature size, every held-out row
+    is predicted once into one stored table, and all metrics come from one
+    aggregation of it.  Each fit is a distributed Spark ML job; the loop only
+    submits k x len(params) of them."""
+    folds = stratified_kfold(df.select(id_col, "text", "label"), k, "label", id_col, seed)
+    sizes = sorted({p.get("num_features", 1 << 16) for p in params})
+    featured = {n: materialize(_features(folds, n)) for n in sizes}
+    predictions = None
     for pi, p in enumerate(params):
+        rows = featured[p.get("num_features", 1 << 16)]
         for f in range(k):
-            train = folds.filter(F.col("fold") != f)
-            test = folds.filter(F.col("fold") == f)
+            train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
             w = class_weights(train, "label", floor=p.get("class_weight_floor", floor))
-            train_w = train.join(F.broadcast(w), "label")  # 3 rows
-            model = _pipeline(p.get("num_features", 1 << 16), p.get("reg_param", 0.0),
-                              p.get("max_iter", 50)).fit(train_w)
-            pred = model.transform(test.withColumn("weight", F.lit(1.0)))
-            m = classification_metrics(pred.withColumn("pred", F.col("prediction").cast("int")), "label", "pred")
-            m = m.select(F.lit(pi).alias("param_set"), F.lit(f).alias("fold"), *METRIC_COLS)
-            rows = m if rows is None else rows.unionByName(m)
+            model = _fit(train.join(F.broadcast(w), "label"), p.get("reg_param", 0.0), p.get("max_iter", 50))  # one row per class
+            pred = model.transform(test.withColumn("weight", F.lit(1.0))).select(
+                F.lit(pi).alias("param_set"), F.lit(f).alias("fold"), "label", F.col("prediction").cast("int").alias("pred"))
+            predictions = pred if predictions is None else predictions.unionByName(pred)
+    if predictions is None:
+        raise ValueError("no parameter set")
+    predictions = materialize(predictions)
+    rows = materialize(classification_metrics(predictions, "label", "pred", group_cols=["param_set", "fold"]).select("param_set", "fold", *METRIC_COLS))
     mean = mean_over_folds(rows, ["param_set"], METRIC_COLS).withColumn("fold", F.lit(-1))
     return rows.unionByName(mean.select(rows.columns))

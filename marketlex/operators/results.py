@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "neutral_f1", "positive_f1", "negative_f1")
@@ -96,9 +96,10 @@ def baseline_join(df: DataFrame, baseline: str, metric: str = "weighted_f1",
 
 def baseline_delta(df: DataFrame, baseline: str, metric: str = "weighted_f1",
                    model: str = "model", dataset: str = "dataset") -> DataFrame:
-    """``delta = metric - baseline metric`` of the same model; baseline rows removed.
-    A window max over the model partition replaces the self-join."""
-    base = F.max(F.when(F.col(dataset) == baseline, F.col(metric))).over(Window.partitionBy(model))
-    return (df.withColumn("baseline", base)
-            .withColumn("delta", F.col(metric) - F.col("baseline"))
-            .filter(F.col(dataset) != baseline))
+    """``delta = metric - baseline metric`` of the same model; baseline
+    rows removed.  The baseline side is aggregated to one row per model and
+    joined (AQE broadcasts it once measured), so a model's rows need not meet
+    in one task."""
+    base = df.groupBy(model).agg(F.max(F.when(F.col(dataset) == baseline, F.col(metric))).alias("baseline"))
+    return (df.filter(F.col(dataset) != baseline).join(base, model)
+            .withColumn("delta", F.col(metric) - F.col("baseline")))

@@ -106,9 +106,14 @@ def param_grid(spark: SparkSession, values: Mapping[str, Sequence], models: Sequ
     return spark.createDataFrame(rows, list(values.keys()) + ["model", "dataset"])
 
 
-def grid_from_tables(axes: Sequence[DataFrame]) -> DataFrame:
+def grid_from_tables(axes: Sequence[DataFrame], max_points: int = 1_000_000) -> DataFrame:
     """R6 over value tables (each one column of distinct values): cross
-    product of small dimension tables."""
+    product of small dimension tables, refused beyond ``max_points``."""
+    points = 1
+    for a in axes:
+        points *= max(1, a.count())
+        if points > max_points:
+            raise ValueError(f"a grid of more than {max_points} points")
     out = axes[0]
     for a in axes[1:]:
         out = out.crossJoin(a)

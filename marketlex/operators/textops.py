@@ -13,7 +13,8 @@ from marketlex.functions import text as tx
 
 Step = Callable[[Column], Column]
 
-# Single-step variants, by name, in the order they are reported.
+# Single-step variants, by name, in the order they are reported (fixed
+# values: these names and those of the strategies below key stored results).
 BASIC_VARIANTS: dict[str, list[Step]] = {
     "No_processing": [],
     "No_processing_emoji": [tx.replace_emoji],
@@ -123,12 +124,14 @@ def dictionary_normalize(df: DataFrame, table: DataFrame, id_col: str = "id",
 def build_vocabulary(df: DataFrame, text_col: str = "text", reserved: int = 2) -> DataFrame:
     """Vocabulary ``(token, id)`` by descending frequency (ties by token);
     ids start after ``reserved`` (0 = pad, 1 = unknown).  Positions come from
-    per-(count, first letter) bucket offsets, not one global window."""
+    per-(count, first four characters) bucket offsets, not one global
+    window: tokens seen once, the bulk of a vocabulary, spread over as many
+    buckets as they have beginnings."""
     from marketlex.operators.ordering import global_row_number
     counts = (df.select(F.explode(tx.whitespace_tokens(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    # bucket monotone in (freq desc, token asc): (-freq, first character)
-    bucket = F.struct((-F.col("freq")).alias("f"), F.substring("token", 1, 1).alias("c"))
+    # bucket monotone in (freq desc, token asc)
+    bucket = F.struct((-F.col("freq")).alias("f"), F.substring("token", 1, 4).alias("c"))
     numbered = global_row_number(counts, [F.col("freq").desc(), F.col("token")], bucket, "rank")
     return numbered.select("token", (F.col("rank") + reserved - 1).cast("int").alias("token_id"), "freq")
 

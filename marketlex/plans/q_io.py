@@ -12,8 +12,8 @@ from marketlex.operators import results as R
 from marketlex.operators import sampling, scoring, textops
 from marketlex.operators.ml import cross_validate
 from marketlex.plans import sqlutil as q
-from marketlex.plans.views import (V_LABELLED_SQL, V_RUNS_SQL, V_SCORED_SQL, V_TWEETS_SQL, table,
-                                   v_labelled, v_runs, v_scored, v_tweets)
+from marketlex.plans.views import (V_LABELLED_SQL, V_OHLC_SQL, V_RUNS_SQL, V_SCORED_SQL, V_TWEETS_SQL, table,
+                                   v_labelled, v_ohlc, v_runs, v_scored, v_tweets)
 from marketlex.session import checkpoint_dir
 from marketlex.sources import files, sinks
 from marketlex.streaming import text_stream
@@ -29,33 +29,57 @@ def _scratch(spark, what: str) -> str:
 # ------------------------------------------------------------- S2 / S4
 def s2_read_results_dir(spark, sf_dir):
     """Group means written as a directory of CSV files, read back by S2."""
-    g = R.group_mean(v_runs(spark, sf_dir), ["model", "dataset"], R.METRICS, digits=6)
-    g = g.select(F.lit(12).alias("train_seed"), F.lit(42).alias("model_seed"), *R.METRICS, "model", "dataset")
+    g = R.group_mean(v_runs(spark, sf_dir), ["model", "dataset"], [*R.METRICS, "learning_rate"], digits=6)
+    seeds = [F.lit(12).alias("train_seed"), F.lit(42).alias("model_seed")]
     d = _scratch(spark, "results-csv")
-    g.repartition(3).write.option("header", True).csv(d)
-    return files.read_results_dir(spark, d)
+    # three headers in one directory: as stored, columns swapped, a grid-run column more
+    for model, cols in (("A", [*seeds, *R.METRICS, "model", "dataset"]),
+                        ("N", ["dataset", "model", *reversed(R.METRICS), *reversed(seeds)]),
+                        ("R", [*seeds, *R.METRICS, "model", "dataset", "learning_rate"])):
+        g.filter(F.col("model") == model).select(*cols).repartition(2).write.mode("append").option("header", True).csv(d)
+    return files.read_results_dir(spark, d).select("train_seed", "model_seed", *R.METRICS, "model", "dataset", "learning_rate")
 
 
 QUERIES["s2_read_results_dir"] = s2_read_results_dir
 ORACLES["s2_read_results_dir"] = (
     f"WITH {V_RUNS_SQL} SELECT 12 AS train_seed, 42 AS model_seed, "
-    + ", ".join(f"round(avg({m}), 6) AS {m}" for m in R.METRICS) + ", model, dataset FROM v_runs GROUP BY model, dataset")
+    + ", ".join(f"round(avg({m}), 6) AS {m}" for m in R.METRICS)
+    + ", model, dataset, CASE WHEN model = 'R' THEN round(avg(learning_rate), 6) END AS learning_rate FROM v_runs GROUP BY model, dataset")
 
 
 def s4_write_results(spark, sf_dir):
-    """Fold-mean rows appended to a partitioned result table and read back
-    with partition pruning on ``model``."""
+    """Fold-mean rows appended to a partitioned result table and read back."""
     g = R.mean_over_folds(v_runs(spark, sf_dir), ["model", "dataset", "model_seed"], ["weighted_f1"])
     d = _scratch(spark, "results-parquet")
     sinks.write_results(g, d, run_id="run-1")
-    back = spark.read.parquet(d).filter(F.col("model") != "N")
+    back = spark.read.parquet(d)
     return back.select("model", "dataset", "model_seed", F.round("weighted_f1", 6).alias("weighted_f1"), "run_id")
 
 
 QUERIES["s4_write_results"] = s4_write_results
 ORACLES["s4_write_results"] = (
     f"WITH {V_RUNS_SQL} SELECT model, dataset, model_seed, round(avg(weighted_f1), 6) AS weighted_f1, "
-    "'run-1' AS run_id FROM v_runs WHERE model <> 'N' GROUP BY ALL")
+    "'run-1' AS run_id FROM v_runs GROUP BY ALL")
+
+
+def s5_materialize_variants(spark, sf_dir):
+    """Two variants of every tweet cached, then read from the cache."""
+    root = _scratch(spark, "variants")
+    tweets = v_tweets(spark, sf_dir).select("id", "text")
+    chosen = {k: textops.BASIC_VARIANTS[k] for k in ("Basic_processing", "No_processing_http")}
+    out = None
+    for _ in range(2):  # the second call only reads
+        cache = sinks.materialize_variants(spark, tweets, chosen, root, input_version=sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    for name, d in cache.items():
+        d = d.select("id", F.lit(name).alias("variant"), "text")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+QUERIES["s5_materialize_variants"] = s5_materialize_variants
+ORACLES["s5_materialize_variants"] = (
+    f"WITH {V_TWEETS_SQL} SELECT id, 'Basic_processing' AS variant, {q.clean_text_basic('text')} AS text FROM v_tweets "
+    f"UNION ALL SELECT id, 'No_processing_http', {q.strip_urls('text')} FROM v_tweets")
 
 
 def s6_write_misclassified(spark, sf_dir):
@@ -98,7 +122,28 @@ def s7_stream_eval_log(spark, sf_dir):
     return spark.read.parquet(log)
 
 
+def s7_eval_log_totals(spark, sf_dir):
+    """The stream's log summed over its batches: whatever the batches, rows
+    and correct predictions add up."""
+    log = s7_stream_eval_log(spark, sf_dir)
+    return log.agg(F.sum("n").cast("long").alias("n"), F.round(F.sum(F.col("accuracy") * F.col("n")), 6).alias("n_correct"))
+
+
+def s7_append_eval_log(spark, sf_dir):
+    """One metrics row per language appended to a CSV log, read back."""
+    log = _scratch(spark, "evallog-csv")
+    m = scoring.classification_metrics(v_scored(spark, sf_dir).withColumn("pred", scoring.argmax("logits")), group_cols=["lang"])
+    sinks.append_eval_log(m.select("lang", F.round("accuracy", 6).alias("accuracy")), log)
+    return spark.read.option("header", True).schema("lang string, accuracy double").csv(log)
+
+
 QUERIES["s7_stream_eval_log"] = s7_stream_eval_log
+QUERIES["s7_eval_log_totals"] = s7_eval_log_totals
+ORACLES["s7_eval_log_totals"] = (
+    f"WITH {V_SCORED_SQL} SELECT count(*) AS n, round(CAST(count(CASE WHEN {_AM} = label THEN 1 END) AS DOUBLE), 6) AS n_correct FROM v_scored")
+QUERIES["s7_append_eval_log"] = s7_append_eval_log
+ORACLES["s7_append_eval_log"] = (
+    f"WITH {V_SCORED_SQL} SELECT lang, round(avg(CASE WHEN {_AM} = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM v_scored GROUP BY lang")
 
 
 # ------------------------------------------------------------------- T14
@@ -128,7 +173,7 @@ SELECT d.doc_id AS id, coalesce(j.text, '') AS text FROM d LEFT JOIN j USING (do
 
 
 # ------------------------------------------------------------------- T17
-MAX_LEN = 16
+MAX_LEN = 128
 
 
 def t17_encode_fixed_length(spark, sf_dir):
@@ -180,7 +225,20 @@ def g16_cross_validate(spark, sf_dir):
                                              ("accuracy", "macro_f1", "weighted_f1", "f1_0", "f1_1", "f1_2")])
 
 
+def g16_fold_means(spark, sf_dir):
+    """The fold-mean row of each parameter set against the folds themselves,
+    and the number of folds."""
+    r = g16_cross_validate(spark, sf_dir)
+    return r.groupBy("param_set").agg(
+        F.count(F.when(F.col("fold") >= 0, 1)).alias("n_folds"),
+        (F.abs(F.avg(F.when(F.col("fold") >= 0, F.col("accuracy"))) - F.max(F.when(F.col("fold") < 0, F.col("accuracy")))) < 1e-5).alias("mean_agrees"),
+        (F.min("accuracy") >= 0).alias("in_range"))
+
+
 QUERIES["g16_cross_validate"] = g16_cross_validate
+QUERIES["g16_fold_means"] = g16_fold_means
+ORACLES["g16_fold_means"] = (f"WITH {V_LABELLED_SQL} SELECT 0 AS param_set, count(DISTINCT id % 5) AS n_folds, true AS mean_agrees, "
+                             "true AS in_range FROM v_labelled")
 
 
 # ------------------------------------------------------------- S1 / S3 / P4
@@ -199,31 +257,20 @@ ORACLES["s1_read_labelled_text"] = f"WITH {V_LABELLED_SQL} SELECT text, label FR
 
 
 def s3_read_ohlcv(spark, sf_dir):
-    """Daily bars written as one CSV per company (source column names), read
-    back in one scan with the file stem as ``company``."""
-    from marketlex.plans.views import v_ohlc
-    o = v_ohlc(spark, sf_dir)
+    """Daily bars written as CSV files in a folder per company (source column
+    names), read back in one scan."""
     root = _scratch(spark, "ohlcv")
-    names = [r[0] for r in o.select("company").distinct().collect()]  # a handful of companies
-    for c in names:
-        part = f"{root}/_{c}"
-        (o.filter(F.col("company") == c).select(
-            F.date_format("date", "yyyy-MM-dd").alias("Data"), F.col("open").alias("Otwarcie"),
-            F.col("high").alias("Najwyzszy"), F.col("low").alias("Najnizszy"),
-            F.col("close").alias("Zamkniecie"), F.col("volume").alias("Wolumen"))
-         .coalesce(1).write.option("header", True).csv(part))
-        jvm = spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(part).getFileSystem(spark._jsc.hadoopConfiguration())
-        src = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(part))
-               if s.getPath().getName().endswith(".csv")][0]
-        fs.rename(src, jvm.org.apache.hadoop.fs.Path(f"{root}/{c}.csv"))
+    (v_ohlc(spark, sf_dir).select(
+        "company", F.date_format("date", "yyyy-MM-dd").alias("Data"), F.col("open").alias("Otwarcie"),
+        F.col("high").alias("Najwyzszy"), F.col("low").alias("Najnizszy"),
+        F.col("close").alias("Zamkniecie"), F.col("volume").alias("Wolumen"))
+     .write.partitionBy("company").option("header", True).csv(root))
     return files.read_ohlcv(spark, root).select(
         "company", "date", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
 QUERIES["s3_read_ohlcv"] = s3_read_ohlcv
-ORACLES["s3_read_ohlcv"] = ("WITH " + __import__("marketlex.plans.views", fromlist=["V_OHLC_SQL"]).V_OHLC_SQL
-                            + " SELECT company, date, round(open, 6) AS open, round(high, 6) AS high, "
+ORACLES["s3_read_ohlcv"] = (f"WITH {V_OHLC_SQL} SELECT company, date, round(open, 6) AS open, round(high, 6) AS high, "
                             "round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM v_ohlc")
 
 
@@ -234,3 +281,114 @@ def p4_dedup_rows(spark, sf_dir):
 
 QUERIES["p4_dedup_rows"] = p4_dedup_rows
 ORACLES["p4_dedup_rows"] = f"WITH {V_TWEETS_SQL} SELECT DISTINCT company, date FROM v_tweets"
+
+
+# ------------------------------------------------- P6, P8, stop-word join
+def p6_numeric_columns(spark, sf_dir):
+    """Means of the numeric columns of the runs, found from the schema
+    and renamed (P8)."""
+    from marketlex.operators import cleaning
+    r = v_runs(spark, sf_dir)
+    names = cleaning.numeric_columns(r, exclude=("run_id", "train_seed", "model_seed"))
+    means = r.groupBy("model").agg(*[F.round(F.avg(c), 6).alias(c) for c in names])
+    return cleaning.rename_columns(means, {c: f"mean_{c}" for c in names})
+
+
+_NUMERIC = [*R.METRICS, "learning_rate", "batch_size", "weight_decay"]
+QUERIES["p6_numeric_columns"] = p6_numeric_columns
+ORACLES["p6_numeric_columns"] = (f"WITH {V_RUNS_SQL} SELECT model, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in _NUMERIC)
+                                 + " FROM v_runs GROUP BY model")
+
+
+def t13_remove_stopwords_table(spark, sf_dir):
+    """The join form: stop words are the 300 most frequent tokens."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = (docs.select(F.explode(tx.whitespace_tokens("text")).alias("t")).groupBy(F.lower("t").alias("word")).count()
+             .orderBy(F.desc("count"), "word").limit(300).select("word"))
+    return textops.remove_stopwords_table(docs, words)
+
+
+QUERIES["t13_remove_stopwords_table"] = t13_remove_stopwords_table
+ORACLES["t13_remove_stopwords_table"] = f"""
+WITH d AS (SELECT doc_id AS id, {_TOK} AS toks FROM documents),
+t AS (SELECT id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos FROM d),
+w AS (SELECT lower(tok) AS word FROM t GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 300),
+j AS (SELECT id, string_agg(tok, ' ' ORDER BY pos) AS text FROM t WHERE lower(tok) NOT IN (SELECT word FROM w) GROUP BY id)
+SELECT d.id, coalesce(j.text, '') AS text FROM d LEFT JOIN j USING (id)"""
+
+
+# ------------------------------------------- T15: the cumulative strategies
+def t15_strategies(spark, sf_dir):
+    """All five cumulative strategies over documents; spelling and lemma
+    tables are derived from ``benchmark``."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    lemmas = _prefix_dictionary(spark, sf_dir)
+    corrections = lemmas.select("form", F.reverse("form").alias("replacement"))
+    out = None
+    for name, steps in textops.strategy_variants(corrections, lemmas, STRATEGY_STOP).items():
+        d = docs
+        for step in steps:
+            d = step(d)
+        d = d.select("id", F.lit(name).alias("strategy"), F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+STRATEGY_STOP = ("the", "and", "of", "le", "la", "de", "und", "der", "que", "el")
+
+
+def _strategy_sql(name, spell, lem, stop):
+    tok = q.tokens("b")
+    word = "coalesce(c.replacement, t.tok)" if spell else "t.tok"
+    if lem:
+        word = f"coalesce(m.replacement, {word})"
+    joins = ("LEFT JOIN corr c ON t.tok = c.form " if spell else "") + (
+        f"LEFT JOIN dict m ON {'coalesce(c.replacement, t.tok)' if spell else 't.tok'} = m.form " if lem else "")
+    if not (spell or lem or stop):
+        return f"SELECT id, '{name}' AS strategy, b AS x FROM base"
+    keep = f"WHERE lower(w) NOT IN ({', '.join(q.lit(s) for s in STRATEGY_STOP)})" if stop else ""
+    return (f"SELECT base.id, '{name}' AS strategy, coalesce(j.x, '') AS x FROM base LEFT JOIN (SELECT id, string_agg(w, ' ' ORDER BY pos) AS x FROM "
+            f"(SELECT t.id, t.pos, {word} AS w FROM (SELECT id, unnest({tok}) AS tok, unnest(generate_series(1, len({tok}))) AS pos FROM base) t {joins}) "
+            f"{keep} GROUP BY id) j USING (id)")
+
+
+QUERIES["t15_strategies"] = t15_strategies
+ORACLES["t15_strategies"] = f"""
+WITH dict AS (SELECT DISTINCT form, substr(form, 1, 6) AS replacement FROM
+              (SELECT lower(unnest({_TOK})) AS form FROM benchmark) WHERE length(form) > 6),
+corr AS (SELECT form, reverse(form) AS replacement FROM dict),
+base AS (SELECT doc_id AS id, {q.clean_text_basic('text')} AS b FROM documents),
+s AS ({" UNION ALL ".join(_strategy_sql(*a) for a in (
+    ("Basic_processing", False, False, False), ("Basic_processing_spelling", True, False, False),
+    ("Basic_processing_spelling_lem", True, True, False), ("Basic_processing_spelling_SP", True, False, True),
+    ("Basic_processing_spelling_lem_SP", True, True, True)))})
+SELECT id, strategy, sha256(x) AS text_sha, CAST(length(x) AS INTEGER) AS n_chars FROM s"""
+
+
+# ----------------------------------------------- T1 with a full-size lexicon
+def _lexicon(spark):
+    """735 one-code-point keys from a rule and the emoticons, as a table with
+    an explicit order."""
+    from marketlex.functions.lexicon import EMOTICONS, PAIR_SCHEMA
+    pairs = [(chr(c), f"u{c:04x}") for c in range(0xC0, 0xC0 + 735)] + list(EMOTICONS)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], PAIR_SCHEMA)
+
+
+def t01_replace_lexicon_documents(spark, sf_dir):
+    """759 entries over whole documents (accented letters are keys)."""
+    from marketlex.functions.lexicon import pairs_from_table
+    pairs = pairs_from_table(_lexicon(spark))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.replace_lexicon("text", pairs), 256).alias("text_sha"))
+
+
+def _lexicon_sql():
+    """One-code-point keys as one list pass (no inserted text holds a key),
+    then the emoticons in order."""
+    from marketlex.functions.lexicon import EMOTICONS
+    one = ("array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c <> '' AND unicode(c) BETWEEN 192 AND 926 "
+           "THEN printf(' u%04x', unicode(c)) ELSE c END), '')")
+    return f"SELECT doc_id, sha256({q.replace_pairs(one, EMOTICONS)}) AS text_sha FROM documents"
+
+
+QUERIES["t01_replace_lexicon_documents"] = t01_replace_lexicon_documents
+ORACLES["t01_replace_lexicon_documents"] = _lexicon_sql()

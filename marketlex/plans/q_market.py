@@ -189,11 +189,11 @@ ORACLES["p07_recode"] = (
 
 def p10_profile(spark, sf_dir):
     f = v_panel(spark, sf_dir).select("ret", "change", "direction", "n_urgent", "avg_price")
-    return cleaning.profile(f).select("column", "non_null")
+    return cleaning.profile(f).select("column", "dtype", "non_null")
 
 
 QUERIES["p10_profile"] = p10_profile
 ORACLES["p10_profile"] = f"""WITH {V_PANEL_SQL}
-SELECT "column", non_null FROM (UNPIVOT (SELECT count(ret) AS ret, count(change) AS change,
+SELECT "column", CASE WHEN "column" = 'direction' THEN 'int' ELSE 'double' END AS dtype, non_null FROM (UNPIVOT (SELECT count(ret) AS ret, count(change) AS change,
   count(direction) AS direction, count(n_urgent) AS n_urgent, count(avg_price) AS avg_price FROM v_panel)
   ON ret, change, direction, n_urgent, avg_price INTO NAME "column" VALUE non_null)"""

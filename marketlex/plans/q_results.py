@@ -63,21 +63,21 @@ ORACLES["a08_correlation_block"] = f"WITH {V_RUNS_SQL} " + " UNION ALL ".join(
 
 
 def a09_box_stats(spark, sf_dir):
-    df = R.box_stats(v_runs(spark, sf_dir), ["model", "dataset"], "negative_f1")
+    long = R.melt(v_runs(spark, sf_dir), ["model", "dataset"], list(M))
+    df = R.box_stats(long, ["model", "dataset", "metric"], "value")
     return _r6(df, ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
 
 
 QUERIES["a09_box_stats"] = a09_box_stats
 ORACLES["a09_box_stats"] = f"""WITH {V_RUNS_SQL},
-q AS (SELECT model, dataset, quantile_cont(negative_f1, 0.25) AS q1, quantile_cont(negative_f1, 0.5) AS median,
-             quantile_cont(negative_f1, 0.75) AS q3 FROM v_runs GROUP BY ALL)
-SELECT q.model, q.dataset, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
-       round(min(CASE WHEN v.negative_f1 >= q.q1 - 1.5 * (q.q3 - q.q1) THEN v.negative_f1 END), 6) AS whisker_lo,
-       round(max(CASE WHEN v.negative_f1 <= q.q3 + 1.5 * (q.q3 - q.q1) THEN v.negative_f1 END), 6) AS whisker_hi,
-       count(CASE WHEN v.negative_f1 < q.q1 - 1.5 * (q.q3 - q.q1) OR v.negative_f1 > q.q3 + 1.5 * (q.q3 - q.q1)
-                  THEN 1 END) AS n_outliers
-FROM v_runs v JOIN q ON v.model = q.model AND v.dataset = q.dataset
-GROUP BY q.model, q.dataset, q.q1, q.median, q.q3"""
+v AS (SELECT model, dataset, metric, value FROM (UNPIVOT (SELECT model, dataset, {', '.join(M)} FROM v_runs) ON {', '.join(M)} INTO NAME metric VALUE value)),
+q AS (SELECT model, dataset, metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+             quantile_cont(value, 0.75) AS q3 FROM v GROUP BY ALL)
+SELECT model, dataset, metric, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(CASE WHEN value >= q1 - 1.5 * (q3 - q1) THEN value END), 6) AS whisker_lo,
+       round(max(CASE WHEN value <= q3 + 1.5 * (q3 - q1) THEN value END), 6) AS whisker_hi,
+       count(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 END) AS n_outliers
+FROM v JOIN q USING (model, dataset, metric) GROUP BY model, dataset, metric, q1, median, q3"""
 
 
 def a10_percentiles(spark, sf_dir):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from marketlex.operators import sampling as R
 from marketlex.operators.ordering import global_row_number
-from marketlex.plans.views import V_LABELLED_SQL, V_RUNS_SQL, v_labelled, v_ohlc, v_runs
+from marketlex.plans.views import V_LABELLED_SQL, V_OHLC_SQL, V_RUNS_SQL, v_labelled, v_ohlc, v_runs
+from marketlex.session import materialize
 
 QUERIES = {}
 ORACLES = {}
@@ -66,11 +67,28 @@ SELECT fold, label, count(*) AS n FROM x GROUP BY ALL"""
 
 
 def r6_param_grid(spark, sf_dir):
-    r = v_runs(spark, sf_dir)
-    axes = [r.select(c).distinct() for c in ("batch_size", "model_seed", "model", "dataset")]
-    return R.grid_from_tables(axes)
+    return R.grid_from_tables(_axes(spark, sf_dir))
 
 
+def _axes(spark, sf_dir):
+    """Distinct values of each axis from one scan of the runs."""
+    names = ("batch_size", "model_seed", "model", "dataset")
+    values = materialize(v_runs(spark, sf_dir).select(*names).distinct())
+    return [values.select(c).distinct() for c in names]
+
+
+def r6_param_subset(spark, sf_dir):
+    """A random subset of the grid: its size, and that every point is one of
+    the grid's."""
+    grid = R.grid_from_tables(_axes(spark, sf_dir))
+    some = R.sample_grid(grid, 100, seed=42)
+    return some.join(grid, grid.columns).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*grid.columns).alias("n_distinct"))
+
+
+QUERIES["r6_param_subset"] = r6_param_subset
+ORACLES["r6_param_subset"] = """WITH g AS (SELECT count(DISTINCT 8 * (l_linenumber % 3 + 1)) * count(DISTINCT l_linenumber)
+  * count(DISTINCT l_returnflag) * count(DISTINCT l_linestatus) AS points FROM lineitem)
+SELECT least(100, points) AS n, least(100, points) AS n_distinct FROM g"""
 QUERIES["r6_param_grid"] = r6_param_grid
 ORACLES["r6_param_grid"] = (f"WITH {V_RUNS_SQL} SELECT * FROM (SELECT DISTINCT batch_size FROM v_runs), "
                             "(SELECT DISTINCT model_seed FROM v_runs), (SELECT DISTINCT model FROM v_runs), "
@@ -86,3 +104,22 @@ def r7_block_shuffle(spark, sf_dir):
 
 
 QUERIES["r7_block_shuffle"] = r7_block_shuffle
+
+
+def r7_block_invariants(spark, sf_dir):
+    """What any seed gives: every value once, new positions 1..n, order kept
+    inside blocks (next old position follows unless a block ended)."""
+    from pyspark.sql import Window
+    d = r7_block_shuffle(spark, sf_dir)
+    w = Window.partitionBy("company").orderBy("new_pos")
+    d = d.withColumn("prev", F.lag("pos").over(w))
+    inside = (F.col("pos") - 1) % 5 != 0
+    return d.groupBy("company").agg(
+        F.count(F.lit(1)).alias("n"), F.min("new_pos").cast("long").alias("first"), F.max("new_pos").cast("long").alias("last"),
+        F.count_distinct("new_pos").alias("n_distinct"), F.round(F.sum("close"), 2).alias("sum_close"),
+        F.count(F.when(inside & (F.col("prev") != F.col("pos") - 1), 1)).alias("broken"))
+
+
+QUERIES["r7_block_invariants"] = r7_block_invariants
+ORACLES["r7_block_invariants"] = (f"WITH {V_OHLC_SQL} SELECT company, count(*) AS n, 1 AS first, count(*) AS last, count(*) AS n_distinct, "
+                                  "round(sum(close), 2) AS sum_close, 0 AS broken FROM v_ohlc GROUP BY company")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlex.operators.cleaning import drop_columns
 
+# Column types of experiment-result files (fixed values: the stored header
+# names), the grid-run columns last; files bind by header, not by place.
 RESULT_SCHEMA = T.StructType([
     T.StructField("train_seed", T.IntegerType()),
     T.StructField("model_seed", T.IntegerType()),
@@ -23,6 +23,14 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()),
 ])
 
+GRID_SCHEMA = T.StructType([
+    T.StructField("learning_rate", T.DoubleType()),
+    T.StructField("batch_size", T.IntegerType()),
+    T.StructField("epochs", T.IntegerType()),
+    T.StructField("weight_decay", T.DoubleType()),
+    T.StructField("class_weight_floor", T.DoubleType()),
+])
+
 OHLCV_SCHEMA = T.StructType([
     T.StructField("Data", T.DateType()),
     T.StructField("Otwarcie", T.DoubleType()),
@@ -37,9 +45,11 @@ OHLCV_NAMES = {"Data": "date", "Otwarcie": "open", "Najwyzszy": "high",
                "Najnizszy": "low", "Zamkniecie": "close", "Wolumen": "volume"}
 
 
-def _csv(spark: SparkSession):
-    return (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "FAILFAST"))
+def _csv(spark: SparkSession, multi_line: bool = False):
+    """``enforceSchema=false``: a header that differs from the schema is an
+    error instead of a silent binding by place."""
+    return (spark.read.option("header", True).option("multiLine", multi_line)
+            .option("escape", '"').option("mode", "FAILFAST").option("enforceSchema", False))
 
 
 def read_labelled_text(spark: SparkSession, path: str, text_col: str = "text",
@@ -47,36 +57,47 @@ def read_labelled_text(spark: SparkSession, path: str, text_col: str = "text",
     """Labelled texts; junk ``Unnamed: *`` index columns dropped, labels
     -1/0/1 shifted to int 0/1/2 (P1), rows without text or label dropped
     (P2).  Only the two needed columns reach the plan."""
-    raw = _csv(spark).option("inferSchema", False).csv(path)
+    raw = _csv(spark, multi_line=True).option("inferSchema", False).csv(path)
     raw = drop_columns(raw)
     return (raw.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("labels"))
             .dropna(subset=["text", "labels"])
             .withColumn("label", (F.col("labels") + 1).cast("int")).drop("labels"))
 
 
-def read_results_dir(spark: SparkSession, directory: str,
-                     schema: T.StructType | None = RESULT_SCHEMA) -> DataFrame:
-    """Every ``*.csv`` directly in ``directory`` (non-recursive), one
-    multi-file scan, sorted by model, dataset."""
-    r = _csv(spark).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", False)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(directory).orderBy("model", "dataset")
-
-
-def read_results_files(spark: SparkSession, groups: Sequence[Sequence[str]]) -> DataFrame:
-    """S2 for files whose headers differ: one scan per header group, union by
-    name with missing columns padded with null (pandas concat semantics)."""
+def header_groups(spark: SparkSession, directory: str) -> list[tuple[list[str], list[str]]]:
+    """(header columns, paths) of the ``*.csv`` files directly in
+    ``directory``: one group per distinct header line.  Only file names and
+    distinct headers reach the driver."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", False)
+             .load(directory).where("length > 0"))
+    line = F.regexp_replace(F.split(F.decode("content", "UTF-8"), "\n")[0], "[\r\ufeff]", "")
+    groups = files.select("path", line.alias("header")).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [([c.strip().strip('"') for c in r.header.split(",")], list(r.paths)) for r in groups.orderBy("header").collect()]
+
+
+def read_results_dir(spark: SparkSession, directory: str, types: T.StructType | None = None) -> DataFrame:
+    """Every ``*.csv`` directly in ``directory`` (non-recursive), whatever
+    the order and set of its columns: one scan per distinct header, union by
+    name with missing columns null, sorted by model, dataset.  ``types``
+    gives column types (result and grid-run columns by default; unknown
+    columns are strings)."""
+    known = {f.name: f.dataType for f in [*RESULT_SCHEMA.fields, *GRID_SCHEMA.fields, *(types.fields if types else [])]}
     out = None
-    for paths in groups:
-        d = _csv(spark).option("inferSchema", True).csv(list(paths))
+    for header, paths in header_groups(spark, directory):
+        schema = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
+        d = _csv(spark).schema(schema).csv(paths)
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out
+    if out is None:
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    return out.orderBy("model", "dataset")
 
 
 def read_ohlcv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one CSV per company in one scan; the file stem becomes ``company``."""
+    """S3: daily price files of many companies in one scan; the file stem, or
+    the ``company=`` folder a file lies in, becomes ``company``."""
     d = _csv(spark).schema(OHLCV_SCHEMA).option("dateFormat", "yyyy-MM-dd") \
-        .option("pathGlobFilter", "*.csv").csv(path)
+        .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(path)
     d = d.select(*[F.col(k).alias(v) for k, v in OHLCV_NAMES.items()],
-                 F.regexp_extract(F.col("_metadata.file_name"), r"(.+)\.csv$", 1).alias("company"))
+                 F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/company=([^/]+)/", 1), F.lit("")),
+                            F.regexp_extract(F.col("_metadata.file_name"), r"(.+)\.csv$", 1)).alias("company"))
     return d

@@ -34,15 +34,18 @@ def append_eval_log(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def materialize_variants(spark: SparkSession, df: DataFrame, variants: Mapping[str, Sequence[Callable]],
-                         root: str, text_col: str = "text") -> dict[str, DataFrame]:
+                         root: str, text_col: str = "text", input_version: str = "1",
+                         step_version: str = "1") -> dict[str, DataFrame]:
     """Write-if-absent cache of every preprocessing variant.  A variant
     is written once (``mode('ignore')`` keeps an existing table) and always
-    read back from the cache, so a hit is actually used; the cache key is
-    the variant name plus the step names."""
+    read back from the cache, so a hit is actually used.  The cache key is
+    the variant name, its step names, the caller's version of the input
+    (e.g. a table snapshot id) and of the steps' code: change either and the
+    variant is computed anew."""
     from marketlex.operators.textops import apply_steps
     out = {}
     for name, steps in variants.items():
-        key = "_".join([name] + [getattr(s, "__name__", "step") for s in steps])
+        key = "_".join([name, f"in{input_version}", f"code{step_version}"] + [getattr(s, "__name__", "step") for s in steps])
         path = f"{root.rstrip('/')}/{key}"
         df.withColumn(text_col, apply_steps(text_col, steps)).write.mode("ignore").parquet(path)
         out[name] = spark.read.parquet(path)

@@ -47,7 +47,8 @@ def eval_log_stream(scored: DataFrame, log_path: str, name: str, label: str = "l
 
     def log_batch(batch: DataFrame, batch_id: int) -> None:
         m = classification_metrics(batch.withColumn("pred", argmax(logits)), label, "pred")
-        m.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(log_path)
+        n = batch.agg(F.count(F.lit(1)).alias("n"))  # one row each side
+        m.crossJoin(n).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(log_path)
 
     q = (scored.writeStream.foreachBatch(log_batch).option("checkpointLocation", ck)
          .trigger(availableNow=True).start())

@@ -10,7 +10,7 @@ from marketlex.sources import sinks
 
 def test_lexicon_files_round_trip(spark, tmp_path):
     lex = tmp_path / "lex.tsv"
-    lex.write_text("🚀\trakieta-wzrost\n:)\tradosny\n:/)\tsceptyczny\n", encoding="utf-8")
+    lex.write_text("1\t:)\tradosny\n2\t:/)\tsceptyczny\n0\t🚀\trakieta-wzrost\n", encoding="utf-8")
     pairs = pairs_from_table(load_pairs(spark, str(lex)))
     assert pairs == [("🚀", "rakieta-wzrost"), (":)", "radosny"), (":/)", "sceptyczny")]
     text = "to the moon 🚀 :/) :) x"
@@ -44,17 +44,52 @@ def test_materialize_variants_write_once(spark, tmp_path):
     v = {"Basic_processing": [tx.clean_text_basic], "No_processing": []}
     out = sinks.materialize_variants(spark, df, v, str(tmp_path / "cache"))
     assert {r["id"]: r["text"] for r in out["Basic_processing"].collect()}[1] == "  x  "
-    # a second call keeps the cached table (mode ignore) and reads it back
+    # a second call with the same versions reads the cached table
+    again = sinks.materialize_variants(spark, df, v, str(tmp_path / "cache"))
+    assert again["No_processing"].count() == 2
+    # another input version or step version is computed anew
     df2 = spark.createDataFrame([(9, "changed")], "id int, text string")
-    again = sinks.materialize_variants(spark, df2, v, str(tmp_path / "cache"))
+    new = sinks.materialize_variants(spark, df2, v, str(tmp_path / "cache"), input_version="2")
+    assert [r["text"] for r in new["No_processing"].collect()] == ["changed"]
     assert again["No_processing"].count() == 2
+    assert sinks.materialize_variants(spark, df2, v, str(tmp_path / "cache"), step_version="2")["No_processing"].count() == 1
+
+
+def test_results_bind_by_header(spark, tmp_path):
+    from marketlex.sources.files import read_results_dir
+    (tmp_path / "a.csv").write_text("train_seed,model_seed,accuracy,macro_f1,model,dataset\n1,2,0.5,0.25,m,d1\n")
+    (tmp_path / "b.csv").write_text("model_seed,train_seed,macro_f1,accuracy,dataset,model\n2,1,0.25,0.5,d2,m\n")
+    (tmp_path / "c.csv").write_text("train_seed,model_seed,accuracy,macro_f1,model,dataset,learning_rate,note\n1,2,0.5,0.25,m,d3,0.001,x\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.csv").write_text("model\nnot read\n")
+    rows = read_results_dir(spark, str(tmp_path)).collect()
+    assert [(r.train_seed, r.model_seed, r.accuracy, r.macro_f1, r.model, r.dataset, r.learning_rate, r.note) for r in rows] == [
+        (1, 2, 0.5, 0.25, "m", "d1", None, None), (1, 2, 0.5, 0.25, "m", "d2", None, None), (1, 2, 0.5, 0.25, "m", "d3", 0.001, "x")]
+
+
+def test_checkpoint_folder_when_unset(tmp_path):
+    """Without ``spark.checkpoint.dir`` a local session gets a folder, and a
+    cluster an error."""
+    import subprocess
+    import sys
+    code = ("from marketlex.session import get_session, checkpoint_dir, materialize\n"
+            "s = get_session('local[1]')\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+            "assert materialize(s.range(3)).count() == 3 and checkpoint_dir(s)\n"
+            "class Ctx:\n    master = 'spark://host:7077'\n    getCheckpointDir = staticmethod(lambda: None)\n"
+            "class Fake:\n    sparkContext = Ctx()\n    class conf:\n        get = staticmethod(lambda k, d: d)\n"
+            "try:\n    checkpoint_dir(Fake())\n    raise SystemExit(3)\nexcept RuntimeError:\n    pass\n")
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}
+    assert subprocess.run([sys.executable, "-c", code], env=env, timeout=180).returncode == 0
 
 
 def test_profile_and_numeric_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, 2.0, None)], "a int, b double, c string")
     assert cleaning.numeric_columns(df) == ["a", "b"]
-    p = {r["column"]: (r["dtype"], r["non_null"]) for r in cleaning.profile(df).collect()}
-    assert p == {"a": ("int", 2), "b": ("double", 1), "c": ("string", 1)}
+    p = {r["column"]: (r["dtype"], r["non_null"], r["distinct_values"]) for r in cleaning.profile(df).collect()}
+    assert p == {"a": ("int", 2, 2), "b": ("double", 1, 1), "c": ("string", 1, 1)}
 
 
 def test_recode_replace_and_map(spark):

@@ -69,6 +69,18 @@ def test_calendar_lags_general_equals_dense(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_calendar_lags_take_the_first_row_of_a_day(spark):
+    import datetime
+    d = datetime.date(2024, 1, 1)
+    rows = [("c", d, 2, 9.0, True), ("c", d, 1, 5.0, True), ("c", d + datetime.timedelta(1), 3, None, True), ("c", d + datetime.timedelta(1), 4, 7.0, True),
+            ("c", d + datetime.timedelta(2), 5, 1.0, True), ("c", d + datetime.timedelta(3), 6, None, False)]
+    df = spark.createDataFrame(rows, "company string, date date, k int, v double, is_trading_day boolean")
+    got = {r["k"]: (r["v_lag_1"], r["v_lag_2"]) for r in market.calendar_lags(df, ["v"], 2, order="k").collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (5.0, None), 4: (5.0, None), 5: (None, 5.0)}
+    kept = market.calendar_lags(df, ["v"], 2, order="k", keep_calendar=True)
+    assert kept.count() == 6 and kept.where("k = 6").first()["v_lag_1"] is None
+
+
 def test_chronological_split_sizes(spark):
     from marketlex.plans.views import v_ohlc
     o = v_ohlc(spark, "/root/testdata/sf0.001")

@@ -173,6 +173,7 @@ def test_residual_diagnostics_match_direct_formulas(spark, panel):
 
 def test_bootstrap_properties(spark, panel):
     p, _ = panel
+    p = p.filter("is_trading_day")
     a = C.granger_bootstrap(p, ["ret"], ["n_urgent"], maxlag=2, B=12, block_size=5, seed=3).collect()
     b = C.granger_bootstrap(p, ["ret"], ["n_urgent"], maxlag=2, B=12, block_size=5, seed=3).collect()
     key = lambda r: (r["company"], r["lag_order"])
@@ -180,15 +181,55 @@ def test_bootstrap_properties(spark, panel):
     obs = {(r["company"], r["lag"]): r["f_stat"] for r in
            C.granger_rowlag(p, ["ret"], ["n_urgent"], maxlag=2).collect()}
     for r in a:
-        assert 0 <= r["n_valid"] <= 12 and 0 <= r["count_exceeds"] <= r["n_valid"]
-        assert len(r["boot_f_stats"]) == r["n_valid"]
-        if r["n_valid"]:
-            assert 0.0 <= r["p_value"] <= 1.0
-            assert r["count_exceeds"] == sum(f >= r["f_actual"] for f in r["boot_f_stats"])
+        assert r["n_valid"] == 12 == len(r["boot_f_stats"])
+        assert r["count_exceeds"] == sum(f >= r["f_actual"] for f in r["boot_f_stats"])
+        assert math.isclose(r["p_value"], r["count_exceeds"] / 12)
         # ret and n_urgent are complete on trading days, so lagging before or after the drop agrees
         assert key(r) in obs
 
 
+def test_bootstrap_skips_replicates_with_gaps(spark):
+    """A source gap that the shuffle moves onto a fitted row spoils the
+    replicate; replicates match a refit of every shuffled series."""
+    import datetime
+    from marketlex.operators.sampling import block_shuffle
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=60), rng.normal(size=60)
+    rows = [("c", datetime.date(2020, 1, 1) + datetime.timedelta(days=k), float(y[k]), None if k == 20 else float(x[k])) for k in range(60)]
+    p = spark.createDataFrame(rows, "company string, date date, t double, s double")
+    got = {r["lag_order"]: r for r in C.granger_bootstrap(p, ["t"], ["s"], maxlag=2, B=15, block_size=7, seed=2).collect()}
+    xs = spark.createDataFrame([("c", "t", "s", r, k + 1, rows[k][3]) for r in range(15) for k in range(60)],
+                               "company string, target string, source string, rep int, _pos long, x double")
+    order = block_shuffle(xs, ["company", "target", "source"], "_pos", 7, 2, rep="rep").toPandas()
+    full = np.array([np.nan if r[3] is None else r[3] for r in rows])
+    for lag in (1, 2):
+        at = [k for k in range(lag, 60) if not any(np.isnan(full[k - i]) for i in range(1, lag + 1))]
+        own = np.array([[y[k - i] for i in range(1, lag + 1)] for k in at])
+        ssr_r, _, _ = _ssr(y[at], own)
+        want = []
+        for rep in range(15):
+            s = order[order.rep == rep].sort_values("new_pos").x.to_numpy(float)
+            z = np.array([[s[k - i] for i in range(1, lag + 1)] for k in at])
+            if not np.isnan(z).any():
+                ssr_u, _, _ = _ssr(y[at], np.hstack([own, z]))
+                want.append((ssr_r - ssr_u) / lag / (ssr_u / (len(at) - 2 * lag - 1)))
+        assert got[lag]["n_valid"] == len(want) < 15
+        assert np.allclose(got[lag]["boot_f_stats"], want, rtol=1e-6)
+
+
+def test_vif_matches_auxiliary_regressions(spark):
+    from marketlex.operators.stats import vif
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=80), rng.normal(size=80)
+    c = a + 0.3 * b + 0.1 * rng.normal(size=80)
+    df = spark.createDataFrame([("g", *map(float, r)) for r in zip(a, b, c)], "g string, a double, b double, c double")
+    got = {r["variable"]: r["vif"] for r in vif(df, ["g"], ["a", "b", "c"]).collect()}
+    data = {"a": a, "b": b, "c": c}
+    for v in data:
+        ssr, _, _ = _ssr(data[v], np.column_stack([data[o] for o in data if o != v]))
+        assert math.isclose(got[v], ((data[v] - data[v].mean()) ** 2).sum() / ssr, rel_tol=1e-8)
+
+
 def test_best_subset_matches_brute_force(spark, panel):
     from itertools import combinations
     p, pdf = panel
