@@ -72,12 +72,12 @@ def suffix_ranks(docs: DataFrame, min_words: int) -> tuple[DataFrame, int]:
     return t.drop("next"), depth
 
 
-RUNS = "doc_id long, th long, pos int, last int, len int, a long, b long"
+RUNS = "doc_id long, th long, pos int, last int, seq int, len int, a long, b long"
 
 
 def counted_runs(ranks: DataFrame, depth: int, min_words: int) -> DataFrame:
     """The shortest runs of ``min_words`` words from and up to each line:
-    (doc_id, th, pos, last, len, a, b); (len, a, b) names the interval."""
+    (doc_id, th, pos, last, seq, len, a, b); (len, a, b) names the interval."""
 
     def run(batches):
         held = None
@@ -123,7 +123,7 @@ def counted_runs(ranks: DataFrame, depth: int, min_words: int) -> DataFrame:
         lo, hi, length = lo[keep], hi[keep], length[keep]
         yield pa.RecordBatch.from_pydict({
             "doc_id": doc.take(pa.array(lo)), "th": th.take(pa.array(lo)), "pos": pa.array(p[lo].astype(np.int32)),
-            "last": pa.array(p[hi].astype(np.int32)), "len": pa.array(length.astype(np.int32)), "a": pa.array(a[keep]), "b": pa.array(b[keep])})
+            "last": pa.array(p[hi].astype(np.int32)), "seq": pa.array(order[lo].astype(np.int32)), "len": pa.array(length.astype(np.int32)), "a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
     dealt = ranks.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "seq")
     return dealt.mapInArrow(run, RUNS)
@@ -138,11 +138,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     intervals = runs.groupBy("len", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = (runs.join(intervals, ["len", "a", "b"])
              .where(~((F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.th") == F.col("th")) & (F.col("first.last") >= F.col("pos"))))
-             .select("doc_id", "th", "pos", "last").distinct())
-    # merge overlapping and touching runs of a document
-    by_doc = Window.partitionBy("doc_id", "th").orderBy("pos", "last")
-    reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    spans = (later.withColumn("new", (F.coalesce(reach, F.lit(-2)) + 1 < F.col("pos")).cast("int"))
+             .select("doc_id", "th", "pos", "last", "seq", "len").distinct())
+    # merge overlapping and touching runs of a document (blank lines between them do not count)
+    by_doc = Window.partitionBy("doc_id", "th").orderBy("seq", "len")
+    reach = F.max(F.col("seq") + F.col("len")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    spans = (later.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("seq")).cast("int"))
              .withColumn("span", F.sum("new").over(by_doc)).groupBy("doc_id", "th", "span")
              .agg(F.min("pos").alias("first"), F.max("last").alias("last")))
     return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
@@ -151,8 +151,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated line runs deleted from
     ``text``, plus (n_lines, n_removed, removed): line counts and the deleted
-    spans [first, last] of line numbers from 0; blank lines inside a span go
-    with it.
+    spans [first, last] of line numbers from 0; blank lines between deleted
+    lines go with them.
 
     A null text stays null and an empty one empty (0 and 1 lines); an empty
     table gives an empty table; rows that repeat doc_id and text are one
