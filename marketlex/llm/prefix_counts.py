@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from marketlex.llm.base import Memo
 
-MEMO_UNITS = 250_000
+MEMO_UNITS = 500_000
 
 # Byte-level pre-tokenisation (public GPT-2 rule): contractions, then letters /
 # digits / other with at most one leading blank, then white space that leaves
@@ -59,9 +61,14 @@ class PrefixCounter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.stable = Memo(lambda pair: self.merge(pair[0] + pair[1]) == list(pair), memo)
+        self.order = {bytes([b]): b - 256 for b in range(256)}   # place of the merge that makes a token
+        self.halves = {}                                         # the two tokens of that merge
+        for (a, b), k in self.rank.items():
+            if self.order.setdefault(a + b, k) == k:
+                self.halves[a + b] = (a, b)
+        self.stable = Memo(lambda pair: self.stays_apart(*pair), memo)
         self.tokens = {t for t in (raw(s) for s in spec["model"]["vocab"] if s not in self.special) if len(t) == 1 or self.reaches(t)}
-        self.lengths = sorted({len(t) for t in self.tokens})
+        self.longest = max(map(len, self.tokens))
         self.units = Memo(self.unit_deltas, memo)
 
     def merge(self, b: bytes) -> list[bytes]:
@@ -82,23 +89,42 @@ class PrefixCounter:
             parts = out
         return parts
 
+    def stays_apart(self, a: bytes, b: bytes) -> bool:
+        """True if encoding the bytes of two tokens gives the two back.
+
+        Merging the bytes makes both tokens unless an earlier merge joins
+        their touching parts first; so take the two apart, latest merge
+        first, and look at each pair of touching parts for a merge that comes
+        before the one undone last."""
+        limit = 1 << 60
+        while True:
+            if self.rank.get((a, b), limit) < limit:
+                return False
+            for left in (True, False) if self.order[a] > self.order[b] else (False, True):
+                if left and a in self.halves:
+                    limit, a = self.order[a], self.halves[a][1]
+                    break
+                if not left and b in self.halves:
+                    limit, b = self.order[b] + 1, self.halves[b][0]
+                    break
+            else:
+                return True
+
     def reaches(self, t: bytes) -> bool:
         """True if some merge makes ``t`` and encoding its bytes gives it."""
         return any((t[:k], t[k:]) in self.rank for k in range(1, len(t))) and (len(t) < 3 or self.merge(t) == [t])
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """Token count of every byte prefix of one pre-token (index 0: 0)."""
-        tokens, stable, lengths = self.tokens, self.stable, self.lengths
-        count, last = [0], [None]
+        tokens, stable, longest = self.tokens, self.stable, self.longest
+        count, last = [0], [b""]
         for i in range(1, len(piece) + 1):
-            for n in lengths:
-                if n > i:
-                    raise AssertionError("a single byte is always a token")
-                t = piece[i - n:i]
-                if t in tokens and (n == i or stable[(last[i - n], t)]):
-                    count.append(count[i - n] + 1)
-                    last.append(t)
+            for at in range(i - 1, max(-1, i - longest - 1), -1):  # exactly one suffix token fits
+                t = piece[at:i]
+                if t in tokens and (not at or stable[last[at], t]):
                     break
+            count.append(count[at] + 1)
+            last.append(t)
         return count
 
     def char_counts(self, piece: str) -> list[int]:
@@ -114,6 +140,9 @@ class PrefixCounter:
 
     def unit_deltas(self, unit: str) -> bytes:
         """int16 change of the prefix count at each code point of a unit."""
+        if unit[0] == " " and unit[1:].isalpha():  # the usual unit: a blank and a word
+            counts = self.char_counts(unit)
+            return array("h", map(sub, counts[1:], counts)).tobytes()
         k = SPACE_RUN.match(unit).end()
         run, word = unit[:k], unit[k:]
         counts = self.char_counts(run) if k else [0]
@@ -130,7 +159,7 @@ class PrefixCounter:
             if len(word) > 2 and CONTRACTION.fullmatch(word):  # cut inside: the quote and letters part
                 inner[1] = inner[0] + self.char_counts(word[1:2])[-1]
             counts = counts + [base + c for c in inner]
-        return np.diff(np.array(counts, np.int64)).astype("<i2").tobytes()
+        return array("h", map(sub, counts[1:], counts)).tobytes()
 
     def deltas(self, text: str | None) -> np.ndarray:
         """Change of the count at each code point of a whole text; the
