@@ -462,6 +462,7 @@ def best_subset(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
     then enumeration order).  A target without any winner gets a null row.
     Output: combination, R^2 (3 digits), residual normality p, and per
     chosen feature its coefficient (10 digits) and p-value (5 digits)."""
+    from marketlex.session import materialize
     combos = [c for n in range(1, min(max_features, len(sources)) + 1) for c in combinations(sources, n)]
     m = max(len(c) for c in combos)
     tg = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])
@@ -482,7 +483,8 @@ def best_subset(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
     for j in range(1, m + 1):
         zj = F.abs(F.try_divide(F.col(f"x{j}") - F.col(f"_m{j}"), F.col(f"_s{j}")))
         keep = keep & ((F.col("size") < j) | F.coalesce(zj < z, F.lit(False)))
-    d = d.filter(keep).select(*g, "y", *[f"x{j}" for j in range(1, m + 1)])
+    # the exploded combinations feed the fits and the residuals: stored once
+    d = materialize(d.filter(keep).select(*g, "y", *[f"x{j}" for j in range(1, m + 1)]))
     st = moments(d, g, ["y"] + [f"x{j}" for j in range(1, m + 1)])
     kk = m + 1
     out = T.StructType([st.schema[c] for c in g] + [

@@ -7,6 +7,8 @@ the beta and gamma integrals by Simpson's rule in SQL.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from marketlex.operators import causality as C
@@ -14,6 +16,7 @@ from marketlex.operators import market
 from marketlex.operators import stats as S
 from marketlex.plans import sqlutil as q
 from marketlex.plans.views import V_PANEL_SQL, v_panel
+from marketlex.session import materialize
 
 QUERIES = {}
 ORACLES = {}
@@ -269,12 +272,48 @@ ORACLES["a12_pivot_table"] = f"{_FLAT_SQL}\nSELECT company, target, " + ", ".joi
 
 # -------------------------------------------------------------- G2 / G3
 def g02_best_subset(spark, sf_dir):
-    b = C.best_subset(v_panel(spark, sf_dir), TARGETS, ("n_urgent", "n_low", "avg_price"), ["company"], 3)
+    b = C.best_subset(materialize(v_panel(spark, sf_dir)), TARGETS, SUBSET_SOURCES, ["company"], 3)
     return b.select("company", "stock_variable", F.array_join("combination", ",").alias("combination"),
                     "r_squared", F.round("normality_p", 5).alias("normality_p"), "feature", "coefficient", "p_value")
 
 
+SUBSET_SOURCES = ("n_urgent", "n_low", "avg_price")
+
+
+def _best_subset_sql() -> str:
+    """Every combination fitted by sweeps; a coefficient is the slope between
+    what is left of y and of its predictor given the other predictors."""
+    keys = "company, target"
+    parts = ["tg AS (" + " UNION ALL ".join(f"SELECT company, date, '{t}' AS target, {t} AS y, {', '.join(SUBSET_SOURCES)} FROM v_panel" for t in TARGETS) + ")"]
+    fits, feats = [], []
+    combos = [c for k in (1, 2, 3) for c in combinations(SUBSET_SOURCES, k)]
+    for i, c in enumerate(combos):
+        have = " AND ".join(f"{x} IS NOT NULL" for x in ("y", *c))
+        z = " AND ".join(f"abs(({x} - avg({x}) OVER w) / stddev_pop({x}) OVER w) < 3" for x in c)
+        parts.append(f"k{i} AS (SELECT company, target, date, y, {', '.join(c)} FROM tg WHERE {have} WINDOW w AS (PARTITION BY {keys}) QUALIFY {z})")
+        parts.append(q.residuals(f"b{i}", f"k{i}", keys, "date, y AS orig", "y", c))
+        fits.append(f"SELECT {keys}, {i} AS cid, '{','.join(c)}' AS combination, {len(c)} AS k, count(*) AS n, sum(e * e) AS rss, "
+                    f"1 - sum(e * e) / (count(*) * var_pop(orig)) AS r2, avg(e * e * e) / pow(avg(e * e), 1.5) AS skew, "
+                    f"avg(e * e * e * e) / pow(avg(e * e), 2) - 3 AS kurt FROM b{i} GROUP BY {keys}")
+        for x in c:
+            others = [o for o in c if o != x]
+            parts.append(q.residuals(f"y{i}{x}", f"k{i}", keys, "date", "y", others))
+            parts.append(q.residuals(f"x{i}{x}", f"k{i}", keys, "date", x, others))
+            feats.append(f"SELECT {keys}, {i} AS cid, '{x}' AS feature, sum(a.e * b.e) / sum(b.e * b.e) AS coef, sum(b.e * b.e) AS sxx "
+                         f"FROM y{i}{x} a JOIN x{i}{x} b USING (company, target, date) GROUP BY {keys}")
+    parts.append("fits AS (" + " UNION ALL ".join(fits) + ")")
+    parts.append("feats AS (" + " UNION ALL ".join(feats) + ")")
+    parts.append(f"best AS (SELECT * FROM fits WHERE r2 > 0 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY r2 DESC, k, cid) = 1)")
+    parts.append(f"grid AS (SELECT DISTINCT {keys} FROM tg)")
+    return ",\n".join(parts)
+
+
 QUERIES["g02_best_subset"] = g02_best_subset
+ORACLES["g02_best_subset"] = f"""WITH {V_PANEL_SQL}, {_best_subset_sql()}
+SELECT grid.company, grid.target AS stock_variable, combination, round_even(r2, 3) + 0.0 AS r_squared,
+       round({q.k2_tail('skew', 'kurt', '(n * 1.0)')}, 5) AS normality_p, feature, round_even(coef, 10) + 0.0 AS coefficient,
+       round_even({q.t_tail('coef / sqrt(rss / (n - k - 1) / sxx)', '(n - k - 1.0)')}, 5) + 0.0 AS p_value
+FROM grid LEFT JOIN best USING (company, target) LEFT JOIN feats USING (company, target, cid)"""
 
 
 # ------------------------------------------------------------------ G15
