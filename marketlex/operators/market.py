@@ -11,7 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlex.operators.ordering import global_row_number
+from marketlex.operators.ordering import global_row_number, rank_percentiles
 
 
 def _w(key: str, date: str):
@@ -132,12 +132,14 @@ def zscore_filter(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str]
 def winsorize_bounds(train: DataFrame, cols: Sequence[str], lower: float = 5,
                      upper: float = 95, exact: bool = True) -> DataFrame:
     """W9 bounds: one row ``{c}_lo, {c}_hi`` = linear-interpolated percentiles
-    of the train part (``exact=False``: bounded-memory approximation for
-    very large training sets)."""
-    def pct(c, q):
-        return F.percentile(c, q) if exact else F.percentile_approx(c, q, 100000)
-    return train.agg(*[pct(c, lower / 100.0).alias(f"{c}_lo") for c in cols],
-                     *[pct(c, upper / 100.0).alias(f"{c}_hi") for c in cols])
+    of the train part, all columns at once by ranks (``exact=False``: one
+    approximate aggregate)."""
+    qs = [lower / 100.0, upper / 100.0]
+    if not exact:
+        return train.agg(*[F.percentile_approx(c, q, 100000).alias(f"{c}_{e}") for c in cols for q, e in zip(qs, ("lo", "hi"))])
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in cols])))
+    p = rank_percentiles(long, "_x", qs, ["_column"])  # one row per column
+    return p.agg(*[F.max(F.when(F.col("_column") == c, F.col("_p")[k])).alias(f"{c}_{e}") for c in cols for k, e in ((0, "lo"), (1, "hi"))])
 
 
 def clip(x: Column, lo: Column, hi: Column) -> Column:

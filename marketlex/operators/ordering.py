@@ -55,6 +55,46 @@ def global_row_number(df: DataFrame, order_cols: Sequence, bucket: Column,
     return out.drop("__bkt", "__rn", "__cnt", "__off", "__size")
 
 
+PERCENTILE_BUCKETS = 4096
+
+
+def rank_percentiles(df: DataFrame, value: str, ps: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated percentiles per group as ``(keys, _p)``
+    (array in the order of ``ps``; null where a group has no value), without
+    a buffer of a group's values: values are counted in 4096 equal-width
+    buckets between the group's extremes, only the buckets that hold a wanted
+    rank are looked into, and equal values are one row there."""
+    kc = list(keys) or ["_all"]
+    d = df.select(*([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    width = F.col("_hi") - F.col("_lo")
+    ends = d.groupBy(*kc).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}")) for k in kc]
+    placed = d.alias("d").join(ends.alias("e"), on).select(
+        *[F.col(f"d.{k}").alias(k) for k in kc], "_v",
+        F.when(width == 0, 0).otherwise(F.floor((F.col("_v") - F.col("_lo")) / width * PERCENTILE_BUCKETS)).alias("_b"))
+    counts = placed.groupBy(*kc, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*kc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (counts.groupBy(*kc, "_b").agg(F.sum("_c").alias("_c"))
+             .withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))))  # at most 4097 rows a group
+    want = ends.select(*kc, F.posexplode(F.array(*[F.lit(float(p)) for p in ps])).alias("_i", "_q"), "_n").select(
+        *kc, "_i", (F.col("_q") * (F.col("_n") - 1)).alias("_at"))
+    want = want.select(*kc, "_i", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_k")).distinct()
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"s.{k}")) for k in kc]
+    held = want.alias("w").join(sizes.alias("s"), [*same, F.col("_k") >= F.col("_off"), F.col("_k") < F.col("_off") + F.col("_c")]).select(
+        *[F.col(f"w.{k}").alias(k) for k in kc], "_i", "_at", "_k", "_b", "_off")
+    inside = Window.partitionBy(*kc, "_b").orderBy("_v")
+    needed = [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in kc] + [F.col("c._b") == F.col("h._b")]
+    ranked = (counts.alias("c").join(held.select(*kc, "_b").distinct().alias("h"), needed, "left_semi")
+              .withColumn("_to", F.sum("_c").over(inside)))
+    pick = [F.col(f"h.{k}").eqNullSafe(F.col(f"r.{k}")) for k in kc] + [F.col("h._b") == F.col("r._b")]
+    got = held.alias("h").join(ranked.alias("r"), pick).where((F.col("_k") - F.col("_off") < F.col("_to")) & (F.col("_k") - F.col("_off") >= F.col("_to") - F.col("_c")))
+    one = got.groupBy(*[F.col(f"h.{k}").alias(k) for k in kc], "_i", "_at").agg(
+        F.min_by("_v", "_k").alias("_x"), F.max_by("_v", "_k").alias("_y"))
+    one = one.withColumn("_p", F.col("_x") + (F.col("_y") - F.col("_x")) * (F.col("_at") - F.floor("_at")))
+    out = one.groupBy(*kc).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_p"))), lambda s: s["_p"]).alias("_p"))
+    return out if keys else out.drop("_all")
+
+
 def hash_row_number(df: DataFrame, seed: int, id_cols: Sequence[str], name: str = "pos",
                     partition_cols: Sequence[str] = (), size_col: str | None = None) -> DataFrame:
     """Position in seeded pseudo-random order (ties on the id columns)."""

@@ -8,6 +8,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlex.operators.ordering import rank_percentiles
+
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "neutral_f1", "positive_f1", "negative_f1")
 PARAMS = ("learning_rate", "batch_size", "epochs", "weight_decay", "class_weight_floor")
 
@@ -54,10 +56,11 @@ def correlation_block(df: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> Da
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers (most extreme values inside the
-    fences) per group: one percentile aggregate, one join back, one min/max."""
+    fences) per group: percentiles (exact by ranks, or approximate), one join
+    back, one min/max."""
     qs = [0.25, 0.5, 0.75]
-    agg = F.percentile(value, qs) if exact else F.percentile_approx(value, qs, 100000)
-    q = df.groupBy(*keys).agg(agg.alias("_q"))
+    q = (rank_percentiles(df, value, qs, keys).withColumnRenamed("_p", "_q") if exact
+         else df.groupBy(*keys).agg(F.percentile_approx(value, qs, 100000).alias("_q")))
     q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     j = df.select(*keys, value).join(q, list(keys))
@@ -71,11 +74,13 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True
 
 def percentiles(df: DataFrame, value: str, ps: Sequence[float], keys: Sequence[str] = (),
                 exact: bool = True) -> DataFrame:
-    """A10: linear-interpolated percentiles (``exact=False``: approximate,
-    bounded memory for huge groups)."""
-    f = F.percentile if exact else F.percentile_approx
-    agg = f(value, list(ps)).alias("_p")
-    base = df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
+    """A10: linear-interpolated percentiles, exact by ranks; ``exact=False``
+    is one approximate aggregate (its values are the data's own)."""
+    if exact:
+        base = rank_percentiles(df, value, list(ps), keys)
+    else:
+        agg = F.percentile_approx(value, list(ps)).alias("_p")
+        base = df.groupBy(*keys).agg(agg) if keys else df.agg(agg)
     return base.select(*keys, *[F.col("_p")[i].alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)])
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from marketlex.functions import stats_math as sm
 from marketlex.operators.market import zscore_filter
+from marketlex.operators.ordering import rank_percentiles
 
 
 # ------------------------------------------------------------------ moments
@@ -201,11 +202,14 @@ def ols_screen(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
     # residuals, then one window (DW) and one aggregate for K^2 moments, DW and the medians
     res = kept.join(st.select(*g, "coef", "intercept"), g).select(
         *g, order_col, "x", (F.col("y") - F.col("intercept") - F.col("coef") * F.col("x")).alias("_e"))
-    res = res.withColumn("_de", F.col("_e") - F.lag("_e", 1).over(Window.partitionBy(*g).orderBy(order_col)))
+    res = materialize(res).withColumn("_de", F.col("_e") - F.lag("_e", 1).over(Window.partitionBy(*g).orderBy(order_col)))
     rs = res.groupBy(*g).agg(
         F.count("_e").alias("_nn"), F.skewness("_e").alias("_skew"), F.kurtosis("_e").alias("_kurt"),
-        (F.sum(F.col("_de") * F.col("_de")) / F.sum(F.col("_e") * F.col("_e"))).alias("durbin_watson"),
-        F.median("x").alias("_ma"), F.median("_e").alias("_mb"))
+        (F.sum(F.col("_de") * F.col("_de")) / F.sum(F.col("_e") * F.col("_e"))).alias("durbin_watson"))
+    both = res.select(*g, F.inline(F.array(F.struct(F.lit("a").alias("_side"), F.col("x").alias("_m")), F.struct(F.lit("b").alias("_side"), F.col("_e").alias("_m")))))
+    med = rank_percentiles(both, "_m", [0.5], [*g, "_side"]).groupBy(*g).agg(
+        F.max(F.when(F.col("_side") == "a", F.col("_p")[0])).alias("_ma"), F.max(F.when(F.col("_side") == "b", F.col("_p")[0])).alias("_mb"))
+    rs = rs.join(med, g)
     lv = _levene_from_medians(res.join(rs.select(*g, "_ma", "_mb"), g), g, "x", "_e")
     allst = st.join(rs, g).join(lv, g)
     allst = allst.withColumn("_one", F.lit(1.0))
