@@ -12,7 +12,8 @@ its high bits.  Probabilities and context counts are quantised to one byte.
 Levels are built in Spark, a pass over the corpus each: tasks count n-grams
 in numpy, send sorted runs to key ranges of equal mass (a range may start
 inside a context, so a frequent context is split), and every range becomes
-one file below ``spark.checkpoint.dir`` that scoring tasks map into memory.
+one file below ``spark.checkpoint.dir`` that scoring tasks map into memory.  Texts
+are tokenised once, into chunks of word numbers with their vocabulary.
 
 Smoothing is hierarchical: with ``N`` the count of a context and ``mu = N **
 POWER``, p(w | c) = (count(c w) + mu p(w | shorter c)) / (N + mu), down to
@@ -36,8 +37,8 @@ from marketlex.llm.base import file_system, put_file, work_path
 
 POWER = 0.8
 CHUNK_TOKENS = 1_500_000  # tokens that a task counts or scores at a time
+CHUNK_DOCUMENTS = 100_000
 RUN_KEYS = 6_000_000      # keys a task gathers before it sends a run
-MEMO_WORDS = 600_000
 END = b"\n"               # the end token: no word holds white space
 U = np.uint64
 
@@ -74,7 +75,7 @@ class EliasFano:
     def build(cls, values: np.ndarray, universe: int) -> "EliasFano":
         v = values.astype(U)
         n = len(v)
-        low_bits = max(0, int(math.log2(universe / n))) if n and universe > n else 0
+        low_bits = min(56, max(0, int(math.log2(universe / n)))) if n and universe > n else 0  # load64 gives 57
         high = (v >> U(low_bits)).astype(np.int64)
         zeros = (int(high[-1]) if n else 0) + 2
         bits = np.zeros(n + zeros, bool)
@@ -125,22 +126,32 @@ class EliasFano:
         return ((self.select(i, True) - i).astype(U) << U(self.low_bits)) | self.low_of(i)
 
     def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first value >= key, whether it equals the key)."""
+        """(place of the first value >= key, whether it equals the key) of
+        ascending keys; each bucket of high bits is located once."""
         keys = keys.astype(U)
-        high = (keys >> U(self.low_bits)).astype(np.int64)
+        high = np.minimum(keys >> U(self.low_bits), U(self.zeros)).astype(np.int64)
         inside = high < self.zeros
-        h = np.where(inside, high, 0)
-        lo = np.where(h > 0, self.select(np.maximum(h - 1, 0), False) - (h - 1), 0)
-        hi = self.select(h, False) - h
-        end = hi.copy()
+        new = np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1]))) if len(high) else np.zeros(0, np.int64)
+        bucket = np.minimum(high[new], self.zeros - 1)
+        # bucket h lies between zeros h - 1 and h of the unary code
+        first = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) - (bucket - 1), 0)
+        follows = np.concatenate((bucket[1:] == bucket[:-1] + 1, [False])) if len(bucket) else np.zeros(0, bool)
+        stop = np.empty_like(first)
+        stop[follows] = first[1:][follows[:-1]]  # the next bucket's start
+        alone = np.flatnonzero(~follows)
+        stop[alone] = self.select(bucket[alone], False) - bucket[alone]
+        size = np.diff(np.append(new, len(keys)))
+        lo, end = np.repeat(first, size), np.repeat(stop, size)
+        hi = end.copy()
         want = keys & U((1 << self.low_bits) - 1)
         todo = np.flatnonzero(lo < hi)
         while len(todo):  # halve the bucket
-            mid = (lo[todo] + hi[todo]) >> 1
+            x, y = lo[todo], hi[todo]
+            mid = (x + y) >> 1
             less = self.low_of(mid) < want[todo]
-            lo[todo] = np.where(less, mid + 1, lo[todo])
-            hi[todo] = np.where(less, hi[todo], mid)
-            todo = todo[lo[todo] < hi[todo]]
+            x, y = np.where(less, mid + 1, x), np.where(less, y, mid)
+            lo[todo], hi[todo] = x, y
+            todo = todo[x < y]
         equal = np.zeros(len(keys), bool)
         near = np.flatnonzero(inside & (lo < end))
         equal[near] = self.low_of(lo[near]) == want[near]
@@ -233,18 +244,22 @@ class Level:
                 yield int(which[rows[0]]), rows
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of keys, -1 where absent."""
+        """Places of keys, -1 where absent; equal keys are looked up once."""
         out = np.full(len(keys), -1, np.int64)
         if not len(self.files) or not len(keys):
             return out
         order = np.argsort(keys)
         k = keys[order].astype(U)
-        which = np.searchsorted(self.first_key, k, "right") - 1
-        for f, rows in self.each(which):
-            if f >= 0:
-                _, ef, _ = self.file(f)
-                at, same = ef.successor(k[rows] - self.first_key[f])
-                out[order[rows]] = np.where(same, at + self.first_place[f], -1)
+        new = np.concatenate(([True], k[1:] != k[:-1]))
+        one = k[new]
+        got = np.full(len(one), -1, np.int64)
+        cut = np.concatenate((np.searchsorted(one, self.first_key), [len(one)]))
+        for f in range(len(self.files)):
+            lo, hi = cut[f], cut[f + 1]
+            if lo < hi:
+                at, same = self.file(f)[1].successor(one[lo:hi] - self.first_key[f])
+                got[lo:hi] = np.where(same, at + self.first_place[f], -1)
+        out[order] = got[np.cumsum(new) - 1]
         return out
 
     def starts(self, contexts: np.ndarray) -> np.ndarray:
@@ -275,25 +290,14 @@ class Model:
     def __init__(self, total: int, distinct: int, levels: list[Level]):
         self.total, self.distinct, self.levels = total, distinct, levels
         self.unit = (math.log10(total + distinct + 1) + 1) / 255  # log10 step of a probability byte
-        self.memo: dict = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "memo": {}}
 
     # -- tokens
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Places of words in level 1, -1 for unknown ones."""
-        memo = self.memo
-        missing = [w for w in set(words) if w not in memo]
-        if missing:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = list(set(words))
-            memo.update(zip(missing, self.levels[0].find(np.fromiter(map(word_hash, missing), U, len(missing))).tolist()))
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of tokens in level 1 by hash, -1 for unknown ones."""
+        return self.levels[0].find(hashes)
 
     def end(self) -> int:
-        return int(self.ids([END])[0])
+        return int(self.ids(np.array([word_hash(END)], U))[0])
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         c = np.zeros(len(ids), np.int64)
@@ -326,16 +330,20 @@ class Model:
         words, back = np.unique(seq[1:-1][rows], return_inverse=True)
         return rows, pairs[1:][rows] - self.levels[1].starts(words)[back]
 
-    def log_probability(self, seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 p, count) of every token of ``seq`` after the first."""
-        count = self.counts(seq)
-        lp = np.log10(self.unigram(count[1:]))
+    def log_probability(self, seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 p, log10 add-one p, whether known) of every token of
+        ``seq`` after the first."""
+        words, at = np.unique(seq, return_inverse=True)
+        count = self.counts(words)
+        base = np.log10(self.unigram(count))
+        n = np.maximum(count, 1).astype(np.float64)
+        back = np.where(count > 0, np.log10(n ** POWER / (n + n ** POWER)), 0.0)
+        one = base[at[1:]]
+        known = (count > 0)[at[1:]]
         if len(self.levels) < 2:
-            return lp, count[1:]
-        n = np.maximum(count[:-1], 1).astype(np.float64)
-        back = np.where(count[:-1] > 0, np.log10(n ** POWER / (n + n ** POWER)), 0.0)
+            return one, one, known
+        lp = one + back[at[:-1]]
         pairs = self.pairs(seq)
-        lp += back
         hit = np.flatnonzero(pairs >= 0)
         lp[hit] = self.log10_of(self.levels[1].gather("p", pairs[hit]))
         if len(self.levels) > 2:
@@ -344,10 +352,10 @@ class Model:
             m = COUNT_OF[self.levels[1].gather("c", pairs[ctx])].astype(np.float64)
             lp[ctx + 1] += np.log10(m ** POWER / (m + m ** POWER))
             rows, code = self.triples(seq, pairs, end)
-            at = self.levels[2].find((pairs[rows].astype(U) << U(self.levels[2].bits)) | code.astype(U))
-            hit = at >= 0
-            lp[rows[hit] + 1] = self.log10_of(self.levels[2].gather("p", at[hit]))
-        return lp, count[1:]
+            found = self.levels[2].find((pairs[rows].astype(U) << U(self.levels[2].bits)) | code.astype(U))
+            hit = found >= 0
+            lp[rows[hit] + 1] = self.log10_of(self.levels[2].gather("p", found[hit]))
+        return lp, one, known
 
 
 # ---- runs of counted keys --------------------------------------------------
@@ -392,7 +400,7 @@ def write_level(runs: DataFrame, out_dir: str, cuts: np.ndarray, finish) -> list
     """Merge the runs of each key range, write its file, and return the
     manifest rows (one per range) in key order.  ``finish(keys, counts, lo,
     hi)`` gives the header and the arrays of a range [lo, hi)."""
-    lows = np.concatenate(([0], cuts)).astype(U)
+    lows = np.concatenate((np.zeros(1, U), cuts))
 
     def run(batches):
         shard, keys, counts, held = None, [], [], 0
@@ -428,7 +436,7 @@ def write_level(runs: DataFrame, out_dir: str, cuts: np.ndarray, finish) -> list
 
 
 def level_of(rows: list, cuts: np.ndarray, bits: int) -> Level:
-    lows = np.concatenate(([0], cuts)).astype(U)
+    lows = np.concatenate((np.zeros(1, U), cuts))
     place = np.cumsum([0] + [r.n for r in rows])
     return Level([(int(lows[r.shard]), int(p), r.path) for r, p in zip(rows, place)], bits)
 
@@ -494,117 +502,130 @@ def mass_cuts(spark: SparkSession, level: Level, rows: list, counts_of, ranges:
 
 # ---- training and scoring --------------------------------------------------
 
-def sequences(column, end: int, limit: int):
-    """(first row, end row, ids) of stored documents, about ``limit`` ids at
-    a time: the end token before the first document and after each."""
-    rows, held, first = [], 0, 0
-    for k, raw in enumerate(column):
-        ids = np.frombuffer(raw.as_buffer(), "<i4").astype(np.int64) if raw.as_buffer().size else np.zeros(0, np.int64)
-        rows.append(ids)
-        held += len(ids) + 1
-        if held >= limit:
-            yield first, k + 1, rows
-            rows, held, first = [], 0, k + 1
-    if rows:
-        yield first, first + len(rows), rows
-
-
-def joined(rows: list[np.ndarray], end: int) -> np.ndarray:
-    out = np.full(sum(map(len, rows)) + len(rows) + 1, end, np.int64)
-    at = 1
-    for r in rows:
-        out[at:at + len(r)] = r
-        at += len(r) + 1
-    return out
+CHUNKS = "doc_id array<long>, held_out array<boolean>, words array<int>, ids binary, vocabulary binary"
 
 
-def train(docs: DataFrame, encode: DataFrame, order: int) -> tuple[Model, DataFrame]:
-    """Fit on ``docs(text)``; also returns ``encode`` (other columns, text)
-    with the text replaced by its token ids."""
-    spark = docs.sparkSession
+def token_chunks(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, held_out, text)`` as chunks of about ``CHUNK_TOKENS``
+    tokens: the documents' ids, flags and word counts, all words as places in
+    the chunk's vocabulary, and the vocabulary as 64-bit hashes.  Texts are
+    tokenised here only."""
+
+    def run(batches):
+        doc_ids, flags, texts, held = [], [], [], 0
+
+        def chunk():
+            place: dict = {}
+            for ws in texts:
+                place.update(dict.fromkeys(ws))
+            vocabulary = np.fromiter(map(word_hash, place), U, len(place))
+            place = dict(zip(place, range(len(place))))
+            ids = np.fromiter((place[w] for ws in texts for w in ws), "<i4", held)
+            return pa.RecordBatch.from_arrays([
+                pa.array([doc_ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())),
+                pa.array([[len(ws) for ws in texts]], pa.list_(pa.int32())), pa.array([ids.tobytes()], pa.binary()),
+                pa.array([vocabulary.tobytes()], pa.binary())], names=["doc_id", "held_out", "words", "ids", "vocabulary"])
+
+        for b in batches:
+            for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text")):
+                doc_ids.append(d)
+                flags.append(h)
+                texts.append(split_words(t.as_py()))
+                held += len(texts[-1])
+                if held >= CHUNK_TOKENS or len(texts) >= CHUNK_DOCUMENTS:
+                    yield chunk()
+                    doc_ids, flags, texts, held = [], [], [], 0
+        if texts:
+            yield chunk()
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, CHUNKS)
+
+
+class Chunk:
+    """One stored chunk: ``ids`` of all words in places of ``hashes``, cut
+    into documents at ``starts``."""
+
+    def __init__(self, batch, row: int):
+        self.doc_id, self.held_out = batch.column("doc_id")[row].as_py(), batch.column("held_out")[row].as_py()
+        self.words = np.array(batch.column("words")[row].as_py(), np.int64)
+        self.ids = np.frombuffer(batch.column("ids")[row].as_buffer(), "<i4") if self.words.sum() else np.zeros(0, "<i4")
+        self.hashes = np.frombuffer(batch.column("vocabulary")[row].as_buffer(), "<u8") if len(self.ids) else np.zeros(0, U)
+
+    def part(self, learnt_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, word counts) of all documents or of those to learn from."""
+        if not learnt_only:
+            return self.ids, self.words
+        keep = ~np.array(self.held_out, bool)
+        return self.ids[np.repeat(keep, self.words)], self.words[keep]
+
+    def sequence(self, model: Model, end: int, learnt_only: bool) -> np.ndarray:
+        """Level-1 places: the end token before the first document and after
+        each, so that it is also the context of every first word."""
+        ids, words = self.part(learnt_only)
+        seq = np.full(len(ids) + len(words) + 1, end, np.int64)
+        at = np.arange(len(ids)) + 1 + np.repeat(np.arange(len(words)), words)
+        seq[at] = model.ids(self.hashes)[ids] if len(ids) else ids
+        return seq
+
+
+def chunks_of(batches):
+    for b in batches:
+        for row in range(b.num_rows):
+            yield Chunk(b, row)
+
+
+def train(chunks: DataFrame, order: int) -> Model:
+    """Fit on the documents of stored ``chunks`` that are not held out."""
+    spark = chunks.sparkSession
     ranges = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     home = work_path(spark, "ngram-trie")
     cuts1 = np.array([(1 << 64) * j // ranges for j in range(1, ranges)], U)
 
     def count_words(batches):
-        from collections import Counter
-        seen: Counter = Counter()
-
-        def flush():
-            k = np.fromiter(map(word_hash, seen.keys()), U, len(seen))
-            c = np.fromiter(seen.values(), np.int64, len(seen))
-            order_ = np.argsort(k)
-            yield from run_rows(k[order_], c[order_], cuts1)
-            seen.clear()
-
-        for b in batches:
-            for t in b.column("text"):
-                seen.update(split_words(t.as_py()))
-                seen[END] += 1
-                if len(seen) > 1_000_000:
-                    yield from flush()
-        if seen:
-            yield from flush()
+        keys, counts, held = [], [], 0
+        for c in chunks_of(batches):
+            ids, words = c.part(True)
+            seen = np.bincount(ids, minlength=len(c.hashes))
+            k = np.append(c.hashes, U(word_hash(END)))
+            n = np.append(seen, len(words))
+            keys.append(k[n > 0])
+            counts.append(n[n > 0])
+            held += len(keys[-1])
+            if held >= RUN_KEYS:
+                yield from run_rows(*merged(keys, counts), cuts1)
+                keys, counts, held = [], [], 0
+        if held:
+            yield from run_rows(*merged(keys, counts), cuts1)
 
     def word_file(keys, counts, lo, hi):
         ef = EliasFano.build(keys - U(lo), int(keys[-1]) - lo + 1)
         head, parts = ef.parts()
         return {"keys": head}, {"counts": counts.astype("<i8")} | {f"keys.{k}": a for k, a in enumerate(parts)}, {}
 
-    rows = write_level(docs.select("text").mapInArrow(count_words, RUN), f"{home}/level-1", cuts1, word_file)
+    rows = write_level(chunks.select("held_out", "words", "ids", "vocabulary", "doc_id").mapInArrow(count_words, RUN), f"{home}/level-1", cuts1, word_file)
     level1 = level_of(rows, cuts1, 0)
     model = Model(sum(r.mass for r in rows), sum(r.n for r in rows), [level1])
-    others = [c for c in encode.columns if c != "text"]
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encode.schema if f.name != "text") + ", ids binary"
-    if model.distinct >= 1 << 31:
-        raise ValueError("more than 2^31 distinct tokens")  # ids are stored as int32
-
-    def to_ids(batches):
-        for b in batches:
-            words, rows_, held = [], 0, 0
-            at = 0
-
-            def done(lo, hi, words):
-                ids = model.ids([w for ws in words for w in ws]).astype("<i4")
-                cut = np.cumsum([0] + [len(ws) for ws in words])
-                return pa.RecordBatch.from_pydict({c: b.column(c).slice(lo, hi - lo) for c in others} | {
-                    "ids": pa.array([ids[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())})
-
-            for k, t in enumerate(b.column("text")):
-                words.append(split_words(t.as_py()))
-                held += len(words[-1])
-                if held >= CHUNK_TOKENS:
-                    yield done(at, k + 1, words)
-                    words, held, at = [], 0, k + 1
-            if words:
-                yield done(at, b.num_rows, words)
-
-    path = f"{home}/ids"
-    encode.mapInArrow(to_ids, out_schema).write.option("compression", "zstd").parquet(path)
-    encoded = spark.read.parquet(path)
     if not rows or order < 2:
-        return model, encoded
-    learnt = encoded.where("not held_out").select("ids")
+        return model
 
     def counted(keys_of, cuts):
-        """Runs of the keys that ``keys_of(ids)`` makes."""
+        """Runs of the keys that ``keys_of(sequence)`` makes."""
 
         def run(batches):
             end, keys, counts, held = model.end(), [], [], 0
-            for b in batches:
-                for _, _, docs_ in sequences(b.column("ids"), end, CHUNK_TOKENS):
-                    k = np.sort(keys_of(joined(docs_, end), end))
-                    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-                    keys.append(k[first])
-                    counts.append(np.diff(np.append(first, len(k))))
-                    held += len(first)
-                    if held >= RUN_KEYS:
-                        yield from run_rows(*merged(keys, counts), cuts)
-                        keys, counts, held = [], [], 0
+            for c in chunks_of(batches):
+                k = np.sort(keys_of(c.sequence(model, end, True), end))
+                first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+                keys.append(k[first])
+                counts.append(np.diff(np.append(first, len(k))))
+                held += len(first)
+                if held >= RUN_KEYS:
+                    yield from run_rows(*merged(keys, counts), cuts)
+                    keys, counts, held = [], [], 0
             if held:
                 yield from run_rows(*merged(keys, counts), cuts)
 
-        return learnt.mapInArrow(run, RUN)
+        return chunks.mapInArrow(run, RUN)
 
     bits2 = max(1, (model.distinct - 1).bit_length())
     cuts2 = mass_cuts(spark, level1, rows, lambda f: f.array("counts"), ranges, bits2)
@@ -620,10 +641,9 @@ def train(docs: DataFrame, encode: DataFrame, order: int) -> tuple[Model, DataFr
         return (counts + mu * lower) / (n + mu)
 
     rows2 = write_level(counted(pair_keys, cuts2), f"{home}/level-2", cuts2, context_files(model, bits2, pair_probability))
-    model2 = Model(model.total, model.distinct, [level1, level_of(rows2, cuts2, bits2)])
+    model = Model(model.total, model.distinct, [level1, level_of(rows2, cuts2, bits2)])
     if order < 3:
-        return model2, encoded
-    model = model2
+        return model
     bits3 = max(1, (most_entries(rows2) - 1).bit_length())
     cuts3 = mass_cuts(spark, model.levels[1], rows2, lambda f: COUNT_OF[f.array("c")], ranges, bits3)
 
@@ -643,7 +663,7 @@ def train(docs: DataFrame, encode: DataFrame, order: int) -> tuple[Model, DataFr
         return (counts + mu * lower) / (m + mu)
 
     rows3 = write_level(counted(triple_keys, cuts3), f"{home}/level-3", cuts3, context_files(model, bits3, triple_probability))
-    return Model(model.total, model.distinct, [level1, model.levels[1], level_of(rows3, cuts3, bits3)]), encoded
+    return Model(model.total, model.distinct, [*model.levels, level_of(rows3, cuts3, bits3)])
 
 
 def pair_tokens(level: Level, places: np.ndarray) -> np.ndarray:
@@ -667,24 +687,21 @@ def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
 
     A null or empty text is the end token alone.  With nothing to train on
     every token is unknown.  Rows are kept one to one."""
-    docs = docs.select("doc_id", "held_out", "text")
-    model, encoded = train(docs.where("not held_out"), docs, order)
+    spark = docs.sparkSession
+    path = work_path(spark, "ngram-chunks")
+    token_chunks(docs).write.option("compression", "zstd").parquet(path)
+    chunks = spark.read.schema(CHUNKS).parquet(path)
+    model = train(chunks, order)
 
     def run(batches):
-        if not model.levels[0].files:
-            end = -1
-        else:
-            end = model.end()
-        for b in batches:
-            for lo, hi, rows in sequences(b.column("ids"), end, CHUNK_TOKENS):
-                n = np.array([len(r) + 1 for r in rows])
-                lp, count = model.log_probability(joined(rows, end), end)
-                at = np.cumsum(n) - n
-                total = len(rows)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column("doc_id").slice(lo, hi - lo), "held_out": b.column("held_out").slice(lo, hi - lo),
-                    "n_tokens": n.astype(np.int64), "n_known": np.add.reduceat((count > 0).astype(np.int64), at),
-                    "train_tokens": np.full(total, model.total, np.int64),
-                    "base_score": np.add.reduceat(np.log10(model.unigram(count)), at), "score": np.add.reduceat(lp, at)})
-
-    return encoded.mapInArrow(run, "doc_id long, held_out boolean, " + SCORE)
+        end = model.end() if model.levels[0].files else -1
+        for c in chunks_of(batches):
+            lp, base, known = model.log_probability(c.sequence(model, end, False), end)
+            n = c.words + 1
+            at = np.cumsum(n) - n
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(c.doc_id, pa.int64()), "held_out": pa.array(c.held_out, pa.bool_()),
+                "n_tokens": n, "n_known": np.add.reduceat(known.astype(np.int64), at), "train_tokens": np.full(len(n), model.total, np.int64),
+                "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(lp, at)})
+
+    return chunks.mapInArrow(run, "doc_id long, held_out boolean, " + SCORE)

@@ -35,7 +35,7 @@ LM_FOLDS, LM_HELD_OUT = 7, 2
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.ngram_trie import score_documents
-    held = F.coalesce(hash_bucket(F.col("doc_id"), LM_FOLDS) == LM_HELD_OUT, F.lit(False))
+    held = F.coalesce(hash_bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), LM_FOLDS) == LM_HELD_OUT, F.lit(False))
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text"))
 
 
