@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -243,24 +244,31 @@ class Level:
             if len(rows):
                 yield int(which[rows[0]]), rows
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of keys, -1 where absent; equal keys are looked up once."""
-        out = np.full(len(keys), -1, np.int64)
+    def find(self, keys: np.ndarray, names: tuple = ()) -> tuple:
+        """(places of keys, -1 where absent, and the bytes ``names`` of the
+        entries found, 0 elsewhere); equal keys are looked up once."""
+        out = [np.full(len(keys), -1, np.int64)] + [np.zeros(len(keys), np.uint8) for _ in names]
         if not len(self.files) or not len(keys):
-            return out
+            return tuple(out)
         order = np.argsort(keys)
-        k = keys[order].astype(U)
+        k = keys[order].astype(U, copy=False)
         new = np.concatenate(([True], k[1:] != k[:-1]))
         one = k[new]
-        got = np.full(len(one), -1, np.int64)
+        got = [np.full(len(one), -1, np.int64)] + [np.zeros(len(one), np.uint8) for _ in names]
         cut = np.concatenate((np.searchsorted(one, self.first_key), [len(one)]))
         for f in range(len(self.files)):
             lo, hi = cut[f], cut[f + 1]
             if lo < hi:
-                at, same = self.file(f)[1].successor(one[lo:hi] - self.first_key[f])
-                got[lo:hi] = np.where(same, at + self.first_place[f], -1)
-        out[order] = got[np.cumsum(new) - 1]
-        return out
+                head, ef, _ = self.file(f)
+                at, same = ef.successor(one[lo:hi] - self.first_key[f])
+                got[0][lo:hi] = np.where(same, at + self.first_place[f], -1)
+                hit = np.flatnonzero(same)
+                for g, name in zip(got[1:], names):
+                    g[lo + hit] = head.array(name)[at[hit]]
+        back = np.cumsum(new) - 1
+        for o, g in zip(out, got):
+            o[order] = g[back]
+        return tuple(out)
 
     def starts(self, contexts: np.ndarray) -> np.ndarray:
         """Place of the first entry of each context, from the pointers."""
@@ -294,7 +302,7 @@ class Model:
     # -- tokens
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Places of tokens in level 1 by hash, -1 for unknown ones."""
-        return self.levels[0].find(hashes)
+        return self.levels[0].find(hashes)[0]
 
     def end(self) -> int:
         return int(self.ids(np.array([word_hash(END)], U))[0])
@@ -315,49 +323,63 @@ class Model:
     def log10_of(self, code: np.ndarray) -> np.ndarray:
         return -code.astype(np.float64) * self.unit
 
-    def pairs(self, seq: np.ndarray) -> np.ndarray:
-        """Level-2 places of (token, next token) for a sequence of ids."""
+    def pairs(self, seq: np.ndarray, names: tuple = ()) -> tuple:
+        """Level-2 places of (token, next token) of a sequence of level-1
+        places, and the bytes ``names`` of the entries."""
         a, b = seq[:-1], seq[1:]
-        out = np.full(len(a), -1, np.int64)
         known = np.flatnonzero((a >= 0) & (b >= 0))
-        out[known] = self.levels[1].find((a[known].astype(U) << U(self.levels[1].bits)) | b[known].astype(U))
-        return out
-
-    def triples(self, seq: np.ndarray, pairs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        keys = (a[known].astype(U) << U(self.levels[1].bits)) | b[known].astype(U)
+        got = self.levels[1].find(keys, names)
+        if len(known) == len(a):
+            return got
+        out = [np.full(len(a), -1, np.int64)] + [np.zeros(len(a), np.uint8) for _ in names]
+        for o, g in zip(out, got):
+            o[known] = g
+        return tuple(out)
+
+    def triple_keys(self, text: "Text", pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows of ``pairs[1:]`` whose pair and preceding pair exist, their
-        relative codes); no triple crosses the end token."""
-        rows = np.flatnonzero((pairs[1:] >= 0) & (pairs[:-1] >= 0) & (seq[1:-1] != end))
-        words, back = np.unique(seq[1:-1][rows], return_inverse=True)
-        return rows, pairs[1:][rows] - self.levels[1].starts(words)[back]
-
-    def log_probability(self, seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        level-3 keys): the context is the preceding pair, the code the pair's
+        rank among the successors of its first token.  No triple crosses the
+        end token."""
+        rows = np.flatnonzero((pairs[1:] >= 0) & (pairs[:-1] >= 0) & (text.words[1:-1] != len(text.place) - 1))
+        starts = np.zeros(len(text.place), np.int64)
+        known = np.flatnonzero(text.place >= 0)
+        starts[known] = self.levels[1].starts(text.place[known])
+        code = pairs[1:][rows] - starts[text.words[1:-1][rows]]
+        return rows, (pairs[:-1][rows].astype(U) << U(bits)) | code.astype(U)
+
+    def log_probability(self, text: "Text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 p, log10 add-one p, whether known) of every token of
-        ``seq`` after the first."""
-        words, at = np.unique(seq, return_inverse=True)
-        count = self.counts(words)
+        ``text`` after the first."""
+        count = self.counts(text.place)
         base = np.log10(self.unigram(count))
-        n = np.maximum(count, 1).astype(np.float64)
-        back = np.where(count > 0, np.log10(n ** POWER / (n + n ** POWER)), 0.0)
-        one = base[at[1:]]
-        known = (count > 0)[at[1:]]
+        one, known = base[text.words[1:]], (count > 0)[text.words[1:]]
         if len(self.levels) < 2:
             return one, one, known
-        lp = one + back[at[:-1]]
-        pairs = self.pairs(seq)
-        hit = np.flatnonzero(pairs >= 0)
-        lp[hit] = self.log10_of(self.levels[1].gather("p", pairs[hit]))
+        back = np.where(count > 0, discount(np.maximum(count, 1)), 0.0)
+        lp = one + back[text.words[:-1]]
+        value = self.log10_of(np.arange(256))
+        pairs, p, c = self.pairs(text.sequence(), ("p", "c"))
+        lp = np.where(pairs >= 0, value[p], lp)
         if len(self.levels) > 2:
             # contexts that exist discount; triples that exist replace
-            ctx = np.flatnonzero((pairs[:-1] >= 0) & (seq[1:-1] != end))
-            m = COUNT_OF[self.levels[1].gather("c", pairs[ctx])].astype(np.float64)
-            lp[ctx + 1] += np.log10(m ** POWER / (m + m ** POWER))
-            rows, code = self.triples(seq, pairs, end)
-            found = self.levels[2].find((pairs[rows].astype(U) << U(self.levels[2].bits)) | code.astype(U))
+            inside = (pairs[:-1] >= 0) & (text.words[1:-1] != len(text.place) - 1)
+            lp[1:] += np.where(inside, discount(np.maximum(COUNT_OF, 1))[c[:-1]], 0.0)
+            rows, keys = self.triple_keys(text, pairs, self.levels[2].bits)
+            found, p = self.levels[2].find(keys, ("p",))
             hit = found >= 0
-            lp[rows[hit] + 1] = self.log10_of(self.levels[2].gather("p", found[hit]))
+            lp[rows[hit] + 1] = value[p[hit]]
         return lp, one, known
 
 
+def discount(n: np.ndarray) -> np.ndarray:
+    """log10 of the share that a context of count ``n`` leaves to the shorter
+    one."""
+    mu = n.astype(np.float64) ** POWER
+    return np.log10(mu / (n + mu))
+
+
 # ---- runs of counted keys --------------------------------------------------
 
 RUN = "shard int, n long, keys binary, counts binary"
@@ -505,6 +527,14 @@ def mass_cuts(spark: SparkSession, level: Level, rows: list, counts_of, ranges:
 CHUNKS = "doc_id array<long>, held_out array<boolean>, words array<int>, ids binary, vocabulary binary"
 
 
+class Numbers(dict):
+    """Numbers words in the order of their first use."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
 def token_chunks(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, held_out, text)`` as chunks of about ``CHUNK_TOKENS``
     tokens: the documents' ids, flags and word counts, all words as places in
@@ -515,12 +545,9 @@ def token_chunks(docs: DataFrame) -> DataFrame:
         doc_ids, flags, texts, held = [], [], [], 0
 
         def chunk():
-            place: dict = {}
-            for ws in texts:
-                place.update(dict.fromkeys(ws))
-            vocabulary = np.fromiter(map(word_hash, place), U, len(place))
-            place = dict(zip(place, range(len(place))))
-            ids = np.fromiter((place[w] for ws in texts for w in ws), "<i4", held)
+            place = Numbers()
+            ids = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), "<i4", held)
+            vocabulary = np.fromiter(map(xxhash.xxh64_intdigest, place), U, len(place))
             return pa.RecordBatch.from_arrays([
                 pa.array([doc_ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())),
                 pa.array([[len(ws) for ws in texts]], pa.list_(pa.int32())), pa.array([ids.tobytes()], pa.binary()),
@@ -558,14 +585,24 @@ class Chunk:
         keep = ~np.array(self.held_out, bool)
         return self.ids[np.repeat(keep, self.words)], self.words[keep]
 
-    def sequence(self, model: Model, end: int, learnt_only: bool) -> np.ndarray:
-        """Level-1 places: the end token before the first document and after
+    def text(self, model: Model, end: int, learnt_only: bool) -> "Text":
+        """All words with the end token before the first document and after
         each, so that it is also the context of every first word."""
         ids, words = self.part(learnt_only)
-        seq = np.full(len(ids) + len(words) + 1, end, np.int64)
-        at = np.arange(len(ids)) + 1 + np.repeat(np.arange(len(words)), words)
-        seq[at] = model.ids(self.hashes)[ids] if len(ids) else ids
-        return seq
+        seq = np.full(len(ids) + len(words) + 1, len(self.hashes), np.int64)
+        seq[np.arange(len(ids)) + 1 + np.repeat(np.arange(len(words)), words)] = ids
+        return Text(seq, np.append(model.ids(self.hashes), end))
+
+
+class Text:
+    """``words``: places in a chunk's vocabulary; ``place``: the level-1 place
+    of each vocabulary entry (-1 if unknown), the end token last."""
+
+    def __init__(self, words: np.ndarray, place: np.ndarray):
+        self.words, self.place = words, place
+
+    def sequence(self) -> np.ndarray:
+        return self.place[self.words]
 
 
 def chunks_of(batches):
@@ -609,12 +646,12 @@ def train(chunks: DataFrame, order: int) -> Model:
         return model
 
     def counted(keys_of, cuts):
-        """Runs of the keys that ``keys_of(sequence)`` makes."""
+        """Runs of the keys that ``keys_of(text)`` makes."""
 
         def run(batches):
             end, keys, counts, held = model.end(), [], [], 0
             for c in chunks_of(batches):
-                k = np.sort(keys_of(c.sequence(model, end, True), end))
+                k = np.sort(keys_of(c.text(model, end, True)))
                 first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
                 keys.append(k[first])
                 counts.append(np.diff(np.append(first, len(k))))
@@ -630,7 +667,8 @@ def train(chunks: DataFrame, order: int) -> Model:
     bits2 = max(1, (model.distinct - 1).bit_length())
     cuts2 = mass_cuts(spark, level1, rows, lambda f: f.array("counts"), ranges, bits2)
 
-    def pair_keys(seq, end):
+    def pair_keys(text):
+        seq = text.sequence()
         return (seq[:-1].astype(U) << U(bits2)) | seq[1:].astype(U)
 
     def pair_probability(keys, counts, context):
@@ -647,10 +685,8 @@ def train(chunks: DataFrame, order: int) -> Model:
     bits3 = max(1, (most_entries(rows2) - 1).bit_length())
     cuts3 = mass_cuts(spark, model.levels[1], rows2, lambda f: COUNT_OF[f.array("c")], ranges, bits3)
 
-    def triple_keys(seq, end):
-        pairs = model.pairs(seq)
-        at, code = model.triples(seq, pairs, end)
-        return (pairs[at].astype(U) << U(bits3)) | code.astype(U)
+    def triple_keys(text):
+        return model.triple_keys(text, model.pairs(text.sequence())[0], bits3)[1]
 
     def triple_probability(keys, counts, context):
         m = COUNT_OF[model.levels[1].gather("c", context)].astype(np.float64)
@@ -696,7 +732,7 @@ def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
     def run(batches):
         end = model.end() if model.levels[0].files else -1
         for c in chunks_of(batches):
-            lp, base, known = model.log_probability(c.sequence(model, end, False), end)
+            lp, base, known = model.log_probability(c.text(model, end, False))
             n = c.words + 1
             at = np.cumsum(n) - n
             yield pa.RecordBatch.from_pydict({

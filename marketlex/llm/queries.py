@@ -73,7 +73,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.line_suffixes import dedup_lines
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "removed")
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", spans.alias("removed"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +86,43 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_token_files, op2_nearest, op3_lm_scores, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
 
 
+# Runs compared by their text instead of ranks; 50 words, as the operator.
+OP9_SQL = r"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+l0 AS (SELECT doc_id, pos, trim(regexp_replace(raw, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS line FROM raw),
+l1 AS (SELECT *, len(string_split(line, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l0 WHERE line <> ''),
+l AS (SELECT *, sum(words) OVER w AS upto, sum(words) OVER w - words AS before FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+runs AS (SELECT a.doc_id, a.seq AS s, min(b.seq) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.upto >= a.before + 50 GROUP BY ALL
+         UNION SELECT b.doc_id, max(a.seq), b.seq FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.seq <= b.seq AND a.before <= b.upto - 50 GROUP BY b.doc_id, b.seq),
+named AS (SELECT r.doc_id, r.s, r.e, string_agg(l.line, chr(10) ORDER BY l.seq) AS name FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.seq BETWEEN r.s AND r.e GROUP BY ALL),
+first AS (SELECT name, doc_id AS d, s AS fs, e AS fe FROM named QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, s) = 1),
+later AS (SELECT n.* FROM named n JOIN first f USING (name) WHERE (n.doc_id <> f.d OR n.s <> f.fs) AND NOT (n.doc_id = f.d AND f.fe >= n.s)),
+gone AS (SELECT DISTINCT l.doc_id, l.seq, l.pos FROM later r JOIN l ON l.doc_id = r.doc_id AND l.seq BETWEEN r.s AND r.e),
+isles AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS isle FROM gone),
+spans AS (SELECT doc_id, min(pos) AS a, max(pos) AS b FROM isles GROUP BY doc_id, isle),
+per_doc AS (SELECT doc_id, sum(b - a + 1) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM spans GROUP BY doc_id),
+kept AS (SELECT raw.doc_id, string_agg(raw.raw, chr(10) ORDER BY raw.pos) AS text FROM raw
+         WHERE NOT EXISTS (SELECT 1 FROM spans WHERE spans.doc_id = raw.doc_id AND raw.pos BETWEEN a AND b) GROUP BY raw.doc_id)
+SELECT d.doc_id, CASE WHEN p.doc_id IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text,
+       CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines, CAST(coalesce(p.n, 0) AS INTEGER) AS n_removed,
+       coalesce(p.removed, '') AS removed
+FROM documents d LEFT JOIN per_doc p USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+# All pairs that share a five-word shingle, counted; classes by reachability.
+OP10_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y, c = a.n AND c = b.n AS same FROM both_ JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+class AS (SELECT x, min(y) AS low FROM reach GROUP BY x),
+per_doc AS (SELECT x, count(*) AS n_links, count(CASE WHEN same THEN 1 END) AS copies, min(CASE WHEN same THEN y END) AS first FROM links GROUP BY x)
+SELECT d.doc_id, least(d.doc_id, coalesce(class.low, d.doc_id)) AS class_id, least(d.doc_id, coalesce(p.first, d.doc_id)) AS copy_id,
+       coalesce(p.copies, 0) + 1 AS n_copies, coalesce(p.n_links, 0) AS n_links
+FROM documents d LEFT JOIN class ON class.x = d.doc_id LEFT JOIN per_doc p ON p.x = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL}
