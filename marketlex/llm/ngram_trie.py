@@ -61,6 +61,14 @@ def load64(data: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return words[bit >> 3] >> (bit & 7).astype(U)
 
 
+WINDOW = 56
+
+
+def lowest(x: np.ndarray) -> np.ndarray:
+    """Place of the lowest one."""
+    return np.bitwise_count((x & (~x + U(1))) - U(1)).astype(np.int64)
+
+
 class EliasFano:
     """Non-decreasing integers: ``low`` bits of each packed, the high parts
     in unary (one bit per value and per high part), and the place of every
@@ -97,30 +105,37 @@ class EliasFano:
         return load64(self.low, i * self.low_bits) & U((1 << self.low_bits) - 1)
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
-        """Bit place of the k-th one or zero."""
-        at = (self.one_at if one else self.zero_at)[k // self.STEP].astype(np.int64)
+        """Bit place of the k-th one or zero.  From the sampled place on, the
+        bit nearly always lies in the next word; past a long run of the other
+        kind it does from that kind's last sampled place before it: at most
+        ``STEP`` bits of either kind are left then."""
+        own, other = (self.one_at, self.zero_at) if one else (self.zero_at, self.one_at)
+        at = own[k // self.STEP].astype(np.int64)
         left = k % self.STEP
-        todo = np.flatnonzero(left)
-        at[todo] += 1
-        while len(todo):
-            w = load64(self.high, at[todo]) & U((1 << 56) - 1)
-            if not one:
-                w = ~w & U((1 << 56) - 1)
-            r = left[todo]
-            have = np.bitwise_count(w).astype(np.int64)
-            here = have >= r
-            x, rr = w[here], r[here]
-            for step in range(1, self.STEP):
-                more = rr > step
-                if not more.any():
-                    break
-                x = np.where(more, x & (x - U(1)), x)
-            at[todo[here]] += np.bitwise_count((x & (~x + U(1))) - U(1)).astype(np.int64)
-            on = todo[~here]
-            left[on] -= have[~here]
-            at[on] += 56
-            todo = on
-        return at
+        start = at + (left > 0)
+        w = self.window(start, one)
+        far = np.flatnonzero(np.bitwise_count(w) < left)
+        x = w
+        for step in range(1, self.STEP):
+            x = np.where(left > step, x & (x - U(1)), x)
+        out = np.where(left > 0, start + lowest(x), at)
+        if len(far):
+            place = other.astype(np.int64)
+            before = place - self.STEP * np.arange(len(place))  # own bits before each sampled one
+            j = np.searchsorted(before, k[far], "right") - 1
+            later = (j >= 0) & (place[j] > at[far])
+            start = np.where(later, place[j], start[far])
+            left = np.where(later, k[far] - before[j] + 1, left[far])
+            x = self.window(start, one)
+            for step in range(1, self.STEP + 1):
+                x = np.where(left > step, x & (x - U(1)), x)
+            out[far] = start + lowest(x)
+        return out
+
+    def window(self, bit: np.ndarray, one: bool) -> np.ndarray:
+        """The next ``WINDOW`` bits, inverted for zeros."""
+        w = load64(self.high, bit)
+        return (w if one else ~w) & U((1 << WINDOW) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places ``i``."""
@@ -136,11 +151,11 @@ class EliasFano:
         bucket = np.minimum(high[new], self.zeros - 1)
         # bucket h lies between zeros h - 1 and h of the unary code
         first = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) - (bucket - 1), 0)
-        follows = np.concatenate((bucket[1:] == bucket[:-1] + 1, [False])) if len(bucket) else np.zeros(0, bool)
-        stop = np.empty_like(first)
-        stop[follows] = first[1:][follows[:-1]]  # the next bucket's start
-        alone = np.flatnonzero(~follows)
-        stop[alone] = self.select(bucket[alone], False) - bucket[alone]
+        # its values are the ones that follow, up to the next zero
+        gap = self.window(first + bucket, False)
+        stop = first + lowest(gap)
+        wide = np.flatnonzero(gap == 0)
+        stop[wide] = self.select(bucket[wide], False) - bucket[wide]
         size = np.diff(np.append(new, len(keys)))
         lo, end = np.repeat(first, size), np.repeat(stop, size)
         hi = end.copy()
@@ -408,7 +423,7 @@ def run_rows(keys: np.ndarray, counts: np.ndarray, cuts: np.ndarray):
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     return k[first], np.add.reduceat(c, first) if len(first) else c
