@@ -52,10 +52,9 @@ def shuffle_rows(df: DataFrame, seed: int, *id_cols: str) -> DataFrame:
 def random_split(df: DataFrame, test_size: float = 0.2, id_col: str = "id",
                  seed: int = 42) -> DataFrame:
     """R2: exactly ``ceil(n * test_size)`` rows get ``split = 'test'``."""
-    n = df.count()
-    n_test = -(-int(round(n * test_size * 1e9)) // int(1e9))  # ceil without float drift
-    num = hash_row_number(df, seed, [id_col], "_pos")
-    return num.withColumn("split", F.when(F.col("_pos") <= n_test, "test").otherwise("train")).drop("_pos")
+    num = hash_row_number(df, seed, [id_col], "_pos", size_col="_n")
+    n_test = F.ceil(F.round(F.col("_n") * test_size, 9))  # ceil without float drift
+    return num.withColumn("split", F.when(F.col("_pos") <= n_test, "test").otherwise("train")).drop("_pos", "_n")
 
 
 def _largest_remainder(counts: DataFrame, label: str, draws: Column) -> DataFrame:

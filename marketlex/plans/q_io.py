@@ -253,7 +253,7 @@ def s1_read_labelled_text(spark, sf_dir):
 
 
 QUERIES["s1_read_labelled_text"] = s1_read_labelled_text
-ORACLES["s1_read_labelled_text"] = f"WITH {V_LABELLED_SQL} SELECT text, label FROM v_labelled"
+ORACLES["s1_read_labelled_text"] = f"WITH {V_LABELLED_SQL} SELECT id, text, label FROM v_labelled"
 
 
 def s3_read_ohlcv(spark, sf_dir):

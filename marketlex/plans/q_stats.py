@@ -37,8 +37,9 @@ def _r3(df, cols):
 def g04_ols(spark, sf_dir):
     f = S.ols(v_panel(spark, sf_dir), ["company"], "ret", ["n_urgent", "avg_price"])
     f = f.select("company", "n", "intercept", F.col("coef")[0].alias("coef_n_urgent"),
-                 F.col("coef")[1].alias("coef_avg_price"), "ssr", "r2", "adj_r2")
-    return _r6(f, ["intercept", "coef_n_urgent", "coef_avg_price", "ssr", "r2", "adj_r2"])
+                 F.col("coef")[1].alias("coef_avg_price"), F.col("se")[0].alias("se_n_urgent"),
+                 F.col("p_values")[1].alias("p_n_urgent"), F.col("p_values")[2].alias("p_avg_price"), "ssr", "r2", "adj_r2")
+    return _r6(f, ["intercept", "coef_n_urgent", "coef_avg_price", "se_n_urgent", "p_n_urgent", "p_avg_price", "ssr", "r2", "adj_r2"])
 
 
 def _two_pred_sql(y, a, b, src, keys="company"):
@@ -55,7 +56,9 @@ r AS (SELECT *, greatest(n * (syy - ba * say - bb * sby), 0) AS ssr FROM c)"""
 QUERIES["g04_ols"] = g04_ols
 ORACLES["g04_ols"] = f"""WITH {V_PANEL_SQL}, {_two_pred_sql('ret', 'n_urgent', 'avg_price', 'v_panel')}
 SELECT company, n, round(my - ba * ma - bb * mb, 6) AS intercept, round(ba, 6) AS coef_n_urgent,
-       round(bb, 6) AS coef_avg_price, round(ssr, 6) AS ssr, round(1 - ssr / (n * syy), 6) AS r2,
+       round(bb, 6) AS coef_avg_price, round(sqrt(ssr / (n - 3) * sbb / (n * det)), 6) AS se_n_urgent,
+       round({q.t_tail('ba / sqrt(ssr / (n - 3) * sbb / (n * det))', '(n - 3.0)')}, 6) AS p_n_urgent,
+       round({q.t_tail('bb / sqrt(ssr / (n - 3) * saa / (n * det))', '(n - 3.0)')}, 6) AS p_avg_price, round(ssr, 6) AS ssr, round(1 - ssr / (n * syy), 6) AS r2,
        round(1 - (n - 1.0) / (n - 3) * (ssr / (n * syy)), 6) AS adj_r2 FROM r"""
 
 

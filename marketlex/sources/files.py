@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlex.operators.cleaning import drop_columns
+from marketlex.operators.cleaning import drop_columns, drop_incomplete, shift_labels
 
 # Column types of experiment-result files (fixed values: the stored header
 # names), the grid-run columns last; files bind by header, not by place.
@@ -54,14 +54,18 @@ def _csv(spark: SparkSession, multi_line: bool = False):
 
 def read_labelled_text(spark: SparkSession, path: str, text_col: str = "text",
                        label_col: str = "labels") -> DataFrame:
-    """Labelled texts; junk ``Unnamed: *`` index columns dropped, labels
-    -1/0/1 shifted to int 0/1/2 (P1), rows without text or label dropped
-    (P2).  Only the two needed columns reach the plan."""
+    """Labelled texts ``(id, text, label)``; labels -1/0/1 shifted to int
+    0/1/2 (P1), rows without text or label dropped (P2), junk ``Unnamed: *``
+    columns dropped -- but the first of them, the row index the file was
+    written with, is the ``id``.  Without one the id hashes file name and
+    text (rows that repeat share it).  Only the needed columns reach the
+    plan."""
     raw = _csv(spark, multi_line=True).option("inferSchema", False).csv(path)
-    raw = drop_columns(raw)
-    return (raw.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("labels"))
-            .dropna(subset=["text", "labels"])
-            .withColumn("label", (F.col("labels") + 1).cast("int")).drop("labels"))
+    index = next((c for c in raw.columns if c.startswith("Unnamed: ")), None)
+    row_id = F.col(f"`{index}`").cast("long") if index else F.xxhash64("_metadata.file_name", text_col)
+    kept = raw.select(row_id.alias("id"), *[F.col(f"`{c}`") for c in drop_columns(raw).columns if c != "id"])
+    rows = kept.select("id", F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("labels"))
+    return shift_labels(drop_incomplete(rows, ["text", "labels"])).drop("labels")
 
 
 def header_groups(spark: SparkSession, directory: str) -> list[tuple[list[str], list[str]]]:
