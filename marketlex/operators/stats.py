@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlex.functions import stats_math as sm
-from marketlex.operators.market import zscore_filter
 from marketlex.operators.ordering import rank_percentiles
 
 

@@ -263,3 +263,21 @@ def test_select_lags_picks_top_two(spark, panel):
         rs = sorted([r for r in rows if r["company"] == c], key=lambda r: -r["mean_mi"])
         assert [r["selected"] for r in rs] == [True, True, False, False, False]
         assert all(r["mean_mi"] >= 0 for r in rs)
+
+
+def test_rank_percentiles_match_numpy(spark):
+    """Ties, a hot value, one-row groups, nulls, a null key and a group
+    without values; no group is buffered."""
+    from marketlex.operators.ordering import rank_percentiles
+    rng = np.random.default_rng(9)
+    rows = [("a", float(v)) for v in rng.normal(size=400)] + [("b", 3.0)] * 300 + [("b", float(v)) for v in rng.integers(0, 9, 60)]
+    rows += [("c", 7.5), ("d", None), ("a", None), (None, 1.0), (None, 2.0)] + [("e", float(v)) for v in 10 ** rng.uniform(-3, 9, 200)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    ps = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = {r["k"]: r["_p"] for r in rank_percentiles(df, "v", ps, ["k"]).collect()}
+    assert set(got) == {"a", "b", "c", "e", None}
+    for k, p in got.items():
+        assert np.allclose(p, np.quantile([v for x, v in rows if x == k and v is not None], ps), rtol=1e-12)
+    everything = rank_percentiles(df, "v", ps).collect()
+    assert len(everything) == 1 and np.allclose(everything[0]["_p"], np.quantile([v for _, v in rows if v is not None], ps), rtol=1e-12)
+    assert rank_percentiles(df.limit(0), "v", ps, ["k"]).collect() == []
