@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from marketlex.session import checkpoint_dir
 
-DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
