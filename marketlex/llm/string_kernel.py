@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from marketlex.llm.base import stored
+
 HASH_BITS = 18
 PIECE = 1 << 20          # code points hashed at a time
 BATCH = 128              # texts of one matrix product
@@ -88,25 +90,30 @@ class KernelModel:
         return self.kernel(texts) @ self.coef[:-1] + self.coef[-1]
 
 
-def sample_rows(rows: DataFrame, per_label: int, seed: int) -> DataFrame:
-    """About ``per_label`` rows of each label (all, if fewer), chosen by a
-    hash of the row; never more than ``1.5 x per_label`` a label on average."""
-    sizes = rows.groupBy("lang").count()
+def sample_rows(rows: DataFrame, per_label: int, max_rows: int, seed: int) -> DataFrame:
+    """``rows`` (text, lang) with place ``k`` among the sampled rows of the
+    label: the first ``per_label`` rows of each label by a hash of the row
+    (all, if fewer).  With more than ``max_rows / per_label`` labels each keeps
+    ``max_rows // labels``, and one at least, so no label goes missing."""
+    sizes = stored(rows.groupBy("lang").count(), "lang-sizes")  # one row per label
+    share = min(per_label, max(1, max_rows // max(1, sizes.count())))
+    ample = share + share // 4 + 64  # thinned first: no window sees a whole label
     h = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20))
-    return (rows.join(F.broadcast(sizes), "lang")  # one row per label
-            .withColumn("__h", h).where(F.col("__h") * F.col("count") < per_label * (1 << 20)).drop("count"))
+    thin = (rows.join(F.broadcast(sizes), "lang")
+            .withColumn("__h", h).where(F.col("__h") * F.col("count") < ample * (1 << 20)))
+    by_label = Window.partitionBy("lang").orderBy("__h", "doc_id", "text")
+    return thin.select("text", "lang", F.row_number().over(by_label).alias("k")).where(F.col("k") <= share)
 
 
 def fit_language_model(train: DataFrame, max_n: int = 3, landmarks_per_label: int = 48,
                        rows_per_label: int = 600, ridge: float = 0.3, max_rows: int = 20_000) -> KernelModel | None:
     """Fit on ``train(doc_id, text, lang)``; rows without text, label or any
     letter are left out.  Sample bounds (documented parameters):
-    ``landmarks_per_label`` and ``rows_per_label``, ``max_rows`` in all.
-    Returns None if there is nothing to learn from."""
+    ``landmarks_per_label`` and ``rows_per_label``; ``max_rows`` in all, shared
+    out evenly among the labels.  Returns None if there is nothing to learn
+    from."""
     usable = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    picked = sample_rows(usable, rows_per_label, 7).orderBy("__h", "doc_id").limit(max_rows)
-    by_label = Window.partitionBy("lang").orderBy("__h", "doc_id", "text")  # over the bounded sample only
-    rows = picked.select("text", "lang", F.row_number().over(by_label).alias("k"))
+    rows = sample_rows(usable, rows_per_label, max_rows, 7)
     land = [r.text for r in rows.where(F.col("k") <= landmarks_per_label).orderBy("lang", "k").select("text").collect()]
     if not land:
         return None
@@ -120,7 +127,7 @@ def fit_language_model(train: DataFrame, max_n: int = 3, landmarks_per_label: in
                 k = shipped.value.kernel(texts[at:at + BATCH]).astype("<f4")
                 yield pa.RecordBatch.from_pydict({"lang": langs.slice(at, BATCH), "k": pa.array([r.tobytes() for r in k], pa.binary())})
 
-    got = picked.select("text", "lang").repartition(32).mapInArrow(kernel_rows, "lang string, k binary").collect()
+    got = rows.select("text", "lang").repartition(32).mapInArrow(kernel_rows, "lang string, k binary").collect()
     model.fit(np.array([np.frombuffer(r.k, "<f4") for r in got], np.float64), [r.lang for r in got], ridge)
     return model
 

@@ -145,6 +145,19 @@ def test_language_edges(spark, edges, none, odd_columns):
     assert not {1, 2, 3, 9} & {r.doc_id for r in kept.collect()}
 
 
+def test_rare_labels_keep_their_rows_among_many_frequent_ones(spark):
+    rows = spark.range(12_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('often', id % 12) AS lang")
+    rare = spark.range(30).selectExpr("id + 20000 AS doc_id", "concat('rare ', id) AS text", "concat('rare', id % 3) AS lang")
+    train = rows.union(rare).selectExpr("doc_id", "concat(text, ' ', lang) AS text", "lang")
+    model = string_kernel.fit_language_model(train, rows_per_label=40, landmarks_per_label=2, max_rows=300)
+    assert model.labels == sorted([f"often{k}" for k in range(12)] + [f"rare{k}" for k in range(3)])
+    assert len(model.land) == 2 * 15
+    picked = string_kernel.sample_rows(train, 40, 300, 7).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in picked} == {f"often{k}": 20 for k in range(12)} | {f"rare{k}": 10 for k in range(3)}
+    one = string_kernel.sample_rows(train, 40, 5, 7).groupBy("lang").count().collect()
+    assert [r["count"] for r in one] == [1] * 15
+
+
 # ---- language model --------------------------------------------------------
 
 @pytest.mark.parametrize("n, universe", [(1, 5), (1000, 1 << 40), (5000, 6000), (2000, 10 ** 18)])
