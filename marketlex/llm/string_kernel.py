@@ -7,6 +7,10 @@ training texts) turn it into ``m`` features; one-versus-rest kernel ridge
 regression is fitted on them, and texts are scored in batches by matrix
 products: presence rows x landmark matrix x coefficients.
 
+Whether a text is in a learned language at all is told from the share of its
+words' n-grams that landmarks of the predicted language hold, against a bound
+fitted on that language's training rows; no other label enters into it.
+
 N-grams are counted in ``2 ** HASH_BITS`` hash buckets.  Texts are read
 whole, in pieces that overlap by ``max_n - 1`` characters.
 """
@@ -28,7 +32,10 @@ PIECE = 1 << 20          # code points hashed at a time
 BATCH = 128              # texts of one matrix product
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LETTER = regex.compile(r"\p{L}")
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+BLANK = ((ord(" ") + 1) * int(MIX) % (1 << 64)) >> (64 - HASH_BITS)  # bucket of the blank
 UNDETERMINED = "und"
+LOW, SLACK = 0.05, 0.5   # the bound: this quantile of the training rows' shares, times this
 
 
 def presence(text: str, max_n: int) -> np.ndarray:
@@ -49,11 +56,26 @@ def presence(text: str, max_n: int) -> np.ndarray:
     return seen
 
 
+def word_presence(text: str, max_n: int) -> np.ndarray:
+    """``presence`` of the words alone: digits, signs and the blank are in
+    texts of any language."""
+    seen = presence(" ".join(WORD.findall(text)), max_n)
+    seen[BLANK] = False
+    return seen
+
+
 class KernelModel:
     """Landmarks, their n-gram columns and the regression coefficients."""
 
-    def __init__(self, landmarks: list[str], max_n: int):
+    def __init__(self, landmarks: list[str], langs: list[str], max_n: int):
         self.max_n = max_n
+        self.place = {x: k for k, x in enumerate(sorted(set(langs)))}
+        self.holders = np.zeros((len(self.place), 1 << HASH_BITS), np.uint8)  # landmarks of a label with the n-gram: 0, 1, 2 or more
+        for t, x in zip(landmarks, langs):
+            held = self.holders[self.place[x]]
+            np.minimum(held + word_presence(t, max_n), 2, out=held)
+        self.chance = np.array([[(h >= c).mean() for c in (1, 2)] for h in self.holders])
+        self.bound = np.zeros(len(self.place))
         rows = [presence(t, max_n) for t in landmarks]
         used = np.zeros(1 << HASH_BITS, bool)
         for r in rows:
@@ -73,8 +95,28 @@ class KernelModel:
             norm[k] = np.sqrt(max(1, np.count_nonzero(seen)))
         return (x @ self.land.T) / norm[:, None]
 
-    def fit(self, kernel_rows: np.ndarray, labels: list[str], ridge: float) -> None:
-        """One-versus-rest ridge regression on the Nystroem features."""
+    def known(self, text: str, label: str, landmark: bool = False) -> tuple[float, int]:
+        """Share of the n-grams of the text's words that landmarks of the label
+        hold, less what buckets shared by chance give, and the number of
+        n-grams.  A ``landmark`` counts by what the other ones hold."""
+        at = np.flatnonzero(word_presence(text, self.max_n))
+        if not len(at):
+            return 0.0, 0
+        k, least = self.place[label], 2 if landmark else 1
+        chance = self.chance[k, least - 1]
+        return float(((self.holders[k, at] >= least).mean() - chance) / max(1e-9, 1 - chance)), len(at)
+
+    def told(self, text: str, label: str) -> bool:
+        """Whether the text shows the label: as many of its n-grams known as
+        the label's bound asks, less ``sqrt(n)`` as few say little."""
+        share, n = self.known(text, label)
+        return share * n > max(0.0, self.bound[self.place[label]] * n - np.sqrt(n))
+
+    def fit(self, kernel_rows: np.ndarray, labels: list[str], shares: list[float], ridge: float) -> None:
+        """One-versus-rest ridge regression on the Nystroem features, and each
+        label's bound from the known ``shares`` of its rows."""
+        for x, k in self.place.items():
+            self.bound[k] = SLACK * max(0.0, np.quantile([v for v, y in zip(shares, labels) if y == x], LOW))
         self.labels = sorted(set(labels))
         w = (self.land @ self.land.T).astype(np.float64)
         value, vector = np.linalg.eigh((w + w.T) / 2)
@@ -114,32 +156,35 @@ def fit_language_model(train: DataFrame, max_n: int = 3, landmarks_per_label: in
     from."""
     usable = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     rows = sample_rows(usable, rows_per_label, max_rows, 7)
-    land = [r.text for r in rows.where(F.col("k") <= landmarks_per_label).orderBy("lang", "k").select("text").collect()]
+    land = rows.where(F.col("k") <= landmarks_per_label).orderBy("lang", "k").select("text", "lang").collect()
     if not land:
         return None
-    model = KernelModel(land, max_n)
+    model = KernelModel([r.text for r in land], [r.lang for r in land], max_n)
     shipped = train.sparkSession.sparkContext.broadcast(model)
 
     def kernel_rows(batches):
         for b in batches:
-            texts, langs = b.column("text").to_pylist(), b.column("lang")
-            for at in range(0, len(texts), BATCH):
-                k = shipped.value.kernel(texts[at:at + BATCH]).astype("<f4")
-                yield pa.RecordBatch.from_pydict({"lang": langs.slice(at, BATCH), "k": pa.array([r.tobytes() for r in k], pa.binary())})
-
-    got = rows.select("text", "lang").repartition(32).mapInArrow(kernel_rows, "lang string, k binary").collect()
-    model.fit(np.array([np.frombuffer(r.k, "<f4") for r in got], np.float64), [r.lang for r in got], ridge)
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                texts, langs, places = (part.column(c).to_pylist() for c in ("text", "lang", "k"))
+                k = shipped.value.kernel(texts).astype("<f4")
+                share = [shipped.value.known(t, x, p <= landmarks_per_label)[0] for t, x, p in zip(texts, langs, places)]
+                yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "k": pa.array([r.tobytes() for r in k], pa.binary()), "share": pa.array(share, pa.float64())})
+
+    got = rows.repartition(32).mapInArrow(kernel_rows, "lang string, k binary, share double").collect()
+    model.fit(np.array([np.frombuffer(r.k, "<f4") for r in got], np.float64), [r.lang for r in got], [r.share for r in got], ridge)
     return model
 
 
-def with_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+def with_language(docs: DataFrame, model: KernelModel | None, told_only: bool = False) -> DataFrame:
     """``docs`` with (lang_pred, score) of every whole ``text``; nothing but
     the text is read, other columns pass through (columns of these two names
     are replaced).
 
     A text that is null or has no letter is ``und`` with score 0, as is
     everything if there is no model; the score is the regression value of the
-    predicted language mapped from [-1, 1] to [0, 1] and clipped."""
+    predicted language mapped from [-1, 1] to [0, 1] and clipped.  With
+    ``told_only`` so is a text that does not show the language predicted."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
 
@@ -155,7 +200,8 @@ def with_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
                     s = m.scores([part[k] for k in ask])
                     best = s.argmax(axis=1)
                     for k, j, v in zip(ask, best, s[np.arange(len(ask)), best]):
-                        lang[k], score[k] = m.labels[j], min(1.0, max(0.0, (float(v) + 1) / 2))
+                        if not told_only or m.told(part[k], m.labels[j]):
+                            lang[k], score[k] = m.labels[j], min(1.0, max(0.0, (float(v) + 1) / 2))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                                  names=[*rows.schema.names, "lang_pred", "score"])
 
@@ -167,8 +213,8 @@ def predict_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     return with_language(docs.select("doc_id", "text"), model).drop("text")
 
 
-def drop_undetermined(docs: DataFrame, model: KernelModel | None, min_score: float = 0.2) -> DataFrame:
-    """``docs`` without the texts whose language cannot be told: ``und`` or a
-    score under ``min_score`` (no language's regression value above -0.6)."""
-    told = with_language(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
+def drop_undetermined(docs: DataFrame, model: KernelModel | None) -> DataFrame:
+    """``docs`` without the texts whose language cannot be told: null or
+    without a letter, or in no language or script learned (``told``)."""
+    told = with_language(docs, model, told_only=True).where(F.col("lang_pred") != UNDETERMINED)
     return told.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])

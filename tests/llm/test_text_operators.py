@@ -158,6 +158,21 @@ def test_rare_labels_keep_their_rows_among_many_frequent_ones(spark):
     assert [r["count"] for r in one] == [1] * 15
 
 
+@pytest.mark.parametrize("labels", [3, 12])
+def test_unlearned_texts_are_dropped_whatever_the_number_of_labels(spark, labels):
+    rng = random.Random(6)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrst"[k:k + 9], k=rng.randint(2, 8))) for _ in range(80)] for k in range(labels)}
+    text = {x: [" ".join(rng.choices(w, k=rng.choice([1, 3, 40]))) for _ in range(90)] for x, w in words.items()}
+    train = spark.createDataFrame([(k, t, x) for x, part in text.items() for k, t in enumerate(part[:60])], "doc_id long, text string, lang string")
+    model = string_kernel.fit_language_model(train, landmarks_per_label=30)
+    clean = [t for part in text.values() for t in part[60:]] + [f"{part[0]} +1 (555) 0123-4567 $$$ 2024-01-01" for part in text.values()]
+    strange = ["Этот документ написан на языке, которого никто не учил.", "日本語のテキストです。これは学習されていない文字体系の文書です。",
+               "Το κείμενο αυτό είναι στα ελληνικά 12345", "xqz zvwy uvxz wyzx vuzy xwvz zyxw uzvx wxyu", "слово"]
+    docs = spark.createDataFrame(list(enumerate(clean + strange)), "doc_id long, text string")
+    kept = {r.doc_id for r in string_kernel.drop_undetermined(docs, model).collect()}
+    assert kept == set(range(len(clean)))
+
+
 # ---- language model --------------------------------------------------------
 
 @pytest.mark.parametrize("n, universe", [(1, 5), (1000, 1 << 40), (5000, 6000), (2000, 10 ** 18)])
