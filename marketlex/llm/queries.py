@@ -82,8 +82,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents")).drop("th", "class_key")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.periodic_runs import find_runs, run_digest, with_periodic_tail
+    return run_digest(find_runs(with_periodic_tail(table(spark, sf_dir, "documents"))))
+
+
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIM = 40, 5, 64
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.centroid_clusters import cluster, cluster_digest
+    return cluster_digest(*cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIM))
+
+
+def op13_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlex.llm.exact_packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_nearest, op3_lm_scores, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate, op9_line_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_files, op2_nearest, op3_lm_scores, op4_language_id, op5_sentencepiece, op6_secrets, op7_token_counts, op8_decontaminate,
+                                    op9_line_dedup, op10_jaccard_join, op11_periodic_runs, op12_centroid_clusters, op13_exact_packing)}
 
 
 # Runs compared by their text instead of ranks; 50 words, as the operator.
@@ -124,5 +143,53 @@ SELECT d.doc_id, least(d.doc_id, coalesce(class.low, d.doc_id)) AS class_id, lea
 FROM documents d LEFT JOIN class ON class.x = d.doc_id LEFT JOIN per_doc p ON p.x = d.doc_id"""
 
 
+# crc32 bit by bit; every pair of equal words up to a quarter of the text
+# apart, as islands of neighbouring places; a stretch inside one of smaller
+# period is no run.
+OP11_SQL = r"""
+WITH w0 AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws,
+       xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1)))) AS h FROM documents),
+w1 AS (SELECT *, len(ws) AS n, h // 10 AS g FROM w0),
+w2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM w1),
+w3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w2),
+w AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws, n FROM w3),
+t AS (SELECT rid, n, unnest(ws) AS word, unnest(range(n)) AS i FROM w),
+pairs AS (SELECT x.rid, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isles AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS isle FROM pairs),
+stretch AS (SELECT rid, q, min(i) AS s, max(i) + q + 1 - min(i) AS len FROM isles GROUP BY rid, q, isle),
+wide AS (SELECT * FROM stretch WHERE len >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM wide r WHERE NOT EXISTS (SELECT 1 FROM wide o WHERE o.rid = r.rid AND o.q < r.q AND o.s <= r.s AND o.s + o.len >= r.s + r.len)),
+per AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY rid),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len DESC, s, q) = 1),
+gone AS (SELECT DISTINCT t.rid, t.i FROM t JOIN runs r ON t.rid = r.rid AND t.i >= r.s + r.q AND t.i < r.s + r.len),
+kept AS (SELECT t.rid, string_agg(t.word, ' ' ORDER BY t.i) AS text FROM t WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = t.rid AND gone.i = t.i) GROUP BY t.rid)
+SELECT w.doc_id, coalesce(per.n_runs, 0) AS n_runs, top.s AS start, top.len AS length, top.q AS period, 1000 * top.len // top.q AS exponent_milli,
+       sha256(coalesce(per.listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, w.n AS n_words
+FROM w LEFT JOIN per USING (rid) LEFT JOIN top USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+def op12_sql(k: int = CLUSTERS, rounds: int = CLUSTER_ROUNDS, dim: int = CLUSTER_DIM) -> str:
+    """Every distance to every centroid, one step after another."""
+    distance = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = ("SELECT rid, list_sort(list({{'d': d, 'cluster': cluster}}))[1] AS best FROM "
+            f"(SELECT rid, cluster, {distance}::BIGINT AS d FROM kept, c{{0}}) GROUP BY rid")
+    steps = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v AS c FROM kept
+  QUALIFY cluster < {k})"""]
+    for j in range(rounds + 1):
+        steps.append(f"a{j} AS MATERIALIZED ({near.format(j)})")
+        if j < rounds:
+            steps.append(f"""c{j + 1} AS MATERIALIZED (WITH one AS (SELECT best.cluster AS cluster, unnest(v) AS x, unnest(range({dim})) AS j FROM a{j} JOIN kept USING (rid)),
+  mean AS (SELECT cluster, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM one GROUP BY ALL),
+  list AS (SELECT cluster, list(x ORDER BY j) AS m FROM mean GROUP BY cluster)
+  SELECT c{j}.cluster, coalesce(m, c) AS c FROM c{j} LEFT JOIN list USING (cluster))""")
+    return ("WITH " + ",\n".join(steps) + f""", f AS (SELECT vec_id, best.cluster AS cluster, best.d AS distance FROM a{rounds} JOIN kept USING (rid))
+SELECT vec_id, f.cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY f.cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} USING (cluster)""")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op9_line_dedup": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op12_centroid_clusters": op12_sql()}
