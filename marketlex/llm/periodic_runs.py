@@ -145,6 +145,7 @@ def find_runs(docs: DataFrame, text_col: str = "text", least_words: int = LEAST_
         raise ValueError("least_periods must be 3 or more")
     names = {"n_words", "runs", "collapsed"}
     kept = [c for c in docs.columns if c != text_col and c not in names]
+    inner = [f"c{k}" for k in range(len(kept))]  # any name may be given, also one with a dot
 
     def solve(texts: list[list[bytes]]):
         """Results of one block of texts."""
@@ -161,7 +162,7 @@ def find_runs(docs: DataFrame, text_col: str = "text", least_words: int = LEAST_
 
     def run(batches):
         for b in batches:
-            texts = b.column("__text")
+            texts = b.column(len(kept))
             at = 0
             while at < b.num_rows:
                 block, held, upto = [], 0, at
@@ -176,12 +177,12 @@ def find_runs(docs: DataFrame, text_col: str = "text", least_words: int = LEAST_
                 part = b.slice(at, upto - at)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(k) for k in range(len(kept))], pa.array([len(t) for t in block], pa.int64()), pa.ListArray.from_arrays(offsets, struct),
-                     pa.array(out, pa.binary()).cast(pa.string())], names=[*kept, "n_words", "runs", "collapsed"])
+                     pa.array(out, pa.binary()).cast(pa.string())], names=[*inner, "n_words", "runs", "collapsed"])
                 at = upto
 
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    given = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(f"`{text_col}`").alias("text"))
     fields = [StructField(f.name, f.dataType) for f in given.schema.fields[:-1]]
-    return given.mapInArrow(run, StructType([*fields, *_parse_datatype_string(OUT).fields]))
+    return given.mapInArrow(run, StructType([*fields, *_parse_datatype_string(OUT).fields])).toDF(*kept, "n_words", "runs", "collapsed")
 
 
 def with_periodic_tail(docs: DataFrame) -> DataFrame:
