@@ -334,6 +334,18 @@ _LAGGED_SQL = ", ".join(f"lag({s}, {l}) OVER (PARTITION BY company ORDER BY date
                         for s in LAG_SOURCES for l in range(1, 6))
 _MI_PAIRS = " UNION ALL ".join(f"SELECT company, '{s}' AS source, {l} AS lag, {s}_lag_{l} AS x, ret AS y FROM pl"
                                for l in range(1, 6) for s in LAG_SOURCES)
+def g15_neighbour_lags(spark, sf_dir):
+    """G15 with the nearest-neighbour estimator: every series, and its lag's
+    mean and rank."""
+    from pyspark.sql import Window
+    from marketlex.operators.neighbour_mi import neighbour_information
+    p = market.row_lags(v_panel(spark, sf_dir), LAG_SOURCES, 5)
+    mi = neighbour_information(p, "ret", LAG_SOURCES, 5, ["company"])
+    mi = mi.withColumn("mean_mi", F.avg("mi").over(Window.partitionBy("company", "lag")))  # one row per source
+    rank = F.dense_rank().over(Window.partitionBy("company").orderBy(F.desc("mean_mi"), "lag"))
+    return mi.select("company", "source", "lag", "n", F.round("mi", 6).alias("mi"), F.round("mean_mi", 6).alias("mean_mi"), rank.cast("long").alias("rank"), (rank <= 2).alias("selected"))
+
+
 QUERIES["g15_select_lags"] = g15_select_lags
 ORACLES["g15_select_lags"] = f"""WITH {V_PANEL_SQL},
 pl AS (SELECT company, ret, {_LAGGED_SQL} FROM v_panel),
@@ -351,3 +363,25 @@ sc AS (SELECT company, lag, avg(mi) AS mean_mi FROM mi GROUP BY ALL)
 SELECT company, lag, round(mean_mi, 6) AS mean_mi,
        row_number() OVER (PARTITION BY company ORDER BY mean_mi DESC, lag) AS rank,
        row_number() OVER (PARTITION BY company ORDER BY mean_mi DESC, lag) <= 2 AS selected FROM sc"""
+# all pairs of points of a series; psi(n) as a sum of reciprocals
+QUERIES["g15_neighbour_lags"] = g15_neighbour_lags
+ORACLES["g15_neighbour_lags"] = f"""WITH {V_PANEL_SQL},
+pl AS (SELECT company, ret, {_LAGGED_SQL} FROM v_panel),
+d AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM ({_MI_PAIRS}) WHERE x IS NOT NULL AND y IS NOT NULL),
+st AS (SELECT company, source, lag, count(*) AS n, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sx, CASE WHEN stddev_pop(y) > 0 THEN stddev_pop(y) ELSE 1 END AS sy FROM d GROUP BY ALL),
+e AS MATERIALIZED (SELECT a.i, a.company, a.source, a.lag, any_value(a.x) AS x, any_value(a.y) AS y, any_value(sx) AS sx, any_value(sy) AS sy,
+        min(greatest(abs(a.x - b.x) / sx, abs(a.y - b.y) / sy), 3)[3] AS eps
+      FROM d a JOIN d b ON a.company = b.company AND a.source = b.source AND a.lag = b.lag AND a.i <> b.i
+      JOIN st ON st.company = a.company AND st.source = a.source AND st.lag = a.lag GROUP BY a.i, a.company, a.source, a.lag),
+c AS (SELECT e.i, e.company, e.source, e.lag, count(CASE WHEN abs(e.x - b.x) / sx < eps OR (eps = 0 AND e.x = b.x) THEN 1 END) AS nx,
+        count(CASE WHEN abs(e.y - b.y) / sy < eps OR (eps = 0 AND e.y = b.y) THEN 1 END) AS ny
+      FROM e JOIN d b ON e.company = b.company AND e.source = b.source AND e.lag = b.lag AND e.i <> b.i GROUP BY e.i, e.company, e.source, e.lag),
+psi AS MATERIALIZED (SELECT n, sum(1.0 / (n - 1)) OVER (ORDER BY n) - 0.5772156649015329 AS p FROM (SELECT unnest(range(2, (SELECT max(n) + 2 FROM st))) AS n)
+      UNION ALL SELECT 1, -0.5772156649015329),
+s AS (SELECT company, source, lag, avg(a.p + b.p) AS s FROM c JOIN psi a ON a.n = nx + 1 JOIN psi b ON b.n = ny + 1 GROUP BY ALL),
+mi AS (SELECT company, source, lag, st.n, CASE WHEN s IS NULL THEN NULL ELSE greatest(0, a.p + b.p - s) END AS mi
+       FROM st LEFT JOIN s USING (company, source, lag) JOIN psi a ON a.n = st.n JOIN psi b ON b.n = 3),
+mm AS (SELECT *, avg(mi) OVER (PARTITION BY company, lag) AS mean_mi FROM mi)
+SELECT company, source, lag, n, round(mi, 6) AS mi, round(mean_mi, 6) AS mean_mi,
+       dense_rank() OVER (PARTITION BY company ORDER BY mean_mi DESC, lag) AS rank,
+       dense_rank() OVER (PARTITION BY company ORDER BY mean_mi DESC, lag) <= 2 AS selected FROM mm"""
