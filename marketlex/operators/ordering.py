@@ -30,6 +30,7 @@ def global_row_number(df: DataFrame, order_cols: Sequence, bucket: Column,
     ``partition_cols`` groups when given); ``size_col`` optionally adds the
     group's row count.
 
+    A null partition value is a group, a null bucket comes first.
     ``bucket`` must be monotone in that order.  Rows are numbered inside
     their (group, bucket) -- many window partitions spread over the cluster,
     so a group holding a third of all rows is still split 4096 ways under
@@ -40,19 +41,95 @@ def global_row_number(df: DataFrame, order_cols: Sequence, bucket: Column,
     left to AQE, which broadcasts it after measuring it.
     """
     pc = list(partition_cols)
-    w = Window.partitionBy(*pc, "__bkt")
-    numbered = df.withColumn("__bkt", bucket).select(
+    # one struct as key: nulls inside it are equal, in the windows and in the join
+    w = Window.partitionBy("__key")
+    numbered = df.withColumn("__key", F.struct(*pc, bucket.alias("__bkt"))).select(
         "*", F.row_number().over(w.orderBy(*order_cols)).alias("__rn"),
         F.count(F.lit(1)).over(w).alias("__cnt"))
-    sizes = numbered.select(*pc, "__bkt", "__cnt").distinct()
-    before = Window.partitionBy(*pc).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*pc, "__bkt", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
-                           F.sum("__cnt").over(Window.partitionBy(*pc)).alias("__size"))
-    out = numbered.join(offsets, [*pc, "__bkt"])
+    sizes = numbered.select("__key", "__cnt").distinct()
+    group = Window.partitionBy(*[F.col(f"__key.`{c}`") for c in pc])
+    before = group.orderBy("__key.__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__key", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"), F.sum("__cnt").over(group).alias("__size"))
+    out = numbered.join(offsets, "__key")
     out = out.withColumn(name, F.col("__off") + F.col("__rn"))
     if size_col:
         out = out.withColumn(size_col, F.col("__size"))
-    return out.drop("__bkt", "__rn", "__cnt", "__off", "__size")
+    return out.drop("__key", "__rn", "__cnt", "__off", "__size")
+
+
+def same(left: str, right: str, cols: Sequence[str]) -> list[Column]:
+    """Join condition of two aliased tables on columns in which null equals
+    null."""
+    return [F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`")) for c in cols] or [F.lit(True)]
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of the tables has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+HASH_TOP_SHIFT = 48      # the first histogram: 65,536 ranges of the hash
+MOST_SHIPPED = 10_000    # rows of a table of cuts that may be broadcast
+
+
+def small(df: DataFrame, limit: int = MOST_SHIPPED) -> DataFrame:
+    """``df`` (stored, or cheap to count) marked for broadcast if it has at
+    most ``limit`` rows; larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def hash_intervals(df: DataFrame, seed: int, id_cols: Sequence[str], cuts: DataFrame, name: str, partition_cols: Sequence[str] = ()) -> DataFrame:
+    """Adds ``name``: how many of the group's cut ranks lie before the row in
+    seeded pseudo-random order (0 for the rows of rank up to the first cut).
+
+    ``cuts`` has the partition columns and ``ranks``, an ascending array, for
+    every group.  The hash at which a rank falls is found from two histograms,
+    of the top 16 bits of the hash and, inside the range hit, of whole hashes:
+    aggregates over the id and partition columns alone.  Rows are then
+    compared with the few hashes of their group, so they are not moved.  Only
+    where several rows share the hash of a cut (repeated ids) are those rows
+    numbered, by a hash of all their columns."""
+    from marketlex.session import materialize
+    pc = list(partition_cols)
+    h = hash_order(seed, *id_cols)
+    top = F.shiftright("__h", HASH_TOP_SHIFT)
+    narrow = df.select(*pc, h.alias("__h"))
+    by_group = Window.partitionBy(*pc)
+    ranges = narrow.groupBy(*pc, top.alias("__top")).agg(F.count(F.lit(1)).alias("__n"))
+    ranges = ranges.withColumn("__upto", F.sum("__n").over(by_group.orderBy("__top")))
+    wanted = cuts.select(*pc, F.posexplode("ranks").alias("__i", "__rank"))
+    hit = (wanted.alias("w").join(ranges.alias("r"), [*same("w", "r", pc), F.col("__rank") > F.col("__upto") - F.col("__n"), F.col("__rank") <= F.col("__upto")])
+           .select(*[F.col(f"w.`{c}`") for c in pc], "__i", "__rank", "__top", (F.col("__upto") - F.col("__n")).alias("__before")))
+    hit = materialize(hit)
+    looked = small(materialize(hit.select(*pc, "__top").distinct()))
+    hashes = (narrow.withColumn("__top", top).alias("n").join(looked.alias("l"), [*same("n", "l", pc), F.col("n.__top") == F.col("l.__top")], "left_semi")
+              .groupBy(*pc, "__top", "__h").agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__upto", F.sum("__n").over(Window.partitionBy(*pc, "__top").orderBy("__h"))))
+    at = F.col("__rank") - F.col("__before")
+    cut = (hit.alias("w").join(hashes.alias("r"), [*same("w", "r", pc), F.col("w.__top") == F.col("r.__top"), at > F.col("__upto") - F.col("__n"), at <= F.col("__upto")])
+           .select(*[F.col(f"w.`{c}`") for c in pc], "__i", "__h", (at - F.col("__upto") + F.col("__n")).alias("__take"), "__n"))
+    cut = materialize(cut)
+    none = wanted.where("__rank <= 0").groupBy(*pc).agg(F.count(F.lit(1)).alias("__zero"))  # every row is past a rank of 0
+    listed = cut.groupBy(*pc).agg(F.sort_array(F.collect_list(F.struct("__h", "__take", "__n"))).alias("__cuts"))  # as many as the group has cuts
+    table = cuts.select(*pc).alias("c").join(listed.alias("l"), same("c", "l", pc), "left").select(*[F.col(f"c.`{c}`") for c in pc], "__cuts")
+    table = table.alias("c").join(none.alias("z"), same("c", "z", pc), "left").select(*[F.col(f"c.`{c}`") for c in pc], "__cuts", F.coalesce("__zero", F.lit(0)).alias("__zero"))
+    table = small(materialize(table))
+    marked = df.withColumn("__h", h).alias("d").join(table.alias("t"), same("d", "t", pc)).select("d.*", "__cuts", "__zero")
+    count = lambda keep: F.coalesce(F.size(F.filter("__cuts", keep)), F.lit(0))
+    past = F.col("__zero").cast("int") + F.greatest(count(lambda c: c["__h"] < F.col("__h")), F.lit(0))
+    if not cut.where("__take < __n").head(1):
+        return marked.withColumn(name, past).drop("__h", "__cuts", "__zero")
+    shared = F.exists(F.coalesce("__cuts", F.array()), lambda c: (c["__h"] == F.col("__h")) & (c["__take"] < c["__n"]))
+    alone = marked.where(~shared).withColumn(name, past)
+    whole = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    tied = marked.where(shared).withColumn("__w", whole)
+    tied = global_row_number(tied, ["__w"], hash_bucket(F.col("__w")), "__k", [*pc, "__h"])
+    tied = tied.withColumn(name, past + count(lambda c: (c["__h"] == F.col("__h")) & (c["__take"] < F.col("__k"))))
+    cols = [*[f"`{c}`" for c in df.columns], name]
+    return alone.select(*cols).unionByName(tied.select(*cols))
 
 
 PERCENTILE_BUCKETS = 4096

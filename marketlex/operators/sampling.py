@@ -14,7 +14,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlex.operators.ordering import hash_order, hash_row_number
+from marketlex.operators.ordering import fresh, hash_intervals, hash_order, hash_row_number, same
 from marketlex.session import materialize
 
 
@@ -26,21 +26,24 @@ def balance_classes(df: DataFrame, label: str = "label", id_col: str = "id",
                     seed: int = 42) -> DataFrame:
     """target = int(mean class size).  Bigger classes: ``target`` rows
     without replacement; smaller classes: all rows plus
-    ``min(target - n, n)`` draws with replacement (``copy`` > 0)."""
+    ``min(target - n, n)`` draws with replacement (``copy`` > 0).  A null
+    label is a class.  If ``df`` has a column ``copy``, the added one gets a
+    longer name."""
+    copy = fresh("copy", df)
     # the numbered table feeds three branches (kept rows, draws, drawn rows)
     num = materialize(hash_row_number(df, seed, [id_col], "_rn", [label], size_col="_n"))
     target = num.select(label, "_n").distinct().agg(F.floor(F.avg("_n")).cast("long").alias("_target"))
     num = num.crossJoin(F.broadcast(target))  # exactly one row
     keep = num.filter((F.col("_n") <= F.col("_target")) | (F.col("_rn") <= F.col("_target")))
-    keep = keep.withColumn("copy", F.lit(0))
+    keep = keep.withColumn(copy, F.lit(0))
     # draw d (1..k) picks the row whose in-class position is pmod(hash, n) + 1
     k = F.least(F.col("_target") - F.col("_n"), F.col("_n"))
     draws = (num.filter((F.col("_n") < F.col("_target")) & (F.col("_rn") <= k))
-             .select(label, F.col("_rn").alias("copy"),
+             .select(label, F.col("_rn").alias(copy),
                      (F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col("_rn")), F.col("_n")) + 1)
                      .alias("_rn")))
-    dup = draws.join(num, [label, "_rn"])
-    cols = df.columns + ["copy"]
+    dup = draws.alias("w").join(num.alias("r"), same("w", "r", [label, "_rn"])).select("r.*", F.col(f"w.{copy}"))
+    cols = [*df.columns, copy]
     return keep.select(*cols).unionByName(dup.select(*cols))
 
 
@@ -51,10 +54,13 @@ def shuffle_rows(df: DataFrame, seed: int, *id_cols: str) -> DataFrame:
 
 def random_split(df: DataFrame, test_size: float = 0.2, id_col: str = "id",
                  seed: int = 42) -> DataFrame:
-    """R2: exactly ``ceil(n * test_size)`` rows get ``split = 'test'``."""
-    num = hash_row_number(df, seed, [id_col], "_pos", size_col="_n")
+    """R2: exactly ``ceil(n * test_size)`` rows get ``split = 'test'``, those
+    first in seeded hash order of the id.  Rows are not moved (see
+    ``ordering.hash_intervals``)."""
+    n = df.select(id_col).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.ceil(F.round(F.col("_n") * test_size, 9))  # ceil without float drift
-    return num.withColumn("split", F.when(F.col("_pos") <= n_test, "test").otherwise("train")).drop("_pos", "_n")
+    part = hash_intervals(df, seed, [id_col], n.select(F.array(n_test).alias("ranks")), "_part")
+    return part.withColumn("split", F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
 
 
 def _largest_remainder(counts: DataFrame, label: str, draws: Column) -> DataFrame:
@@ -72,30 +78,32 @@ def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2
                      id_col: str = "id", seed: int = 42) -> DataFrame:
     """Train share allocated per class by largest remainder
     (``n_train = n - ceil(n * test_size)``), the rest is test; rows inside a
-    class are taken in seeded hash order.  The class table is tiny."""
-    num = hash_row_number(df, seed, [id_col], "_rn", [label], size_col="_n")
-    counts = num.select(label, "_n").distinct()  # one row per class
+    class are taken in seeded hash order, without moving them.  A null label
+    is a class; the class table has one row per class."""
+    counts = materialize(class_counts(df, label))
     tot = F.sum("_n").over(Window.partitionBy())
     n_train = tot - F.ceil(tot * F.lit(test_size))
     counts = counts.withColumn("_ntrain", n_train)
-    alloc = _largest_remainder(counts, label, F.col("_ntrain")).select(label, "_alloc")
-    num = num.join(alloc, label).drop("_n")  # one row per class
-    return num.withColumn("split", F.when(F.col("_rn") <= F.col("_alloc"), "train").otherwise("test")) \
-        .drop("_rn", "_alloc")
+    alloc = _largest_remainder(counts, label, F.col("_ntrain")).select(label, F.array(F.col("_alloc").cast("long")).alias("ranks"))
+    part = hash_intervals(df, seed, [id_col], materialize(alloc), "_part", [label])
+    return part.withColumn("split", F.when(F.col("_part") == 0, "train").otherwise("test")).drop("_part")
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, label: str = "label", id_col: str = "id",
                      seed: int = 12) -> DataFrame:
-    """``fold = (class_offset + position_in_class - 1) mod k`` where the
-    class offset is the running count of earlier classes -- the per-class
-    fold sizes of dealing the label-sorted rows round-robin."""
-    num = hash_row_number(df, seed, [id_col], "_rn", [label], size_col="_n")
-    counts = num.select(label, "_n").distinct()  # one row per class
-    off = counts.select(label, F.coalesce(F.sum("_n").over(
-        Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    num = num.join(off, label).drop("_n")  # one row per class
-    return num.withColumn("fold", F.pmod(F.col("_off") + F.col("_rn") - 1, F.lit(k)).cast("int")) \
-        .drop("_rn", "_off")
+    """The fold sizes per class are those of dealing the label-sorted rows
+    round-robin: fold ``f`` gets the places ``p`` of a class (from 0) with
+    ``(rows of earlier classes + p) mod k = f``.  Which rows it gets is decided
+    by the seeded hash of the id: each fold is a stretch of the hash order, so
+    rows are not moved.  A null label is a class, the first."""
+    off = F.coalesce(F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = materialize(class_counts(df, label)).withColumn("_off", off)  # one row per class
+    # of n places from offset o on, fold f gets floor((n - 1 - s) / k) + 1, its first place s = (f - o) mod k
+    size = lambda f: F.floor((F.col("_n") - 1 - F.pmod(f - F.col("_off"), F.lit(k))) / k) + 1
+    folds = F.sequence(F.lit(0), F.lit(k - 2)) if k > 1 else F.array().cast("array<int>")
+    ranks = F.transform(folds, lambda f: F.aggregate(F.sequence(F.lit(0), f), F.lit(0).cast("long"), lambda s, j: s + size(j)))
+    part = hash_intervals(df, seed, [id_col], materialize(counts.select(label, ranks.alias("ranks"))), "_part", [label])
+    return part.withColumn("fold", F.col("_part").cast("int")).drop("_part")
 
 
 def param_grid(spark: SparkSession, values: Mapping[str, Sequence], models: Sequence[str],

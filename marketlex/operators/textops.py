@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlex.functions import text as tx
+from marketlex.functions.lexicon import MAX_INLINE_LEXICON
+from marketlex.operators.ordering import fresh
 
 Step = Callable[[Column], Column]
 
@@ -38,7 +40,12 @@ def python_step(fn: Callable[[str], str]) -> Step:
     @pandas_udf("string")
     def _u(s: pd.Series) -> pd.Series:
         return s.map(lambda v: fn(v) if isinstance(v, str) else v)
-    return lambda c: _u(c)
+
+    def step(c: Column) -> Column:
+        return _u(c)
+    from marketlex.sources.sinks import code_digest
+    step.code = code_digest(fn)  # tells steps apart in the variant cache
+    return step
 
 
 def apply_steps(col, steps: Sequence[Step]) -> Column:
@@ -60,17 +67,26 @@ def preprocess_variants(df: DataFrame, variants: Mapping[str, Sequence[Step]],
 
 
 def strategy_variants(corrections: DataFrame | None = None, lemmas: DataFrame | None = None,
-                      stopwords: Sequence[str] = ()) -> dict:
+                      stopwords: Sequence[str] = (), vocabulary: DataFrame | None = None, learn_lemmas: bool = False) -> dict:
     """The five cumulative strategies as table pipelines ``DataFrame -> DataFrame``
-    on ``(id, text)``.  Spelling correction and lemmatisation are the
-    dictionary form (T14) over user-supplied ``(form, replacement)`` tables."""
+    on ``(id, text)``.  Spelling correction is a lookup in ``corrections(form,
+    replacement)``, or by edit distance in ``vocabulary(word, freq)`` where
+    that is given (``spelling.correct_spelling``); lemmatisation a lookup in
+    ``lemmas(form, replacement)``, with ``learn_lemmas`` also for forms that
+    the table lacks (``lemmas.lemmatize``)."""
     def basic(d):
         return d.withColumn("text", tx.clean_text_basic("text"))
 
     def spell(d):
+        if vocabulary is not None:
+            from marketlex.operators.spelling import correct_spelling
+            return correct_spelling(d, vocabulary)
         return dictionary_normalize(d, corrections) if corrections is not None else d
 
     def lem(d):
+        if learn_lemmas and lemmas is not None:
+            from marketlex.operators.lemmas import lemmatize
+            return lemmatize(d, lemmas.withColumnRenamed("replacement", "lemma"))
         return dictionary_normalize(d, lemmas) if lemmas is not None else d
 
     def sp(d):
@@ -84,41 +100,67 @@ def strategy_variants(corrections: DataFrame | None = None, lemmas: DataFrame |
     }
 
 
-def _tokens_long(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(id_col, F.posexplode_outer(tx.whitespace_tokens(text_col)).alias("_pos", "_tok"))
+def map_tokens(df: DataFrame, text_col: str, step: Callable[[DataFrame], DataFrame],
+               gather: Callable[[Column], Column], empty: Column, out_col: str, upto: int | None = None) -> DataFrame:
+    """Adds ``out_col``, made from the tokens of ``text_col`` by a table step.
+
+    What a text becomes depends on nothing but the text, so distinct texts (by
+    a 128-bit hash of them) are what is exploded and joined back, and no id is
+    needed: rows with a null or repeated id keep their own text.  ``step``
+    maps (_h1, _h2, _pos, _tok) to the same columns, dropping or replacing
+    tokens; ``gather`` makes the result of a text from the array of (_pos,
+    _tok) left, ``empty`` is the result where none is left.  A null text gives
+    null.  ``upto`` keeps the first tokens alone."""
+    h1, h2 = fresh("_h1", df), fresh("_h2", df)
+    keyed = df.withColumn(h1, F.xxhash64(text_col)).withColumn(h2, F.xxhash64(F.lit(1), text_col))
+    texts = keyed.where(F.col(text_col).isNotNull()).select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), F.col(text_col).alias("_text")).dropDuplicates(["_h1", "_h2"])
+    tokens = tx.whitespace_tokens("_text")
+    long = texts.select("_h1", "_h2", F.posexplode(F.slice(tokens, 1, upto) if upto else tokens).alias("_pos", "_tok"))
+    made = step(long).groupBy("_h1", "_h2").agg(gather(F.array_sort(F.collect_list(F.struct("_pos", "_tok")))).alias("_made"))
+    made = made.select(F.col("_h1").alias(h1), F.col("_h2").alias(h2), F.col("_made").alias(fresh("_made", df)))
+    out = keyed.join(made, [h1, h2], "left")
+    value = F.when(F.col(text_col).isNotNull(), F.coalesce(fresh("_made", df), empty))
+    return out.withColumn(out_col, value).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, out_col])])
 
 
-def _regroup(long: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rejoin tokens in position order; rows that lost every token get ''."""
-    joined = (long.groupBy(id_col)
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))),
-                                            lambda s: s["_tok"]), " ").alias("_new")))
-    out = df.join(joined, id_col, "left")
-    return out.withColumn(text_col, F.when(F.col(text_col).isNull(), None)
-                          .otherwise(F.coalesce("_new", F.lit("")))).drop("_new")
+def _rejoin(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, lambda s: s["_tok"]), " ")
 
 
 def remove_stopwords_table(df: DataFrame, words: DataFrame, id_col: str = "id",
                            text_col: str = "text") -> DataFrame:
-    """T13, join form for word lists too big to inline: tokens are exploded,
-    anti-joined on their lower form against ``words(word)`` and rejoined in
-    order.  Spark picks broadcast or shuffle join from the list's size."""
-    long = _tokens_long(df, id_col, text_col).filter(F.col("_tok").isNotNull())
-    kept = long.join(words.select(F.col("word").alias("_w")),
-                     F.lower("_tok") == F.col("_w"), "left_anti")
-    return _regroup(kept, df, id_col, text_col)
+    """T13, join form for word lists of any size: tokens are anti-joined on
+    their lower form against ``words(word)`` and rejoined in order.  Spark
+    picks broadcast or shuffle join from the list's size.  ``id_col`` is not
+    read: rows are told apart by their text (see ``map_tokens``)."""
+    def step(long):
+        return long.join(words.select(F.col("word").alias("_w")), F.lower("_tok") == F.col("_w"), "left_anti")
+    return map_tokens(df, text_col, step, _rejoin, F.lit(""), text_col)
+
+
+def remove_stopwords(df: DataFrame, words: DataFrame, text_col: str = "text", inline_limit: int = MAX_INLINE_LEXICON) -> DataFrame:
+    """T13 for a stop list given as a table: up to ``inline_limit`` words are
+    brought into the plan as a literal set (no shuffle of texts), a longer
+    list is joined.  Both give the same text."""
+    words = words.select("word").where(F.col("word").isNotNull()).distinct()
+    listed = words.limit(inline_limit + 1).collect()
+    if len(listed) > inline_limit:
+        return remove_stopwords_table(df, words, text_col=text_col)
+    return df.withColumn(text_col, tx.remove_stopwords(text_col, [r[0] for r in listed]))
 
 
 def dictionary_normalize(df: DataFrame, table: DataFrame, id_col: str = "id",
                          text_col: str = "text", lower: bool = False) -> DataFrame:
     """Replace each whitespace token found in ``table(form, replacement)``
-    (lemmatisation / spelling correction as a lookup), rejoin by one blank."""
-    long = _tokens_long(df, id_col, text_col).filter(F.col("_tok").isNotNull())
-    key = F.lower("_tok") if lower else F.col("_tok")
-    t = table.select(F.col("form").alias("_f"), F.col("replacement").alias("_r"))
-    j = long.join(t, key == F.col("_f"), "left")
-    j = j.select(id_col, "_pos", F.coalesce("_r", "_tok").alias("_tok"))
-    return _regroup(j, df, id_col, text_col)
+    (lemmatisation / spelling correction as a lookup), rejoin by one blank.  A
+    form listed more than once has its smallest replacement; a null form or
+    replacement replaces nothing.  ``id_col`` is not read."""
+    t = (table.where(F.col("form").isNotNull()).groupBy(F.col("form").alias("_f")).agg(F.min("replacement").alias("_r")))
+
+    def step(long):
+        key = F.lower("_tok") if lower else F.col("_tok")
+        return long.join(t, key == F.col("_f"), "left").select("_h1", "_h2", "_pos", F.coalesce("_r", "_tok").alias("_tok"))
+    return map_tokens(df, text_col, step, _rejoin, F.lit(""), text_col)
 
 
 def build_vocabulary(df: DataFrame, text_col: str = "text", reserved: int = 2) -> DataFrame:
@@ -139,16 +181,19 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", reserved: int = 2) -
 def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str = "id",
                         text_col: str = "text", max_length: int = 128,
                         unknown_id: int = 1, pad_id: int = 0) -> DataFrame:
-    """Token ids truncated / padded to ``max_length`` plus attention mask."""
-    long = _tokens_long(df, id_col, text_col).filter(F.col("_tok").isNotNull()) \
-        .filter(F.col("_pos") < max_length)
-    j = long.join(vocab.select(F.col("token").alias("_tok"), "token_id"), "_tok", "left")
-    ids = (j.groupBy(id_col).agg(F.array_sort(F.collect_list(
-        F.struct("_pos", F.coalesce("token_id", F.lit(unknown_id)).alias("tid")))).alias("_s")))
-    out = df.join(ids, id_col, "left")
-    raw = F.coalesce(F.transform("_s", lambda s: s["tid"]), F.array().cast("array<int>"))
+    """Token ids truncated / padded to ``max_length`` plus attention mask,
+    in place of the text.  A null text is all padding; a token listed more
+    than once has its smallest id; ``id_col`` is not read."""
+    v = vocab.where(F.col("token").isNotNull()).groupBy(F.col("token").alias("_tok")).agg(F.min("token_id").alias("_id"))
+
+    def step(long):
+        return long.join(v, "_tok", "left").select("_h1", "_h2", "_pos", F.coalesce("_id", F.lit(unknown_id)).alias("_tok"))
+    none = F.array().cast("array<int>")
+    ids = fresh("_ids", df)
+    out = map_tokens(df, text_col, step, lambda a: F.transform(a, lambda s: s["_tok"].cast("int")), none, ids, max_length)
+    raw = F.coalesce(ids, none)
     n = F.size(raw)
     padded = F.slice(F.concat(raw, F.array_repeat(F.lit(pad_id), max_length)), 1, max_length)
     mask = F.transform(F.sequence(F.lit(1), F.lit(max_length)), lambda i: F.when(i <= n, 1).otherwise(0))
-    return out.select(*[c for c in df.columns if c != text_col],
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (text_col, "input_ids", "attention_mask")],
                       padded.alias("input_ids"), mask.alias("attention_mask"))
