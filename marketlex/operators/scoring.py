@@ -86,7 +86,11 @@ def classification_metrics(df: DataFrame, true: str = "label", pred: str = "pred
     """A2: accuracy, macro F1 (over classes seen in true or pred), support-
     weighted F1 and F1 per class id (0 when undefined, null when the class
     is absent from both)."""
-    cc = confusion_counts(df, true, pred, group_cols)
+    return metrics_from_confusion(confusion_counts(df, true, pred, group_cols), true, pred, classes, group_cols)
+
+
+def metrics_from_confusion(cc: DataFrame, true: str, pred: str, classes: Sequence[int] = CLASSES, group_cols: Sequence[str] = ()) -> DataFrame:
+    """A2 from confusion counts ``(groups, true, pred, n)``."""
     n = F.col("n")
     aggs = [F.sum(n).alias("_total"), F.sum(F.when(F.col(true) == F.col(pred), n).otherwise(0)).alias("_tp")]
     for c in classes:
