@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlex.operators.scoring import argmax, classification_metrics
 from marketlex.operators.textops import apply_steps
 from marketlex.session import checkpoint_dir
+from marketlex.sources.sinks import append_eval_log
 
 
 def read_stream(spark: SparkSession, directory: str, schema, max_files: int = 1,
@@ -39,18 +40,23 @@ def run_to_table(stream: DataFrame, out_path: str, name: str) -> str:
     return out_path
 
 
-def eval_log_stream(scored: DataFrame, log_path: str, name: str, label: str = "label",
-                    logits: str = "logits") -> str:
-    """S7 on a stream: every micro-batch appends one metrics row (with its
-    batch id) to ``log_path`` through ``foreachBatch``."""
-    ck = f"{checkpoint_dir(scored.sparkSession).rstrip('/')}/evallog-{name}"
-
+def batch_logger(log_path: str, run: str, label: str = "label", logits: str = "logits") -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function of :func:`eval_log_stream`."""
     def log_batch(batch: DataFrame, batch_id: int) -> None:
         m = classification_metrics(batch.withColumn("pred", argmax(logits)), label, "pred")
         n = batch.agg(F.count(F.lit(1)).alias("n"))  # one row each side
-        m.crossJoin(n).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(log_path)
+        append_eval_log(m.crossJoin(n), log_path, "parquet", run, batch_id)
+    return log_batch
+
+
+def eval_log_stream(scored: DataFrame, log_path: str, name: str, label: str = "label",
+                    logits: str = "logits") -> str:
+    """S7 on a stream: every micro-batch logs one metrics row (``run``,
+    ``batch_id``) to ``log_path`` through ``foreachBatch``.  The row of a
+    batch that Spark runs again takes the place of the earlier one."""
+    ck = f"{checkpoint_dir(scored.sparkSession).rstrip('/')}/evallog-{name}"
 
-    q = (scored.writeStream.foreachBatch(log_batch).option("checkpointLocation", ck)
+    q = (scored.writeStream.foreachBatch(batch_logger(log_path, name, label, logits)).option("checkpointLocation", ck)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return log_path
