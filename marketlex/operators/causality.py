@@ -1,5 +1,5 @@
-"""Granger causality, block bootstrap, residual diagnostics, best-subset
-regression and lag selection (G2, G3, G9-G15, A12).
+"""Granger causality, block bootstrap, residual diagnostics and lag
+selection (G9-G15, A12); best-subset regression is in ``subset``.
 
 Every test is a grouped aggregation: rows are turned into lagged design
 columns with one window per series, exploded over lag orders (and
@@ -9,19 +9,20 @@ those small tables are solved in Arrow batches.
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlex.functions import stats_math as sm
-from marketlex.operators.ordering import global_row_number
+from marketlex.operators import segments
+from marketlex.operators.ordering import global_row_number, same
 from marketlex.operators.sampling import block_shuffle
-from marketlex.operators.stats import long_pairs, moments, pvalues, round_stats
+from marketlex.operators.stats import long_pairs, moments, pvalues
+from marketlex.operators.subset import best_subset  # noqa: F401
 
 
 def _yl(i):
@@ -164,21 +165,30 @@ def _rows_by_order(lagged: DataFrame, maxlag: int) -> DataFrame:
 
 def granger_rowlag(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
                    keys: Sequence[str] = ("company",), order_col: str = "date",
-                   maxlag: int = 5, with_fits: bool = False) -> DataFrame:
+                   maxlag: int = 5, with_fits: bool = False, segment: Column | None = None) -> DataFrame:
     """For every key x target x source x lag order p in 1..maxlag:
     drop rows where the pair is incomplete, build row lags, keep rows with
     all p lags, require n >= 2p + 5 and a positive denominator dof, and
-    compare y ~ y lags against y ~ y lags + x lags with an F test."""
+    compare y ~ y lags against y ~ y lags + x lags with an F test.  With
+    ``segment``, an expression over ``order_col``, a series may be longer than
+    a task can hold (see ``segments``)."""
     g = [*keys, "target", "source"]
     lp = long_pairs(df, keys, order_col, targets, sources).dropna(subset=["y", "x"])
-    lagged = _lag_series(lp, g, order_col, maxlag)
+    lagged = _lag_series(lp, g, order_col, maxlag, segment=segment)
     fits = _granger_fits(lagged, g, maxlag)
     return fits if with_fits else fits.drop("icpt_r", "coef_r", "icpt_u", "coef_u")
 
 
-def _lag_series(lp: DataFrame, g: Sequence[str], order_col: str, maxlag: int, keep=()) -> DataFrame:
+def _lag_series(lp: DataFrame, g: Sequence[str], order_col: str, maxlag: int, keep=(), segment: Column | None = None) -> DataFrame:
     """Row lags of y and x per series plus the series minima used as
-    shifts -- all from one window partitioning (one shuffle)."""
+    shifts -- all from one window partitioning (one shuffle); with ``segment``
+    from windows over segments and an aggregate."""
+    if segment is not None:
+        least = lp.groupBy(*g).agg(F.coalesce(F.min("y"), F.lit(0.0)).alias("_sy"), F.coalesce(F.min("x"), F.lit(0.0)).alias("_sx"))
+        wanted = [(c, i, name(i)) for c, name in (("y", _yl), ("x", _xl)) for i in range(1, maxlag + 1)]
+        lagged = segments.lags(lp.select(*g, order_col, *dict.fromkeys([*keep, "y", "x"])), wanted, g, [order_col], segment)
+        out = lagged.alias("l").join(least.alias("m"), same("l", "m", g)).select("l.*", "_sy", "_sx")
+        return out.select(*g, order_col, *keep, "y", *[n for _, _, n in wanted], "_sy", "_sx")
     w = Window.partitionBy(*g).orderBy(order_col)
     wg = Window.partitionBy(*g)
     return lp.select(*g, order_col, *keep, "y",
@@ -453,83 +463,6 @@ def significance_table(counts: DataFrame, sources: Sequence[str]) -> DataFrame:
     return wide.fillna(0, list(sources))
 
 
-# -------------------------------------------------------------- best subset
-def best_subset(df: DataFrame, targets: Sequence[str], sources: Sequence[str],
-                keys: Sequence[str] = (), max_features: int = 3, z: float = 3.0) -> DataFrame:
-    """For each target, every combination of 1..max_features sources
-    (each with its own listwise deletion and predictor z-filter) is fitted
-    and the strictly highest raw R^2 above 0 wins (ties: fewer features,
-    then enumeration order).  A target without any winner gets a null row.
-    Output: combination, R^2 (3 digits), residual normality p, and per
-    chosen feature its coefficient (10 digits) and p-value (5 digits)."""
-    from marketlex.session import materialize
-    combos = [c for n in range(1, min(max_features, len(sources)) + 1) for c in combinations(sources, n)]
-    m = max(len(c) for c in combos)
-    tg = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])
-    cb = F.array(*[F.struct(F.lit(i).alias("cid"), F.lit(len(c)).alias("size"),
-                            F.array(*[F.lit(s) for s in c]).alias("names"),
-                            *[(F.col(c[j]).cast("double") if j < len(c) else F.lit(None).cast("double")).alias(f"x{j + 1}")
-                              for j in range(m)]) for i, c in enumerate(combos)])
-    d = df.select(*keys, F.inline(tg), cb.alias("_cb")).select(*keys, "target", "y", F.inline("_cb"))
-    complete = F.col("y").isNotNull()
-    for j in range(1, m + 1):
-        complete = complete & ((F.col("size") < j) | F.col(f"x{j}").isNotNull())
-    d = d.filter(complete)
-    g = [*keys, "target", "cid", "size", "names"]
-    stats = d.groupBy(*g).agg(*[F.avg(f"x{j}").alias(f"_m{j}") for j in range(1, m + 1)],
-                              *[F.stddev_pop(f"x{j}").alias(f"_s{j}") for j in range(1, m + 1)])
-    d = d.join(stats, g)
-    keep = F.lit(True)
-    for j in range(1, m + 1):
-        zj = F.abs(F.try_divide(F.col(f"x{j}") - F.col(f"_m{j}"), F.col(f"_s{j}")))
-        keep = keep & ((F.col("size") < j) | F.coalesce(zj < z, F.lit(False)))
-    # the exploded combinations feed the fits and the residuals: stored once
-    d = materialize(d.filter(keep).select(*g, "y", *[f"x{j}" for j in range(1, m + 1)]))
-    st = moments(d, g, ["y"] + [f"x{j}" for j in range(1, m + 1)])
-    kk = m + 1
-    out = T.StructType([st.schema[c] for c in g] + [
-        T.StructField("n", T.LongType()), T.StructField("r2", T.DoubleType()),
-        T.StructField("intercept", T.DoubleType()), T.StructField("coef", T.ArrayType(T.DoubleType())),
-        T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("df_resid", T.DoubleType())])
-    gl = list(g)
-
-    def solve(it):
-        for pdf in it:
-            rows = []
-            for dd in pdf.to_dict("records"):
-                size, n = int(dd["size"]), int(dd["n"])
-                mu = np.asarray([np.nan if v is None else v for v in dd["mu"]], float)
-                cov = sm.sym_from_upper(list(dd["cov"]), kk)
-                fit = sm.ols_from_moments(n, mu, cov, 0, range(1, size + 1))
-                with np.errstate(all="ignore"):
-                    t = np.where(fit["se"] > 0, fit["coef"] / np.where(fit["se"] > 0, fit["se"], 1), np.nan)
-                rows.append({**{c: dd[c] for c in gl}, "n": n, "r2": fit["r2"], "intercept": fit["intercept"],
-                             "coef": fit["coef"].tolist(), "t": t.tolist(), "df_resid": float(fit["df_resid"])})
-            yield pd.DataFrame(rows, columns=out.fieldNames())
-    fits = st.mapInPandas(solve, out).filter(F.col("r2") > 0)
-    rk = F.row_number().over(Window.partitionBy(*keys, "target").orderBy(F.desc("r2"), "size", "cid"))
-    best = fits.withColumn("_rk", rk).filter("_rk = 1").drop("_rk")
-    # residual normality of the winning fit
-    rb = d.join(best.select(*g, "intercept", "coef"), g)
-    pred = F.col("intercept") + sum((F.coalesce(F.try_element_at("coef", F.lit(j)) * F.col(f"x{j}"), F.lit(0.0))
-                                     for j in range(1, m + 1)), F.lit(0.0))
-    nm = rb.withColumn("_e", F.col("y") - pred).groupBy(*g).agg(
-        F.count("_e").alias("_nn"), F.skewness("_e").alias("_skew"), F.kurtosis("_e").alias("_kurt"))
-    best = best.join(nm, g)
-    best = pvalues(best, {"normality_p": ("k2", "_skew", "_kurt", "_nn")})
-    feats = best.select(*g, "r2", "normality_p", "df_resid",
-                        F.posexplode(F.arrays_zip("names", "coef", "t")).alias("_j", "_f"))
-    feats = feats.select(*g, "r2", "normality_p", "df_resid", F.col("_f.names").alias("feature"),
-                         F.col("_f.coef").alias("coefficient"), F.col("_f.t").alias("_t"))
-    feats = pvalues(feats, {"p_value": ("t", "_t", "df_resid")})
-    res = feats.select(*keys, "target", "names", round_stats("r2", 3).alias("r_squared"), "normality_p", "feature",
-                       round_stats("coefficient", 10).alias("coefficient"), round_stats("p_value", 5).alias("p_value"))
-    all_t = df.sparkSession.createDataFrame([(t,) for t in targets], "target string")
-    base = df.select(*keys).distinct().crossJoin(all_t) if keys else all_t
-    return base.join(res, [*keys, "target"], "left").withColumnRenamed("target", "stock_variable") \
-        .withColumnRenamed("names", "combination")
-
-
 # ------------------------------------------------------------- lag choice
 def select_lags(df: DataFrame, target: str, sources: Sequence[str], max_lags: int = 5,
                 bins: int = 10, keep: int = 2, keys: Sequence[str] = ()) -> DataFrame:

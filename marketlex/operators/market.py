@@ -11,7 +11,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlex.operators.ordering import global_row_number, rank_percentiles
+from marketlex.operators import segments
+from marketlex.operators.ordering import fresh, global_row_number, rank_percentiles
 
 
 def _w(key: str, date: str):
@@ -28,19 +29,27 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def price_features(df: DataFrame, key: str = "company", date: str = "date",
                    open_: str = "open", high: str = "high", low: str = "low",
-                   close: str = "close") -> DataFrame:
+                   close: str = "close", segment: Column | None = None) -> DataFrame:
     """W1-W6 on trading-day rows: simple, intraday and overnight return,
-    change, direction and range volatility."""
+    change, direction and range volatility.
+
+    Windows run over a whole series, one company's rows in a task; with
+    ``segment`` (see ``segments``) over one segment of it, for series of any
+    length."""
     w = _w(key, date)
-    padded = F.last(close, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_pad", padded)
-    ret = F.try_divide(F.col("_pad"), F.lag("_pad", 1).over(w)) - 1
-    out = df.select(
-        *[c for c in df.columns if c != "_pad"],
-        ret.alias("ret"),
+    last, before = fresh("_pad", df), [fresh(f"_prev_{c}", df) for c in ("pad", "open", "close")]
+    if segment is None:
+        d = df.withColumn(last, F.last(close, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        d = d.select("*", *[F.lag(c, 1).over(w).alias(b) for c, b in zip((last, open_, close), before)])
+    else:
+        d = segments.carried(df, close, last, [key], [date], segment)
+        d = segments.lags(d, [(c, 1, b) for c, b in zip((last, open_, close), before)], [key], [date], segment)
+    pad, opened, closed = (F.col(b) for b in before)
+    out = d.select(
+        *df.columns, (F.try_divide(F.col(last), pad) - 1).alias("ret"),
         F.try_divide(F.col(close) - F.col(open_), F.col(open_)).alias("same_day_return"),
-        F.try_divide(F.col(close) - F.lag(open_, 1).over(w), F.col(close)).alias("overnight_return"),
-        (F.col(close) - F.lag(close, 1).over(w)).alias("change"))
+        F.try_divide(F.col(close) - opened, F.col(close)).alias("overnight_return"),
+        (F.col(close) - closed).alias("change"))
     return out.withColumn("direction", direction(F.col("ret"))).withColumn(
         "volatility", volatility_range(F.col(high), F.col(low), F.col(open_)))
 
@@ -67,9 +76,14 @@ def densify_calendar(df: DataFrame, key: str = "company", date: str = "date",
 
 
 def row_lags(df: DataFrame, cols: Sequence[str], max_lag: int, key: str = "company",
-             order: str = "date") -> DataFrame:
-    """``{c}_lag_{i}`` = value ``i`` rows earlier within the key."""
-    w = _w(key, order)
+             order: str | Sequence[str] = "date", segment: Column | None = None) -> DataFrame:
+    """``{c}_lag_{i}`` = value ``i`` rows earlier within the key, in the
+    order of one or more columns.  With ``segment`` a series is not one task's
+    (see ``segments``)."""
+    order = [order] if isinstance(order, str) else list(order)
+    if segment is not None:
+        return segments.lags(df, [(c, i, f"{c}_lag_{i}") for c in cols for i in range(1, max_lag + 1)], [key], order, segment)
+    w = Window.partitionBy(key).orderBy(*order)
     return df.select("*", *[F.lag(c, i).over(w).alias(f"{c}_lag_{i}")
                             for c in cols for i in range(1, max_lag + 1)])
 
@@ -179,7 +193,8 @@ def chronological_split(df: DataFrame, order_cols: Sequence[str], bucket: Column
     """First ``floor(n*train_ratio)`` rows (in time order) are train, the
     next ``floor(n*valid_ratio)`` valid, the rest test.  ``bucket`` must be
     monotone in the order (e.g. the date) so positions come from per-bucket
-    counts plus offsets, never from one global window."""
+    counts plus offsets, never from one global window.  A null order value
+    comes first."""
     numbered = global_row_number(df, order_cols, bucket, "_pos")
     n = df.count()
     n_train = int(n * train_ratio)

@@ -281,3 +281,47 @@ def test_rank_percentiles_match_numpy(spark):
     everything = rank_percentiles(df, "v", ps).collect()
     assert len(everything) == 1 and np.allclose(everything[0]["_p"], np.quantile([v for _, v in rows if v is not None], ps), rtol=1e-12)
     assert rank_percentiles(df.limit(0), "v", ps, ["k"]).collect() == []
+
+
+def test_best_subset_of_twelve_sources(spark):
+    from itertools import combinations
+    rng = np.random.default_rng(8)
+    n = 400
+    x = rng.normal(size=(n, 12))
+    x[rng.random((n, 12)) < 0.01] = 9.0                  # outliers
+    x[rng.random((n, 12)) < 0.02] = np.nan
+    y = np.stack([2 * x[:, 3] - x[:, 7] + rng.normal(size=n), x[:, 11] + rng.normal(size=n), rng.normal(size=n)], axis=1)
+    y[rng.random((n, 3)) < 0.05] = np.nan
+    names, ys = [f"s{j}" for j in range(12)], ["t0", "t1", "t2"]
+    value = lambda v: None if np.isnan(v) else float(v)
+    rows = [(None if i % 2 else "k", *[value(v) for v in y[i]], *[value(v) for v in x[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "company string, " + ", ".join(f"{c} double" for c in ys + names))
+    got = {}
+    for r in C.best_subset(df, ys, names, ["company"], 2, chunk=60).collect():
+        got.setdefault((r.company, r.stock_variable), {})[r.feature] = r
+    assert len(got) == 6
+    for half, key in ((0, "k"), (1, None)):
+        for t in range(3):
+            best, combo = 0.0, None
+            for size in (1, 2):
+                for cb in combinations(range(12), size):
+                    ok = ~np.isnan(y[:, t]) & ~np.isnan(x[:, cb]).any(axis=1) & (np.arange(n) % 2 == half)
+                    X, Y = x[ok][:, cb], y[ok, t]
+                    keep = (np.abs((X - X.mean(0)) / X.std(0)) < 3).all(1)
+                    X, Y = np.column_stack([np.ones(keep.sum()), X[keep]]), Y[keep]
+                    beta = np.linalg.lstsq(X, Y, rcond=None)[0]
+                    r2 = 1 - ((Y - X @ beta) ** 2).sum() / ((Y - Y.mean()) ** 2).sum()
+                    if r2 > best:
+                        best, combo, coef = r2, cb, beta
+            r = got[key, ys[t]]
+            assert sorted(r) == sorted(names[j] for j in combo)
+            for j, b in zip(combo, coef[1:]):
+                assert abs(r[names[j]].r_squared - best) < 6e-4 and abs(r[names[j]].coefficient - b) < 1e-8
+
+
+def test_best_subset_does_not_copy_rows(spark):
+    from marketlex.operators import subset
+    p = subset.Pairs(1, 3, 3)
+    rows = spark.range(5000).selectExpr("cast(id % 17 as double) _y0", "cast(id % 5 as double) _x0", "cast(id % 7 as double) _x1", "cast(id % 11 as double) _x2")
+    masks = subset.mask_moments(rows, p, [], ["_y0"], ["_x0", "_x1", "_x2"], 3.0, 1000).collect()
+    assert len(masks) == 1 and masks[0].n == 5000       # no gaps, no outliers: one mask
