@@ -35,6 +35,16 @@ def dedup_by_key(df: DataFrame, key: str, order_col: str, unique_order: bool = T
     return (j if unique_order else j.dropDuplicates(["_h1", "_h2"])).select(*cols)
 
 
+def first_per_key(df: DataFrame, key: str, order_col: str, cols: Sequence) -> DataFrame:
+    """P3 where only narrow columns are wanted: ``cols`` of the row with the
+    smallest ``order_col`` (null last) of every ``key`` value.  One pass and
+    one shuffle of those columns; the key itself is only hashed."""
+    digest = [F.xxhash64(F.lit(7), key).alias("_h1"), F.xxhash64(F.lit(13), key).alias("_h2")]
+    order = F.col(order_col)
+    row = F.struct(order.isNull().alias("_n"), order.alias("_o"), F.struct(*cols).alias("_r"))
+    return df.select(*digest, row.alias("_x")).groupBy("_h1", "_h2").agg(F.min("_x").alias("_x")).select("_x._r.*")
+
+
 def dedup_rows(df: DataFrame) -> DataFrame:
     """Full-row distinct."""
     return df.distinct()
@@ -68,14 +78,23 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """P10: one row per column: type, non-null count and number of distinct
-    values (approximate to 5 %, bounded memory), from one scan."""
+    values.  Exact numbers come from one shuffle of distinct (column, value
+    digest) pairs, combined before it; ``exact=False`` estimates them to 5 %
+    in the scan itself."""
+    types = df.sparkSession.createDataFrame(
+        [(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, dtype string")
+    if exact:
+        cell = F.array(*[F.struct(F.lit(c).alias("column"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))).alias("_a"),
+                                  F.xxhash64(F.lit(1), F.col(f"`{c}`")).alias("_b")) for c in df.columns])
+        values = df.select(F.inline(cell)).where(F.col("_a").isNotNull()).groupBy("column", "_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+        counts = values.groupBy("column").agg(F.sum("_n").alias("non_null"), F.count(F.lit(1)).alias("distinct_values"))
+        out = types.join(counts, "column", "left").fillna(0, ["non_null", "distinct_values"])  # one row per column
+        return out.select("column", "non_null", "distinct_values", "dtype")
     counts = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.count(F.col(f"`{c}`")).alias("non_null"),
                                        F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias("distinct_values")) for c in df.columns]).alias("_c"))
     stack = counts.select(F.inline("_c"))
-    types = df.sparkSession.createDataFrame(
-        [(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, dtype string")
     return stack.join(F.broadcast(types), "column")  # one row per column
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from marketlex.functions import text as tx
 from marketlex.operators import results as R
-from marketlex.operators import sampling, scoring, textops
-from marketlex.operators.ml import cross_validate
+from marketlex.operators import lemmas, sampling, scoring, spelling, textops
+from marketlex.operators.ml import METRIC_COLS, cross_validate
+from marketlex.operators.trainer import train_grid
 from marketlex.plans import sqlutil as q
+from marketlex.plans.q_text import T15_SQL
 from marketlex.plans.views import (V_LABELLED_SQL, V_OHLC_SQL, V_RUNS_SQL, V_SCORED_SQL, V_TWEETS_SQL, table,
                                    v_labelled, v_ohlc, v_runs, v_scored, v_tweets)
-from marketlex.session import checkpoint_dir
+from marketlex.session import checkpoint_dir, materialize
 from marketlex.sources import files, sinks
 from marketlex.streaming import text_stream
 
@@ -63,23 +65,24 @@ ORACLES["s4_write_results"] = (
 
 
 def s5_materialize_variants(spark, sf_dir):
-    """Two variants of every tweet cached, then read from the cache."""
+    """All variants of every tweet and two Python steps cached, then read
+    from the cache."""
     root = _scratch(spark, "variants")
     tweets = v_tweets(spark, sf_dir).select("id", "text")
-    chosen = {k: textops.BASIC_VARIANTS[k] for k in ("Basic_processing", "No_processing_http")}
+    steps = {**textops.BASIC_VARIANTS, "Python_step": [textops.python_step(str.upper)]}
     out = None
     for _ in range(2):  # the second call only reads
-        cache = sinks.materialize_variants(spark, tweets, chosen, root, input_version=sf_dir.rstrip("/").rsplit("/", 1)[-1])
-    for name, d in cache.items():
+        cache = sinks.materialize_variants(spark, tweets, steps, root)
+    other = sinks.materialize_variants(spark, tweets, {"Python_step": [textops.python_step(str.lower)]}, root)
+    for name, d in [*cache.items(), ("Python_step_2", other["Python_step"])]:
         d = d.select("id", F.lit(name).alias("variant"), "text")
         out = d if out is None else out.unionByName(d)
     return out
 
 
 QUERIES["s5_materialize_variants"] = s5_materialize_variants
-ORACLES["s5_materialize_variants"] = (
-    f"WITH {V_TWEETS_SQL} SELECT id, 'Basic_processing' AS variant, {q.clean_text_basic('text')} AS text FROM v_tweets "
-    f"UNION ALL SELECT id, 'No_processing_http', {q.strip_urls('text')} FROM v_tweets")
+ORACLES["s5_materialize_variants"] = (T15_SQL + "UNION ALL SELECT id, 'Python_step', upper(text) FROM v_tweets "
+                                      "UNION ALL SELECT id, 'Python_step_2', lower(text) FROM v_tweets")
 
 
 def s6_write_misclassified(spark, sf_dir):
@@ -119,7 +122,7 @@ def s7_stream_eval_log(spark, sf_dir):
     sc.repartition(4).write.parquet(src)
     st = text_stream.read_stream(spark, src, spark.read.parquet(src).schema, max_files=1)
     log = text_stream.eval_log_stream(st, _scratch(spark, "evallog"), uuid.uuid4().hex)
-    return spark.read.parquet(log)
+    return spark.read.parquet(log).drop("run")
 
 
 def s7_eval_log_totals(spark, sf_dir):
@@ -172,6 +175,96 @@ j AS (SELECT t.doc_id, string_agg(coalesce(dict.replacement, t.tok), ' ' ORDER B
 SELECT d.doc_id AS id, coalesce(j.text, '') AS text FROM d LEFT JOIN j USING (doc_id)"""
 
 
+# ------------------------------------- T14: spelling and lemmas by rule
+SPELL_LEAST = 50         # a word is known from this many occurrences on
+
+
+def _letters_sql(table="documents"):
+    return f"""SELECT word, count(*) AS freq FROM (SELECT lower(unnest({_TOK})) AS word FROM {table})
+  WHERE regexp_full_match(word, '\\p{{L}}+') AND length(word) >= 4 GROUP BY word"""
+
+
+def _known(spark, sf_dir):
+    return spelling.word_counts(table(spark, sf_dir, "documents")).where(F.col("freq") >= SPELL_LEAST)
+
+
+def t14_corrections(spark, sf_dir):
+    """Every rarer word of the corpus against the frequent ones."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"))
+    return spelling.corrections(words.where(F.col("freq") < SPELL_LEAST), words.where(F.col("freq") >= SPELL_LEAST))
+
+
+def t14_correct_spelling(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    fixed = spelling.correct_spelling(d, _known(spark, sf_dir))
+    return fixed.select("id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
+
+
+def _one_byte(word):
+    """The SQL edit distance counts bytes: the accented Latin-1 letters become
+    digits and capitals, which lower-case words do not have."""
+    letters = "".join(chr(c) for c in range(223, 256) if c != 247)
+    return f"translate({word}, '{letters}', '0123456789ABCDEFGHIJKLMNOPQRSTUV')"
+
+
+_CORRECTIONS_SQL = f"""words AS ({_letters_sql()}), known AS (SELECT * FROM words WHERE freq >= {SPELL_LEAST}),
+near AS (SELECT u.word AS form, k.word AS replacement, k.freq, levenshtein(u.b, k.b) AS distance
+         FROM (SELECT *, {_one_byte('word')} AS b FROM words) u JOIN (SELECT *, {_one_byte('word')} AS b FROM known) k
+         ON abs(length(u.word) - length(k.word)) <= 2 WHERE u.freq < {SPELL_LEAST}),
+corr AS (SELECT form, replacement, distance FROM near WHERE distance <= 2
+         QUALIFY row_number() OVER (PARTITION BY form ORDER BY distance, freq DESC, replacement) = 1)"""
+QUERIES["t14_corrections"] = t14_corrections
+ORACLES["t14_corrections"] = f"WITH {_CORRECTIONS_SQL} SELECT form, replacement, CAST(distance AS INTEGER) AS distance FROM corr"
+QUERIES["t14_correct_spelling"] = t14_correct_spelling
+ORACLES["t14_correct_spelling"] = f"""WITH {_CORRECTIONS_SQL},
+d AS (SELECT doc_id AS id, {_TOK} AS toks FROM documents),
+t AS (SELECT id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos FROM d),
+j AS (SELECT id, string_agg(CASE WHEN replacement IS NULL THEN tok WHEN substr(tok, 1, 1) <> lower(substr(tok, 1, 1))
+        THEN upper(substr(replacement, 1, 1)) || substr(replacement, 2) ELSE replacement END, ' ' ORDER BY pos) AS text
+      FROM t LEFT JOIN corr ON lower(t.tok) = corr.form GROUP BY id)
+SELECT d.id, sha256(coalesce(j.text, '')) AS text_sha, CAST(length(coalesce(j.text, '')) AS INTEGER) AS n_chars FROM d LEFT JOIN j USING (id)"""
+
+LEMMA_ENDINGS = ("s", "es", "en", "er", "e", "n", "ed", "ing", "ly")
+
+
+def _lemma_pairs(spark, sf_dir):
+    """(form, lemma, held_out): words of the corpus that are another word of
+    it and an inflecting ending; a quarter is held out by a digest."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), least_length=3).select("word")
+    forms = None
+    for e in LEMMA_ENDINGS:
+        f = words.select(F.col("word").alias("lemma"), F.concat("word", F.lit(e)).alias("form"))
+        forms = f if forms is None else forms.unionByName(f)
+    pairs = forms.join(words.withColumnRenamed("word", "form"), "form", "left_semi")
+    return pairs.select("form", "lemma", F.substring(F.md5("form"), 1, 1).isin("0", "1", "2", "3").alias("held_out"))
+
+
+def t14_suffix_rules(spark, sf_dir):
+    rules = lemmas.suffix_rules(_lemma_pairs(spark, sf_dir).where("not held_out"))
+    return rules.select("suffix", "ending", "n", F.round("share", 6).alias("share"))
+
+
+def t14_predict_lemmas(spark, sf_dir):
+    """Lemmas of the forms held out, by rules learned from the others."""
+    pairs = materialize(_lemma_pairs(spark, sf_dir))
+    return lemmas.predict_lemmas(pairs.where("held_out"), lemmas.suffix_rules(pairs.where("not held_out")))
+
+
+_RULES_SQL = f"""words AS (SELECT DISTINCT word FROM (SELECT lower(unnest({_TOK})) AS word FROM documents) WHERE regexp_full_match(word, '\\p{{L}}+') AND length(word) >= 3),
+pairs AS (SELECT w.word || e AS form, w.word AS lemma, substr(md5(w.word || e), 1, 1) IN ('0', '1', '2', '3') AS held_out
+          FROM words w, unnest([{', '.join(q.lit(e) for e in LEMMA_ENDINGS)}]) AS x(e) WHERE w.word || e IN (SELECT word FROM words)),
+one AS (SELECT form, lemma, unnest(range(greatest(length(form) - length(lemma), 1), least(length(form), 6) + 1)) AS k FROM (SELECT DISTINCT form, lemma FROM pairs WHERE NOT held_out)),
+ends AS (SELECT right(form, k) AS suffix, substr(lemma, length(form) - k + 1) AS ending, count(*) AS n FROM one GROUP BY 1, 2),
+rules AS (SELECT suffix, ending, n, n / sum(n) OVER (PARTITION BY suffix) AS share FROM ends QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY n DESC, ending) = 1 AND n >= 2)"""
+QUERIES["t14_suffix_rules"] = t14_suffix_rules
+ORACLES["t14_suffix_rules"] = f"WITH {_RULES_SQL} SELECT suffix, ending, n, round(share, 6) AS share FROM rules"
+QUERIES["t14_predict_lemmas"] = t14_predict_lemmas
+ORACLES["t14_predict_lemmas"] = f"""WITH {_RULES_SQL},
+asked AS (SELECT form, unnest(range(1, least(length(form), 6) + 1)) AS k FROM (SELECT DISTINCT form FROM pairs WHERE held_out)),
+hits AS (SELECT form, k, suffix, left(form, length(form) - k) || ending AS lemma FROM asked JOIN rules ON suffix = right(form, k))
+SELECT form, lemma, suffix FROM hits WHERE lemma <> '' QUALIFY row_number() OVER (PARTITION BY form ORDER BY k DESC) = 1"""
+
+
 # ------------------------------------------------------------------- T17
 MAX_LEN = 128
 
@@ -219,26 +312,88 @@ ORACLES["o5_shuffle_rows"] = f"WITH {V_LABELLED_SQL} SELECT id, label FROM v_lab
 
 # ------------------------------------------------------------------- G16
 def g16_cross_validate(spark, sf_dir):
-    lab = v_labelled(spark, sf_dir).withColumn("text", tx.clean_text_full("text"))
-    res = cross_validate(lab, [{"reg_param": 0.01, "max_iter": 30, "num_features": 1 << 14}], k=5, seed=12)
-    return res.select("param_set", "fold", *[F.round(c, 6).alias(c) for c in
-                                             ("accuracy", "macro_f1", "weighted_f1", "f1_0", "f1_1", "f1_2")])
+    """Two parameter sets over two text forms on Spark ML."""
+    out = None
+    for name, form in (("raw", lambda c: F.col(c)), ("clean", tx.clean_text_full)):
+        lab = v_labelled(spark, sf_dir).withColumn("text", form("text"))
+        res = cross_validate(lab, [{"reg_param": 0.01, "max_iter": 30, "num_features": 1 << 14}, {"reg_param": 0.1, "max_iter": 15, "num_features": 1 << 14}], k=5, seed=12)
+        res = res.select(F.lit(name).alias("form"), "param_set", "fold", *[F.round(c, 6).alias(c) for c in METRIC_COLS])
+        out = res if out is None else out.unionByName(res)
+    return out
 
 
-def g16_fold_means(spark, sf_dir):
-    """The fold-mean row of each parameter set against the folds themselves,
-    and the number of folds."""
-    r = g16_cross_validate(spark, sf_dir)
-    return r.groupBy("param_set").agg(
-        F.count(F.when(F.col("fold") >= 0, 1)).alias("n_folds"),
-        (F.abs(F.avg(F.when(F.col("fold") >= 0, F.col("accuracy"))) - F.max(F.when(F.col("fold") < 0, F.col("accuracy")))) < 1e-5).alias("mean_agrees"),
-        (F.min("accuracy") >= 0).alias("in_range"))
+QUERIES["g16_cross_validate"] = g16_cross_validate
 
+GRID_EPOCHS, GRID_FEATURES = 3, 512
+GRID = [{"optimizer": "gd", "schedule": "constant", "learning_rate": 2.0, "weight_decay": 0.01, "label_smoothing": 0.1, "class_weight_floor": 1.0},
+        {"optimizer": "gd", "schedule": "constant", "learning_rate": 0.7, "weight_decay": 0.05, "label_smoothing": 0.0, "class_weight_floor": 0.5}]
 
-QUERIES["g16_cross_validate"] = g16_cross_validate
+
+def g16_train_grid(spark, sf_dir):
+    """All models of two parameter sets x two text forms x five folds, one
+    pass an epoch: the training loss and held-out metrics of every epoch."""
+    lab = v_labelled(spark, sf_dir).withColumn("fold", (F.col("id") % 5).cast("int"))
+    forms = {"raw": lambda d: d, "clean": lambda d: d.withColumn("text", tx.clean_text_full("text"))}
+    log, _ = train_grid(lab, forms, GRID, GRID_EPOCHS, max_features=GRID_FEATURES)
+    return log.select("form", "param_set", "fold", "epoch", *[F.round(c, 6).alias(c) for c in ("loss", *METRIC_COLS)])
+
+
+def g16_fold_means(spark, sf_dir):
+    """A5 of the last epoch: means over the folds of each form and parameter set."""
+    last = g16_train_grid(spark, sf_dir).where(F.col("epoch") == GRID_EPOCHS)
+    means = R.mean_over_folds(last, ["form", "param_set"], ["loss", "accuracy", "weighted_f1"])
+    return means.select("form", "param_set", *[F.round(c, 5).alias(c) for c in ("loss", "accuracy", "weighted_f1")])
+
+
+def _grid_sql():
+    """The grid in plain SQL: three weights a feature, one step after another
+    (class 0, 1, 2 in columns)."""
+    sets = ", ".join(f"({k}, {p['learning_rate']}, {p['weight_decay']}, {p['label_smoothing']}, {p['class_weight_floor']})" for k, p in enumerate(GRID))
+    steps = [f"""{V_LABELLED_SQL}""", f"""d AS (SELECT 'raw' AS form, id, label AS y, id % 5 AS fold, {_TOK} AS toks FROM v_labelled WHERE label IN (0, 1, 2)
+  UNION ALL SELECT 'clean', id, label, id % 5, {q.tokens(q.clean_text_full('text'))} FROM v_labelled WHERE label IN (0, 1, 2))""",
+             "tk AS MATERIALIZED (SELECT form, id, unnest(toks) AS t FROM d)",
+             f"vocab AS (SELECT form, t, row_number() OVER (PARTITION BY form ORDER BY count(*) DESC, t) AS j FROM tk GROUP BY form, t QUALIFY j <= {GRID_FEATURES})",
+             "cnt AS (SELECT form, id, j, ln(1 + count(*)) AS x FROM tk JOIN vocab USING (form, t) GROUP BY form, id, j)",
+             "nz AS MATERIALIZED (SELECT form, id, j, x / sqrt(sum(x * x) OVER (PARTITION BY form, id)) AS v FROM cnt UNION ALL SELECT form, id, 0, 1.0 FROM d)",
+             f"sets(p, lr, wd, eps, fl) AS (VALUES {sets})",
+             "m AS MATERIALIZED (SELECT form, p, fold AS k, lr, wd, eps, fl FROM (SELECT DISTINCT form, fold FROM d), sets)",
+             "cc AS (SELECT m.form, m.p, m.k, any_value(fl) AS fl, " + ", ".join(f"greatest(count(CASE WHEN y = {c} AND fold <> k THEN 1 END), 1) AS n{c}" for c in range(3))
+             + ", " + ", ".join(f"count(CASE WHEN y = {c} AND fold <> k THEN 1 END) AS r{c}" for c in range(3)) + " FROM m JOIN d USING (form) GROUP BY m.form, m.p, m.k)",
+             "cw AS MATERIALIZED (SELECT form, p, k, " + ", ".join(f"greatest((n0 + n1 + n2) / (3.0 * n{c}), fl) AS c{c}" for c in range(3))
+             + ", r0 * c0 + r1 * c1 + r2 * c2 AS tot FROM cc)",
+             "w0 AS MATERIALIZED (SELECT m.form, m.p, m.k, j, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2 FROM m JOIN (SELECT DISTINCT form, j FROM nz) USING (form))"]
+    for e in range(GRID_EPOCHS + 1):
+        steps += [f"z{e} AS MATERIALIZED (SELECT w.form, w.p, w.k, id, sum(v * a0) AS z0, sum(v * a1) AS z1, sum(v * a2) AS z2 FROM nz JOIN w{e} w ON w.form = nz.form AND w.j = nz.j GROUP BY ALL)",
+                  f"""q{e} AS MATERIALIZED (SELECT z.form, z.p, z.k, z.id, y, fold <> z.k AS train, tot,
+  CASE WHEN z0 >= greatest(z1, z2) - 1e-9 THEN 0 WHEN z1 >= z2 - 1e-9 THEN 1 ELSE 2 END AS pred,
+  greatest(z0, z1, z2) + ln(exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))) AS l,
+  """ + ", ".join(f"z{c}, (1 - eps) * CASE WHEN y = {c} THEN c{c} ELSE 0 END + eps / 3 * c{c} AS q{c}" for c in range(3)) + f"""
+  FROM z{e} z JOIN d ON d.form = z.form AND d.id = z.id JOIN m ON m.form = z.form AND m.p = z.p AND m.k = z.k JOIN cw ON cw.form = z.form AND cw.p = z.p AND cw.k = z.k)"""]
+        if e < GRID_EPOCHS:
+            steps += [f"g{e} AS (SELECT q.form, q.p, q.k, j, " + ", ".join(f"sum(v * ((q0 + q1 + q2) * exp(z{c} - l) - q{c}) / tot) AS g{c}" for c in range(3))
+                      + f" FROM nz JOIN q{e} q ON q.form = nz.form AND q.id = nz.id WHERE train GROUP BY ALL)",
+                      f"w{e + 1} AS MATERIALIZED (SELECT w.form, w.p, w.k, w.j, " + ", ".join(f"a{c} * CASE WHEN w.j = 0 THEN 1 ELSE 1 - lr * wd END - lr * coalesce(g{c}, 0) AS a{c}" for c in range(3))
+                      + f" FROM w{e} w JOIN m ON m.form = w.form AND m.p = w.p AND m.k = w.k LEFT JOIN g{e} g ON g.form = w.form AND g.p = w.p AND g.k = w.k AND g.j = w.j)"]
+    f1 = lambda c: f"CASE WHEN t{c} + p{c} > 0 THEN 2.0 * tp{c} / (t{c} + p{c}) END"
+    steps.append("ev AS (" + " UNION ALL ".join(
+        f"SELECT form, p, k, {e} AS epoch, count(*) AS n, " + ", ".join(
+            f"count(CASE WHEN y = {c} AND pred = {c} THEN 1 END) AS tp{c}, count(CASE WHEN y = {c} THEN 1 END) AS t{c}, count(CASE WHEN pred = {c} THEN 1 END) AS p{c}" for c in range(3))
+        + f" FROM q{e} WHERE NOT train GROUP BY form, p, k" for e in range(1, GRID_EPOCHS + 1)) + ")")
+    steps.append("ls AS (" + " UNION ALL ".join(
+        f"SELECT form, p, k, {e + 1} AS epoch, sum(-(q0 * (z0 - l) + q1 * (z1 - l) + q2 * (z2 - l))) / any_value(tot) AS loss FROM q{e} WHERE train GROUP BY form, p, k" for e in range(GRID_EPOCHS)) + ")")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT form, p AS param_set, k::INTEGER AS fold, epoch, round(loss, 6) AS loss, round((tp0 + tp1 + tp2) / n, 6) AS accuracy,
+       round((coalesce({f1(0)}, 0) + coalesce({f1(1)}, 0) + coalesce({f1(2)}, 0)) / (CASE WHEN t0 + p0 > 0 THEN 1 ELSE 0 END + CASE WHEN t1 + p1 > 0 THEN 1 ELSE 0 END + CASE WHEN t2 + p2 > 0 THEN 1 ELSE 0 END), 6) AS macro_f1,
+       round((coalesce({f1(0)}, 0) * t0 + coalesce({f1(1)}, 0) * t1 + coalesce({f1(2)}, 0) * t2) / n, 6) AS weighted_f1,
+       round({f1(0)}, 6) AS f1_0, round({f1(1)}, 6) AS f1_1, round({f1(2)}, 6) AS f1_2
+FROM ev JOIN ls USING (form, p, k, epoch)"""
+
+
+QUERIES["g16_train_grid"] = g16_train_grid
 QUERIES["g16_fold_means"] = g16_fold_means
-ORACLES["g16_fold_means"] = (f"WITH {V_LABELLED_SQL} SELECT 0 AS param_set, count(DISTINCT id % 5) AS n_folds, true AS mean_agrees, "
-                             "true AS in_range FROM v_labelled")
+ORACLES["g16_train_grid"] = _grid_sql()
+ORACLES["g16_fold_means"] = (f"SELECT form, param_set, round(avg(loss), 5) AS loss, round(avg(accuracy), 5) AS accuracy, round(avg(weighted_f1), 5) AS weighted_f1 "
+                             f"FROM ({_grid_sql()}) WHERE epoch = {GRID_EPOCHS} GROUP BY form, param_set")
 
 
 # ------------------------------------------------------------- S1 / S3 / P4

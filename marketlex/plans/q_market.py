@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlex.operators import cleaning, market
+from marketlex.operators import cleaning, market, segments
 from marketlex.plans.views import (V_FEATURES_SQL, V_OHLC_SQL, V_PANEL_SQL, table, v_features, v_ohlc,
                                    v_panel)
 
@@ -31,6 +31,17 @@ ORACLES["w01_price_features"] = (
     + ", direction, weekday, is_trading_day FROM v_features")
 
 
+def w01_price_features_segmented(spark, sf_dir):
+    """The features of every trading day from windows over one month each."""
+    f = market.price_features(v_ohlc(spark, sf_dir), segment=segments.month("date"))
+    return _r6(f.select("company", "date", *FEATS, "direction"), FEATS)
+
+
+QUERIES["w01_price_features_segmented"] = w01_price_features_segmented
+ORACLES["w01_price_features_segmented"] = (
+    f"WITH {V_FEATURES_SQL} SELECT company, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in FEATS) + ", direction FROM feat")
+
+
 def j3_densify_calendar(spark, sf_dir):
     f = v_features(spark, sf_dir)
     return f.groupBy("company").agg(F.count(F.lit(1)).alias("n_days"),
@@ -108,6 +119,20 @@ ORACLES["w07_row_lags"] = (
                 for i in (1, 2, 3)) + " FROM v_ohlc")
 
 
+def w07_row_lags_segmented(spark, sf_dir):
+    """Every order as a row of its status's series, cut by month: no task
+    holds a series."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("company"), F.to_date("o_orderdate").alias("date"), "o_orderkey", F.col("o_totalprice").alias("price"))
+    return market.row_lags(o, ["price"], 5, order=["date", "o_orderkey"], segment=segments.month("date"))
+
+
+QUERIES["w07_row_lags_segmented"] = w07_row_lags_segmented
+ORACLES["w07_row_lags_segmented"] = (
+    "SELECT o_orderstatus AS company, CAST(o_orderdate AS DATE) AS date, o_orderkey, o_totalprice AS price, "
+    + ", ".join(f"lag(o_totalprice, {i}) OVER w AS price_lag_{i}" for i in range(1, 6))
+    + " FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY CAST(o_orderdate AS DATE), o_orderkey)")
+
+
 def w08_zscore_filter(spark, sf_dir):
     p = cleaning.drop_incomplete(v_panel(spark, sf_dir).select("company", "date", "ret", "n_urgent"),
                                  ["ret", "n_urgent"])
@@ -189,11 +214,10 @@ ORACLES["p07_recode"] = (
 
 def p10_profile(spark, sf_dir):
     f = v_panel(spark, sf_dir).select("ret", "change", "direction", "n_urgent", "avg_price")
-    return cleaning.profile(f).select("column", "dtype", "non_null")
+    return cleaning.profile(f).select("column", "dtype", "non_null", "distinct_values")
 
 
 QUERIES["p10_profile"] = p10_profile
 ORACLES["p10_profile"] = f"""WITH {V_PANEL_SQL}
-SELECT "column", CASE WHEN "column" = 'direction' THEN 'int' ELSE 'double' END AS dtype, non_null FROM (UNPIVOT (SELECT count(ret) AS ret, count(change) AS change,
-  count(direction) AS direction, count(n_urgent) AS n_urgent, count(avg_price) AS avg_price FROM v_panel)
-  ON ret, change, direction, n_urgent, avg_price INTO NAME "column" VALUE non_null)"""
+SELECT "column", CASE WHEN "column" = 'direction' THEN 'int' ELSE 'double' END AS dtype, count(v) AS non_null, count(DISTINCT v) AS distinct_values FROM ("""
+ORACLES["p10_profile"] += " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS v FROM v_panel" for c in ("ret", "change", "direction", "n_urgent", "avg_price")) + ") GROUP BY ALL"

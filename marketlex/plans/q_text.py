@@ -92,19 +92,13 @@ def text_profile(spark, sf_dir):
     kept = tx.kept_tokens(tx.normalize_whitespace(tx.clean_text_basic("text")), TEST_STOPWORDS)
     cleaned = d.select("doc_id", "lang", kept.alias("_k")).select(
         "doc_id", "lang", F.array_join("_k", " ").alias("text"), F.size("_k").alias("n_tokens"))
-    first = cleaning.dedup_by_key(cleaned, "text", "doc_id")
-    return tx_profile(first)
-
-
-def tx_profile(df):
-    """Count, p95 / max token count and mean length per language; the token
-    count is taken from ``n_tokens`` when the caller already has it."""
-    n = F.col("n_tokens") if "n_tokens" in df.columns else tx.token_count("text")
-    return (df.groupBy("lang")
+    # the texts go no further than their digests: one pass, a narrow shuffle
+    first = cleaning.first_per_key(cleaned, "text", "doc_id", ["lang", "n_tokens", F.length("text").alias("n_chars")])
+    return (first.groupBy("lang")
             .agg(F.count(F.lit(1)).alias("n_docs"),
-                 F.percentile(n, 0.95).alias("p95_tokens"),
-                 F.max(n).cast("long").alias("max_tokens"),
-                 F.round(F.avg(F.length("text")), 6).alias("avg_chars")))
+                 F.percentile("n_tokens", 0.95).alias("p95_tokens"),
+                 F.max("n_tokens").cast("long").alias("max_tokens"),
+                 F.round(F.avg("n_chars"), 6).alias("avg_chars")))
 
 
 QUERIES["text_profile"] = text_profile
@@ -148,9 +142,10 @@ _VARIANT_SQL = {
     "Basic_processing": q.clean_text_basic,
 }
 QUERIES["t15_preprocess_variants"] = t15_preprocess_variants
-ORACLES["t15_preprocess_variants"] = f"WITH {V_TWEETS_SQL} " + " UNION ALL ".join(
-    f"SELECT id, {q.lit(name)} AS variant, {fn('text')} AS text FROM v_tweets"
+T15_SQL = f"WITH {V_TWEETS_SQL} " + " UNION ALL ".join(
+    f"SELECT id, {q.lit(name)} AS variant, {fn('text')} AS text FROM v_tweets "
     for name, fn in _VARIANT_SQL.items())
+ORACLES["t15_preprocess_variants"] = T15_SQL
 
 
 def t16_token_lengths(spark, sf_dir):
