@@ -14,11 +14,15 @@ index that a task holds is bounded whatever the number of items.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlex.llm.base import where_text
+
 Q = 10
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -291,14 +295,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float = ERROR_RATE,
                       block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; all
-    columns pass through.  Map only: a block of items is a filter."""
+    columns pass through and only the text goes to Python.  Map only: a block
+    of items is a filter."""
     for items in benchmark_blocks(benchmark, block_chars):
         shipped = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, q, error_rate))
 
-        def run(batches, shipped=shipped):
-            index = shipped.value
-            for b in batches:
-                yield b.filter(pa.array([not (t.is_valid and index.find(t.as_py())) for t in b.column("text")], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = where_text(docs, holds_none(shipped))
     return docs
+
+
+def holds_none(shipped):
+    """Filter on texts: none of the items of a shipped index is in them."""
+
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            yield pa.array([not (t.is_valid and shipped.value.find(t.as_py())) for t in c], pa.bool_())
+
+    return clean

@@ -17,6 +17,8 @@ whole, in pieces that overlap by ``max_n - 1`` characters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from marketlex.llm.base import stored
+from marketlex.llm.base import stored, where_text
 
 HASH_BITS = 18
 PIECE = 1 << 20          # code points hashed at a time
@@ -148,17 +150,19 @@ def sample_rows(rows: DataFrame, per_label: int, max_rows: int, seed: int) -> Da
 
 
 def fit_language_model(train: DataFrame, max_n: int = 3, landmarks_per_label: int = 48,
-                       rows_per_label: int = 600, ridge: float = 0.3, max_rows: int = 20_000) -> KernelModel | None:
+                       rows_per_label: int = 600, ridge: float = 0.3, max_rows: int = 20_000, max_landmarks: int = 480) -> KernelModel | None:
     """Fit on ``train(doc_id, text, lang)``; rows without text, label or any
     letter are left out.  Sample bounds (documented parameters):
-    ``landmarks_per_label`` and ``rows_per_label``; ``max_rows`` in all, shared
-    out evenly among the labels.  Returns None if there is nothing to learn
-    from."""
+    ``landmarks_per_label`` and ``rows_per_label``; ``max_landmarks`` and
+    ``max_rows`` in all, shared out evenly among the labels, one at least for
+    each.  Returns None if there is nothing to learn from."""
     usable = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     rows = sample_rows(usable, rows_per_label, max_rows, 7)
-    land = rows.where(F.col("k") <= landmarks_per_label).orderBy("lang", "k").select("text", "lang").collect()
+    land = rows.where(F.col("k") <= landmarks_per_label).orderBy("lang", "k").select("text", "lang", "k").collect()
     if not land:
         return None
+    landmarks_per_label = min(landmarks_per_label, max(1, max_landmarks // len({r.lang for r in land})))
+    land = [r for r in land if r.k <= landmarks_per_label]
     model = KernelModel([r.text for r in land], [r.lang for r in land], max_n)
     shipped = train.sparkSession.sparkContext.broadcast(model)
 
@@ -176,6 +180,19 @@ def fit_language_model(train: DataFrame, max_n: int = 3, landmarks_per_label: in
     return model
 
 
+def languages(m: KernelModel | None, texts: list, told_only: bool) -> tuple[list[str], np.ndarray]:
+    """Predicted languages and scores of a few texts (see ``with_language``)."""
+    lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    ask = [k for k, t in enumerate(texts) if t and m is not None and LETTER.search(t)]
+    if ask:
+        s = m.scores([texts[k] for k in ask])
+        best = s.argmax(axis=1)
+        for k, j, v in zip(ask, best, s[np.arange(len(ask)), best]):
+            if not told_only or m.told(texts[k], m.labels[j]):
+                lang[k], score[k] = m.labels[j], min(1.0, max(0.0, (float(v) + 1) / 2))
+    return lang, score
+
+
 def with_language(docs: DataFrame, model: KernelModel | None, told_only: bool = False) -> DataFrame:
     """``docs`` with (lang_pred, score) of every whole ``text``; nothing but
     the text is read, other columns pass through (columns of these two names
@@ -189,19 +206,10 @@ def with_language(docs: DataFrame, model: KernelModel | None, told_only: bool =
     docs = docs.drop("lang_pred", "score")
 
     def run(batches):
-        m = shipped.value
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 rows = b.slice(at, BATCH)
-                part = rows.column("text").to_pylist()
-                lang, score = [UNDETERMINED] * len(part), np.zeros(len(part))
-                ask = [k for k, t in enumerate(part) if t and m is not None and LETTER.search(t)]
-                if ask:
-                    s = m.scores([part[k] for k in ask])
-                    best = s.argmax(axis=1)
-                    for k, j, v in zip(ask, best, s[np.arange(len(ask)), best]):
-                        if not told_only or m.told(part[k], m.labels[j]):
-                            lang[k], score[k] = m.labels[j], min(1.0, max(0.0, (float(v) + 1) / 2))
+                lang, score = languages(shipped.value, rows.column("text").to_pylist(), told_only)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                                  names=[*rows.schema.names, "lang_pred", "score"])
 
@@ -215,6 +223,12 @@ def predict_language(docs: DataFrame, model: KernelModel | None) -> DataFrame:
 
 def drop_undetermined(docs: DataFrame, model: KernelModel | None) -> DataFrame:
     """``docs`` without the texts whose language cannot be told: null or
-    without a letter, or in no language or script learned (``told``)."""
-    told = with_language(docs, model, told_only=True).where(F.col("lang_pred") != UNDETERMINED)
-    return told.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
+    without a letter, or in no language or script learned (``told``).  Only
+    the text goes to Python; all columns stay, whatever their names."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def told(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            yield pa.array([x != UNDETERMINED for at in range(0, len(c), BATCH) for x in languages(shipped.value, c.slice(at, BATCH).to_pylist(), True)[0]], pa.bool_())
+
+    return where_text(docs, told)

@@ -141,7 +141,7 @@ def test_language_edges(spark, edges, none, odd_columns):
     assert string_kernel.fit_language_model(train.limit(0)) is None
     assert {r.lang_pred for r in string_kernel.predict_language(edges, None).collect()} == {"und"}
     kept = string_kernel.drop_undetermined(odd_columns, model)
-    assert kept.columns == [c for c in odd_columns.columns if c not in ("lang_pred", "score")]
+    assert kept.columns == odd_columns.columns and {(r.score, r.lang_pred) for r in kept.collect()} <= {(1.5, "x")}
     assert not {1, 2, 3, 9} & {r.doc_id for r in kept.collect()}
 
 
@@ -152,6 +152,8 @@ def test_rare_labels_keep_their_rows_among_many_frequent_ones(spark):
     model = string_kernel.fit_language_model(train, rows_per_label=40, landmarks_per_label=2, max_rows=300)
     assert model.labels == sorted([f"often{k}" for k in range(12)] + [f"rare{k}" for k in range(3)])
     assert len(model.land) == 2 * 15
+    bound = string_kernel.fit_language_model(train, rows_per_label=40, landmarks_per_label=20, max_rows=300, max_landmarks=45)
+    assert bound.labels == model.labels and len(bound.land) == 3 * 15
     picked = string_kernel.sample_rows(train, 40, 300, 7).groupBy("lang").count().collect()
     assert {r["lang"]: r["count"] for r in picked} == {f"often{k}": 20 for k in range(12)} | {f"rare{k}": 10 for k in range(3)}
     one = string_kernel.sample_rows(train, 40, 5, 7).groupBy("lang").count().collect()
