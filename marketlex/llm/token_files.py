@@ -34,7 +34,7 @@ MAGIC = b"FWTOK001"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 65536        # ids of a block: a multiple of 8
 SHARD_IDS = 4_000_000    # a shard is closed at the first document end past this
-MEMO_WORDS = 300_000
+MEMO_BYTES = 128 << 20
 
 MANIFEST = "part int, shard int, n_docs long, n_ids long, path string"
 READ = "part int, shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -137,7 +137,7 @@ class WordEncoder:
     stop is a pre-token of its own.
     """
 
-    def __init__(self, tokenizer_json: bytes, memo: int = MEMO_WORDS):
+    def __init__(self, tokenizer_json: bytes, memo: int = MEMO_BYTES):
         import json
 
         from tokenizers import Tokenizer
