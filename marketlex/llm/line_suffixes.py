@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlex.llm.base import stored
+from marketlex.llm.base import fresh, join_split, stored
 from marketlex.operators.ordering import global_row_number, hash_bucket
 
 MIN_WORDS = 50
@@ -41,35 +41,40 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def suffix_ranks(docs: DataFrame, min_words: int) -> tuple[DataFrame, int]:
-    """(doc_id, th, pos, seq, words, r0, r1, ...): suffix-array ranks at
-    depths 1, 2, 4, ... of the lines that occur more than once (null where
-    the prefix is unique), and the number of depths: the last one reaches
-    ``min_words`` lines, as no counted run needs more."""
+    """(doc_id, th, pos, seq, words, depth, r): the suffix-array rank of each
+    line that occurs more than once, a row for each depth 1, 2, 4, ... lines
+    (numbered 0, 1, 2, ...) at which its prefix is not unique; and the number
+    of depths: the last one reaches ``min_words`` lines, as no counted run
+    needs more."""
     lines = line_table(docs)
     again = docs.groupBy("doc_id", F.xxhash64("text").alias("th")).count().where("count > 1")
     if again.head(1):
         lines = lines.dropDuplicates(["doc_id", "th", "seq"])
 
-    def with_next(t, r, k):
-        """Adds the rank ``r`` of the suffix ``k`` lines later."""
-        later = Window.partitionBy("doc_id", "th").orderBy("seq").rangeBetween(k, k)
-        return stored(t.withColumn("next", F.first(r).over(later)), "line-ranks")
-
+    lines = stored(lines, "line-table")
+    place = ["doc_id", "th", "pos", "seq", "words"]
     symbols = lines.groupBy("h1", "h2").count().where("count > 1")
-    first = global_row_number(symbols, ["h1", "h2"], hash_bucket(F.col("h1")), "r0").select("h1", "h2", "r0")
-    t = with_next(lines.join(first, ["h1", "h2"]).select("doc_id", "th", "pos", "seq", "words", "r0"), "r0", 1)
-    depth, k = 1, 1
+    first = stored(global_row_number(symbols, ["h1", "h2"], hash_bucket(F.col("h1")), "r").select("h1", "h2", "r", "count"), "line-symbols")
+    t = stored(join_split(lines, first, ["h1", "h2"], "count").select(*place, "r"), "line-ranks")
+    levels, k = [t], 1
     while 2 * k <= min_words:
-        r, s = f"r{depth - 1}", f"r{depth}"
-        names = t.where(f"{r} is not null and next is not null").groupBy(r, "next").count().where("count > 1")
-        top = t.agg(F.max(r).alias("top")).first().top
-        if top is None or not names.head(1):
+        # a suffix goes on while the one k lines later is not unique either
+        later = Window.partitionBy("doc_id", "th").orderBy("seq").rangeBetween(k, k)
+        pairs = stored(t.withColumn("next", F.first("r").over(later)).where("next is not null"), "line-pairs")
+        names = pairs.groupBy("r", "next").count().where("count > 1")
+        top = pairs.agg(F.max("r").alias("top")).first().top
+        if top is None:
             break
         # order of (rank, rank k lines later): the suffix array at twice the depth
-        dense = global_row_number(names, [r, "next"], F.floor(F.col(r) / F.lit(max(1, -(-top // 4096)))), s).select(r, "next", s)
-        depth, k = depth + 1, 2 * k
-        t = with_next(t.join(dense, [r, "next"], "left").drop("next"), s, k)
-    return t.drop("next"), depth
+        dense = global_row_number(names, ["r", "next"], F.floor(F.col("r") / F.lit(max(1, -(-top // 4096)))), "s").select("r", "next", "s", "count")
+        t = stored(join_split(pairs, stored(dense, "line-names"), ["r", "next"], "count").select(*place, F.col("s").alias("r")), "line-ranks")
+        if not t.head(1):
+            break
+        levels, k = [*levels, t], 2 * k
+    out = levels[0].withColumn("depth", F.lit(0))
+    for d, level in enumerate(levels[1:], 1):
+        out = out.unionByName(level.withColumn("depth", F.lit(d)))
+    return out, len(levels)
 
 
 RUNS = "doc_id long, th long, pos int, last int, seq int, len int, a long, b long"
@@ -94,7 +99,13 @@ def counted_runs(ranks: DataFrame, depth: int, min_words: int) -> DataFrame:
             yield from windows(held)
 
     def windows(t):
+        # rows of one line follow one another, the first is of depth 0
+        level, rank = np.array(t.column("depth")), np.array(t.column("r"))
+        line = np.cumsum(level == 0) - 1
+        t = t.take(pa.array(np.flatnonzero(level == 0)))
         n = t.num_rows
+        r = np.zeros((depth, n), np.int64)
+        r[level, line] = rank
         doc, th, pos, words = (t.column(c) for c in ("doc_id", "th", "pos", "words"))
         d, h, p, w = np.array(doc.fill_null(np.iinfo(np.int64).min)), np.array(th), np.array(pos).astype(np.int64), np.array(words).astype(np.int64)
         order = np.array(t.column("seq")).astype(np.int64)
@@ -115,7 +126,6 @@ def counted_runs(ranks: DataFrame, depth: int, min_words: int) -> DataFrame:
         lo, hi = both // n, both % n
         length = hi - lo + 1
         level = np.floor(np.log2(length)).astype(np.int64)
-        r = np.stack([np.array(t.column(f"r{k}").fill_null(0)) for k in range(depth)])
         known = level < depth
         lo, hi, length, level = lo[known], hi[known], length[known], level[known]
         a, b = r[level, lo], r[level, hi + 1 - (1 << level)]
@@ -125,7 +135,7 @@ def counted_runs(ranks: DataFrame, depth: int, min_words: int) -> DataFrame:
             "doc_id": doc.take(pa.array(lo)), "th": th.take(pa.array(lo)), "pos": pa.array(p[lo].astype(np.int32)),
             "last": pa.array(p[hi].astype(np.int32)), "seq": pa.array(order[lo].astype(np.int32)), "len": pa.array(length.astype(np.int32)), "a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
-    dealt = ranks.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "seq")
+    dealt = ranks.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "seq", "depth")
     return dealt.mapInArrow(run, RUNS)
 
 
@@ -135,8 +145,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks, depth = suffix_ranks(docs, min_words)
     runs = stored(counted_runs(ranks, depth, min_words), "line-runs")
     place = F.struct("doc_id", "th", "pos", "last")
-    intervals = runs.groupBy("len", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = (runs.join(intervals, ["len", "a", "b"])
+    intervals = runs.groupBy("len", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = (join_split(runs, stored(intervals, "line-intervals"), ["len", "a", "b"], "n").drop("n")
              .where(~((F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.th") == F.col("th")) & (F.col("first.last") >= F.col("pos"))))
              .select("doc_id", "th", "pos", "last", "seq", "len").distinct())
     # merge overlapping and touching runs of a document (blank lines between them do not count)
@@ -157,23 +167,39 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A null text stays null and an empty one empty (0 and 1 lines); an empty
     table gives an empty table; rows that repeat doc_id and text are one
     document and get the same result.  Line identity ignores the amount of
-    white space; other columns pass through, whatever their names."""
-    found = repeated_lines(docs.select("doc_id", "text"), min_words)
-    found = found.select(F.col("doc_id").alias("__run_doc"), F.col("th").alias("__run_th"), F.col("spans").alias("__run_spans"))
-    lines = F.split("text", "\n", -1)
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                    lambda e: ~F.exists("__run_spans", lambda s: e["i"].between(s["first"], s["last"])))
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__run_doc")) & (F.xxhash64("text") == F.col("__run_th")), "left")
-    removed = F.aggregate(F.coalesce("__run_spans", none), F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
-    cols = [F.when(F.col("__run_spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda e: e["x"]), "\n")).alias("text")
-            if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    return out.select(*cols, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), removed.alias("n_removed"), F.coalesce("__run_spans", none).alias("removed"))
+    white space; other columns pass through, but those that have the name of
+    one of the three result columns are replaced."""
+    out, spans = with_spans(docs, min_words)
+    none = F.array().cast(SPANS)
+    removed = F.aggregate(F.coalesce(spans, none), F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
+    cols = [rest_of_text(spans).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "removed")]
+    return out.select(*cols, F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), removed.alias("n_removed"), F.coalesce(spans, none).alias("removed"))
+
+
+SPANS = "array<struct<first:int,last:int>>"
+
+
+def with_spans(docs: DataFrame, min_words: int) -> tuple[DataFrame, str]:
+    """``docs`` with the spans of lines to delete (null: none) in a column of
+    a name that ``docs`` does not have, and that name."""
+    doc, th, spans = (fresh(f"__run_{c}", docs) for c in ("doc", "th", "spans"))
+    found = repeated_lines(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("spans").alias(spans))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left").drop(doc, th), spans
+
+
+def rest_of_text(spans: str) -> Column:
+    """``text`` without the lines in ``spans``."""
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    kept = F.filter(numbered, lambda e: ~F.exists(spans, lambda s: e["i"].between(s["first"], s["last"])))
+    return F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda e: e["x"]), "\n"))
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated line runs deleted; a document of which nothing
-    but blank lines is left goes, ``n_chars`` follows the text."""
-    out = dedup_lines(docs, min_words).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    return out.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`")
-                        for c in docs.columns])
+    but blank lines is left goes, ``n_chars`` follows the text where it is a
+    number.  Other columns stay, whatever their names."""
+    out, spans = with_spans(docs, min_words)
+    out = out.withColumn("text", rest_of_text(spans)).where(F.col(spans).isNull() | F.col("text").rlike(r"\S"))
+    types = dict(docs.dtypes)
+    return out.select(*[F.when(F.col(spans).isNotNull(), F.length("text").cast(types[c])).otherwise(F.col(c)).alias(c)
+                        if c == "n_chars" and types[c] in ("int", "bigint") else F.col(f"`{c}`") for c in docs.columns])
