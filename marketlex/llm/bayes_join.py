@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlex.llm.base import Memo, stored
+from marketlex.llm.base import Memo, fresh, join_split, stored
 
 WORDS = 5                # words of an n-gram
 THRESHOLD = (4, 5)       # similarity as a fraction: 0.8
@@ -34,7 +34,7 @@ BAND_ROWS = 4            # 32 bands: a pair at 0.8 misses all of them once in 2e
 SLICE = 16               # hashes compared between two prunings
 TOLERANCE = 1e-6
 TASK_GRAMS = 2_000_000   # n-grams that one task holds at a time
-MEMO_WORDS = 300_000
+MEMO_BYTES = 96 << 20
 U = np.uint64
 
 
@@ -52,7 +52,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.memo = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), MEMO_WORDS)
+        self.memo = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), MEMO_BYTES)
 
     def grams(self, text: str | None) -> np.ndarray:
         if not text:
@@ -327,10 +327,11 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, threshold: tuple[int
     linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")), "jaccard-components")
     same = linked.withColumnRenamed("node", "cid").join(info.select("cid", "copy_id"), "cid")
     first = same.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    per_class = (info.where("copies > 1").select("cid").union(links.select("cid")).distinct()
-                 .join(info.select("cid", F.col("copy_id").alias("first_id"), "copies"), "cid")
-                 .join(links, "cid", "left").join(same.select("cid", "root").join(first, "root").select("cid", "root", "class_id"), "cid", "left"))
-    return rows.select("doc_id", "th", "cid").join(per_class, "cid", "left").select(
+    per_class = stored(info.select("cid", F.col("copy_id").alias("first_id"), "copies")
+                       .join(links, "cid", "left").join(same.select("cid", "root").join(first, "root").select("cid", "root", "class_id"), "cid", "left"), "jaccard-per-class")
+    ids = rows.select("doc_id", "th", "cid")
+    worded = join_split(ids.where("cid is not null"), per_class, ["cid"], "copies")
+    return worded.unionByName(ids.where("cid is null"), allowMissingColumns=True).select(
         "doc_id", F.coalesce("class_id", "first_id", "doc_id").alias("class_id"), F.coalesce("first_id", "doc_id").alias("copy_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
@@ -345,7 +346,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     worded = found.where("class_key is not null")
     first = worded.groupBy("class_key").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*")
     keep = first.union(found.where("class_key is null").select("doc_id", "th").distinct())
-    keep = keep.withColumnsRenamed({"doc_id": "kept_doc", "th": "kept_th"})
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.xxhash64("text") == F.col("kept_th")), "left_semi")
+    doc, th = fresh("__kept_doc", docs), fresh("__kept_th", docs)
+    keep = keep.withColumnsRenamed({"doc_id": doc, "th": th})
+    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left_semi")
     again = found.groupBy("doc_id", "th").count().where("count > 1")
     return out.dropDuplicates(["doc_id", "text"]) if again.head(1) else out
