@@ -1,6 +1,12 @@
 """Nearest neighbours by shifted Hilbert curves.
 
-Vectors are projected to a few dimensions by ``ORDERINGS`` random orthogonal
+The nearest vectors are those with the largest inner product.  With ``M`` the
+greatest length in the table, a candidate ``x`` becomes the unit vector
+``(x / M, sqrt(1 - |x / M| ** 2))`` and a query ``q`` becomes ``(q / |q|, 0)``:
+the larger the inner product, the smaller the distance of the two, whatever
+the lengths (Bachrach et al. 2014).  Scores are of the vectors as given.
+
+These vectors are projected to a few dimensions by ``ORDERINGS`` random orthogonal
 maps, shifted, and numbered along a Hilbert curve in each: ``ORDERINGS``
 orders in which near vectors tend to lie close.  Every order is cut at
 quantiles of the key into ranges of equal count, dealt to tasks; a query
@@ -29,8 +35,7 @@ from marketlex.llm.base import stored
 
 ORDERINGS = 8
 DIMS, BITS = 6, 8        # projected dimensions and bits of each in the key
-RANGES, REACH = 32, 3    # an order's ranges, and neighbours visited each side
-LEAST_RANGE = 256        # ranges hold this many vectors at least
+RANGES, REACH = 32, 4    # an order's ranges, and neighbours visited each side
 CHUNK = 4096
 SALTS = 256
 SEED = 5
@@ -73,12 +78,13 @@ def projections(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vid, v): usable vectors as little-endian float bytes; ``vid``
-    hashes them.  A repeated id keeps the vector with the smallest ``vid``."""
+    """(vec_id, vid, v, norm): usable vectors as little-endian float bytes;
+    ``vid`` hashes them.  A repeated id keeps the vector with the smallest
+    ``vid``."""
 
     def run(batches):
         for b in batches:
-            ids, vid, out = [], [], []
+            ids, vid, out, norm = [], [], [], []
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist()):
                 if i is None or not v or None in v:
                     continue
@@ -88,11 +94,12 @@ def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     ids.append(i)
                     vid.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                     out.append(raw)
-            yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "vid": pa.array(vid, pa.int64()), "v": pa.array(out, pa.binary())})
+                    norm.append(float(np.linalg.norm(x)))
+            yield pa.RecordBatch.from_pydict({"vec_id": pa.array(ids, pa.int64()), "vid": pa.array(vid, pa.int64()), "v": pa.array(out, pa.binary()), "norm": pa.array(norm, pa.float64())})
 
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(run, "vec_id long, vid long, v binary")
-    one = rows.groupBy("vec_id").agg(F.min(F.struct("vid", "v")).alias("x"))
-    return one.select("vec_id", "x.vid", "x.v")
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(run, "vec_id long, vid long, v binary, norm double")
+    one = rows.groupBy("vec_id").agg(F.min(F.struct("vid", "v", "norm")).alias("x"))
+    return one.select("vec_id", "x.vid", "x.v", "x.norm")
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -115,21 +122,27 @@ def nearest(table: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     once.  An empty table gives no rows."""
     spark = table.sparkSession
     rows = stored(vectors(table, id_col, vector_col), "ann-vectors")
-    shape = rows.groupBy(F.length("v").alias("bytes")).count().orderBy(F.desc("count"), "bytes").head(1)
+    shape = rows.groupBy(F.length("v").alias("bytes")).agg(F.count("*").alias("count"), F.max("norm").alias("norm")).orderBy(F.desc("count"), "bytes").head(1)
     if not shape:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.length("v") == shape[0].bytes)
-    dim = shape[0].bytes // 8
-    maps, shifts = projections(dim, seed)
+    dim, longest = shape[0].bytes // 8, shape[0].norm
+    maps, shifts = projections(dim + 1, seed)
     distinct = stored(distinct_vectors(rows, k + 1), "ann-distinct")
 
     def matrix(column):
         return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), dim)
 
+    def lifted(v, query=False):
+        """Candidates or queries as unit vectors of one dimension more."""
+        v = v / (np.linalg.norm(v, axis=1, keepdims=True) if query else longest)
+        more = np.zeros(len(v)) if query else np.sqrt(np.maximum(0.0, 1 - (v * v).sum(axis=1)))
+        return np.column_stack([v, more])
+
     def extent(batches):
         for b in batches:
             if b.num_rows:
-                y = np.einsum("nd,odk->nok", matrix(b.column("v")), maps).reshape(b.num_rows, -1)
+                y = np.einsum("nd,odk->nok", lifted(matrix(b.column("v"))), maps).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_pydict({"j": np.arange(y.shape[1]), "lo": y.min(axis=0), "hi": y.max(axis=0)})
 
     # one row per projected dimension
@@ -145,30 +158,32 @@ def nearest(table: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     def keyed(batches):
         for b in batches:
             if b.num_rows:
-                for o, key in enumerate(keys_of(matrix(b.column("v")))):
+                for o, key in enumerate(keys_of(lifted(matrix(b.column("v"))))):
                     yield pa.RecordBatch.from_pydict({"o": pa.array([o] * len(key), pa.int32()), "key": key})
 
-    n = distinct.count()
-    ranges = max(1, min(RANGES, n // LEAST_RANGE))
-    steps = [j / ranges for j in range(1, ranges)]
-    cuts = {o: np.zeros(0) for o in range(ORDERINGS)}
-    if steps:  # ORDERINGS x RANGES numbers
-        got = distinct.select("v").mapInArrow(keyed, "o int, key long").groupBy("o").agg(F.percentile_approx("key", steps, 100 * ranges).alias("cuts")).collect()
-        cuts = {r.o: np.array(r.cuts) for r in got}
-
-    def dealt(batches):
-        for b in batches:
-            if b.num_rows:
-                for o, key in enumerate(keys_of(matrix(b.column("v")))):
-                    yield pa.RecordBatch.from_pydict({
-                        "o": pa.array([o] * len(key), pa.int32()), "range": pa.array(np.searchsorted(cuts[o], key, "right").astype(np.int32)),
-                        "vid": b.column("vid"), "v": b.column("v"), "ids": b.column("ids")})
+    # the ranges on one side of a query hold ``k`` others, so that any window answers it
+    ranges = max(1, min(RANGES, distinct.count() // -(-(k + 1) // (REACH + 1))))
+    steps = [j / ranges for j in range(1, ranges)] or [0.0]
+    got = (distinct.select("v").mapInArrow(keyed, "o int, key long").groupBy("o")
+           .agg(F.percentile_approx("key", steps, 100 * RANGES).alias("cuts"), F.min("key").alias("least")).collect())  # ORDERINGS x RANGES numbers
+    # a key that fills several ranges is one: each range left holds vectors
+    cuts = {r.o: np.unique([c for c in r.cuts if c > r.least]) for r in got}
+
+    def dealt(query):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    for o, key in enumerate(keys_of(lifted(matrix(b.column("v")), query))):
+                        yield pa.RecordBatch.from_pydict({
+                            "o": pa.array([o] * len(key), pa.int32()), "range": pa.array(np.searchsorted(cuts[o], key, "right").astype(np.int32)),
+                            "vid": b.column("vid"), "v": b.column("v"), "ids": b.column("ids")})
+        return run
 
     schema = "o int, range int, vid long, v binary, ids array<long>"
-    placed = distinct.mapInArrow(dealt, schema)
+    placed = distinct.mapInArrow(dealt(False), schema)
     asked = rows.where(F.col("vec_id") % query_every == 0).select("vid", F.col("vec_id").alias("query_id"))
-    queries = distinct.join(asked.select("vid").distinct(), "vid").mapInArrow(dealt, schema).drop("ids")
-    visits = (queries.withColumn("range", F.explode(F.sequence(F.greatest(F.col("range") - REACH, F.lit(0)), F.least(F.col("range") + REACH, F.lit(ranges - 1))))))
+    queries = distinct.join(asked.select("vid").distinct(), "vid").mapInArrow(dealt(True), schema).drop("ids")
+    visits = queries.withColumn("range", F.explode(F.sequence(F.col("range") - REACH, F.col("range") + REACH)))  # those there are meet in the join below
     # chunks of bounded size on both sides; ORDERINGS x RANGES counts
     size = placed.groupBy("o", "range").count().select("o", "range", F.ceil(F.col("count") / CHUNK).cast("int").alias("nb"))
     asks = visits.groupBy("o", "range").count().select("o", "range", F.ceil(F.col("count") / CHUNK).cast("int").alias("nq"))
