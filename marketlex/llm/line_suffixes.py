@@ -55,22 +55,28 @@ def suffix_ranks(docs: DataFrame, min_words: int) -> tuple[DataFrame, int]:
     place = ["doc_id", "th", "pos", "seq", "words"]
     symbols = lines.groupBy("h1", "h2").count().where("count > 1")
     first = stored(global_row_number(symbols, ["h1", "h2"], hash_bucket(F.col("h1")), "r").select("h1", "h2", "r", "count"), "line-symbols")
-    t = stored(join_split(lines, first, ["h1", "h2"], "count").select(*place, "r"), "line-ranks")
+
+    def with_next(t, k):
+        """Adds the rank of the suffix ``k`` lines later, null if unique."""
+        later = Window.partitionBy("doc_id", "th").orderBy("seq").rangeBetween(k, k)
+        return stored(t.withColumn("next", F.first("r").over(later)), "line-ranks")
+
+    t = with_next(join_split(lines, first, ["h1", "h2"], "count").select(*place, "r"), 1)
     levels, k = [t], 1
     while 2 * k <= min_words:
         # a suffix goes on while the one k lines later is not unique either
-        later = Window.partitionBy("doc_id", "th").orderBy("seq").rangeBetween(k, k)
-        pairs = stored(t.withColumn("next", F.first("r").over(later)).where("next is not null"), "line-pairs")
+        pairs = t.where("next is not null")
         names = pairs.groupBy("r", "next").count().where("count > 1")
         top = pairs.agg(F.max("r").alias("top")).first().top
         if top is None:
             break
         # order of (rank, rank k lines later): the suffix array at twice the depth
-        dense = global_row_number(names, ["r", "next"], F.floor(F.col("r") / F.lit(max(1, -(-top // 4096)))), "s").select("r", "next", "s", "count")
-        t = stored(join_split(pairs, stored(dense, "line-names"), ["r", "next"], "count").select(*place, F.col("s").alias("r")), "line-ranks")
+        dense = global_row_number(names, ["r", "next"], F.floor(F.col("r") / F.lit(max(1, -(-top // 4096)))), "s").select("r", "next", "s")
+        t = with_next(pairs.join(dense, ["r", "next"]).select(*place, F.col("s").alias("r")), 2 * k)
         if not t.head(1):
             break
         levels, k = [*levels, t], 2 * k
+    levels = [level.drop("next") for level in levels]
     out = levels[0].withColumn("depth", F.lit(0))
     for d, level in enumerate(levels[1:], 1):
         out = out.unionByName(level.withColumn("depth", F.lit(d)))
