@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from marketlex.llm.base import Memo
 
-MEMO_BYTES = 224 << 20   # of pre-tokens; a quarter of it of token pairs
+MEMO_BYTES = 224 << 20   # of pre-tokens; half of it of token pairs
 
 # Byte-level pre-tokenisation (public GPT-2 rule): contractions, then letters /
 # digits / other with at most one leading blank, then white space that leaves
@@ -66,7 +66,7 @@ class PrefixCounter:
         for (a, b), k in self.rank.items():
             if self.order.setdefault(a + b, k) == k:
                 self.halves[a + b] = (a, b)
-        self.stable = Memo(lambda pair: self.stays_apart(*pair), memo // 4)
+        self.stable = Memo(lambda pair: self.stays_apart(*pair), memo // 2)
         self.tokens = {t for t in (raw(s) for s in spec["model"]["vocab"] if s not in self.special) if len(t) == 1 or self.reaches(t)}
         self.longest = max(map(len, self.tokens))
         self.units = Memo(self.unit_deltas, memo)
