@@ -105,10 +105,11 @@ def s10_stream_clean_documents(spark, sf_dir):
     """Documents as a file stream, cleaned by the batch Columns (T11),
     drained once with ``availableNow`` into a parquet table."""
     schema = table(spark, sf_dir, "documents").schema
-    st = text_stream.read_stream(spark, sf_dir, schema, glob="documents.parquet")
+    # as a pattern the path may be one file or a folder of files
+    st = text_stream.read_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", schema, max_files=spark.sparkContext.defaultParallelism)
     cleaned = text_stream.clean_stream(st, [tx.clean_text_full], "doc_id", "text")
     out = text_stream.run_to_table(cleaned, _scratch(spark, "stream-out"), uuid.uuid4().hex)
-    return spark.read.parquet(out)
+    return spark.read.schema(cleaned.schema).parquet(out)
 
 
 QUERIES["s10_stream_clean_documents"] = s10_stream_clean_documents

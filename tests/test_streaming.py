@@ -38,3 +38,20 @@ def test_eval_log_per_batch(spark, tmp_path):
     overall = scoring.classification_metrics(sc.withColumn("pred", scoring.argmax("logits")), "label", "pred")
     assert overall.count() == 1
     assert checkpoint_dir(spark)
+
+
+def test_documents_in_one_file_or_a_folder(spark, tmp_path):
+    from marketlex.plans.q_io import s10_stream_clean_documents
+    rows = [(k, f"Text {k} @user https://t.co/x  end_{k}", "en", "s", 9) for k in range(12)] + [(12, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = [p for p in (tmp_path / "one").iterdir() if p.name.endswith(".parquet")]
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "documents.parquet").write_bytes(part.read_bytes())
+    want = sorted((r.doc_id, r.text) for r in docs.select("doc_id", tx.clean_text_full("text").alias("text")).collect() if r.doc_id < 12)
+    for kind in ("folder", "file"):
+        got = [(r.id, r.text) for r in s10_stream_clean_documents(spark, str(tmp_path / kind)).collect()]
+        assert sorted(x for x in got if x[0] < 12) == want and (12, None) in got and len(got) == 13
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert s10_stream_clean_documents(spark, str(tmp_path / "none")).count() == 0
