@@ -179,10 +179,10 @@ def piece_model(model_bytes: bytes) -> PieceModel:
     return _MODELS[key]
 
 
-def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
     """Encode every whole text of ``docs(doc_id, text)`` and decode the ids
     again: (doc_id, n_pieces, n_byte_pieces, ids_crc32, n_chars_decoded,
-    round_trip[, piece_ids]).
+    round_trip[, piece_ids][, decoded]).
 
     ``round_trip`` tells whether decoding gives the text back (it does unless
     the text itself holds the blank mark).  Null and empty texts have no
@@ -196,15 +196,17 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> Da
         is_byte[list(m.byte_id.values())] = True
         names = ("n_pieces", "n_byte_pieces", "ids_crc32", "n_chars_decoded", "round_trip")
 
-        def batch(ids_of_rows, cols, blobs):
+        def batch(ids_of_rows, cols, blobs, texts):
             out = {"doc_id": ids_of_rows} | {k: pa.array(v, pa.bool_() if k == "round_trip" else pa.int64()) for k, v in cols.items()}
             if keep_ids:
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in blobs]))).astype("<i4")
                 out["piece_ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+            if keep_text:
+                out["decoded"] = pa.array(texts, pa.string())
             return pa.RecordBatch.from_pydict(out)
 
         for b in batches:
-            cols, blobs, at, held = {k: [] for k in names}, [], 0, 0
+            cols, blobs, texts, at, held = {k: [] for k in names}, [], [], 0, 0
             for k, t in enumerate(b.column("text")):
                 t = t.as_py() or ""
                 raw = m.encode_bytes(t)
@@ -217,12 +219,16 @@ def encode_decode(docs: DataFrame, model_path: str, keep_ids: bool = True) -> Da
                 cols["round_trip"].append(back == t)
                 if keep_ids:
                     blobs.append(raw)
+                if keep_text:
+                    texts.append(back)
+                if keep_ids or keep_text:
                     held += len(ids)
                     if held > BATCH_IDS:
-                        yield batch(b.column("doc_id").slice(at, k + 1 - at), cols, blobs)
-                        cols, blobs, at, held = {k: [] for k in names}, [], k + 1, 0
+                        yield batch(b.column("doc_id").slice(at, k + 1 - at), cols, blobs, texts)
+                        cols, blobs, texts, at, held = {k: [] for k in names}, [], [], k + 1, 0
             if at < b.num_rows:
-                yield batch(b.column("doc_id").slice(at), cols, blobs)
+                yield batch(b.column("doc_id").slice(at), cols, blobs, texts)
 
     schema = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, n_chars_decoded long, round_trip boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", piece_ids array<int>" if keep_ids else ""))
+    schema += (", piece_ids array<int>" if keep_ids else "") + (", decoded string" if keep_text else "")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

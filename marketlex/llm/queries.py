@@ -53,7 +53,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlex.llm.piece_viterbi import encode_decode
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), keep_ids=False)
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), keep_ids=True, keep_text=True)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

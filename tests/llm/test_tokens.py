@@ -174,3 +174,10 @@ def test_encode_decode(edges, none, library):
         assert r.n_pieces == len(r.piece_ids) and r.round_trip and r.n_chars_decoded == len(t or "")
         assert r.ids_crc32 == zlib.crc32(np.array(r.piece_ids, "<u4").tobytes())
     assert piece_viterbi.encode_decode(none, str(P.path(PIECES))).collect() == []
+
+
+def test_query_returns_ids_and_decoded_texts(spark, edges, library, tmp_path):
+    from marketlex.llm.queries import op5_sentencepiece
+    edges.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.doc_id, list(r.piece_ids), r.decoded) for r in op5_sentencepiece(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(((d, library.encode(t or ""), t or "") for d, t in EDGES), key=repr)
