@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marketlex.functions import text as tx
 from marketlex.operators import textops
+from marketlex.session import materialize
 
 WORD_PATTERN = r"^\p{L}+$"
 DISTANCE, PREFIX = 2, 10
@@ -68,10 +69,14 @@ def correct_spelling(df: DataFrame, vocabulary: DataFrame, text_col: str = "text
     lower case, and has a correction, replaced by it; a capital first letter
     is kept.  Tokens are rejoined by one blank; a null text stays null."""
     unknown = word_counts(df, text_col, least_length).join(vocabulary.select("word"), "word", "left_anti")
-    table = corrections(unknown, vocabulary, distance, prefix).select(F.col("form").alias("_f"), F.col("replacement").alias("_r"))
-    first = F.substring("_tok", 1, 1)
-    cased = F.when(first != F.lower(first), F.concat(F.upper(F.substring("_r", 1, 1)), F.expr("substring(_r, 2)"))).otherwise(F.col("_r"))
+    fixed = corrections(unknown, vocabulary, distance, prefix)
+    table = materialize(fixed.select(F.col("form").alias("_key"), F.col("replacement").alias("_value")))
 
-    def step(long):
-        return long.join(table, F.lower("_tok") == F.col("_f"), "left").select("_h1", "_h2", "_pos", F.coalesce(cased, "_tok").alias("_tok"))
-    return textops.map_tokens(df, text_col, step, textops._rejoin, F.lit(""), text_col)
+    def cased(tokens, values):
+        out = list(tokens)
+        for k, v in enumerate(values):
+            if v is not None:
+                out[k] = v[:1].upper() + v[1:] if tokens[k][0] != tokens[k][0].lower() else v
+        return " ".join(out)
+    word = F.col("_key").rlike(WORD_PATTERN) & (F.length("_key") >= least_length)
+    return textops.map_tokens(df, text_col, table, cased, "string", text_col, lower=True, asked=word)

@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from typing import Callable, Mapping, Sequence
+from typing import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlex.functions import text as tx
@@ -100,42 +101,78 @@ def strategy_variants(corrections: DataFrame | None = None, lemmas: DataFrame |
     }
 
 
-def map_tokens(df: DataFrame, text_col: str, step: Callable[[DataFrame], DataFrame],
-               gather: Callable[[Column], Column], empty: Column, out_col: str, upto: int | None = None) -> DataFrame:
-    """Adds ``out_col``, made from the tokens of ``text_col`` by a table step.
+LOOKUP_ROWS = 100_000    # entries of a table that is shipped to the tasks
+Merge = Callable[[list, list], object]
 
-    What a text becomes depends on nothing but the text, so distinct texts (by
-    a 128-bit hash of them) are what is exploded and joined back, and no id is
-    needed: rows with a null or repeated id keep their own text.  ``step``
-    maps (_h1, _h2, _pos, _tok) to the same columns, dropping or replacing
-    tokens; ``gather`` makes the result of a text from the array of (_pos,
-    _tok) left, ``empty`` is the result where none is left.  A null text gives
-    null.  ``upto`` keeps the first tokens alone."""
-    h1, h2 = fresh("_h1", df), fresh("_h2", df)
-    keyed = df.withColumn(h1, F.xxhash64(text_col)).withColumn(h2, F.xxhash64(F.lit(1), text_col))
-    texts = keyed.where(F.col(text_col).isNotNull()).select(F.col(h1).alias("_h1"), F.col(h2).alias("_h2"), F.col(text_col).alias("_text")).dropDuplicates(["_h1", "_h2"])
-    tokens = tx.whitespace_tokens("_text")
-    long = texts.select("_h1", "_h2", F.posexplode(F.slice(tokens, 1, upto) if upto else tokens).alias("_pos", "_tok"))
-    made = step(long).groupBy("_h1", "_h2").agg(gather(F.array_sort(F.collect_list(F.struct("_pos", "_tok")))).alias("_made"))
-    made = made.select(F.col("_h1").alias(h1), F.col("_h2").alias(h2), F.col("_made").alias(fresh("_made", df)))
-    out = keyed.join(made, [h1, h2], "left")
-    value = F.when(F.col(text_col).isNotNull(), F.coalesce(fresh("_made", df), empty))
-    return out.withColumn(out_col, value).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, out_col])])
 
+def map_tokens(df: DataFrame, text_col: str, table: DataFrame, merge: Merge, kind: str, out_col: str, lower: bool = False, asked: Column | None = None) -> DataFrame:
+    """Adds ``out_col`` of type ``kind``, made from the tokens of ``text_col``
+    and what ``table(_key, _value)`` holds for them, or for their lower forms
+    (``lower``): ``merge`` gets the tokens and their values, None where there
+    is none.  Keys are distinct, values not null; a null text gives null.
 
-def _rejoin(tokens: Column) -> Column:
-    return F.array_join(F.transform(tokens, lambda s: s["_tok"]), " ")
+    A table of up to ``LOOKUP_ROWS`` entries is shipped and no row moves.
+    From a longer one the tokens are looked up by a join: only the tokens for
+    which ``asked``, a condition on ``_key`` and ``_pos``, holds take part, only those found
+    go on, as (place, value) gathered by a 128-bit hash of their text, so that
+    rows with a null or repeated id keep their own text."""
+    spark = df.sparkSession
+    entries = table.select("_key", "_value").limit(LOOKUP_ROWS + 1).collect()  # bounded
+    lowered = F.lower(text_col) if lower else F.lit(None).cast("string")
+    columns = [F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, out_col])]
+    if len(entries) <= LOOKUP_ROWS:
+        shipped = spark.sparkContext.broadcast({r[0]: r[1] for r in entries})
+
+        def made(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            value = shipped.value.get
+            for text, low in texts:
+                yield pa.array([None if t.as_py() is None else merge(w := t.as_py().split(), list(map(value, lo.as_py().split() if lower else w)))
+                                for t, lo in zip(text, low)], ARROW_KINDS[kind])
+        return df.withColumn(out_col, F.arrow_udf(made, kind)(F.col(text_col), lowered)).select(*columns)
+
+    h1, h2, hits = fresh("_h1", df), fresh("_h2", df), fresh("_hits", df)
+    hashes = F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)
+    tokens = tx.whitespace_tokens(F.lower(text_col) if lower else text_col)
+    long = df.select(hashes[0].alias(h1), hashes[1].alias(h2), F.posexplode(tokens).alias("_pos", "_key"))
+    found = (long if asked is None else long.where(asked)).join(table.select("_key", "_value"), "_key")
+    gathered = found.groupBy(h1, h2).agg(F.collect_set(F.struct("_pos", "_value")).alias(hits))  # a set: texts may repeat
+
+    def placed(texts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, places, values in texts:
+            out = []
+            for t, at, v in zip(text, places, values):
+                words = None if t.as_py() is None else t.as_py().split()
+                if words is not None:
+                    seen = [None] * len(words)
+                    for k, x in zip(at.as_py() or (), v.as_py() or ()):
+                        seen[k] = x
+                    words = merge(words, seen)
+                out.append(words)
+            yield pa.array(out, ARROW_KINDS[kind])
+    keyed = df.withColumn(h1, hashes[0]).withColumn(h2, hashes[1]).join(gathered, [h1, h2], "left")
+    return keyed.withColumn(out_col, F.arrow_udf(placed, kind)(F.col(text_col), F.col(f"{hits}._pos"), F.col(f"{hits}._value"))).select(*columns)
+
+
+ARROW_KINDS = {"string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
+def replaced(tokens: list, values: list) -> str:
+    """Tokens with a value replaced by it, joined by one blank."""
+    return " ".join([t if v is None else v for t, v in zip(tokens, values)])
+
+
+def dropped(tokens: list, values: list) -> str:
+    """Tokens without a value, joined by one blank."""
+    return " ".join([t for t, v in zip(tokens, values) if v is None])
 
 
 def remove_stopwords_table(df: DataFrame, words: DataFrame, id_col: str = "id",
                            text_col: str = "text") -> DataFrame:
-    """T13, join form for word lists of any size: tokens are anti-joined on
-    their lower form against ``words(word)`` and rejoined in order.  Spark
-    picks broadcast or shuffle join from the list's size.  ``id_col`` is not
-    read: rows are told apart by their text (see ``map_tokens``)."""
-    def step(long):
-        return long.join(words.select(F.col("word").alias("_w")), F.lower("_tok") == F.col("_w"), "left_anti")
-    return map_tokens(df, text_col, step, _rejoin, F.lit(""), text_col)
+    """T13, join form for word lists of any size: tokens whose lower form is
+    in ``words(word)`` are dropped, the others rejoined in order.  ``id_col``
+    is not read: rows are told apart by their text (see ``map_tokens``)."""
+    listed = words.where(F.col("word").isNotNull()).select(F.col("word").alias("_key"), F.lit(True).alias("_value")).distinct()
+    return map_tokens(df, text_col, listed, dropped, "string", text_col, lower=True)
 
 
 def remove_stopwords(df: DataFrame, words: DataFrame, text_col: str = "text", inline_limit: int = MAX_INLINE_LEXICON) -> DataFrame:
@@ -155,12 +192,8 @@ def dictionary_normalize(df: DataFrame, table: DataFrame, id_col: str = "id",
     (lemmatisation / spelling correction as a lookup), rejoin by one blank.  A
     form listed more than once has its smallest replacement; a null form or
     replacement replaces nothing.  ``id_col`` is not read."""
-    t = (table.where(F.col("form").isNotNull()).groupBy(F.col("form").alias("_f")).agg(F.min("replacement").alias("_r")))
-
-    def step(long):
-        key = F.lower("_tok") if lower else F.col("_tok")
-        return long.join(t, key == F.col("_f"), "left").select("_h1", "_h2", "_pos", F.coalesce("_r", "_tok").alias("_tok"))
-    return map_tokens(df, text_col, step, _rejoin, F.lit(""), text_col)
+    t = table.where(F.col("form").isNotNull() & F.col("replacement").isNotNull()).groupBy(F.col("form").alias("_key")).agg(F.min("replacement").alias("_value"))
+    return map_tokens(df, text_col, t, replaced, "string", text_col, lower)
 
 
 def build_vocabulary(df: DataFrame, text_col: str = "text", reserved: int = 2) -> DataFrame:
@@ -178,19 +211,30 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", reserved: int = 2) -
     return numbered.select("token", (F.col("rank") + reserved - 1).cast("int").alias("token_id"), "freq")
 
 
+def top_tokens(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
+    """The ``n`` most frequent tokens (ties by token), numbered from 0:
+    ``(token, place)``.  Only they are numbered, not the whole vocabulary."""
+    counts = (df.select(F.explode(tx.whitespace_tokens(text_col)).alias("token"))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+    top = counts.orderBy(F.col("freq").desc(), "token").limit(n)
+    place = F.row_number().over(Window.orderBy(F.col("freq").desc(), "token")) - 1  # n rows
+    return top.select("token", place.cast("int").alias("place"))
+
+
 def encode_fixed_length(df: DataFrame, vocab: DataFrame, id_col: str = "id",
                         text_col: str = "text", max_length: int = 128,
                         unknown_id: int = 1, pad_id: int = 0) -> DataFrame:
     """Token ids truncated / padded to ``max_length`` plus attention mask,
     in place of the text.  A null text is all padding; a token listed more
     than once has its smallest id; ``id_col`` is not read."""
-    v = vocab.where(F.col("token").isNotNull()).groupBy(F.col("token").alias("_tok")).agg(F.min("token_id").alias("_id"))
+    v = (vocab.where(F.col("token").isNotNull() & F.col("token_id").isNotNull()).groupBy(F.col("token").alias("_key"))
+         .agg(F.min("token_id").cast("int").alias("_value")))
 
-    def step(long):
-        return long.join(v, "_tok", "left").select("_h1", "_h2", "_pos", F.coalesce("_id", F.lit(unknown_id)).alias("_tok"))
+    def first(tokens, values):
+        return [unknown_id if x is None else x for x in values[:max_length]]
     none = F.array().cast("array<int>")
     ids = fresh("_ids", df)
-    out = map_tokens(df, text_col, step, lambda a: F.transform(a, lambda s: s["_tok"].cast("int")), none, ids, max_length)
+    out = map_tokens(df, text_col, v, first, "array<int>", ids, asked=F.col("_pos") < max_length)
     raw = F.coalesce(ids, none)
     n = F.size(raw)
     padded = F.slice(F.concat(raw, F.array_repeat(F.lit(pad_id), max_length)), 1, max_length)

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlex.operators import textops
-from marketlex.operators.ordering import small
 from marketlex.operators.scoring import CLASSES, metrics_from_confusion
 from marketlex.session import materialize
 
@@ -40,11 +39,8 @@ def features(df: DataFrame, vocab: DataFrame, columns: Sequence[str], text_col:
     """``columns`` and (idx, val): the distinct features of each text in
     ascending order and their log-scaled counts, of unit length.  ``vocab`` is
     ``(token, feature)``."""
-    v = vocab.select(F.col("token").alias("_tok"), F.col("feature").alias("_id"))
-
-    def step(long):
-        return long.join(v, "_tok").select("_h1", "_h2", "_pos", F.col("_id").alias("_tok"))
-    made = textops.map_tokens(df.select(*columns, text_col), text_col, step, lambda a: F.transform(a, lambda s: s["_tok"]), F.array().cast("array<int>"), "ids")
+    v = vocab.select(F.col("token").alias("_key"), F.col("feature").alias("_value"))
+    made = textops.map_tokens(df.select(*columns, text_col), text_col, v, lambda tokens, values: [x for x in values if x is not None], "array<int>", "ids")
 
     def count(batches):
         for b in batches:
@@ -170,9 +166,8 @@ def train_grid(df: DataFrame, forms: Mapping[str, object], params: Sequence[Mapp
     tables, grids = {}, {}
     for name, form in forms.items():
         made = form(rows.select("_y", F.col(fold_col).cast("int").alias("_f"), text_col))
-        vocab = textops.build_vocabulary(made, text_col, reserved=0).where(F.col("token_id") < max_features)
-        vocab = materialize(vocab.select("token", F.col("token_id").alias("feature")))
-        tables[name] = materialize(features(made, small(vocab), ["_y", "_f"], text_col))
+        vocab = materialize(textops.top_tokens(made, max_features, text_col).select("token", F.col("place").alias("feature")))
+        tables[name] = materialize(features(made, vocab, ["_y", "_f"], text_col))
         seen = {(r["_f"], r["_y"]): r["count"] for r in tables[name].groupBy("_f", "_y").count().collect()}  # folds x classes
         folds = sorted({f for f, _ in seen})
         counts = np.array([[seen.get((f, c), 0) for c in range(len(classes))] for f in folds], np.int64).reshape(len(folds), len(classes))
