@@ -231,11 +231,9 @@ LEMMA_ENDINGS = ("s", "es", "en", "er", "e", "n", "ed", "ing", "ly")
 def _lemma_pairs(spark, sf_dir):
     """(form, lemma, held_out): words of the corpus that are another word of
     it and an inflecting ending; a quarter is held out by a digest."""
-    words = spelling.word_counts(table(spark, sf_dir, "documents"), least_length=3).select("word")
-    forms = None
-    for e in LEMMA_ENDINGS:
-        f = words.select(F.col("word").alias("lemma"), F.concat("word", F.lit(e)).alias("form"))
-        forms = f if forms is None else forms.unionByName(f)
+    words = materialize(spelling.word_counts(table(spark, sf_dir, "documents"), least_length=3).select("word"))  # one pass over the texts
+    endings = F.explode(F.array(*[F.lit(e) for e in LEMMA_ENDINGS])).alias("ending")
+    forms = words.select(F.col("word").alias("lemma"), endings).select("lemma", F.concat("lemma", "ending").alias("form"))
     pairs = forms.join(words.withColumnRenamed("word", "form"), "form", "left_semi")
     return pairs.select("form", "lemma", F.substring(F.md5("form"), 1, 1).isin("0", "1", "2", "3").alias("held_out"))
 
