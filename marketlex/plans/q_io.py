@@ -186,12 +186,12 @@ def _letters_sql(table="documents"):
 
 
 def _known(spark, sf_dir):
-    return spelling.word_counts(table(spark, sf_dir, "documents")).where(F.col("freq") >= SPELL_LEAST)
+    return materialize(spelling.word_counts(table(spark, sf_dir, "documents")).where(F.col("freq") >= SPELL_LEAST))
 
 
 def t14_corrections(spark, sf_dir):
     """Every rarer word of the corpus against the frequent ones."""
-    words = spelling.word_counts(table(spark, sf_dir, "documents"))
+    words = materialize(spelling.word_counts(table(spark, sf_dir, "documents")))
     return spelling.corrections(words.where(F.col("freq") < SPELL_LEAST), words.where(F.col("freq") >= SPELL_LEAST))
 
 
