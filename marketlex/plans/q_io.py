@@ -396,13 +396,16 @@ ORACLES["g16_fold_means"] = (f"SELECT form, param_set, round(avg(loss), 5) AS lo
 
 
 # ------------------------------------------------------------- S1 / S3 / P4
+CSV_ROWS = 20_000        # a file with line breaks in quotes is read whole by one task
+
+
 def s1_read_labelled_text(spark, sf_dir):
     """Labelled texts exported the way the reference receives them (index
     column, labels -1/0/1 as text, multi-line quoted texts), read back by S1."""
     lab = v_labelled(spark, sf_dir)
     d = _scratch(spark, "labelled-csv")
     (lab.select(F.col("id").alias("Unnamed: 0"), "text", (F.col("label") - 1).cast("double").alias("labels"))
-     .repartition(2).write.option("header", True).option("escape", '"').csv(d))
+     .write.option("header", True).option("escape", '"').option("maxRecordsPerFile", CSV_ROWS).csv(d))
     return files.read_labelled_text(spark, d)
 
 
