@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import DataFrame
@@ -28,10 +27,9 @@ def _features(df: DataFrame, num_features: int) -> DataFrame:
 
 
 def _fit(train: DataFrame, reg: float, max_iter: int):
-    idf = IDF(inputCol="_tf", outputCol="_features")
     lr = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight",
                             regParam=reg, maxIter=max_iter, family="multinomial")
-    return Pipeline(stages=[idf, lr]).fit(train)
+    return lr.fit(train)
 
 
 def cross_validate(df: DataFrame, params: Sequence[Mapping], k: int = 5, seed: int = 12,
@@ -41,19 +39,24 @@ def cross_validate(df: DataFrame, params: Sequence[Mapping], k: int = 5, seed: i
     per (parameter set, fold) plus ``fold = -1`` rows holding the fold means
     (A5).
 
-    Texts are tokenised and hashed once per feature size, every held-out row
+    Texts are tokenised and hashed once per feature size, document frequencies
+    counted once per size and fold, every held-out row
     is predicted once into one stored table, and all metrics come from one
     aggregation of it.  Each fit is a distributed Spark ML job; the loop only
     submits k x len(params) of them."""
     folds = stratified_kfold(df.select(id_col, "text", "label"), k, "label", id_col, seed)
     sizes = sorted({p.get("num_features", 1 << 16) for p in params})
     featured = {n: materialize(_features(folds, n)) for n in sizes}
-    predictions = None
+    idf, predictions = {}, None
     for pi, p in enumerate(params):
-        rows = featured[p.get("num_features", 1 << 16)]
+        size = p.get("num_features", 1 << 16)
+        rows = featured[size]
         for f in range(k):
             train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
             w = class_weights(train, "label", floor=p.get("class_weight_floor", floor))
+            if (size, f) not in idf:
+                idf[size, f] = IDF(inputCol="_tf", outputCol="_features").fit(train)
+            train, test = (idf[size, f].transform(d) for d in (train, test))
             model = _fit(train.join(F.broadcast(w), "label"), p.get("reg_param", 0.0), p.get("max_iter", 50))  # one row per class
             pred = model.transform(test.withColumn("weight", F.lit(1.0))).select(
                 F.lit(pi).alias("param_set"), F.lit(f).alias("fold"), "label", F.col("prediction").cast("int").alias("pred"))
