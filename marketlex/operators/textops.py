@@ -105,22 +105,24 @@ LOOKUP_ROWS = 100_000    # entries of a table that is shipped to the tasks
 Merge = Callable[[list, list], object]
 
 
-def map_tokens(df: DataFrame, text_col: str, table: DataFrame, merge: Merge, kind: str, out_col: str, lower: bool = False, asked: Column | None = None) -> DataFrame:
+def map_tokens(df: DataFrame, text_col: str, table: DataFrame, merge: Merge, kind: str, out_col: str, lower: bool = False, asked: Column | None = None,
+               most: int | None = None) -> DataFrame:
     """Adds ``out_col`` of type ``kind``, made from the tokens of ``text_col``
     and what ``table(_key, _value)`` holds for them, or for their lower forms
     (``lower``): ``merge`` gets the tokens and their values, None where there
     is none.  Keys are distinct, values not null; a null text gives null.
 
-    A table of up to ``LOOKUP_ROWS`` entries is shipped and no row moves.
+    A table of up to ``most`` entries (``LOOKUP_ROWS``) is shipped and no row moves.
     From a longer one the tokens are looked up by a join: only the tokens for
     which ``asked``, a condition on ``_key`` and ``_pos``, holds take part, only those found
     go on, as (place, value) gathered by a 128-bit hash of their text, so that
     rows with a null or repeated id keep their own text."""
     spark = df.sparkSession
-    entries = table.select("_key", "_value").limit(LOOKUP_ROWS + 1).collect()  # bounded
+    most = LOOKUP_ROWS if most is None else most
+    entries = table.select("_key", "_value").limit(most + 1).collect()  # bounded
     lowered = F.lower(text_col) if lower else F.lit(None).cast("string")
     columns = [F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, out_col])]
-    if len(entries) <= LOOKUP_ROWS:
+    if len(entries) <= most:
         shipped = spark.sparkContext.broadcast({r[0]: r[1] for r in entries})
 
         def made(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -167,12 +169,13 @@ def dropped(tokens: list, values: list) -> str:
 
 
 def remove_stopwords_table(df: DataFrame, words: DataFrame, id_col: str = "id",
-                           text_col: str = "text") -> DataFrame:
-    """T13, join form for word lists of any size: tokens whose lower form is
+                           text_col: str = "text", most: int | None = None) -> DataFrame:
+    """T13, table form for word lists of any size: tokens whose lower form is
     in ``words(word)`` are dropped, the others rejoined in order.  ``id_col``
-    is not read: rows are told apart by their text (see ``map_tokens``)."""
+    is not read: rows are told apart by their text (see ``map_tokens``, also
+    for ``most``)."""
     listed = words.where(F.col("word").isNotNull()).select(F.col("word").alias("_key"), F.lit(True).alias("_value")).distinct()
-    return map_tokens(df, text_col, listed, dropped, "string", text_col, lower=True)
+    return map_tokens(df, text_col, listed, dropped, "string", text_col, lower=True, most=most)
 
 
 def remove_stopwords(df: DataFrame, words: DataFrame, text_col: str = "text", inline_limit: int = MAX_INLINE_LEXICON) -> DataFrame:
@@ -182,7 +185,7 @@ def remove_stopwords(df: DataFrame, words: DataFrame, text_col: str = "text", in
     words = words.select("word").where(F.col("word").isNotNull()).distinct()
     listed = words.limit(inline_limit + 1).collect()
     if len(listed) > inline_limit:
-        return remove_stopwords_table(df, words, text_col=text_col)
+        return remove_stopwords_table(df, words, text_col=text_col, most=inline_limit)
     return df.withColumn(text_col, tx.remove_stopwords(text_col, [r[0] for r in listed]))
 
 
