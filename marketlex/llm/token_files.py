@@ -34,7 +34,7 @@ MAGIC = b"FWTOK001"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 65536        # ids of a block: a multiple of 8
 SHARD_IDS = 4_000_000    # a shard is closed at the first document end past this
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 256 << 20
 
 MANIFEST = "part int, shard int, n_docs long, n_ids long, path string"
 READ = "part int, shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -130,11 +130,10 @@ class WordEncoder:
     A tokenizer whose pre-tokenizer never joins text across white space gives
     a text the ids of its white-space-separated words, one after another; a
     word seen lately is not encoded again.  Texts are split on ASCII white
-    space only, which every such tokenizer treats as a boundary; plain ASCII
-    text is lower-cased first where the tokenizer lower-cases anyway.  A new
-    word of Latin letters that normalisation leaves alone is one pre-token
-    and goes straight to the library's BPE model; one closing comma or full
-    stop is a pre-token of its own.
+    space only, which every such tokenizer treats as a boundary, and are
+    lower-cased first where the tokenizer lower-cases anyway.  A new word of
+    Latin letters and visible ASCII is cut into the tokenizer's own pre-tokens,
+    which go straight to the library's BPE model, each once.
     """
 
     def __init__(self, tokenizer_json: bytes, memo: int = MEMO_BYTES):
@@ -144,29 +143,51 @@ class WordEncoder:
         self.tok = Tokenizer.from_buffer(tokenizer_json)
         spec = json.loads(tokenizer_json)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special_low = [t.encode().lower() for t in self.special]
+        self.model = self.tok.model
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.by_word = drops_white_space(spec)
-        self.letters_alone = self.by_word and self.lower and splits_letters(spec)
+        self.plain = plain_lower(spec)
+        self.cut = latin_pieces(spec) if self.by_word and self.plain else None
         self.stand_in = byte_letters()
         self.memo = Memo(self.new_word, memo)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, low: str) -> bytes:
+        """Ids of one lower-case pre-token."""
+        return array("I", [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
+
     def new_word(self, w: bytes) -> bytes:
-        text = w.decode()
-        if not self.letters_alone:
-            return self.whole(text)
-        if text[-1] in ",." and LATIN.fullmatch(text[:-1]):
+        if not self.cut:
+            return self.whole(w.decode())
+        if w.isalpha():  # ASCII letters
+            low = w.lower()
+            return self.piece(w.decode()) if low == w else self.memo[low]
+        if w[-1] in MARKS and w[:-1].isalpha():
             return self.memo[w[:-1]] + self.memo[w[-1:]]
-        if not LATIN.fullmatch(text):
+        text = w.decode()
+        if not VISIBLE.fullmatch(text):
             return self.whole(text)
         low = text.lower()
-        if not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+        if any(s in text or s in low for s in self.special):
             return self.whole(text)
         if low != text:
             return self.memo[low.encode()]
-        return array("I", [t.id for t in self.tok.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.stand_in))]).tobytes()
+        parts = self.cut(text)
+        return self.piece(text) if parts == [text] else b"".join([self.memo[p.encode()] for p in parts])
+
+    def lower_case(self, text: str, raw: bytes) -> bytes:
+        """``raw``, the UTF-8 of ``text``, with ASCII letters in lower case if
+        the library gives that the same ids: a letter may compose with a mark
+        in one case only, and an added token is of one case."""
+        low = raw.lower()
+        if any(s in low for s in self.special_low):
+            return raw
+        if raw.isascii() or self.plain and is_normalized("NFC", text) and is_normalized("NFC", low.decode()):
+            return low
+        return raw
 
     def ids_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian uint32 bytes; null is the empty text."""
@@ -175,14 +196,14 @@ class WordEncoder:
         if not self.by_word:
             return self.whole(text)
         raw = text.encode()
-        if self.lower and raw.isascii() and not any(s in text for s in self.special):
-            low = raw.lower()
-            if not any(s.encode() in low for s in self.special):
-                raw = low
+        if self.lower:
+            raw = self.lower_case(text, raw)
         return b"".join(map(self.memo.__getitem__, raw.split()))
 
 
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
+MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+VISIBLE = re.compile(f"[!-~{LATIN}]+")
 
 
 def byte_letters() -> dict[int, int]:
@@ -192,13 +213,31 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-def splits_letters(spec: dict) -> bool:
-    """True if a run of letters is one pre-token that goes byte by byte to a
-    BPE model."""
+def plain_lower(spec: dict) -> bool:
+    """True if normalisation is NFC, white space to blanks and lower case."""
+    normalizer = spec.get("normalizer") or {}
+    steps = normalizer.get("normalizers", [normalizer])
+    others = [n for n in steps if n.get("type") not in ("NFC", "Lowercase")]
+    return (steps[-1].get("type") == "Lowercase"
+            and all(n.get("type") == "Replace" and n["pattern"].get("Regex") == "\\s+" and n["content"] == " " for n in others))
+
+
+def latin_pieces(spec: dict):
+    """The function that cuts a word of ``VISIBLE`` characters into pre-tokens
+    that go byte by byte to a BPE model; None if the tokenizer has another
+    pre-tokenizer, or an added token of letters with a mark behind at most."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    return (len(steps) == 2 and steps[0].get("type") == "Split" and "[\\p{L}]+|" in steps[0]["pattern"].get("Regex", "")
-            and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
-            and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"))
+    if (len(steps) != 2 or steps[0].get("type") != "Split" or steps[1].get("type") != "ByteLevel" or steps[1].get("add_prefix_space")
+            or steps[1].get("use_regex") or spec["model"].get("type") != "BPE" or spec["model"].get("dropout")):
+        return None
+    letters, plain = "[\\p{L}]+", {"[\\p{N}]", "[\\p{N}]+", "[^\\s\\p{L}\\p{N}]+"}
+    pattern = steps[0]["pattern"].get("Regex", "")
+    choices = pattern.split("|")
+    if letters not in choices or any(c != letters and c not in plain and not re.fullmatch("'[a-z]+", c) for c in choices):
+        return None
+    if any(re.fullmatch(f"[{LATIN}]*[!-/:-@[-`{{-~]?", t["content"]) for t in spec.get("added_tokens", [])):
+        return None
+    return re.compile(pattern.replace("\\p{L}", LATIN).replace("\\p{N}", "0-9")).findall
 
 
 def drops_white_space(spec: dict) -> bool:

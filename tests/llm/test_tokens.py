@@ -1,6 +1,8 @@
 """Token files, SentencePiece coding and prefix counts against the public
 libraries."""
 
+import json
+import random
 import zlib
 
 import numpy as np
@@ -55,6 +57,38 @@ def test_word_encoder_equals_library(texts):
         assert np.frombuffer(enc.ids_bytes(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_are_cut_into_pre_tokens_seen_before():
+    """Marks around a word, and its case, must not send it through the whole
+    tokenizer again: that took most of the time of packing and token files."""
+    with open(P.path(WORD_BPE), "rb") as f:
+        enc = token_files.WordEncoder(f.read())
+    whole, looked_at = enc.whole, []
+    enc.whole = lambda t: looked_at.append(t) or whole(t)
+    t = "word Word, word*** (word) \"WORD's\" l'été État... 12,5 état! <<état>> state-of-the-art x=1;\n" * 2
+    assert np.frombuffer(enc.ids_bytes(t), "<u4").tolist() == word_ids(t)
+    assert looked_at == []
+    assert sum(w.lower().startswith((b"word", "état".encode())) for w in enc.memo if w.decode().isalpha()) == 2
+
+
+@pytest.mark.parametrize("change", [{}, {"normalizer": {"type": "Lowercase"}}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "Lowercase"}]}},
+                                    {"normalizer": {"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": "!"}, "content": "?"}, {"type": "Lowercase"}]}},
+                                    {"normalizer": None}, {"token": "bel"}, {"token": "l'"}, {"token": "s."}, {"token": "Été"}, {"token": "***"}])
+def test_word_encoder_equals_library_on_odd_words(change):
+    with open(P.path(WORD_BPE)) as f:
+        spec = json.load(f)
+    if "token" in change:
+        spec["added_tokens"].append({**spec["added_tokens"][-1], "id": 50_000, "content": change["token"]})
+    else:
+        spec |= change
+    raw = json.dumps(spec).encode()
+    enc, tok = token_files.WordEncoder(raw, memo=50_000), Tokenizer.from_buffer(raw)
+    rng = random.Random(7)
+    parts = ["label", "Été", "ÉTÉ", "'s", "'LL", "s.", "***", "<|endoftext|>", "<|ENDOFTEXT|>", "\"", "'", "(", ")!", "12", "½", "²", "İ", "ẞ", "ΑΣ", "H\u0331", "I\u0307", "E\u0301",
+             "ŉ", "’s", "日本", "😀", " ", " ", "\n", "\x1c", "\u00a0"]
+    for t in [*ODD, *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(400))]:
+        assert np.frombuffer(enc.ids_bytes(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def expected_files(rows):
     """Contract columns for rows in file order."""
     out, start = [], 0
