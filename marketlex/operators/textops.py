@@ -106,7 +106,7 @@ Merge = Callable[[list, list], object]
 
 
 def map_tokens(df: DataFrame, text_col: str, table: DataFrame, merge: Merge, kind: str, out_col: str, lower: bool = False, asked: Column | None = None,
-               most: int | None = None) -> DataFrame:
+               most: int | None = None, never: Callable[[], DataFrame] | None = None) -> DataFrame:
     """Adds ``out_col`` of type ``kind``, made from the tokens of ``text_col``
     and what ``table(_key, _value)`` holds for them, or for their lower forms
     (``lower``): ``merge`` gets the tokens and their values, None where there
@@ -114,9 +114,11 @@ def map_tokens(df: DataFrame, text_col: str, table: DataFrame, merge: Merge, kin
 
     A table of up to ``most`` entries (``LOOKUP_ROWS``) is shipped and no row moves.
     From a longer one the tokens are looked up by a join: only the tokens for
-    which ``asked``, a condition on ``_key`` and ``_pos``, holds take part, only those found
-    go on, as (place, value) gathered by a 128-bit hash of their text, so that
-    rows with a null or repeated id keep their own text."""
+    which ``asked``, a condition on ``_key`` and ``_pos``, holds and which are
+    not in ``never()``, a short table (_key) of words that ``table`` lacks,
+    take part, only those found go on, as (place, value) gathered by a 128-bit
+    hash of their text, so that rows with a null or repeated id keep their own
+    text."""
     spark = df.sparkSession
     most = LOOKUP_ROWS if most is None else most
     entries = table.select("_key", "_value").limit(most + 1).collect()  # bounded
@@ -134,9 +136,13 @@ def map_tokens(df: DataFrame, text_col: str, table: DataFrame, merge: Merge, kin
 
     h1, h2, hits = fresh("_h1", df), fresh("_h2", df), fresh("_hits", df)
     hashes = F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)
-    tokens = tx.whitespace_tokens(F.lower(text_col) if lower else text_col)
-    long = df.select(hashes[0].alias(h1), hashes[1].alias(h2), F.posexplode(tokens).alias("_pos", "_key"))
-    found = (long if asked is None else long.where(asked)).join(table.select("_key", "_value"), "_key")
+    tokens = tx.whitespace_tokens(F.lower("_text") if lower else "_text")
+    hashed = df.select(hashes[0].alias(h1), hashes[1].alias(h2), F.col(text_col).alias("_text"))  # beside posexplode the text would be hashed for each token
+    long = hashed.select(h1, h2, F.posexplode(tokens).alias("_pos", "_key"))
+    long = long if asked is None else long.where(asked)
+    if never is not None:
+        long = long.join(F.broadcast(never()), "_key", "left_anti")
+    found = long.join(table.select("_key", "_value"), "_key")
     gathered = found.groupBy(h1, h2).agg(F.collect_set(F.struct("_pos", "_value")).alias(hits))  # a set: texts may repeat
 
     def placed(texts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -185,19 +185,24 @@ def _letters_sql(table="documents"):
   WHERE regexp_full_match(word, '\\p{{L}}+') AND length(word) >= 4 GROUP BY word"""
 
 
-def _known(spark, sf_dir):
-    return materialize(spelling.word_counts(table(spark, sf_dir, "documents")).where(F.col("freq") >= SPELL_LEAST))
+def _words(spark, sf_dir):
+    return materialize(spelling.word_counts(table(spark, sf_dir, "documents")))  # one pass over the texts
+
+
+def _known(spark, sf_dir, words=None):
+    return (_words(spark, sf_dir) if words is None else words).where(F.col("freq") >= SPELL_LEAST)
 
 
 def t14_corrections(spark, sf_dir):
     """Every rarer word of the corpus against the frequent ones."""
-    words = materialize(spelling.word_counts(table(spark, sf_dir, "documents")))
-    return spelling.corrections(words.where(F.col("freq") < SPELL_LEAST), words.where(F.col("freq") >= SPELL_LEAST))
+    words = _words(spark, sf_dir)
+    return spelling.corrections(words.where(F.col("freq") < SPELL_LEAST), _known(spark, sf_dir, words))
 
 
 def t14_correct_spelling(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    fixed = spelling.correct_spelling(d, _known(spark, sf_dir))
+    words = _words(spark, sf_dir)
+    fixed = spelling.correct_spelling(d, _known(spark, sf_dir, words), words=words)
     return fixed.select("id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
 
 
